@@ -210,3 +210,254 @@ def load_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("sent"), F.count_if(F.col("kind") != "error").alias("ok"))
         .select((F.unix_seconds("run_at") / 3600).cast("long").alias("run_id"), "cloud", "sent", "ok", "run_at")
     )
+
+
+def load_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run logs: chatter and one result line per cloud. Every fiftieth run has no result."""
+    result = F.concat(
+        F.lit("2024-01-01T00:00:00.0Z load cloud="), "cloud", F.lit(" sent="), "sent", F.lit(" ok="), "ok",
+        F.lit(" first_s=0.21 p50_s=0.12 p95_s=0.24 max_s=0.31 at="),
+        F.date_format("run_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" done"),
+    )
+    chatter = F.concat(F.lit("starting load for "), F.col("cloud"))
+    lines = F.when(F.col("run_id") % 50 == 0, F.array(chatter)).otherwise(F.array(chatter, result))
+    return load_runs(spark, sf_dir).select("run_id", F.explode(lines).alias("value"))
+
+
+def run_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scheduler's list of runs; every seventh was cancelled."""
+    status = F.when(F.col("run_id") % 7 == 0, "cancelled").otherwise("completed")
+    return (
+        load_runs(spark, sf_dir)
+        .groupBy("run_id")
+        .agg(F.min("run_at").alias("created_at"))
+        .withColumn("status", status)
+    )
+
+
+def app_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON log lines with their cloud; one line in 101 is not JSON."""
+    kind = F.col("kind")
+    record = F.to_json(
+        F.struct(
+            F.when(kind == "error", "ERROR").when(kind == "view", "WARNING").otherwise("INFO").alias("severity"),
+            F.concat(
+                kind, F.lit(" request "), "event_id", F.when(F.col("event_id") % 10 == 0, " Denied").otherwise("")
+            ).alias("message"),
+            F.lit("app").alias("logger"),
+            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssxx").alias("time"),
+        )
+    )
+    return requests(spark, sf_dir).select(
+        "cloud", F.when(F.col("event_id") % 101 == 0, "not json").otherwise(record).alias("value")
+    )
+
+
+# --- telemetry ---------------------------------------------------------------
+
+# The test events are sparse, so scrapes and ranges are longer than in use.
+SCRAPE = "10 minutes"
+RANGE_S, STEP_S = 6 * 3600, 3600
+FLOOR_RATE = 15 / RANGE_S
+
+
+def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloudtally.operators.series import scrape_counters
+
+    return scrape_counters(requests(spark, sf_dir), SCRAPE)
+
+
+def bucket_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloudtally.operators.series import scrape_histograms
+
+    return scrape_histograms(requests(spark, sf_dir), SCRAPE)
+
+
+def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One app process per cloud and day."""
+    return requests(spark, sf_dir).groupBy("cloud", "start_ts").agg(F.count(F.lit(1)).alias("served")).drop("served")
+
+
+def exposition_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scraped text, a line per series, with the target and time of the scrape."""
+    value = F.col("value").cast("string")
+    sample = F.concat(
+        F.lit('app_requests_total{route="'), "route", F.lit('",method="'), "method", F.lit('",status="'), "status",
+        F.lit('",note="say \\"hi\\", ok"} '), value,
+    )
+    start = F.concat(F.lit("process_start_time_seconds "), F.unix_seconds("start_ts").cast("string"))
+    lines = F.array(F.lit("# HELP app_requests_total Requests."), F.lit("# TYPE app_requests_total counter"), sample, start)
+    return counter_samples(spark, sf_dir).select(
+        F.concat(F.col("cloud"), F.lit("/"), F.unix_seconds("start_ts").cast("string")).alias("target"),
+        "cloud",
+        "ts",
+        F.explode(lines).alias("value"),
+    )
+
+
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request paths: the path part of every page address."""
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1).alias("path")
+    )
+
+
+def alert_rules():
+    from cloudtally.operators.incidents import AlertRules
+
+    return AlertRules(
+        error_ratio=0.3, latency_s=0.15, range_s=RANGE_S, every_s=STEP_S, hold_s=3600, close_after_s=4 * 3600,
+        floor_rate=FLOOR_RATE,
+    )
+
+
+# --- plans, state and images ---------------------------------------------------
+
+RESOURCE_TYPES = (
+    "aws_s3_bucket", "aws_vpc_security_group_ingress_rule", "aws_lb_listener", "google_storage_bucket",
+    "azurerm_container_registry", "azurerm_container_app", "aws_ecr_repository",
+    "google_artifact_registry_repository", "aws_iam_role_policy", "aws_iam_role", "google_project_iam_member",
+    "google_service_account_key", "google_cloud_run_v2_service_iam_member", "azurerm_role_assignment",
+)
+
+_GOOD = '{"project":"platform-one","env":"dev","owner":"ops","estate":"aws","managed-by":"terraform"}'
+_ISSUER = "arn:aws:iam::1:oidc-provider/token.actions.githubusercontent.com"
+_SUB = '{"token.actions.githubusercontent.com:sub":"repo:o/r:ref:refs/heads/main"}'
+
+
+def _json_string(text: str) -> str:
+    return '"' + text.replace("\\", "\\\\").replace('"', '\\"') + '"'
+
+
+def _trust(condition: str) -> str:
+    statement = '{"Effect":"Allow","Principal":{"Federated":"' + _ISSUER + '"}' + condition + "}"
+    return '{"tags_all":' + _GOOD + ',"assume_role_policy":' + _json_string('{"Statement":[' + statement + "]}") + "}"
+
+
+def _grants(*statements: str) -> str:
+    return '{"policy":' + _json_string('{"Statement":[' + ",".join(statements) + "]}") + "}"
+
+
+def _tagged(field: str, rest: str = "") -> str:
+    return '{"' + field + '":' + _GOOD + ("," + rest if rest else "") + "}"
+
+
+# Settings of each resource type when present, wrong and left out.
+SETTINGS = (
+    (
+        _tagged("tags_all"),
+        '{"tags_all":{"project":"","env":"dev","owner":"ops","estate":"prod","managed-by":"terraform"}}',
+        '{"tags_all":{"project":"platform-one","env":"dev","estate":null,"managed-by":false}}',
+    ),
+    tuple(_tagged("tags_all", '"cidr_ipv4":"0.0.0.0/0"' + p) for p in (',"from_port":443', ',"from_port":22', "")),
+    tuple(_tagged("tags_all", p) for p in ('"protocol":"HTTPS"', '"protocol":"HTTP"', "")),
+    tuple(
+        _tagged("terraform_labels", p)
+        for p in (
+            '"public_access_prevention":"enforced","uniform_bucket_level_access":true',
+            '"public_access_prevention":"inherited","uniform_bucket_level_access":false',
+            "",
+        )
+    ),
+    tuple(_tagged("tags", p) for p in ('"admin_enabled":false', '"admin_enabled":true', "")),
+    tuple(
+        _tagged("tags", '"ingress":[{"external_enabled":true' + p + "}]")
+        for p in (',"allow_insecure_connections":false', ',"allow_insecure_connections":true', "")
+    ),
+    tuple(_tagged("tags_all", p) for p in ('"image_tag_mutability":"IMMUTABLE"', '"image_tag_mutability":"MUTABLE"', "")),
+    tuple(
+        _tagged("terraform_labels", '"format":"DOCKER"' + p)
+        for p in (',"docker_config":[{"immutable_tags":true}]', ',"docker_config":[{"immutable_tags":false}]', "")
+    ),
+    (
+        _grants('{"Action":["ecr:GetAuthorizationToken","ec2:Describe*"],"Resource":"*"}'),
+        _grants('{"Action":"s3:*","Resource":"arn:x"}', '{"Action":["s3:GetObject"],"Resource":["*"]}'),
+        _grants('{"Action":["s3:Get*"],"Resource":"*"}'),
+    ),
+    (_trust(',"Condition":{"StringEquals":' + _SUB + "}"), _trust(',"Condition":{"StringLike":' + _SUB + "}"), _trust("")),
+    tuple('{"member":"serviceAccount:x"' + r + "}" for r in (',"role":"roles/run.viewer"', ',"role":"roles/editor"', "")),
+    ("{}", "{}", "{}"),
+    tuple('{"member":"allUsers"' + r + "}" for r in (',"role":"roles/run.invoker"', ',"role":"roles/run.admin"', "")),
+    (
+        '{"role_definition_name":"Reader","scope":"/subscriptions/s/resourceGroups/rg"}',
+        '{"role_definition_name":"Contributor","scope":"/subscriptions/s/resourceGroups/rg/"}',
+        '{"scope":"/subscriptions/s/"}',
+    ),
+)
+
+
+def plan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plan JSON with a resource per part, a hundred parts to each set of four roots."""
+    key = F.col("p_partkey")
+    kind = pick(key % 14, RESOURCE_TYPES)
+    flat = tuple(after for settings in SETTINGS for after in settings)
+    after = F.when(key % 17 == 0, "null").otherwise(pick((key % 14) * 3 + F.col("p_size") % 3, flat))
+    actions = (
+        F.when(key % 17 == 0, '["delete"]')
+        .when(key % 19 == 0, '["delete","create"]')
+        .when(key % 23 == 0, '["update"]')
+        .otherwise('["create"]')
+    )
+    change = F.concat(
+        F.lit('{"address":"'), kind, F.lit(".r"), key, F.lit('","type":"'), kind, F.lit('","change":{"actions":'),
+        actions, F.lit(',"after":'), after, F.lit("}}"),
+    )
+    return (
+        table(spark, sf_dir, "part")
+        .select(pick(key % 4, ROOTS).alias("root"), F.floor(key / 100).alias("batch"), change.alias("change"))
+        .groupBy("root", "batch")
+        .agg(F.array_join(F.collect_list("change"), ",").alias("_c"))  # at most a hundred
+        .select(
+            "root",
+            F.concat(F.lit('{"format_version":"1.2","resource_changes":['), F.col("_c"), F.lit("]}")).alias("plan"),
+        )
+    )
+
+
+_DRIFT_TYPES = ("aws_thing", "google_thing", "azurerm_thing")
+
+
+def _state(spark: SparkSession, sf_dir: str, observed: bool) -> DataFrame:
+    key = F.col("o_orderkey")
+    status = F.concat(F.lit('"status":"'), "o_orderstatus", F.lit('"'))
+    priority = F.col("o_orderpriority")
+    rows = table(spark, sf_dir, "orders")
+    if observed:
+        rows = rows.filter(key % 110 != 0)
+        priority = F.when(key % 50 == 0, "changed by hand").otherwise(priority)
+        status = F.when(key % 90 == 0, F.lit('"note":1')).otherwise(status)
+    extra = F.when((key % 70 == 0) & F.lit(observed), F.lit(',"added":"console"')).otherwise("")
+    return rows.select(
+        pick(key % 4, ROOTS).alias("root"),
+        F.concat(pick(key % 3, _DRIFT_TYPES), F.lit(".o"), key).alias("address"),
+        F.concat(F.lit('{"priority":"'), priority, F.lit('",'), status, extra, F.lit("}")).alias("state"),
+    )
+
+
+def declared_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state(spark, sf_dir, observed=False)
+
+
+def observed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state(spark, sf_dir, observed=True)
+
+
+def ignored_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes another process owns."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").filter(key % 300 == 0).select(
+        F.concat(pick(key % 3, _DRIFT_TYPES), F.lit(".o"), key).alias("address"), F.lit("priority").alias("attr")
+    )
+
+
+def image_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pulls of each tag from each registry; a few digests differ, a few are missing."""
+    key = F.col("p_partkey")
+    pulls = F.explode(F.array(*[F.lit(c) for c in (*CLOUDS, *CLOUDS)])).alias("registry")
+    digest = F.concat(F.lit("sha256:"), key, F.when((key % 100 == 0) & (F.col("registry") == "aws"), "x").otherwise(""))
+    return (
+        table(spark, sf_dir, "part")
+        .select("p_partkey", pulls)
+        .filter(~((key % 150 == 0) & (F.col("registry") == "azure")))
+        .select(key.cast("string").alias("tag"), "registry", digest.alias("digest"))
+    )
