@@ -7,12 +7,12 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudtally.plans import check_queries, cost_queries, load_queries, telemetry_queries
+from cloudtally.plans import check_queries, cost_queries, feed_queries, load_queries, telemetry_queries
 from cloudtally.session import use_utc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (cost_queries, load_queries, telemetry_queries, check_queries)
+_MODULES = (cost_queries, load_queries, telemetry_queries, check_queries, feed_queries)
 
 
 def _in_utc(query: Query) -> Query:
