@@ -38,26 +38,31 @@ def pairs_from_text(text: Column, lenient: bool = False) -> Column:
         as_map = F.from_json(F.coalesce(text, F.lit("{}")), "map<string,string>")
         return F.transform(F.map_entries(as_map), lambda e: _pair(e["key"], e["value"]))
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit('"[^"]+":"[^"]*"'), F.lit(0))
-    # A match is "key":"value"; neither side can hold a quote, so the four
-    # quotes cut it into five parts.
-    return F.transform(found, lambda m: _pair(F.split(m, '"')[1], F.split(m, '"')[3]))
+    # A match is "key":"value" and neither side can hold a quote.
+    return F.transform(
+        found,
+        lambda m: _pair(
+            F.substring_index(F.substring_index(m, '"', 2), '"', -1),
+            F.substring_index(F.substring_index(m, '"', -2), '"', 1),
+        ),
+    )
 
 
 def own_then_inherited(own: Column, inherited: Column) -> Column:
     """Merge labels: a resource's own label wins, its project's fill the rest.
 
     The first entry for a key is kept, so a key repeated inside one array is
-    settled by position.
+    settled by position. The arrays are folded once: an expression used inside
+    a lambda would be worked out again for every element.
     """
-    def norm(labels: Column) -> Column:
-        return F.transform(
-            F.coalesce(labels, F.array().cast("array<struct<Key:string,Value:string>>")),
-            lambda x: _pair(x["Key"], x["Value"]),
-        )
-
-    merged = F.concat(norm(own), norm(inherited))
-    keys = F.transform(merged, lambda x: x["key"])
-    return F.filter(merged, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
+    none = F.array().cast(TAG_ARRAY)
+    every = F.concat(F.coalesce(own.cast(TAG_ARRAY), none), F.coalesce(inherited.cast(TAG_ARRAY), none))
+
+    def add(kept: Column, label: Column) -> Column:
+        known = F.exists(kept, lambda k: k["key"].eqNullSafe(label["key"]))
+        return F.when(known, kept).otherwise(F.array_append(kept, label))
+
+    return F.aggregate(every, none, add)
 
 
 def tag(tags: Column, key: str) -> Column:

@@ -45,7 +45,7 @@ def charge_category(charge_type: Column) -> Column:
 
 def last_path_segment(path: Column) -> Column:
     """What follows the last slash, NULL if nothing does."""
-    return F.regexp_substr(path, F.lit("[^/]+$"))
+    return F.nullif(F.substring_index(path, "/", -1), F.lit(""))
 
 
 def focus_azure(raw: DataFrame, lenient_tags: bool = False) -> DataFrame:

@@ -21,18 +21,18 @@ SERVED = ("route", "!=", UNMATCHED)
 SERVER_ERROR = ("status", "=~", "5..")
 
 
-def increase(deltas: DataFrame, by: Sequence[str], range_s: int, step_s: int | None = None) -> DataFrame:
-    """Sum of increments per label set over a range, at every step.
+def _over_range(rows: DataFrame, by: Sequence[str], column: str, fold, range_s: int, step_s: int | None) -> DataFrame:
+    """Fold a column per label set over a range, at every step.
 
-    Increments are first summed per step, then the few step sums are spread
-    over the ranges they belong to, so rows are not copied range/step times.
+    Rows are first folded per step, then the few step results are spread over
+    the ranges they belong to, so rows are not copied range/step times.
     """
     step_s = step_s or range_s
     if range_s % step_s:
         wide = F.window("ts", f"{range_s} seconds", f"{step_s} seconds")
-        return deltas.groupBy(*by, wide["end"].alias("eval_ts")).agg(F.sum("delta").alias("value"))
-    cells = deltas.groupBy(*by, F.window("ts", f"{step_s} seconds")["end"].alias("eval_ts")).agg(
-        F.sum("delta").alias("value")
+        return rows.groupBy(*by, wide["end"].alias("eval_ts")).agg(fold(column).alias("value"))
+    cells = rows.groupBy(*by, F.window("ts", f"{step_s} seconds")["end"].alias("eval_ts")).agg(
+        fold(column).alias("value")
     )
     copies = range_s // step_s
     if copies == 1:
@@ -41,9 +41,13 @@ def increase(deltas: DataFrame, by: Sequence[str], range_s: int, step_s: int | N
         F.sequence(F.lit(0), F.lit(copies - 1)),
         lambda k: F.timestamp_micros(F.unix_micros("eval_ts") + k.cast("long") * step_s * 1000000),
     )
-    return (
-        cells.select(*by, F.explode(ends).alias("eval_ts"), "value").groupBy(*by, "eval_ts").agg(F.sum("value").alias("value"))
-    )
+    spread = cells.select(*by, F.explode(ends).alias("eval_ts"), "value")
+    return spread.groupBy(*by, "eval_ts").agg(fold("value").alias("value"))
+
+
+def increase(deltas: DataFrame, by: Sequence[str], range_s: int, step_s: int | None = None) -> DataFrame:
+    """Sum of increments per label set over a range, at every step."""
+    return _over_range(deltas, by, "delta", F.sum, range_s, step_s)
 
 
 def rate(deltas: DataFrame, by: Sequence[str], range_s: int, step_s: int | None = None) -> DataFrame:
@@ -71,16 +75,19 @@ def vector_or(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame
     return left.unionByName(right.join(left, [*on, "eval_ts"], "left_anti"))
 
 
-def histogram_quantile(q: float, buckets: DataFrame, by: Sequence[str]) -> DataFrame:
+def histogram_quantile(q: float, buckets: DataFrame, by: Sequence[str], summed: bool = False) -> DataFrame:
     """Quantile from cumulative bucket counts, interpolated inside the bucket.
 
     The first bucket starts at zero. A quantile that falls beyond the last
     finite bound is reported as that bound. No observations give NULL. The
-    array holds one entry per bound of a group.
+    array holds one entry per bound of a group; ``summed`` says the input has
+    one row per group and bound already.
     """
-    bound = F.col("le").cast("double")
-    grouped = buckets.groupBy(*by, bound.alias("_le")).agg(F.sum("value").alias("_n")).groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_le").alias("le"), F.col("_n").alias("n")))).alias("_b")
+    rows = buckets.select(*by, F.col("le").cast("double").alias("le"), "value")
+    if not summed:
+        rows = rows.groupBy(*by, "le").agg(F.sum("value").alias("value"))
+    grouped = rows.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("le", F.col("value").alias("n")))).alias("_b")
     )
     total = F.get("_b", F.size("_b") - 1)["n"]
     rank = F.lit(float(q)) * F.col("_total")
@@ -151,7 +158,7 @@ def latency_quantile(
 ) -> DataFrame:
     # Increases serve as well as rates: a quantile does not depend on the scale.
     per_bound = increase(served(bucket_deltas, cloud), ["cloud", "le"], range_s, step_s)
-    return histogram_quantile(q, per_bound, ["cloud", "eval_ts"])
+    return histogram_quantile(q, per_bound, ["cloud", "eval_ts"], summed=True)
 
 
 def requests_per_hour(deltas: DataFrame, cloud: str | None = None) -> DataFrame:
@@ -205,9 +212,7 @@ def instant_values(samples: DataFrame, series: Sequence[str], step_s: int, lookb
 
 def max_over_time(samples: DataFrame, by: Sequence[str], range_s: int, step_s: int | None = None) -> DataFrame:
     """Highest raw value per label set over a range."""
-    step_s = step_s or range_s
-    grid = F.window("ts", f"{range_s} seconds", f"{step_s} seconds")
-    return samples.groupBy(*by, grid["end"].alias("eval_ts")).agg(F.max("value").alias("value"))
+    return _over_range(samples, by, "value", F.max, range_s, step_s)
 
 
 def telemetry_gaps(load_runs: DataFrame, samples: DataFrame) -> DataFrame:

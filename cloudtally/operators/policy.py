@@ -122,8 +122,7 @@ def _say(template: str, *parts: Column) -> Column:
     return F.concat(*[p for text, part in zip(template.split("%"), [*parts, F.lit("")]) for p in (F.lit(text), part)])
 
 
-def _tag_findings(resource_type: Column, address: Column, after: Column) -> Column:
-    tags = effective_tags(resource_type, after)
+def _tag_findings(address: Column, tags: Column) -> Column:
     required = F.array(*[F.lit(t) for t in REQUIRED_TAGS])
 
     def raw(key: Column) -> Column:
@@ -203,7 +202,7 @@ def statements(after: Column, field: str) -> Column:
     return j.items(j.parse(j.text(after, f"$.{field}")), "$.Statement")
 
 
-def _aws_access_findings(of, address: Column, after: Column) -> Column:
+def _aws_access_findings(of, address: Column, granted: Column, trusted: Column) -> Column:
     def read_only(action: Column) -> Column:
         return action.rlike(READ_ONLY_WILDCARD)
 
@@ -217,9 +216,8 @@ def _aws_access_findings(of, address: Column, after: Column) -> Column:
         star = F.array_contains(j.one_or_many(s, "$.Resource"), "*")
         return F.when(star, found).otherwise(F.array().cast(_NONE))
 
-    granted = statements(after, "policy")
-    trusted = F.filter(
-        statements(after, "assume_role_policy"),
+    open_trust = F.filter(
+        trusted,
         lambda s: F.coalesce(j.text(s, "$.Principal.Federated").contains(GITHUB_ISSUER), F.lit(False))
         & (F.coalesce(j.raw(s, f"$.Condition.StringEquals['{GITHUB_ISSUER}:sub']"), F.lit("false")) == "false"),
     )
@@ -228,7 +226,7 @@ def _aws_access_findings(of, address: Column, after: Column) -> Column:
         F.when(of("aws_iam_role_policy"), F.flatten(F.transform(granted, wild))).otherwise(none),
         F.when(of("aws_iam_role_policy"), F.flatten(F.transform(granted, on_star))).otherwise(none),
         _when(
-            of("aws_iam_role") & (F.size(trusted) > 0),
+            of("aws_iam_role") & (F.size(open_trust) > 0),
             "github-trust",
             _say("% trusts GitHub without an exact subject condition", address),
         ),
@@ -272,20 +270,29 @@ def findings(resources: DataFrame, strict_ports: bool = False) -> DataFrame:
     the rule as it stands cannot say anything about.
     """
     kind, address, after = F.col("type"), F.col("address"), F.col("after")
+    # What is parsed is a column of its own: used inside a lambda, the parsing
+    # would be done again for every element.
+    parsed = resources.withColumns(
+        {
+            "_tags": effective_tags(kind, after),
+            "_granted": F.when(kind == "aws_iam_role_policy", statements(after, "policy")),
+            "_trusted": F.when(kind == "aws_iam_role", statements(after, "assume_role_policy")),
+        }
+    )
 
     def of(*types: str) -> Column:
         return F.coalesce(kind.isin(*types), F.lit(False))
 
     found = F.concat(
-        _tag_findings(kind, address, after),
+        _tag_findings(address, F.col("_tags")),
         _exposure_findings(of, address, after, strict_ports),
-        _aws_access_findings(of, address, after),
+        _aws_access_findings(of, address, F.col("_granted"), F.col("_trusted")),
         _google_access_findings(of, address, after),
         _azure_access_findings(of, address, after),
     )
     warns = [r for r, level in RULES.items() if level == "warn"]
     return (
-        resources.select("root", "address", F.explode(found).alias("_f"))
+        parsed.select("root", "address", F.explode(found).alias("_f"))
         .select(
             "root",
             "address",

@@ -218,18 +218,22 @@ def counter_deltas(
     keys = list(series)
     rows = samples.withColumn("_slice", _slice(ts, slice_width))
     # At one moment a process that ended comes before the one that replaced it.
-    seen = F.struct(F.col(ts).alias("t"), F.col("start_ts").alias("s"), F.col("value").alias("v"))
     inside = Window.partitionBy(*keys, "_slice").orderBy(ts, "start_ts", "value")
+    # Last sample of each process in a slice: plain columns, so this aggregates
+    # by hash before it is shuffled. The first process of a slice then finds the
+    # last one of an earlier slice right before it.
+    ends = rows.groupBy(*keys, "_slice", "start_ts").agg(F.max(ts).alias("_t"), F.max_by("value", ts).alias("_v"))
+    before = F.lag(F.struct("_slice", F.col("_v").alias("v"), F.col("start_ts").alias("s")))
     edges = (
-        rows.groupBy(*keys, "_slice")
-        .agg(F.max(seen).alias("_last"))
-        .select(*keys, "_slice", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_edge"))
+        ends.withColumn("_edge", before.over(Window.partitionBy(*keys).orderBy("_slice", "_t", "start_ts")))
+        .filter(F.col("_edge").isNull() | (F.col("_edge._slice") < F.col("_slice")))
+        .select(*keys, "_slice", F.struct("_edge.v", "_edge.s").alias("_edge"))
     )
-    prior = F.coalesce("_prev", "_edge")
+    here = F.struct(F.col("value").alias("v"), F.col("start_ts").alias("s"))
     return (
-        rows.withColumn("_prev", F.lag(seen).over(inside))
+        rows.withColumn("_prev", F.lag(here).over(inside))
         .join(edges, [*keys, "_slice"])
-        .withColumn("_prior", prior)
+        .withColumn("_prior", F.coalesce("_prev", "_edge"))
         .withColumn("delta", increment(F.col("value"), F.col("start_ts"), F.col("_prior.v"), F.col("_prior.s")))
         .drop("_slice", "_prev", "_edge", "_prior")
     )

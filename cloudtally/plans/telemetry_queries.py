@@ -174,6 +174,10 @@ def instant_values(spark: S, sf: str) -> DataFrame:
     return ntz(m.instant_values(d.counter_samples(spark, sf), sr.SERIES, 3600, 1800)).drop("method")
 
 
+def max_over_time_sliding(spark: S, sf: str) -> DataFrame:
+    return ntz(m.max_over_time(d.counter_samples(spark, sf), ["cloud", "status"], d.RANGE_S, d.STEP_S))
+
+
 def max_over_time(spark: S, sf: str) -> DataFrame:
     return ntz(m.max_over_time(d.counter_samples(spark, sf), ["cloud", "route", "status"], d.RANGE_S))
 
@@ -185,7 +189,7 @@ QUERIES = {
         collection_labels, exposition_totals, counter_deltas, unstamped_undercount, label_matchers,
         increase_by_route, increase_uneven_step, rate_summed, latency_p95, error_ratio, error_ratio_or_zero,
         busy_and_failing, errors_or_zero, request_rate, request_rate_one_cloud, requests_per_hour,
-        daily_requests, instant_value, instant_values, max_over_time,
+        daily_requests, instant_value, instant_values, max_over_time, max_over_time_sliding,
     )
 }
 
@@ -285,6 +289,8 @@ ORACLE = {
       g AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01', INTERVAL 1 HOUR)) AS TIMESTAMP) AS eval_ts)
       SELECT cloud, route, status, eval_ts, arg_max(value, ts) AS value FROM samples
       JOIN g ON ts <= eval_ts AND ts > eval_ts - INTERVAL 30 MINUTE GROUP BY 1, 2, 3, 4""",
+    "max_over_time_sliding": f"""WITH {SAMPLES} SELECT cloud, status, CAST(date_trunc('hour', ts) + INTERVAL 1 HOUR * k AS TIMESTAMP) AS eval_ts,
+        max(value) AS value FROM samples, (SELECT unnest(range(1, 7)) AS k) GROUP BY 1, 2, 3""",
     "max_over_time": f"""WITH {SAMPLES} SELECT cloud, route, status,
         CAST(time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS TIMESTAMP) AS eval_ts, max(value) AS value FROM samples GROUP BY 1, 2, 3, 4""",
 }

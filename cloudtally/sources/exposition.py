@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The grammar of a sample line and of one label in it.
-SAMPLE_LINE = r'^([a-zA-Z_:][a-zA-Z0-9_:]*)(\{(?:[^"}]|"(?:[^"\\]|\\.)*")*\})?\s+([^\s]+)'
+# What a metric name looks like, and one label of a sample.
+METRIC_NAME = r"^[a-zA-Z_:][a-zA-Z0-9_:]*$"
 LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
 
 
@@ -14,7 +14,7 @@ def _unescaped(text: Column) -> Column:
     r"""Undo ``\"``, ``\\`` and ``\n`` inside a label value."""
     hidden = F.replace(text, F.lit("\\\\"), F.lit("\u0000"))
     opened = F.replace(F.replace(hidden, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))
-    return F.replace(opened, F.lit("\u0000"), F.lit("\\"))
+    return F.when(F.contains(text, F.lit("\\")), F.replace(opened, F.lit("\u0000"), F.lit("\\"))).otherwise(text)
 
 
 def parse_exposition(lines: DataFrame, text: str = "value") -> DataFrame:
@@ -22,20 +22,26 @@ def parse_exposition(lines: DataFrame, text: str = "value") -> DataFrame:
 
     Other columns, such as the target and the scrape time, are kept. Comments
     and blank lines are dropped. Works the same on a stream of text.
+
+    A line is cut at its braces, the closing one being the last, since neither
+    a value nor a time holds one; only the labels need a pattern.
     """
     kept = [c for c in lines.columns if c != text]
-    found = F.col("_labels")
-    names = F.regexp_extract_all(found, F.lit(LABEL), F.lit(1))
-    values = F.transform(F.regexp_extract_all(found, F.lit(LABEL), F.lit(2)), _unescaped)
-    return (
-        lines.filter(F.col(text).rlike(SAMPLE_LINE))
-        .withColumn("_labels", F.regexp_extract(text, SAMPLE_LINE, 2))
-        .select(
-            *kept,
-            F.regexp_extract(text, SAMPLE_LINE, 1).alias("metric"),
-            F.map_from_arrays(names, values).alias("labels"),
-            F.regexp_extract(text, SAMPLE_LINE, 3).cast("double").alias("value"),
-        )
+    line = F.trim(F.translate(F.col(text), "\t", " "))
+    braced = F.contains(line, F.lit("{"))
+    name = F.trim(F.when(braced, F.substring_index(line, "{", 1)).otherwise(F.substring_index(line, " ", 1)))
+    after = F.when(braced, F.substring_index(line, "}", -1)).otherwise(F.substr(line, F.length(name) + F.lit(1)))
+    inside = F.when(braced, F.substr(line, F.instr(line, "{")))
+    names = F.regexp_extract_all("_labels", F.lit(LABEL), F.lit(1))
+    values = F.transform(F.regexp_extract_all("_labels", F.lit(LABEL), F.lit(2)), _unescaped)
+    samples = lines.filter(~F.col(text).startswith("#")).select(
+        *kept,
+        name.alias("metric"),
+        F.coalesce(inside, F.lit("")).alias("_labels"),
+        F.substring_index(F.ltrim(after), " ", 1).try_cast("double").alias("value"),
+    )
+    return samples.filter(F.col("metric").rlike(METRIC_NAME) & F.col("value").isNotNull()).select(
+        *kept, "metric", F.map_from_arrays(names, values).alias("labels"), "value"
     )
 
 
