@@ -287,12 +287,9 @@ def exposition_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     start = F.concat(F.lit("process_start_time_seconds "), F.unix_seconds("start_ts").cast("string"))
     lines = F.array(F.lit("# HELP app_requests_total Requests."), F.lit("# TYPE app_requests_total counter"), sample, start)
-    return counter_samples(spark, sf_dir).select(
-        F.concat(F.col("cloud"), F.lit("/"), F.unix_seconds("start_ts").cast("string")).alias("target"),
-        "cloud",
-        "ts",
-        F.explode(lines).alias("value"),
-    )
+    target = F.concat(F.col("cloud"), F.lit("/"), F.unix_seconds("start_ts").cast("string"))
+    scrapes = counter_samples(spark, sf_dir).select(target.alias("target"), "cloud", "ts", lines.alias("lines"))
+    return scrapes.select("target", "cloud", "ts", F.explode("lines").alias("value"))
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
