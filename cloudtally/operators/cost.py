@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cloudtally.functions.money import per_thousand, share
 from cloudtally.functions.tags import tag
 from cloudtally.operators.focus import AWS, GOOGLE, MICROSOFT
+from cloudtally.schemas import MONEY
 
 # Services whose untagged charges are taken to be the platform's.
 ESTATE_SERVICES = (
@@ -205,10 +206,16 @@ def full_day_summary(unit: DataFrame, first: date, last: date) -> DataFrame:
 
 
 def provider_totals(focus: DataFrame) -> DataFrame:
-    """Spend per provider, with the grand total as the row whose provider is ``all``."""
+    """Spend per provider, with the grand total as the row whose provider is ``all``.
+
+    The roll-up runs over the per-provider sums; over the charges themselves it
+    would copy every row once per level.
+    """
     return (
-        focus.rollup("ProviderName")
-        .agg(F.sum("BilledCost").alias("billed"), F.grouping("ProviderName").alias("is_total"))
+        focus.groupBy("ProviderName")
+        .agg(F.sum("BilledCost").alias("billed"))
+        .rollup("ProviderName")
+        .agg(F.sum("billed").cast(MONEY).alias("billed"), F.grouping("ProviderName").alias("is_total"))
         .select(
             F.when(F.col("is_total") == 1, F.lit("all")).otherwise(F.col("ProviderName")).alias("ProviderName"),
             "billed",

@@ -145,7 +145,7 @@ def percentiles(
 def latency_summary(timings: DataFrame, by: Sequence[str], ts: str = "ts", seconds: str = "seconds") -> DataFrame:
     """First, median, 95th percentile and slowest request of each run and cloud."""
     edges = timings.groupBy(*by).agg(
-        F.min(F.struct(F.col(ts).alias("t"), F.col(seconds).alias("s")))["s"].alias("first_s"),
+        F.min_by(seconds, ts).alias("first_s"),
         F.max(seconds).alias("max_s"),
         F.count(seconds).alias("timed"),
     )

@@ -188,8 +188,7 @@ def instant_value(samples: DataFrame, series: Sequence[str], at: datetime, lookb
     """Last value of each series in the look-back before one moment."""
     end = F.lit(at).cast("timestamp")
     recent = (F.col("ts") > end - F.make_dt_interval(secs=F.lit(lookback_s))) & (F.col("ts") <= end)
-    last = F.max(F.struct("ts", "value"))
-    return samples.filter(recent).groupBy(*series).agg(last["value"].alias("value"), last["ts"].alias("ts"))
+    return samples.filter(recent).groupBy(*series).agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"))
 
 
 def instant_values(samples: DataFrame, series: Sequence[str], step_s: int, lookback_s: int = 300) -> DataFrame:
@@ -202,12 +201,15 @@ def instant_values(samples: DataFrame, series: Sequence[str], step_s: int, lookb
     step, reach = step_s * 1000000, lookback_s * 1000000
     micros = F.unix_micros("ts")
     first = F.ceil(micros / F.lit(step)).cast("long") * step
-    cells = samples.groupBy(*series, first.alias("_at")).agg(F.max(F.struct("ts", "value")).alias("_s"))
-    last = F.unix_micros("_s.ts") + F.lit(reach - 1)
+    cells = samples.groupBy(*series, first.alias("_at")).agg(
+        F.max("ts").alias("_ts"), F.max_by("value", "ts").alias("_value")
+    )
+    last = F.unix_micros("_ts") + F.lit(reach - 1)
     points = F.when(last >= F.col("_at"), F.sequence(F.col("_at"), last, F.lit(step).cast("long")))
-    spread = cells.select(*series, F.explode(points).alias("_at"), "_s")
-    best = F.max("_s")
-    return spread.groupBy(*series, F.timestamp_micros("_at").alias("eval_ts")).agg(best["value"].alias("value"))
+    spread = cells.select(*series, F.explode(points).alias("_at"), "_ts", "_value")
+    return spread.groupBy(*series, F.timestamp_micros("_at").alias("eval_ts")).agg(
+        F.max_by("_value", "_ts").alias("value")
+    )
 
 
 def max_over_time(samples: DataFrame, by: Sequence[str], range_s: int, step_s: int | None = None) -> DataFrame:

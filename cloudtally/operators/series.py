@@ -58,13 +58,14 @@ def cumulative_counter(
     ts: str = "ts",
     tie: str = "event_id",
     restart: Sequence[str] = ("start_ts",),
-    slice_width: str = "1 hour",
+    slice_width: str = "1 minute",
 ) -> DataFrame:
     """Running count of requests per series, one sample per request.
 
     A busy series may hold much of the table, so it is not ranked in one piece:
     rows are numbered inside a time slice, and each slice starts from the total
-    of the slices before it, which comes from one small count per slice.
+    of the slices before it, which comes from one small count per slice. A
+    slice must fit one task; the width is the parameter to set for that.
     """
     keys = [*series, *restart]
     rows = requests.withColumn("_slice", _slice(ts, slice_width))
@@ -213,7 +214,8 @@ def counter_deltas(
     nothing when it is not. A lower value or a new start time is a restart, and
     the whole value counts. Series are cut into time slices, so that a series
     with much of the data is spread over tasks; the first sample of a slice
-    looks back to the last one of the slice before.
+    looks back to the last one of the slice before. A day of half-minute
+    scrapes is 2880 rows; for samples taken per request use narrow slices.
     """
     keys = list(series)
     rows = samples.withColumn("_slice", _slice(ts, slice_width))

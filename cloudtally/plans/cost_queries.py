@@ -166,8 +166,10 @@ def cost_conservation(spark: S, sf: str) -> DataFrame:
         .otherwise("platform")
     )
     return (
-        platform.rollup(part.alias("part"))
+        platform.groupBy(part.alias("part"))
         .agg(F.sum("BilledCost").alias("billed"), F.count(F.lit(1)).alias("charges"))
+        .rollup("part")
+        .agg(F.sum("billed").alias("billed"), F.sum("charges").alias("charges"))
         .select(F.coalesce("part", F.lit("pipeline")).alias("part"), flat_money("billed"), "charges")
     )
 

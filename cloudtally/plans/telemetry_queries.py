@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudtally.functions.labels import select_series
+from cloudtally.functions.labels import matches, select_series
 from cloudtally.operators import metrics as m
 from cloudtally.operators import series as sr
 from cloudtally.plans import derived as d
@@ -94,16 +95,12 @@ def label_matchers(spark: S, sf: str) -> DataFrame:
         "no such label": [("pod", "=", "")],
         "one route ok": [("route", "=", "/flaky"), ("status", "=", "200")],
     }
-    parts = [
-        select_series(rows, *matchers).agg(F.coalesce(F.sum("delta"), F.lit(0.0)).alias("requests")).select(
-            F.lit(name).alias("matcher"), "requests"
-        )
-        for name, matchers in chosen.items()
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    sums = []
+    for name, matchers in chosen.items():
+        hit = reduce(Column.__and__, [matches(rows, *matcher) for matcher in matchers])
+        total = F.coalesce(F.sum(F.when(hit, F.col("delta"))), F.lit(0.0))
+        sums.append(F.struct(F.lit(name).alias("matcher"), total.alias("requests")))
+    return rows.agg(F.array(*sums).alias("_s")).select(F.inline("_s"))
 
 
 def increase_by_route(spark: S, sf: str) -> DataFrame:

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_text_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """CSV with every column as text: names from the header, no guessing of types.
 
     Quoted line breaks and doubled quotes are kept, a byte order mark and
-    carriage returns are not. ``multiLine`` keeps a file in one task, so a load
-    turns it into Parquet once and everything else reads that.
+    carriage returns are not. Values with line breaks keep a file in one task,
+    so a load turns it into Parquet once and everything else reads that. For an
+    export known to have none, ``line_breaks=False`` lets large files be split.
     """
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', quote='"')
+    return spark.read.csv(path, header=True, inferSchema=False, multiLine=line_breaks, escape='"', quote='"')
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -19,7 +19,11 @@ def stream_settings(spark: SparkSession, state_partitions: int | None) -> Iterat
     The number of state partitions cannot change once a checkpoint exists, so
     it is chosen here rather than inherited from whatever the session runs with.
     """
-    wanted = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
+        # A commit uploads what changed, not the whole store.
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
     if state_partitions:
         wanted["spark.sql.shuffle.partitions"] = str(state_partitions)
     before = {k: spark.conf.get(k, None) for k in wanted}

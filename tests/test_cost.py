@@ -237,5 +237,14 @@ def test_month_partitions_are_pruned(spark, folder):
     assert "BilledCost" in schema and "ListCost" not in schema and "Tags" not in schema
 
 
+def test_charge_window_reaches_the_scan(spark, folder):
+    raw = bill(spark, charge("Google Cloud", TENTH, 1)).drop("Tags", "ServiceCategory")
+    labels = F.array().cast("array<struct<Key:string,Value:string>>")
+    raw.withColumns({"x_Labels": labels, "x_ProjectLabels": labels}).write.parquet(folder)
+    kept = cost.charges_since(focus.focus_gcp(spark.read.parquet(folder)), START)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ChargePeriodStart" in plan and "ListCost" not in plan.split("ReadSchema: ")[1]
+
+
 def test_focus_contract_has_eighteen_columns():
     assert len(FOCUS.fields) == 18 and isinstance(FOCUS["BilledCost"].dataType, T.DecimalType)

@@ -63,6 +63,28 @@ def test_increments_do_not_depend_on_slices(spark):
         assert deltas_of(rows, slice_width=width) == expected
 
 
+def test_one_busy_series_is_spread_over_tasks(spark):
+    """All rows in one series: no task may hold more than a few slices of it."""
+    rows = spark.range(20000).select(
+        F.lit("aws").alias("cloud"),
+        F.timestamp_seconds(F.col("id") * 30 + 1791000000).alias("ts"),
+        F.timestamp_seconds(F.lit(1791000000)).alias("start_ts"),
+        F.col("id").cast("double").alias("value"),
+        F.col("id").alias("event_id"),
+    )
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        for made in (sr.counter_deltas(rows, ["cloud"], slice_width="2 hours"), sr.cumulative_counter(rows, ["cloud"], slice_width="2 hours")):
+            sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 20000 and max(sizes) < 20000 / 3
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sr.counter_deltas(rows, ["cloud"]).agg(F.sum("delta")).first()[0] == 19999.0
+
+
 def test_running_count_does_not_depend_on_slices(spark):
     rng = random.Random(11)
     rows = [(i, at(rng.randrange(20000)), rng.choice("ab"), at(0)) for i in range(400)]
