@@ -67,7 +67,8 @@ def own_then_inherited(own: Column, inherited: Column) -> Column:
 
 def tag(tags: Column, key: str) -> Column:
     """First value under a key, NULL when the key is absent."""
-    return F.get(F.filter(tags, lambda t: t["key"] == key), F.lit(0))["value"]
+    place = F.array_position(tags["key"], key).cast("int")
+    return F.get(tags["value"], place - 1)
 
 
 def tags_as_text(tags: Column) -> Column:

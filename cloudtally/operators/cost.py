@@ -75,15 +75,24 @@ def attribute(charges: DataFrame, platform: Platform) -> DataFrame:
 
 
 def daily_cost(attributed: DataFrame) -> DataFrame:
-    """Cost per day and estate, split by how it was attributed; outside charges dropped."""
+    """Cost per day and estate, split by how it was attributed; outside charges dropped.
+
+    They are dropped after the sums, by a count no filter can be moved below. A
+    filter on the estate would be pushed under the tag look-up, which would then
+    be worked out again, several times, for every charge.
+    """
     def part(basis: str) -> Column:
         return F.sum(F.when(F.col("basis") == basis, F.col("BilledCost")).otherwise(0)).alias(f"{basis}_cost")
 
-    return (
-        attributed.filter(F.col("estate").isNotNull())
-        .groupBy("day", "estate")
-        .agg(F.sum("BilledCost").alias("cost"), part("tagged"), part("inferred"), part("project"))
+    sums = attributed.groupBy("day", "estate").agg(
+        F.sum("BilledCost").alias("cost"), part("tagged"), part("inferred"), part("project"), _inside()
     )
+    return sums.filter(F.col("_inside") > 0).drop("_inside")
+
+
+def _inside() -> Column:
+    """Charges of a group that belong to the platform."""
+    return F.count("estate").alias("_inside")
 
 
 def estate_requests(load_runs: DataFrame) -> DataFrame:
@@ -135,11 +144,12 @@ def unit_cost(focus: DataFrame, load_runs: DataFrame, start: date, platform: Pla
 
 def outside_charges(focus: DataFrame, start: date, platform: Platform) -> DataFrame:
     """What attribution left out, as an unallocated report."""
+    outside = F.col("estate").isNull()
     return (
         attribute(charges_since(focus, start), platform)
-        .filter(F.col("estate").isNull())
         .groupBy("ProviderName", "ServiceName", F.col("project_tag").alias("project"))
-        .agg(F.sum("BilledCost").alias("cost"), F.count(F.lit(1)).alias("charges"))
+        .agg(F.sum(F.when(outside, F.col("BilledCost"))).alias("cost"), F.count_if(outside).alias("charges"))
+        .filter(F.col("charges") > 0)
     )
 
 
@@ -229,9 +239,10 @@ def estate_makeup(attributed: DataFrame) -> DataFrame:
     The window runs over the services of an estate, after aggregation.
     """
     by_service = (
-        attributed.filter(F.col("estate").isNotNull())
-        .groupBy("estate", "ServiceName")
-        .agg(F.sum("BilledCost").alias("cost"))
+        attributed.groupBy("estate", "ServiceName")
+        .agg(F.sum("BilledCost").alias("cost"), _inside())
+        .filter(F.col("_inside") > 0)
+        .drop("_inside")
     )
     whole = F.sum("cost").over(Window.partitionBy("estate"))
     return by_service.withColumn("share", share(F.col("cost"), whole))

@@ -4,22 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudtally.functions import json_values as j
 
-_KEYS = ["root", "address", "attr"]
+_RESOURCE = ["root", "address"]
 
 
-def state_attributes(states: DataFrame, document: str = "state") -> DataFrame:
-    """Resources' JSON documents as ``root, address, attr, value`` rows.
+def state_documents(states: DataFrame, document: str = "state") -> DataFrame:
+    """Resources' JSON documents in one spelling: spaces gone, keys in order.
 
-    Values keep their JSON text, so 1 and "1" differ.
+    Documents that say the same are then the same text.
     """
-    return states.select(
-        "root", "address", F.explode(j.fields(j.parse(F.col(document)), "$")).alias("attr", "_v")
-    ).select("root", "address", "attr", F.to_json("_v").alias("value"))
+    return states.select(*_RESOURCE, F.to_json(j.parse(F.col(document))).alias("state"))
 
 
 def snapshot_diff(
@@ -30,19 +28,44 @@ def snapshot_diff(
 ) -> DataFrame:
     """Attributes whose observed value is not the declared one.
 
+    Both sides come from ``state_documents``. A resource is one row of the join,
+    and only documents that differ are taken apart. Values keep their JSON text,
+    so 1 and "1" differ, and so do null and missing.
+
     ``ignore`` lists ``(address, attr)`` another process owns. Addresses under a
     ``declared_only`` prefix are compared on declared attributes alone, for a
     provider that leaves alone what the code does not name.
     """
-    left = declared.select(*_KEYS, F.col("value").alias("declared"), F.lit(True).alias("_in_code"))
-    right = observed.select(*_KEYS, F.col("value").alias("observed"), F.lit(True).alias("_found"))
-    both = left.join(right, _KEYS, "full")
-    in_code, found = F.coalesce("_in_code", F.lit(False)), F.coalesce("_found", F.lit(False))
-    changed = ~F.col("declared").eqNullSafe(F.col("observed")) | ~in_code | ~found
+    left = declared.select(*_RESOURCE, F.col("state").alias("_code"))
+    right = observed.select(*_RESOURCE, F.col("state").alias("_seen"))
+    differing = left.join(right, _RESOURCE, "full").filter(~F.col("_code").eqNullSafe(F.col("_seen")))
+    parsed = differing.select(
+        *_RESOURCE,
+        j.fields(j.parse(F.col("_code")), "$").alias("_code"),
+        j.fields(j.parse(F.col("_seen")), "$").alias("_seen"),
+    )
+
+    def names(side: str) -> Column:
+        return F.coalesce(F.map_keys(F.col(side)), F.array().cast("array<string>"))
+
+    def value(side: str) -> Column:
+        return F.to_json(F.try_element_at(F.col(side), F.col("attr")))
+
+    def has(side: str) -> Column:
+        return F.coalesce(F.map_contains_key(F.col(side), F.col("attr")), F.lit(False))
+
+    each = parsed.withColumn("attr", F.explode(F.array_distinct(F.concat(names("_code"), names("_seen")))))
+    in_code, found = has("_code"), has("_seen")
+    changed = ~(value("_code").eqNullSafe(value("_seen")) & in_code & found)
     for prefix in declared_only:
         changed = changed & (in_code | ~F.col("address").startswith(prefix))
-    change = F.when(~in_code, "added").when(~found, "removed").otherwise("changed")
-    diff = both.filter(changed).select(*_KEYS, "declared", "observed", change.alias("change"))
+    diff = each.filter(changed).select(
+        *_RESOURCE,
+        "attr",
+        value("_code").alias("declared"),
+        value("_seen").alias("observed"),
+        F.when(~in_code, "added").when(~found, "removed").otherwise("changed").alias("change"),
+    )
     return diff if ignore is None else diff.join(ignore, ["address", "attr"], "left_anti")
 
 

@@ -92,7 +92,7 @@ def policy_statements(spark: S, sf: str) -> DataFrame:
 
 def _drift(spark: S, sf: str, **options) -> DataFrame:
     return drift.snapshot_diff(
-        drift.state_attributes(d.declared_state(spark, sf)), drift.state_attributes(d.observed_state(spark, sf)), **options
+        drift.state_documents(d.declared_state(spark, sf)), drift.state_documents(d.observed_state(spark, sf)), **options
     )
 
 

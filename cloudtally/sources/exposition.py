@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What a metric name looks like, and one label of a sample.
-METRIC_NAME = r"^[a-zA-Z_:][a-zA-Z0-9_:]*$"
+# How a sample line begins, and one label of it.
+SAMPLE = r"^\s*[a-zA-Z_:][a-zA-Z0-9_:]*[\s{]"
 LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
 
 
@@ -34,13 +34,13 @@ def parse_exposition(lines: DataFrame, text: str = "value") -> DataFrame:
     inside = F.when(braced, F.substr(line, F.instr(line, "{")))
     names = F.regexp_extract_all("_labels", F.lit(LABEL), F.lit(1))
     values = F.transform(F.regexp_extract_all("_labels", F.lit(LABEL), F.lit(2)), _unescaped)
-    samples = lines.filter(~F.col(text).startswith("#")).select(
+    samples = lines.filter(F.col(text).rlike(SAMPLE)).select(
         *kept,
         name.alias("metric"),
         F.coalesce(inside, F.lit("")).alias("_labels"),
         F.substring_index(F.ltrim(after), " ", 1).try_cast("double").alias("value"),
     )
-    return samples.filter(F.col("metric").rlike(METRIC_NAME) & F.col("value").isNotNull()).select(
+    return samples.filter(F.col("value").isNotNull()).select(
         *kept, "metric", F.map_from_arrays(names, values).alias("labels"), "value"
     )
 

@@ -9,7 +9,7 @@ ROOTS = ["hub", "gcp", "aws", "azure"]
 
 def state(spark, *rows):
     made = [(root, address, json.dumps(doc)) for root, address, doc in rows]
-    return drift.state_attributes(spark.createDataFrame(made, "root string, address string, state string"))
+    return drift.state_documents(spark.createDataFrame(made, "root string, address string, state string"))
 
 
 BUCKET, LOGS, GROUP = "google_storage_bucket.landing", "aws_cloudwatch_log_group.this", "azurerm_resource_group.this"
@@ -67,3 +67,15 @@ def test_digests(spark):
     images = spark.createDataFrame(rows, "tag string, registry string, digest string")
     got = {r["tag"]: r["status"] for r in drift.digest_agreement(images, ["gcp", "aws", "azure"]).collect()}
     assert got == {"t1": "same", "t2": "differ", "t3": "missing"}
+
+
+def test_spelling_is_not_drift(spark):
+    rows = lambda text: drift.state_documents(spark.createDataFrame([("r", "a", text)], "root string, address string, state string"))
+    assert drift.snapshot_diff(rows('{"b": 1, "a": [1, 2]}'), rows('{"a":[1,2],"b":1}')).count() == 0
+
+
+def test_a_resource_on_one_side_only(spark):
+    both = state(spark, ("r", "a", {"x": 1, "y": 2}))
+    none = both.filter("false")
+    assert {(r["attr"], r["change"]) for r in drift.snapshot_diff(both, none).collect()} == {("x", "removed"), ("y", "removed")}
+    assert {(r["attr"], r["change"]) for r in drift.snapshot_diff(none, both).collect()} == {("x", "added"), ("y", "added")}
