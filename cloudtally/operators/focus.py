@@ -21,8 +21,11 @@ MICROSOFT = "Microsoft"
 
 def _shared(df: DataFrame, what: str, **computed: Column) -> DataFrame:
     """The shared columns in order: computed where given, passed through otherwise."""
+    have = set(df.columns)  # asked once: each look at a plan's columns is a call to the driver's JVM
     columns = [
-        computed.get(f.name, F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+        computed[f.name].alias(f.name)
+        if f.name in computed
+        else F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
         for f in FOCUS.fields
     ]
     return require_shape(df.select(*columns), FOCUS, what)

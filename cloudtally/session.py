@@ -14,6 +14,9 @@ REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Recording a stack trace for every column expression costs more than
+    # planning the query; turn it on again to see line numbers in plan errors.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
