@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -12,6 +14,9 @@ from cloudtally.functions.labels import matches
 from cloudtally.operators.incidents import AlertRules
 from cloudtally.operators.metrics import SERVER_ERROR, served
 
+# State processors travel with the query, so workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _EVENTS = (
     "policy string, cloud string, event string, opened long, last long, evaluations long, peak double"
 )

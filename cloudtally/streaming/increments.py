@@ -9,15 +9,20 @@ state sees those few rows instead of every sample.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from itertools import groupby
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from cloudtally.operators.series import SERIES
 
+# State processors travel with the query, so workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class _StepIncrements(StatefulProcessor):
     """Adds up a series' steps in time order, from the last value of its process.
