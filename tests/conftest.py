@@ -8,13 +8,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from cloudtally.session import build_session
 
     session = build_session(
         "tests",
         "local[8]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"},
+        **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false",
+           "spark.checkpoint.dir": tmp_path_factory.mktemp("scratch").as_uri()},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
