@@ -3,17 +3,106 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cloudtally.llm import simhash
-from cloudtally.llm.shared import table
+from cloudtally.llm import chat, decontam, language, mixing, scoring, simhash, topk
+from cloudtally.llm.shared import crc32_bucket, table
 
 S = SparkSession
 
+#: Target parts of the mix by source; all other sources share the rest. A block is this many characters.
+MIX_WEIGHTS = {"src0": 20, "src1": 10, "src2": 10, "src3": 5}
+MIX_REST = 55
+MIX_BLOCK = 65_536
+
+
+def op2_mixing(spark: S, sf: str) -> DataFrame:
+    """The place of every document in the mix, shares counted in characters."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.char_length("text").alias("size"))
+    return mixing.mix_sources(docs, MIX_WEIGHTS, MIX_REST, MIX_BLOCK, "size")
+
+
+def op3_topk(spark: S, sf: str) -> DataFrame:
+    """The ten best other vectors of every hundredth vector."""
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+def op4_chat(spark: S, sf: str) -> DataFrame:
+    """All conversations formatted, and what reads back from the formatted texts."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn int, role string, text string")
+    messages = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    made = chat.format_chats(messages.withColumn("parts", chat.text_parts(F.col("text"))))
+    turns = F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    read = made.select(
+        "*", turns.alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("learned")
+    )
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join("turns", ""), 256).alias("turns_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "attachment_tokens",
+    )
+
+
+def op5_decontamination(spark: S, sf: str) -> DataFrame:
+    """Benchmark items found in documents, one row per document and item."""
+    return decontam.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("text_hash")
+
+
+def op6_scoring(spark: S, sf: str) -> DataFrame:
+    """log10 probability of every document under a model of six sevenths of them."""
+    scored = scoring.score_texts(table(spark, sf, "documents"), crc32_bucket("doc_id", 7) != 2)
+    return scored.select(
+        "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bytes", "bits_per_byte"
+    )
+
+
+def op7_language(spark: S, sf: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", language.held_out().alias("held_out"))
+    model = language.train(docs.filter("NOT held_out"))
+    return language.classify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
 
 def op10_simhash(spark: S, sf: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.simhash_groups(table(spark, sf, "documents"), shingle=4, radius=4)
 
 
-QUERIES = {f.__name__: f for f in (op10_simhash,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_topk, op4_chat, op5_decontamination, op6_scoring, op7_language, op10_simhash)}
+_CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<image>", "<audio>", "<document>")
+
+
+def _escaped_length(text: str) -> str:
+    broken = " + ".join(f"(length({text}) - length(replace({text}, '{c}', ''))) // {len(c)}" for c in _CONTROLS)
+    return f"2 * length({text}) - length(replace({text}, chr(92), '')) + {broken}"
+
+
+ORACLE: dict[str, str] = {
+    "op3_topk": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ),
+        s AS (
+          SELECT q.vec_id AS query_id, d.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, d.v), p -> p[1] * p[2])), 0) AS BIGINT) AS score
+          FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id AND len(q.v) = len(d.v)
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 10""",
+    "op4_chat": f"""
+        WITH m AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+          CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+          sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+          CAST(3 + sum(6 + {_escaped_length('role')} + 7 + {_escaped_length('text')} + 4) AS BIGINT) AS formatted_chars,
+          CAST(0 AS BIGINT) AS attachment_tokens
+        FROM m GROUP BY conv_id""",
+}
