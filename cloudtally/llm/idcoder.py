@@ -15,7 +15,7 @@ import numpy as np
 BLOCK = 2048
 MAGIC = b"CTID"
 VERSION = 1
-_HEADER = struct.Struct("<4sHIQI")  # magic, version, ids per block, ids, blocks
+_HEADER = "<4sHIQI"  # magic, version, ids per block, ids, blocks
 
 # Events: the order-2 prediction is right, the order-1 one is, an id seen before in the block, a new id.
 _STEP = 24
@@ -123,7 +123,7 @@ def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
     """The ids (each below ``vocabulary``) as one container of blocks; no ids give a container of none."""
     n = len(ids)
     if not n:
-        return _HEADER.pack(MAGIC, VERSION, block, 0, 0) + struct.pack("<I", vocabulary)
+        return struct.pack(_HEADER, MAGIC, VERSION, block, 0, 0) + struct.pack("<I", vocabulary)
     lanes = -(-n // block)
     # The last of several blocks is filled up, which costs next to nothing and keeps the steps alike.
     steps = _steps(n, block)
@@ -166,20 +166,20 @@ def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
     checks = [zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) for i in range(lanes)]
     index = np.array([used, checks], np.int64).T.astype("<u4").tobytes()
     body = b"".join(out[i, : used[i]].astype("<u2").tobytes() for i in range(lanes))
-    return _HEADER.pack(MAGIC, VERSION, block, n, lanes) + struct.pack("<I", vocabulary) + index + body
+    return struct.pack(_HEADER, MAGIC, VERSION, block, n, lanes) + struct.pack("<I", vocabulary) + index + body
 
 
 def decode(data: bytes) -> np.ndarray:
     """The ids of a container; raises ValueError if it is not one, is cut off, or a block fails its check."""
-    if len(data) < _HEADER.size + 4:
+    if len(data) < struct.calcsize(_HEADER) + 4:
         raise ValueError("no container of id blocks")
-    magic, version, block, n, lanes = _HEADER.unpack_from(data)
+    magic, version, block, n, lanes = struct.unpack_from(_HEADER, data)
     if magic != MAGIC or version != VERSION:
         raise ValueError("no container of id blocks, or of another version")
-    (vocabulary,) = struct.unpack_from("<I", data, _HEADER.size)
+    (vocabulary,) = struct.unpack_from("<I", data, struct.calcsize(_HEADER))
     if not n:
         return np.zeros(0, np.uint32)
-    at = _HEADER.size + 4
+    at = struct.calcsize(_HEADER) + 4
     if lanes != -(-n // block) or at + 8 * lanes > len(data):
         raise ValueError("the block index is cut off")
     index = np.frombuffer(data, "<u4", 2 * lanes, at).reshape(lanes, 2).astype(np.int64)

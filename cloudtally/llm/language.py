@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +35,14 @@ class Model:
     temperature: float
 
 
-@lru_cache(1)
+# Filled at first use in each process: whether a code point is a letter.
+_LETTERS: list[np.ndarray] = []
+
+
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x110000)])
+    if not _LETTERS:
+        _LETTERS.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
+    return _LETTERS[0]
 
 
 def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudtally.llm import chat, decontam, language, mixing, scoring, simhash, topk
+from cloudtally.llm import chat, decontam, language, licenses, lines, mixing, scoring, simhash, tokens, topk
 from cloudtally.llm.shared import crc32_bucket, table
+from cloudtally.session import scratch_dir
 
 S = SparkSession
 
@@ -16,6 +18,18 @@ MIX_REST = 55
 MIX_BLOCK = 65_536
 
 
+#: Token ids: the vocabulary's file and size, and the id behind each document.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+VOCABULARY = 49_408
+END = 1
+
+
+def op1_lines(spark: S, sf: str) -> DataFrame:
+    """Every document without the lines that an earlier one repeats."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs)
+
+
 def op2_mixing(spark: S, sf: str) -> DataFrame:
     """The place of every document in the mix, shares counted in characters."""
     docs = table(spark, sf, "documents").select("doc_id", "source", F.char_length("text").alias("size"))
@@ -68,12 +82,29 @@ def op7_language(spark: S, sf: str) -> DataFrame:
     return language.classify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_licenses(spark: S, sf: str) -> DataFrame:
+    """License notices and terms found in documents."""
+    return licenses.scan_licenses(table(spark, sf, "documents"))
+
+
+def op9_tokens(spark: S, sf: str) -> DataFrame:
+    """Token ids of every document, written in coded blocks and read back."""
+    path = scratch_dir(spark, "token-ids")
+    tokens.write_ids(table(spark, sf, "documents"), path, TOKENIZER, VOCABULARY, END)
+    return tokens.read_ids(spark, path, with_ids=False).drop("ids")
+
+
 def op10_simhash(spark: S, sf: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.simhash_groups(table(spark, sf, "documents"), shingle=4, radius=4)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_topk, op4_chat, op5_decontamination, op6_scoring, op7_language, op10_simhash)}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_lines, op2_mixing, op3_topk, op4_chat, op5_decontamination, op6_scoring, op7_language, op8_licenses, op9_tokens, op10_simhash,
+    )
+}
+
 _CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<image>", "<audio>", "<document>")
 
 

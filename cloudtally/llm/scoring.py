@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cloudtally.llm.shared import chunks, crc32_bucket, lower_ascii, partitions_for, saved, split_words
 
 #: Bytes of context. A context and the byte after it are packed into one long.
-DEPTH = 4
+DEPTH = 5
 #: Text bytes of a batch: batches share one look-up of every different context and word they hold.
 BATCH_BYTES = 64 << 20
 #: Stands for the end of a text, and fills the context before its start; it does not occur in UTF-8.

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cloudtally.llm import idcoder
+from cloudtally.llm.idcoder import decode, encode
 from cloudtally.llm.shared import chunks, partitions_for
 
 #: Ids of a shard: one row of the table, one container of blocks. A document is not split, so a shard may be longer.
@@ -26,16 +25,17 @@ REMEMBERED = 1 << 19
 _TAIL = re.compile(r"^(.*[^\W\d_])([.,;:!?]+)$", re.DOTALL)
 
 
-@lru_cache(2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+# Kept by the process: tokenizers by file, and the ids of the words met.
+_TOKENIZERS: dict = {}
+_KNOWN: dict[str, dict[str, np.ndarray]] = {}
 
-    return Tokenizer.from_file(path)
 
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
 
-@lru_cache(2)
-def _memory(path: str) -> dict[str, np.ndarray]:
-    return {}
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = Tokenizer.from_file(path)
+    return _TOKENIZERS[path]
 
 
 def _learn(words: list[str], path: str) -> dict[str, np.ndarray]:
@@ -46,7 +46,7 @@ def _learn(words: list[str], path: str) -> dict[str, np.ndarray]:
     followed by simple punctuation is a boundary too, so a word's tail is
     looked up apart.
     """
-    known = _memory(path)
+    known = _KNOWN.setdefault(path, {})
     if len(known) > REMEMBERED:
         known.clear()
     parts = {w: m.groups() for w in words if w not in known and (m := _TAIL.match(w))}
@@ -96,7 +96,7 @@ def _write(path: str, end: int, vocabulary: int):
 
         def row() -> pa.RecordBatch:
             docs, lengths, ids = held
-            data = idcoder.encode(np.concatenate(ids), vocabulary)
+            data = encode(np.concatenate(ids), vocabulary)
             made = {"partition": [partition], "shard": [shard], "doc_ids": [docs], "lengths": [lengths], "data": [data]}
             kinds = {"partition": pa.int32(), "shard": pa.int32(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "data": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in made.items()], names=list(made))
@@ -135,7 +135,7 @@ def write_ids(
     unless given (null ids first, equal ones by their texts' hashes), across
     partitions, shards and rows. A shard is one row: its place (partition,
     shard), the documents' ids and lengths, and one container of coded blocks
-    (:mod:`idcoder`), each of which is reset and checked on its own. Null texts
+    (see ``idcoder``), each of which is reset and checked on its own. Null texts
     count as empty; an empty table gives an empty one. Spark's own commit
     protocol writes, so a lost or repeated task leaves nothing behind.
     """
@@ -160,7 +160,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                ids = idcoder.decode(row["data"])
+                ids = decode(row["data"])
                 lengths = np.array(row["lengths"], np.int64)
                 ends = np.cumsum(lengths)
                 if len(ids) != (ends[-1] if len(ends) else 0):
