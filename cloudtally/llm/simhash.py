@@ -43,7 +43,7 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the 64-bit fingerprint as a signed long.
+    """(doc_id, text_hash, fp): the 64-bit fingerprint as a signed long, and xxhash64 of the text as it is.
 
     A null or empty text, and one without words, has fingerprint zero. Whole
     texts are read, repeats of a shingle count each time.
@@ -59,10 +59,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out.append(majority(shingle_hashes([spelled[c] for c in codes[at : at + n]], shingle)))
                 at += n
             fps = np.array(out, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(fps)], names=["doc_id", "text_hash", "fp"]
+            )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text")
+    )
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
@@ -249,6 +253,16 @@ def link_edges(distinct: DataFrame, n: int, radius: int) -> DataFrame:
     return dealt.mapInPandas(batched, "a long, b long")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp) of every row, and (fp, root, component_id) of every different fingerprint."""
+    prints = saved(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-nodes")
+    roots = components(link_edges(nodes.select("fp"), nodes.count(), radius), "simhash-links")
+    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    group_id = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return prints, placed.join(group_id, "root").select("fp", "root", "component_id")
+
+
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4
 ) -> DataFrame:
@@ -262,12 +276,32 @@ def simhash_groups(
     Texts without words have fingerprint zero and are linked like any other.
     An empty table gives no rows; further columns are ignored.
     """
-    prints = saved(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-nodes")
-    roots = components(link_edges(nodes.select("fp"), nodes.count(), radius), "simhash-links")
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    group_id = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = placed.join(group_id, "root").select("fp", "component_id")
+    prints, by_print = _grouped(docs, id_col, text_col, shingle, radius)
     return prints.join(by_print, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with one row of each group of :func:`simhash_groups`: that of the smallest id.
+
+    Null ids come last, rows of one id go by the hash of their texts, and of
+    rows that repeat id and text one stays. All columns pass through.
+    """
+    prints, by_print = _grouped(docs, id_col, text_col, shingle, radius)
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    rows = saved(prints.join(by_print, "fp").select("root", first.alias("first")), "simhash-rows")
+    best = rows.groupBy("root").agg(F.min("first").alias("best"))
+    # What goes is listed, not what stays: it is the smaller part, and its rows alone are joined.
+    gone = rows.join(best, "root").filter("first <> best").select("first.doc_id", "first.text_hash").distinct()
+    left = docs.join(
+        gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")),
+        F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_col) == F.col("gone_hash")),
+        "left_anti",
+    )
+    repeated = rows.join(best, "root").filter("first = best").groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if repeated.isEmpty():
+        return left
+    names = docs.columns
+    keyed = left.withColumns({"repeat_id": F.col(id_col).cast("long"), "repeat_hash": F.xxhash64(text_col)})
+    return keyed.dropDuplicates(["repeat_id", "repeat_hash"]).select(*names)
