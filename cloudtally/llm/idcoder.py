@@ -12,7 +12,7 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
+BLOCK = 1024
 MAGIC = b"CTID"
 VERSION = 1
 _HEADER = "<4sHIQI"  # magic, version, ids per block, ids, blocks
@@ -21,6 +21,8 @@ _HEADER = "<4sHIQI"  # magic, version, ids per block, ids, blocks
 _STEP = 24
 _U = np.uint64
 _MASK16, _MASK32, _TOP, _BOTTOM = _U(0xFFFF), _U(0xFFFFFFFF), _U(1 << 48), _U(1 << 32)
+# An event and what it tells are coded in one go if so much of the range is left between the two.
+_ROOM = _U(1 << 40)
 _FULL = _U(0xFFFFFFFFFFFFFFFF)
 # floor(2**32 / n): divides a range by a total with one product.
 _INVERSE = np.array([0, *((1 << 32) // n for n in range(1, 1 << 16))], np.uint64)
@@ -86,19 +88,27 @@ class _Model:
         self.before, self.last = self.last, ids.astype(np.uint64)
 
 
-def _settled(low: np.ndarray, size: np.ndarray):
+def _settled(low: np.ndarray, size: np.ndarray, at: np.ndarray | None = None):
     """Lanes whose upper 16 bits are settled, with those bits, which leave; until none is.
 
     A range that straddles a boundary and has become small is cut at the boundary.
     """
-    at = np.flatnonzero((low ^ (low + size) < _TOP) | (size < _BOTTOM))
+    if at is None:
+        at = np.flatnonzero((low ^ (low + size) < _TOP) | (size < _BOTTOM))
+        l, s = low.take(at), size.take(at)
+    else:
+        l, s = low.take(at), size.take(at)
+        more = np.flatnonzero((l ^ (l + s) < _TOP) | (s < _BOTTOM))
+        at, l, s = at.take(more), l.take(more), s.take(more)
     while len(at):
-        l, s = low[at], size[at]
-        s = np.where(l ^ (l + s) < _TOP, s, (_U(0) - l) & _MASK32)
+        cut = np.flatnonzero(l ^ (l + s) >= _TOP)
+        s[cut] = (_U(0) - l[cut]) & _MASK32
         yield at, l >> _U(48)
-        l, s = l << _U(16), s << _U(16)
+        l <<= _U(16)
+        s <<= _U(16)
         low[at], size[at] = l, s
-        at = at[(l ^ (l + s) < _TOP) | (s < _BOTTOM)]
+        more = np.flatnonzero((l ^ (l + s) < _TOP) | (s < _BOTTOM))
+        at, l, s = at.take(more), l.take(more), s.take(more)
 
 
 def _first_places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,13 +144,16 @@ def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
     columns, new, place = np.ascontiguousarray(rows.T), np.ascontiguousarray(new.T), np.ascontiguousarray(place.T)
     model = _Model(lanes, block)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
-    out, used = np.zeros((lanes, 3 * block + 8), np.uint16), np.zeros(lanes, np.int64)
+    width = 3 * block + 8
+    flat, used = np.zeros(lanes * width, np.uint16), np.zeros(lanes, np.int64)
+    out = flat.reshape(lanes, width)
     by_id = _U((1 << 32) // vocabulary)
 
-    def put() -> None:
-        for at, word in _settled(low, size):
-            out[at, used[at]] = word
-            used[at] += 1
+    def put(some: np.ndarray | None = None) -> None:
+        for at, word in _settled(low, size, some):
+            place = used.take(at)
+            flat[at * width + place] = word
+            used[at] = place + 1
 
     for t in range(steps):
         x, fresh = columns[t], new[t]
@@ -152,11 +165,11 @@ def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
         begin = unit * np.where(miss1, np.where(fresh, end3, end2), np.where(miss2, end1, _U(0)))
         low += begin
         size = unit * np.where(miss1, np.where(fresh, total, end3), np.where(miss2, end2, end1)) - begin
-        put()
+        put(np.flatnonzero(size < _ROOM))
         told = np.flatnonzero(miss1)
-        told_new = fresh[told]
-        unit = (size[told] >> _U(32)) * np.where(told_new, by_id, _INVERSE.take(model.n_seen[told]))
-        low[told] += unit * np.where(told_new, x[told], place[t, told]).astype(np.uint64)
+        told_new = fresh.take(told)
+        unit = (size.take(told) >> _U(32)) * np.where(told_new, by_id, _INVERSE.take(model.n_seen.take(told)))
+        low[told] += unit * np.where(told_new, x.take(told), place[t].take(told)).astype(np.uint64)
         size[told] = unit
         put()
         model.update(x, miss2.astype(np.uint8) + miss1 + (miss1 & fresh), told[told_new])
@@ -194,15 +207,14 @@ def decode(data: bytes) -> np.ndarray:
     code = np.zeros(lanes, np.uint64)
     by_id = _U((1 << 32) // vocabulary)
     columns = np.zeros((steps, lanes), np.uint32)
-    end = len(words) - 1
-
-    def take() -> None:
-        for at, _ in _settled(low, size):
-            code[at] = code[at] << _U(16) | words.take(np.minimum(read[at], end))
-            read[at] += 1
+    def take(some: np.ndarray | None = None) -> None:
+        for at, _ in _settled(low, size, some):
+            place = read.take(at)
+            code[at] = code.take(at) << _U(16) | words.take(place, mode="clip")
+            read[at] = place + 1
 
     for _ in range(4):
-        code = code << _U(16) | words.take(np.minimum(read, end))
+        code = code << _U(16) | words.take(read, mode="clip")
         read += 1
     for t in range(steps):
         end1, end2, end3, total = model.predict()
@@ -213,14 +225,14 @@ def decode(data: bytes) -> np.ndarray:
         begin = np.where(past2, np.where(past3, edge3, edge2), np.where(past1, edge1, _U(0)))
         low += begin
         size = np.where(past2, np.where(past3, unit * total, edge3), np.where(past1, edge2, edge1)) - begin
-        take()
+        take(np.flatnonzero(size < _ROOM))
         x = np.where(past1, model.guess1, model.guess2) - np.uint32(1)
         told = np.flatnonzero(past2)
-        told_new = past3[told]
-        n_seen = model.n_seen[told]
-        unit = (size[told] >> _U(32)) * np.where(told_new, by_id, _INVERSE.take(n_seen))
+        told_new = past3.take(told)
+        n_seen = model.n_seen.take(told)
+        unit = (size.take(told) >> _U(32)) * np.where(told_new, by_id, _INVERSE.take(n_seen))
         # A damaged block may lead anywhere; it stays inside its tables and fails its check.
-        which = np.minimum((code[told] - low[told]) // np.maximum(unit, _U(1)), np.where(told_new, vocabulary, np.maximum(n_seen, 1)).astype(np.uint64) - _U(1))
+        which = np.minimum((code.take(told) - low.take(told)) // np.maximum(unit, _U(1)), np.where(told_new, vocabulary, np.maximum(n_seen, 1)).astype(np.uint64) - _U(1))
         low[told] += unit * which
         size[told] = unit
         take()

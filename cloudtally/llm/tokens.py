@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,25 +39,56 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def _learn(words: list[str], path: str) -> dict[str, np.ndarray]:
+def _byte_letters() -> list[str]:
+    """How byte-level vocabularies spell each byte: itself if printable in Latin-1, else the next code point from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b if b in shown else next(hidden)) for b in range(256)]
+
+
+_SPELLED = _byte_letters()
+_LATIN = re.compile(r"^[a-z\u00df-\u00f6\u00f8-\u00ff]+$")
+
+
+def _learn(words: list[str], path: str) -> dict[str, list[int]]:
     """Ids of each word, from the tokenizer or from memory.
 
     A word here is a run between ASCII white space, which this vocabulary
     drops: a text's ids are those of its words, one after another. A letter
     followed by simple punctuation is a boundary too, so a word's tail is
-    looked up apart.
+    looked up apart. A word of plain small letters passes the tokenizer's
+    normal form and splitting unchanged, and goes straight to its merges.
     """
     known = _KNOWN.setdefault(path, {})
     if len(known) > REMEMBERED:
         known.clear()
-    parts = {w: m.groups() for w in words if w not in known and (m := _TAIL.match(w))}
-    asked = list(dict.fromkeys(p for w in words if w not in known for p in parts.get(w, (w,)) if p not in known))
-    for first in range(0, len(asked), 4096):
-        some = asked[first : first + 4096]
-        for word, coded in zip(some, _tokenizer(path).encode_batch_fast(some, add_special_tokens=False)):
-            known[word] = np.array(coded.ids, np.uint32)
-    for w, (head, tail) in parts.items():
-        known[w] = np.concatenate([known[head], known[tail]])
+    tokenizer = _tokenizer(path)
+    merge, others, parts = tokenizer.model.tokenize, [], {}
+
+    def ask(word: str) -> None:
+        if word in known:
+            return
+        if _LATIN.match(word):
+            spelled = word if word.isascii() else "".join(_SPELLED[b] for b in word.encode())
+            known[word] = [t.id for t in merge(spelled)]
+        else:
+            others.append(word)
+
+    for word in words:
+        if word not in known:
+            if m := _TAIL.match(word):
+                parts[word] = m.groups()
+                ask(m[1])
+                ask(m[2])
+            else:
+                ask(word)
+    others = list(dict.fromkeys(others))
+    for first in range(0, len(others), 4096):
+        some = others[first : first + 4096]
+        for word, coded in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+            known[word] = coded.ids
+    for word, (head, tail) in parts.items():
+        known[word] = known[head] + known[tail]
     return known
 
 
@@ -71,16 +103,16 @@ def tokenize(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarr
     words = coded.dictionary.to_pylist()
     known = _learn(words, path)
     ids = [known[w] for w in words]
-    sizes = np.array([len(i) for i in ids], np.int64)
-    pool = np.concatenate([np.zeros(0, np.uint32), *ids, np.array([end], np.uint32)])
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    # The end is one more word behind each text.
-    places = np.insert(coded.indices.to_numpy().astype(np.int64), np.cumsum(per_text), len(words))
-    sizes = np.append(sizes, 1)
+    ids.append([end])  # the end is one more word behind each text
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    pool = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+    starts = np.cumsum(sizes) - sizes
+    places = np.insert(coded.indices.to_numpy(), np.cumsum(per_text), len(words))
     each = sizes[places]
-    owner = np.repeat(np.arange(len(texts)), per_text + 1)
-    at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(starts[places], each)
-    return pool[at], np.bincount(owner, each, minlength=len(texts)).astype(np.int64)
+    before = np.cumsum(each) - each
+    at = np.arange(before[-1] + each[-1] if len(each) else 0) + np.repeat(starts[places] - before, each)
+    owner = np.cumsum(per_text + 1) - 1  # places of the ends
+    return pool[at], np.diff(np.concatenate([[0], (before + each)[owner]]))
 
 
 SHARD = "partition int, shard int, doc_ids array<long>, lengths array<long>, data binary"
