@@ -113,16 +113,22 @@ def _settled(low: np.ndarray, size: np.ndarray, at: np.ndarray | None = None):
 
 def _first_places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per row: whether an id is new there, and the number of its first occurrence among the row's different ids."""
+    lanes, steps = ids.shape
     kind = np.uint16 if ids.max(initial=0) < 1 << 16 else np.uint32
-    order = np.argsort(ids.astype(kind), axis=1, kind="stable")
-    ordered = np.take_along_axis(ids, order, axis=1)
-    begins = np.ones(ids.shape, bool)
-    begins[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
-    head = np.maximum.accumulate(np.where(begins, np.arange(ids.shape[1]), 0), axis=1)
-    first = np.empty_like(order)
-    np.put_along_axis(first, order, np.take_along_axis(order, head, axis=1), axis=1)
-    new = first == np.arange(ids.shape[1])
-    return new, np.take_along_axis(np.cumsum(new, axis=1) - 1, first, axis=1)
+    order = np.argsort(ids.astype(kind), axis=1, kind="stable").astype(np.int32)
+    order += (np.arange(lanes, dtype=np.int32) * steps)[:, None]
+    flat, order = ids.reshape(-1), order.reshape(-1)
+    ordered = flat.take(order)
+    begins = np.ones(len(flat), bool)
+    begins[1:] = ordered[1:] != ordered[:-1]
+    begins[::steps] = True
+    heads = order[begins]  # places of the first occurrences, id by id
+    first = np.empty(len(flat), np.int32)
+    first[order] = heads.take(np.cumsum(begins, dtype=np.int32) - 1)
+    new = np.zeros(len(flat), bool)
+    new[heads] = True
+    count = np.cumsum(new.reshape(lanes, steps), axis=1, dtype=np.int32) - 1
+    return new.reshape(lanes, steps), count.reshape(-1).take(first).reshape(lanes, steps)
 
 
 def _steps(n: int, block: int) -> int:

@@ -17,6 +17,8 @@ from cloudtally.llm.shared import chunks, crc32_bucket, lower_ascii, partitions_
 DEPTH = 5
 #: Text bytes of a batch: batches share one look-up of every different context and word they hold.
 BATCH_BYTES = 64 << 20
+#: Text bytes taken apart together: every byte becomes a long or two.
+PIECE_BYTES = 1 << 20
 #: Stands for the end of a text, and fills the context before its start; it does not occur in UTF-8.
 EDGE = 0xFF
 _LOG_HALF = np.log(0.5)
@@ -162,12 +164,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Different grams and words of each batch, with their training counts; rows come sorted by batch."""
     now, held = None, {_GRAM: [], _WORD: []}
 
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return keys, np.bincount(place, np.concatenate([c for _, c in parts]))
+
     def flush() -> Iterator[pa.RecordBatch]:
         for kind, parts in held.items():
             if not parts:
                 continue
-            keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            n = np.bincount(place, np.concatenate([c for _, c in parts])).astype(np.int64)
+            keys, n = merged(parts)
+            n = n.astype(np.int64)
             for first in range(0, len(keys), 50_000):
                 some = slice(first, first + 50_000)
                 size = len(keys[some])
@@ -179,6 +185,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def add(kind: int, codes: np.ndarray, keys: np.ndarray, learn: np.ndarray, counts: np.ndarray) -> None:
         held[kind].append((keys, np.bincount(codes, np.repeat(learn, counts), minlength=len(keys))))
+        if len(held[kind]) == 16:  # one sorted part from sixteen
+            held[kind] = [merged(held[kind])]
 
     for whole in batches:
         ids = whole.column("batch").to_numpy()
@@ -187,7 +195,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if e > s and ids[s] != now:
                 yield from flush()
                 now = ids[s]
-            for batch in chunks(iter([whole.slice(s, e - s)])):
+            for batch in chunks(iter([whole.slice(s, e - s)]), size=PIECE_BYTES):
                 low = lower_ascii(batch.column("text"))
                 learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(np.float64)
                 packed, counts = grams(low)
@@ -236,7 +244,7 @@ def _score(end_base: float, end_known: bool):
                     continue
                 if not tables:
                     tables = {_GRAM: tabled(_GRAM), _WORD: tabled(_WORD)}
-                for batch in chunks(iter([piece])):
+                for batch in chunks(iter([piece]), size=PIECE_BYTES):
                     low = lower_ascii(batch.column("text"))
                     packed, counts = grams(low)
                     coded = pa.array(packed).dictionary_encode()

@@ -38,14 +38,14 @@ def crc32_bucket(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that each holds about ``CHUNK_BYTES`` of text, and at least one row."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that each holds about ``size`` bytes of text, and at least one row."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
         first = 0
         while first < batch.num_rows:
             base = ends[first - 1] if first else 0
-            stop = max(first + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, side="right")))
+            stop = max(first + 1, int(np.searchsorted(ends, base + size, side="right")))
             yield batch.slice(first, stop - first)
             first = stop
 

@@ -15,15 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cloudtally.llm.idcoder import decode, encode
-from cloudtally.llm.shared import chunks, partitions_for
+from cloudtally.llm.shared import chunks
 
 #: Ids of a shard: one row of the table, one container of blocks. A document is not split, so a shard may be longer.
 SHARD_IDS = 4 << 20
 #: Text bytes a partition of the output is meant to hold.
-PARTITION_BYTES = 64 << 20
+PARTITION_BYTES = 48 << 20
 #: Pieces of words whose ids a Python worker remembers; only saves time.
 REMEMBERED = 1 << 19
-_TAIL = re.compile(r"^(.*[^\W\d_])([.,;:!?]+)$", re.DOTALL)
 
 
 # Kept by the process: tokenizers by file, and the ids of the words met.
@@ -47,48 +46,36 @@ def _byte_letters() -> list[str]:
 
 
 _SPELLED = _byte_letters()
-_LATIN = re.compile(r"^[a-z\u00df-\u00f6\u00f8-\u00ff]+$")
+# Simple punctuation between a letter and white space; a boundary for the vocabulary, so it can stand alone.
+_TAIL = r"(\pL)([.,;:!?]+)(\s|$)"
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 def _learn(words: list[str], path: str) -> dict[str, list[int]]:
     """Ids of each word, from the tokenizer or from memory.
 
     A word here is a run between ASCII white space, which this vocabulary
-    drops: a text's ids are those of its words, one after another. A letter
-    followed by simple punctuation is a boundary too, so a word's tail is
-    looked up apart. A word of plain small letters passes the tokenizer's
-    normal form and splitting unchanged, and goes straight to its merges.
+    drops: a text's ids are those of its words, one after another. A word of
+    plain small letters passes the tokenizer's normal form and splitting
+    unchanged, and goes straight to its merges.
     """
     known = _KNOWN.setdefault(path, {})
     if len(known) > REMEMBERED:
         known.clear()
     tokenizer = _tokenizer(path)
-    merge, others, parts = tokenizer.model.tokenize, [], {}
-
-    def ask(word: str) -> None:
-        if word in known:
-            return
-        if _LATIN.match(word):
-            spelled = word if word.isascii() else "".join(_SPELLED[b] for b in word.encode())
-            known[word] = [t.id for t in merge(spelled)]
-        else:
-            others.append(word)
-
+    merge, others = tokenizer.model.tokenize, []
     for word in words:
         if word not in known:
-            if m := _TAIL.match(word):
-                parts[word] = m.groups()
-                ask(m[1])
-                ask(m[2])
+            if word.isascii() and word.isalpha() and word.islower():
+                known[word] = [t.id for t in merge(word)]
+            elif _LATIN.fullmatch(word):
+                known[word] = [t.id for t in merge("".join([_SPELLED[b] for b in word.encode()]))]
             else:
-                ask(word)
-    others = list(dict.fromkeys(others))
+                others.append(word)
     for first in range(0, len(others), 4096):
         some = others[first : first + 4096]
         for word, coded in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
             known[word] = coded.ids
-    for word, (head, tail) in parts.items():
-        known[word] = known[head] + known[tail]
     return known
 
 
@@ -97,22 +84,24 @@ def tokenize(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarr
     texts = pc.fill_null(texts, "")
     low = pc.ascii_lower(texts)
     # The vocabulary lowers case itself; doing it first leaves fewer words, but must not make up a special token.
-    lists = pc.ascii_split_whitespace(texts if pc.any(pc.match_substring(low, "<|")).as_py() else low)
+    low = texts if pc.any(pc.match_substring(low, "<|")).as_py() else pc.replace_substring_regex(low, _TAIL, r"\1 \2\3")
+    lists = pc.ascii_split_whitespace(low)
     per_text = np.diff(lists.offsets.to_numpy())
     coded = lists.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
     known = _learn(words, path)
     ids = [known[w] for w in words]
     ids.append([end])  # the end is one more word behind each text
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    sizes = np.fromiter(map(len, ids), np.int32, len(ids))
     pool = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-    starts = np.cumsum(sizes) - sizes
+    starts = np.cumsum(sizes, dtype=np.int32) - sizes
     places = np.insert(coded.indices.to_numpy(), np.cumsum(per_text), len(words))
-    each = sizes[places]
-    before = np.cumsum(each) - each
-    at = np.arange(before[-1] + each[-1] if len(each) else 0) + np.repeat(starts[places] - before, each)
-    owner = np.cumsum(per_text + 1) - 1  # places of the ends
-    return pool[at], np.diff(np.concatenate([[0], (before + each)[owner]]))
+    each = sizes.take(places)
+    after = np.cumsum(each, dtype=np.int32)
+    at = np.arange(after[-1] if len(each) else 0, dtype=np.int32)
+    at += np.repeat(starts.take(places) - (after - each), each)
+    ends = np.cumsum(per_text + 1) - 1
+    return pool.take(at), np.diff(np.concatenate([[0], after.take(ends)]).astype(np.int64))
 
 
 SHARD = "partition int, shard int, doc_ids array<long>, lengths array<long>, data binary"
@@ -175,7 +164,7 @@ def write_ids(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c.alias(f"order{i}") for i, c in enumerate(order)])
     names = [f"order{i}" for i in range(len(order))]
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = partitions_for(rows, size, PARTITION_BYTES)
+    tasks = max(1, -(-size // PARTITION_BYTES))
     sorted_rows = rows.repartitionByRange(tasks, *names).sortWithinPartitions(*names)
     sorted_rows.select("doc_id", "text").mapInArrow(_write(tokenizer, end, vocabulary), SHARD).write.parquet(path)
 
