@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from cloudtally.llm.shared import chunks, crc32_bucket, saved
+from cloudtally.llm.shared import chunks, crc32_bucket, saved, small_batches
 
 UNKNOWN = "und"
 #: Hashed features: 1- to 3-grams of letters, all other characters counting as one blank.
@@ -224,7 +224,7 @@ def train(
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     ).filter("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    counted = rows.select("text").mapInArrow(_document_frequency, "feature long, docs long").groupBy("feature").agg(F.sum("docs").alias("docs"))
+    counted = small_batches(rows.select("text")).mapInArrow(_document_frequency, "feature long, docs long").groupBy("feature").agg(F.sum("docs").alias("docs"))
     idf, n = np.zeros(FEATURES), 0
     found = {r["feature"]: r["docs"] for r in counted.collect()}  # as many rows as there are features, at most
     n = found.pop(-1, 0)
@@ -289,7 +289,7 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"]
             )
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id", modulus: int = 4, value: int = 2):

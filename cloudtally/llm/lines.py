@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cloudtally.llm.shared import saved
+from cloudtally.llm.shared import saved, small_batches
 
 #: Variants a Python worker gives out together, about.
 ROWS = 50_000
@@ -147,7 +147,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select("line", "first", "text").dropDuplicates(["line"]),
         "line-texts",
     )
-    variants = texts.mapInArrow(_variants, VARIANT)
+    variants = small_batches(texts).mapInArrow(_variants, VARIANT)
 
     # One replacement apart: all lines of a hash and place. A group has one line per character at most.
     place = W.partitionBy("variant", "length", "place")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudtally.llm.shared import chunks, crc32_bucket, lower_ascii, partitions_for, saved, split_words
+from cloudtally.llm.shared import chunks, lower_ascii, partitions_for, saved, small_batches, split_words
 
 #: Bytes of context. A context and the byte after it are packed into one long.
 DEPTH = 5
@@ -294,8 +294,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     dealt into batches of a fixed size by hash; each batch names the grams and
     words it holds, gets their values, and is read again beside them.
     """
-    spark = docs.sparkSession
-    rows = docs.select(
+    rows = small_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         F.coalesce(learn, F.lit(False)).alias("learn"),

@@ -27,6 +27,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands Python a few megabytes at a time, however long a row's text is."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * CHUNK_BYTES))
+    return df
+
+
 def partitions_for(df: DataFrame, rows: int, rows_each: int) -> int:
     """Shuffle partitions of about ``rows_each`` rows, never fewer than the session's."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudtally.llm.shared import chunks, components, lower_ascii, partitions_for, saved, split_words
+from cloudtally.llm.shared import chunks, components, lower_ascii, partitions_for, saved, small_batches, split_words
 
 BITS = 64
 #: Fingerprints of a band that are compared in one piece; a larger band is cut into several.
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text")
     )
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return small_batches(rows).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:

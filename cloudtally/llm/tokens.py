@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cloudtally.llm.idcoder import decode, encode
-from cloudtally.llm.shared import chunks
+from cloudtally.llm.shared import chunks, small_batches
 
 #: Ids of a shard: one row of the table, one container of blocks. A document is not split, so a shard may be longer.
 SHARD_IDS = 4 << 20
@@ -161,7 +161,7 @@ def write_ids(
     protocol writes, so a lost or repeated task leaves nothing behind.
     """
     order = order or [F.col(id_col), F.xxhash64(text_col)]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c.alias(f"order{i}") for i, c in enumerate(order)])
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c.alias(f"order{i}") for i, c in enumerate(order)])
     names = [f"order{i}" for i in range(len(order))]
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(1, -(-size // PARTITION_BYTES))
