@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudtally.functions import json_values as j
+from cloudtally.functions.labels import join_same
 
 _RESOURCE = ["root", "address"]
 
@@ -15,9 +17,59 @@ _RESOURCE = ["root", "address"]
 def state_documents(states: DataFrame, document: str = "state") -> DataFrame:
     """Resources' JSON documents in one spelling: spaces gone, keys in order.
 
-    Documents that say the same are then the same text.
+    Documents that say the same are then the same text. One that is missing or
+    is not JSON has no ``state``, and says so in ``unreadable``.
     """
-    return states.select(*_RESOURCE, F.to_json(j.parse(F.col(document))).alias("state"))
+    spelled = F.to_json(j.parse(F.col(document)))
+    return states.select(*_RESOURCE, spelled.alias("state"), spelled.isNull().alias("unreadable"))
+
+
+def _children(node: Column) -> Column:
+    """A value with its fields or elements behind it, one step down; a plain value alone.
+
+    An object or array stands for itself as ``{}`` or ``[]``, so that a change
+    inside it is not one of it.
+    """
+    path, value = node["path"], node["value"]
+    members, elements = j.fields(value, "$"), F.try_variant_get(value, "$", "array<variant>")
+    plain = r"^[A-Za-z_][A-Za-z0-9_-]*$"
+
+    def below(key: Column) -> Column:
+        step = F.when(key.rlike(plain), F.concat(F.lit("."), key)).otherwise(F.concat(F.lit("['"), key, F.lit("']")))
+        return F.when((path == "") & key.rlike(plain), key).otherwise(F.concat(path, step))
+
+    def row(path: Column, value: Column, json: Column, empty: Column) -> Column:
+        return F.struct(path.alias("path"), value.alias("value"), json.alias("json"), empty.alias("empty"))
+
+    none, done = F.lit(None).cast("variant"), F.lit(None).cast("string")
+    own = lambda mark, size: F.array(row(path, none, F.lit(mark), size == 0))
+    return (
+        F.when(node["json"].isNotNull(), F.array(node))
+        .when(
+            members.isNotNull(),
+            F.concat(own("{}", F.size(members)), F.transform(F.map_entries(members), lambda e: row(below(e["key"]), e["value"], done, F.lit(True)))),
+        )
+        .when(
+            elements.isNotNull(),
+            F.concat(
+                own("[]", F.size(elements)),
+                F.transform(elements, lambda v, i: row(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), v, done, F.lit(True))),
+            ),
+        )
+        .otherwise(F.array(row(path, none, F.to_json(value), F.lit(True))))
+    )
+
+
+def _paths(documents: DataFrame, depth: int) -> DataFrame:
+    """(root, address, attr, json, empty) for every path of a document; below ``depth`` a value stays whole."""
+    root = F.struct(
+        F.lit("").alias("path"), j.parse(F.col("state")).alias("value"), F.lit(None).cast("string").alias("json"), F.lit(True).alias("empty")
+    )
+    nodes = documents.select(*_RESOURCE, root.alias("node"))
+    for _ in range(depth):
+        nodes = nodes.select(*_RESOURCE, F.explode(_children(F.col("node"))).alias("node"))
+    whole = F.coalesce(F.col("node.json"), F.to_json(F.col("node.value")))
+    return nodes.select(*_RESOURCE, F.col("node.path").alias("attr"), whole.alias("json"), F.col("node.empty").alias("empty"))
 
 
 def snapshot_diff(
@@ -25,64 +77,82 @@ def snapshot_diff(
     observed: DataFrame,
     ignore: DataFrame | None = None,
     declared_only: Sequence[str] = (),
+    depth: int = 8,
 ) -> DataFrame:
-    """Attributes whose observed value is not the declared one.
-
-    Both sides come from ``state_documents``. A resource is one row of the join,
-    and only documents that differ are taken apart. Values keep their JSON text,
-    so 1 and "1" differ, and so do null and missing.
-
-    ``ignore`` lists ``(address, attr)`` another process owns. Addresses under a
-    ``declared_only`` prefix are compared on declared attributes alone, for a
+    """Attributes, at any level, whose observed value is not the declared one.
+
+    Both sides come from ``state_documents``. Only documents that differ are
+    taken apart, into paths such as ``template[0].image``; below ``depth`` levels
+    a value is compared whole. Values keep their JSON text, so 1 and "1"
+    differ, and so do null and missing. A document that cannot be read is a
+    row of its own, with change ``unreadable`` and no attribute, whatever the
+    other side says.
+
+    ``ignore`` lists ``(address, attr)`` another process owns, and everything
+    below that path; with a ``root`` column, in that root only. Addresses under
+    a ``declared_only`` prefix are compared on declared paths alone, for a
     provider that leaves alone what the code does not name.
     """
-    left = declared.select(*_RESOURCE, F.col("state").alias("_code"))
-    right = observed.select(*_RESOURCE, F.col("state").alias("_seen"))
-    differing = left.join(right, _RESOURCE, "full").filter(~F.col("_code").eqNullSafe(F.col("_seen")))
-    parsed = differing.select(
-        *_RESOURCE,
-        j.fields(j.parse(F.col("_code")), "$").alias("_code"),
-        j.fields(j.parse(F.col("_seen")), "$").alias("_seen"),
+    left = declared.select(*_RESOURCE, F.col("state").alias("_code"), F.col("unreadable").alias("_bad"))
+    right = observed.select(*_RESOURCE, F.col("state").alias("_seen"), F.col("unreadable").alias("_bad_seen"))
+    both = left.join(right, _RESOURCE, "full")
+    unread = F.coalesce("_bad", F.lit(False)) | F.coalesce("_bad_seen", F.lit(False))
+    nothing = F.lit(None).cast("string")
+    broken = both.filter(unread).select(
+        *_RESOURCE, nothing.alias("attr"), F.col("_code").alias("declared"), F.col("_seen").alias("observed"), F.lit("unreadable").alias("change")
     )
-
-    def names(side: str) -> Column:
-        return F.coalesce(F.map_keys(F.col(side)), F.array().cast("array<string>"))
-
-    def value(side: str) -> Column:
-        return F.to_json(F.try_element_at(F.col(side), F.col("attr")))
-
-    def has(side: str) -> Column:
-        return F.coalesce(F.map_contains_key(F.col(side), F.col("attr")), F.lit(False))
-
-    each = parsed.withColumn("attr", F.explode(F.array_distinct(F.concat(names("_code"), names("_seen")))))
-    in_code, found = has("_code"), has("_seen")
-    changed = ~(value("_code").eqNullSafe(value("_seen")) & in_code & found)
+    differing = both.filter(~unread & ~F.col("_code").eqNullSafe(F.col("_seen")))
+
+    def side(column: str, name: str) -> DataFrame:
+        taken = _paths(differing.filter(F.col(column).isNotNull()).select(*_RESOURCE, F.col(column).alias("state")), depth)
+        # The document itself is no attribute, unless it is a plain value.
+        taken = taken.filter((F.col("attr") != "") | ~F.col("json").isin("{}", "[]"))
+        return taken.select(*_RESOURCE, "attr", F.col("json").alias(name), F.col("empty").alias(f"_empty_{name}"))
+
+    each = side("_code", "declared").join(side("_seen", "observed"), [*_RESOURCE, "attr"], "full")
+    in_code, found = F.col("declared").isNotNull(), F.col("observed").isNotNull()
+    changed = ~F.col("declared").eqNullSafe(F.col("observed"))
+    # What is inside an object that came or went is listed, so the object is not, unless it is empty.
+    listed = (in_code & found) | F.coalesce("_empty_declared", "_empty_observed")
     for prefix in declared_only:
         changed = changed & (in_code | ~F.col("address").startswith(prefix))
-    diff = each.filter(changed).select(
+    diff = each.filter(changed & listed).select(
         *_RESOURCE,
         "attr",
-        value("_code").alias("declared"),
-        value("_seen").alias("observed"),
+        "declared",
+        "observed",
         F.when(~in_code, "added").when(~found, "removed").otherwise("changed").alias("change"),
     )
-    return diff if ignore is None else diff.join(ignore, ["address", "attr"], "left_anti")
+    if ignore is not None:
+        keys = [c for c in _RESOURCE if c in ignore.columns]
+        owned = ignore.select(*[F.col(c).alias(f"_o_{c}") for c in (*keys, "attr")]).distinct()
+        under = F.col("attr") == F.col("_o_attr")
+        for mark in (".", "["):
+            under = under | F.startswith(F.col("attr"), F.concat("_o_attr", F.lit(mark)))
+        same = [F.col(c) == F.col(f"_o_{c}") for c in keys]
+        diff = diff.join(owned, reduce(Column.__and__, [*same, under]), "left_anti")
+    return diff.unionByName(broken)
 
 
 def drift_status(diff: DataFrame, roots: Sequence[str]) -> DataFrame:
-    """Drift or clean per root; a clean root keeps its row."""
+    """Drift, unreadable or clean: of every root listed, and of every other one with a change."""
     spark = diff.sparkSession
     listed = spark.range(1).select(F.explode(F.array(*[F.lit(r) for r in roots])).alias("root"))
-    counts = diff.groupBy("root").agg(F.count(F.lit(1)).alias("changes"))
+    counts = diff.groupBy("root").agg(
+        F.count(F.lit(1)).alias("changes"), F.bool_or(F.col("change") == "unreadable").alias("unread")
+    )
     changes = F.coalesce("changes", F.lit(0).cast("long"))
-    return listed.join(counts, "root", "left").select(
-        "root", changes.alias("changes"), F.when(changes > 0, "drift").otherwise("clean").alias("status")
+    return join_same(listed, counts, ["root"], "full").select(
+        "root",
+        changes.alias("changes"),
+        F.when(F.col("unread"), "unreadable").when(changes > 0, "drift").otherwise("clean").alias("status"),
     )
 
 
 def digest_agreement(images: DataFrame, registries: Sequence[str]) -> DataFrame:
-    """Whether every registry holds the same image under a tag.
+    """Whether every registry holds the same image under a tag, and how many do not hold it.
 
+    Any disagreement is ``differ``, also where a registry has no image at all.
     Pulls of one image repeat, so rows are reduced to (tag, registry, digest)
     first; what is counted per tag is as small as the list of registries.
     """
@@ -94,9 +164,11 @@ def digest_agreement(images: DataFrame, registries: Sequence[str]) -> DataFrame:
     ).groupBy("tag").agg(
         F.count(F.lit(1)).alias("registries"), F.min("_low").alias("_low"), F.max("_high").alias("_high")
     )
-    same = F.col("_low") == F.col("_high")
+    missing = F.lit(len(registries)).cast("long") - F.col("registries")
+    same = F.coalesce(F.col("_low") == F.col("_high"), F.lit(False))
     return per_tag.select(
         "tag",
         "registries",
-        F.when(F.col("registries") < len(registries), "missing").when(same, "same").otherwise("differ").alias("status"),
+        missing.alias("missing"),
+        F.when(~same, "differ").when(missing > 0, "missing").otherwise("same").alias("status"),
     )

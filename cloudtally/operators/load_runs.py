@@ -8,26 +8,28 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloudtally.functions.labels import join_same
 from cloudtally.schemas import LOG_RECORD
 
 # Fixed value: the shape of a result line, with the four fields that are kept.
 RESULT_LINE = r"load cloud=([a-z]+) sent=([0-9]+) ok=([0-9]+) .* at=([0-9TZ:-]+)"
 
 # Log severities, lowest first.
-SEVERITIES = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
+SEVERITIES = ("DEFAULT", "DEBUG", "INFO", "NOTICE", "WARNING", "ERROR", "CRITICAL", "ALERT", "EMERGENCY")
 
 
 def parse_load_lines(lines: DataFrame, text: str = "value") -> DataFrame:
     """Result lines out of run logs; other lines are passed over."""
-    def field(group: int) -> Column:
-        return F.regexp_extract(F.col(text), RESULT_LINE, group)
-
-    return lines.filter(F.col(text).rlike(RESULT_LINE)).select(
+    # The pattern is matched once: the fields of the match come out with a mark between them.
+    mark = "\u0001"
+    swapped = F.regexp_replace(F.col(text), f"^.*?{RESULT_LINE}.*$", mark + mark.join(f"${g}" for g in range(1, 5)))
+    fields = lines.select("run_id", F.split(swapped, mark).alias("_f")).filter(F.size("_f") == 5)
+    return fields.select(
         "run_id",
-        field(1).alias("cloud"),
-        field(2).cast("long").alias("sent"),
-        field(3).cast("long").alias("ok"),
-        field(4).cast("timestamp").alias("run_at"),
+        F.col("_f")[1].alias("cloud"),
+        F.col("_f")[2].cast("long").alias("sent"),
+        F.col("_f")[3].cast("long").alias("ok"),
+        F.col("_f")[4].cast("timestamp").alias("run_at"),
     )
 
 
@@ -113,18 +115,17 @@ def percentiles(
 
     inside = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     values = (
-        known.join(needed, [*by, "_bin"], "left_semi")
+        join_same(known, needed.select(*by, "_bin"), [*by, "_bin"], "left_semi")
         .groupBy(*by, "_bin", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_upto", F.sum("_n").over(inside))
-        .join(needed, [*by, "_bin"])
-        .select(
-            *by,
-            "_v",
-            (F.col("_before") + F.col("_upto") - F.col("_n")).alias("_from"),
-            (F.col("_before") + F.col("_upto")).alias("_to"),
-            F.explode("_points").alias("_p"),
-        )
+    )
+    values = join_same(values, needed, [*by, "_bin"]).select(
+        *by,
+        "_v",
+        (F.col("_before") + F.col("_upto") - F.col("_n")).alias("_from"),
+        (F.col("_before") + F.col("_upto")).alias("_to"),
+        F.explode("_points").alias("_p"),
     )
 
     def at_rank(rank: Column) -> Column:
@@ -149,7 +150,7 @@ def latency_summary(timings: DataFrame, by: Sequence[str], ts: str = "ts", secon
         F.max(seconds).alias("max_s"),
         F.count(seconds).alias("timed"),
     )
-    return edges.join(percentiles(timings, by, seconds, {"p50_s": 0.5, "p95_s": 0.95}), list(by), "left")
+    return join_same(edges, percentiles(timings, by, seconds, {"p50_s": 0.5, "p95_s": 0.95}), list(by), "left")
 
 
 def parse_logs(lines: DataFrame, text: str = "value") -> DataFrame:
@@ -170,6 +171,12 @@ def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), severity)
 
 
+def unknown_severities(logs: DataFrame) -> DataFrame:
+    """Severities the order does not know, with their counts: ``at_least`` cannot place them."""
+    odd = F.col("severity").isNotNull() & ~F.col("severity").isin(*SEVERITIES)
+    return logs.filter(odd).groupBy("severity").agg(F.count(F.lit(1)).alias("records"))
+
+
 def at_least(logs: DataFrame, severity: str = "ERROR") -> DataFrame:
     floor = SEVERITIES.index(severity)
     return logs.filter(F.col("severity").isin(*SEVERITIES[floor:]))

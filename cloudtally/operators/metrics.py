@@ -1,8 +1,9 @@
 """Queries over counter increments: rates, ratios, quantiles, look-back, gaps.
 
 Input is the output of ``counter_deltas``: label columns, ``ts``, ``delta``.
-An evaluation at ``eval_ts`` covers the range ending there, start included and
-end excluded, which is what a Spark window labelled by its end covers.
+An evaluation at ``eval_ts`` covers the range ending there, its start excluded
+and its end included: a sample taken at the evaluation counts. Evaluations lie
+on whole multiples of the step.
 Increases are exact sums; nothing is extrapolated to the edges of a range.
 """
 
@@ -10,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date, datetime
+from math import gcd
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudtally.functions.labels import matches, only_cloud, select_series
+from cloudtally.functions.labels import join_same, matches, only_cloud, select_series
 from cloudtally.operators.series import UNMATCHED
 
 SERVED = ("route", "!=", UNMATCHED)
@@ -22,27 +24,27 @@ SERVER_ERROR = ("status", "=~", "5..")
 
 
 def _over_range(rows: DataFrame, by: Sequence[str], column: str, fold, range_s: int, step_s: int | None) -> DataFrame:
-    """Fold a column per label set over a range, at every step.
+    """Fold a column per label set over a range, at every step, which may be longer than the range.
 
-    Rows are first folded per step, then the few step results are spread over
-    the ranges they belong to, so rows are not copied range/step times.
+    Rows are first folded per cell, the longest time that divides both, and the
+    few cell results are spread over the ranges they belong to, so rows are not
+    copied range/step times.
     """
     step_s = step_s or range_s
-    if range_s % step_s:
-        wide = F.window("ts", f"{range_s} seconds", f"{step_s} seconds")
-        return rows.groupBy(*by, wide["end"].alias("eval_ts")).agg(fold(column).alias("value"))
-    cells = rows.groupBy(*by, F.window("ts", f"{step_s} seconds")["end"].alias("eval_ts")).agg(
-        fold(column).alias("value")
-    )
-    copies = range_s // step_s
-    if copies == 1:
-        return cells
-    ends = F.transform(
-        F.sequence(F.lit(0), F.lit(copies - 1)),
-        lambda k: F.timestamp_micros(F.unix_micros("eval_ts") + k.cast("long") * step_s * 1000000),
-    )
-    spread = cells.select(*by, F.explode(ends).alias("eval_ts"), "value")
-    return spread.groupBy(*by, "eval_ts").agg(fold("value").alias("value"))
+    cell, step, width = (x * 1000000 for x in (gcd(range_s, step_s), step_s, range_s))
+
+    def up_to(micros: Column, size: int) -> Column:
+        """The first multiple of ``size`` that is not earlier."""
+        return F.ceil(micros / F.lit(size)).cast("long") * size
+
+    cells = rows.groupBy(*by, up_to(F.unix_micros("ts"), cell).alias("_cell")).agg(fold(column).alias("value"))
+    first = up_to(F.col("_cell"), step)
+    last = F.col("_cell") + (width - cell)
+    ends = F.when(first <= last, F.sequence(first, last, F.lit(step).cast("long")))
+    if cell == step == width:
+        return cells.select(*by, F.timestamp_micros("_cell").alias("eval_ts"), "value")
+    spread = cells.select(*by, F.explode(ends).alias("_end"), "value")
+    return spread.groupBy(*by, F.timestamp_micros("_end").alias("eval_ts")).agg(fold("value").alias("value"))
 
 
 def increase(deltas: DataFrame, by: Sequence[str], range_s: int, step_s: int | None = None) -> DataFrame:
@@ -66,13 +68,13 @@ def above(vector: DataFrame, threshold: float) -> DataFrame:
 
 
 def vector_and(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left series whose labels and time also exist on the right."""
-    return left.join(right, [*on, "eval_ts"], "left_semi")
+    """Left series whose labels and time also exist on the right; a missing label equals a missing one."""
+    return join_same(left, right.select(*on, "eval_ts"), [*on, "eval_ts"], "left_semi")
 
 
 def vector_or(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left series, and right series the left does not have."""
-    return left.unionByName(right.join(left, [*on, "eval_ts"], "left_anti"))
+    return left.unionByName(join_same(right, left.select(*on, "eval_ts"), [*on, "eval_ts"], "left_anti"))
 
 
 def histogram_quantile(q: float, buckets: DataFrame, by: Sequence[str], summed: bool = False) -> DataFrame:
@@ -169,12 +171,14 @@ def requests_per_hour(deltas: DataFrame, cloud: str | None = None) -> DataFrame:
 def daily_requests(deltas: DataFrame, start: date, as_of: date) -> DataFrame:
     """Served requests per cloud for every closed UTC day from ``start`` on.
 
-    One grouped scan recomputes all days, so a late sample is always counted.
+    One grouped scan recomputes all days, so a late sample is always counted. A
+    day is evaluated at its end: what is scraped at midnight belongs to the day
+    that ends there.
     """
-    day = F.to_date("ts")
+    day = F.to_date(F.col("ts") - F.expr("INTERVAL 1 MICROSECOND"))
     return (
         served(deltas)
-        .filter((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(as_of).cast("timestamp")))
+        .filter((F.col("ts") > F.lit(start).cast("timestamp")) & (F.col("ts") <= F.lit(as_of).cast("timestamp")))
         .groupBy(day.alias("day"), "cloud")
         .agg(F.sum("delta").alias("requests"))
     )
@@ -229,15 +233,13 @@ def telemetry_gaps(load_runs: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def undercount(app: DataFrame, stored: DataFrame, series: Sequence[str]) -> DataFrame:
-    """What the app counted against what was stored, per series."""
+    """What the app counted against what was stored, per series; a missing label equals an empty one."""
     left = app.select(*series, F.col("value").alias("app_value"))
     right = stored.select(*series, F.col("value").alias("stored_value"))
     missing = F.coalesce("app_value", F.lit(0.0)) - F.coalesce("stored_value", F.lit(0.0))
-    return left.join(right, list(series), "full").withColumn("missing", missing)
+    return join_same(left, right, list(series), "full", empty=True).withColumn("missing", missing)
 
 
 def total_increase(deltas: DataFrame, series: Sequence[str]) -> DataFrame:
     """Everything each series counted, over all its restarts."""
     return deltas.groupBy(*series).agg(F.sum("delta").alias("value"))
-
-

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudtally.functions import json_values as j
+from cloudtally.functions.labels import join_same
 
 # Fixed values of the rules: tag vocabulary, allow lists, broad roles.
 REQUIRED_TAGS = ("project", "env", "owner", "estate", "managed-by")
@@ -68,6 +69,9 @@ RULES = {
     "azure-group-scope": "deny",
 }
 
+# What a plan that cannot be read gives. It is no rule: nothing is known about any of them.
+UNREADABLE = "plan-unreadable"
+
 _NONE = "array<struct<rule:string,message:string>>"
 
 
@@ -95,6 +99,22 @@ def planned_resources(plans: DataFrame, include_replacements: bool = False) -> D
     return rows.filter(exists & ~going).drop("actions")
 
 
+def unreadable_plans(plans: DataFrame) -> DataFrame:
+    """A denying finding for every root with a plan that is missing or is not a JSON object."""
+    is_object = F.coalesce(F.schema_of_variant(j.parse(F.col("plan"))).startswith("OBJECT"), F.lit(False))
+    return (
+        plans.filter(~is_object)
+        .select(
+            "root",
+            F.lit("plan").alias("address"),
+            F.lit(UNREADABLE).alias("rule"),
+            F.lit("deny").alias("level"),
+            F.concat(F.lit("a plan of "), F.coalesce("root", F.lit("an unnamed root")), F.lit(" cannot be read")).alias("message"),
+        )
+        .distinct()
+    )
+
+
 def effective_tags(resource_type: Column, after: Column) -> Column:
     """Tags under the name the provider uses; NULL if there is no such object."""
     found = None
@@ -150,8 +170,9 @@ def _exposure_findings(of, address: Column, after: Column, strict_ports: bool) -
     def setting(name: str, absent: str) -> Column:
         return F.coalesce(j.raw(after, f"$.{name}"), F.lit(absent))
 
+    # Numbers are compared: a port written as text is not one of the open ones.
     port = j.raw(after, "$.from_port")
-    web = F.coalesce(F.try_variant_get(after, "$.from_port", "double").isin(*[float(p) for p in WEB_PORTS]), F.lit(False))
+    web = F.coalesce(port.try_cast("double").isin(*[float(p) for p in WEB_PORTS]), F.lit(False))
     world = of("aws_vpc_security_group_ingress_rule") & F.coalesce(j.text(after, "$.cidr_ipv4") == "0.0.0.0/0", F.lit(False))
     shown_port = F.coalesce(port, F.lit("any")) if strict_ports else port
     insecure = F.filter(
@@ -305,10 +326,17 @@ def findings(resources: DataFrame, strict_ports: bool = False) -> DataFrame:
     )
 
 
+def plan_findings(plans: DataFrame, include_replacements: bool = False, strict_ports: bool = False) -> DataFrame:
+    """Findings of whole plan documents, those included that cannot be read."""
+    resources = planned_resources(plans, include_replacements)
+    return findings(resources, strict_ports).unionByName(unreadable_plans(plans))
+
+
 def verdicts(found: DataFrame, roots: Sequence[str]) -> DataFrame:
-    """Counts per root; a root without findings still has its row.
+    """Counts per root: of every root listed, and of every other one that has findings.
 
-    A rule passes when it has nothing to say about any resource of the root.
+    A rule passes when it has nothing to say about any resource of the root. No
+    rule passes on a root with a plan that could not be read.
     """
     spark = found.sparkSession
     listed = spark.range(1).select(F.explode(F.array(*[F.lit(r) for r in roots])).alias("root"))
@@ -320,13 +348,16 @@ def verdicts(found: DataFrame, roots: Sequence[str]) -> DataFrame:
             F.sum(F.when(F.col("level") == "deny", F.col("n")).otherwise(0)).alias("failures"),
             F.sum(F.when(F.col("level") == "warn", F.col("n")).otherwise(0)).alias("warnings"),
             F.count(F.lit(1)).alias("fired"),
+            F.bool_or(F.col("rule") == UNREADABLE).alias("unread"),
         )
     )
     zero = F.lit(0).cast("long")
-    return listed.join(counts, "root", "left").select(
+    return join_same(listed, counts, ["root"], "full").select(
         "root",
         F.coalesce("failures", zero).alias("failures"),
         F.coalesce("warnings", zero).alias("warnings"),
-        (F.lit(len(RULES)).cast("long") - F.coalesce("fired", zero)).alias("rules_passed"),
+        F.when(F.coalesce("unread", F.lit(False)), zero)
+        .otherwise(F.lit(len(RULES)).cast("long") - F.coalesce("fired", zero))
+        .alias("rules_passed"),
         F.when(F.col("failures") > 0, "fail").when(F.col("warnings") > 0, "warn").otherwise("pass").alias("verdict"),
     )

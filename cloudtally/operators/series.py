@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloudtally.functions.labels import join_same
+
 # Upper bounds of the latency histogram in seconds, the routes
 # that are never measured, the label of a path no route serves, and the series
 # an app process creates at zero.
@@ -78,7 +80,7 @@ def cumulative_counter(
     inside = Window.partitionBy(*keys, "_slice").orderBy(ts, tie)
     numbered = rows.withColumn("_nth", F.row_number().over(inside))
     return (
-        numbered.join(starts, [*keys, "_slice"])
+        join_same(numbered, starts, [*keys, "_slice"])
         .withColumn("value", (F.col("_before") + F.col("_nth")).cast("double"))
         .drop("_slice", "_before", "_nth")
     )
@@ -194,12 +196,16 @@ def stamp_start_time(
 
     A scrape without that metric leaves the start unknown (NULL).
     """
-    keys = [*target, ts]
-    is_start = F.col("metric").rlike(pattern)
-    starts = samples.filter(is_start).groupBy(*keys).agg(
-        F.timestamp_micros(F.round(F.max("value") * 1000000).cast("long")).alias("start_ts")
+    is_start = F.coalesce(F.col("metric").rlike(pattern), F.lit(False))
+    # A scrape is one exposition text: its lines meet in one window, and the samples are read once.
+    scrape = Window.partitionBy(*target, ts)
+    micros = F.max(F.when(is_start, F.round(F.col("value") * 1000000).cast("long"))).over(scrape)
+    return (
+        samples.withColumn("_is_start", is_start)
+        .withColumn("start_ts", F.timestamp_micros(micros))
+        .filter(~F.col("_is_start"))
+        .drop("_is_start")
     )
-    return samples.filter(~is_start).join(starts, keys, "left")
 
 
 def counter_deltas(
@@ -233,8 +239,7 @@ def counter_deltas(
     )
     here = F.struct(F.col("value").alias("v"), F.col("start_ts").alias("s"))
     return (
-        rows.withColumn("_prev", F.lag(here).over(inside))
-        .join(edges, [*keys, "_slice"])
+        join_same(rows.withColumn("_prev", F.lag(here).over(inside)), edges, [*keys, "_slice"])
         .withColumn("_prior", F.coalesce("_prev", "_edge"))
         .withColumn("delta", increment(F.col("value"), F.col("start_ts"), F.col("_prior.v"), F.col("_prior.s")))
         .drop("_slice", "_prev", "_edge", "_prior")

@@ -77,6 +77,11 @@ def policy_verdicts(spark: S, sf: str) -> DataFrame:
     return policy.verdicts(policy_findings(spark, sf), (*d.ROOTS, "empty"))
 
 
+def policy_broken_plans(spark: S, sf: str) -> DataFrame:
+    """Verdicts where some plans are cut off and one root was never listed."""
+    return policy.verdicts(policy.plan_findings(d.broken_plan_documents(spark, sf)), (*d.ROOTS, "empty"))
+
+
 def policy_statements(spark: S, sf: str) -> DataFrame:
     from cloudtally.functions import json_values as j
 
@@ -105,6 +110,24 @@ def state_drift_owned(spark: S, sf: str) -> DataFrame:
     return _drift(spark, sf, ignore=d.ignored_attributes(spark, sf), declared_only=("google_",))
 
 
+def state_drift_nested(spark: S, sf: str) -> DataFrame:
+    """Changes below the top level, named by path; ignored ones count in their own root only."""
+    return drift.snapshot_diff(
+        drift.state_documents(d.nested_state(spark, sf, observed=False)),
+        drift.state_documents(d.nested_state(spark, sf, observed=True)),
+        ignore=d.ignored_paths(spark, sf),
+        declared_only=("google_",),
+    )
+
+
+def drift_broken_state(spark: S, sf: str) -> DataFrame:
+    """Status where some documents cannot be read, and one root was never listed."""
+    diff = drift.snapshot_diff(
+        drift.state_documents(d.broken_state(spark, sf, observed=False)), drift.state_documents(d.broken_state(spark, sf, observed=True))
+    )
+    return drift.drift_status(diff, ("hub", "aws", "azure", "empty"))
+
+
 def drift_status(spark: S, sf: str) -> DataFrame:
     return drift.drift_status(state_drift_owned(spark, sf), (*d.ROOTS, "empty"))
 
@@ -118,7 +141,8 @@ QUERIES = {
     for f in (
         error_breaches, latency_breaches, busy_evaluations, held_evaluations, alert_incidents,
         planned_resources, planned_with_replacements, effective_tags, policy_statements, policy_findings,
-        policy_findings_strict, policy_verdicts, state_drift, state_drift_owned, drift_status, digest_agreement,
+        policy_findings_strict, policy_verdicts, policy_broken_plans, state_drift, state_drift_owned, state_drift_nested,
+        drift_status, drift_broken_state, digest_agreement,
     )
 }
 
@@ -244,11 +268,39 @@ ORACLE = {
               count(DISTINCT rule) AS fired FROM r LEFT JOIN found ON r.root = found.root GROUP BY 1)
       SELECT root, failures, warnings, CAST(20 - fired AS BIGINT) AS rules_passed,
         CASE WHEN failures > 0 THEN 'fail' WHEN warnings > 0 THEN 'warn' ELSE 'pass' END AS verdict FROM c""",
+    "policy_broken_plans": f"""WITH {_resources_sql(_KEPT).replace("p_size % 3 AS s,", "p_size % 3 AS s, p_partkey // 100 AS batch,")}, {_RULE_TABLE},
+      b AS (SELECT p_partkey % 4 AS r, p_partkey // 100 AS batch FROM part),
+      renamed AS (SELECT * REPLACE (CASE WHEN root = 'gcp' AND batch % 3 = 1 THEN 'stray' ELSE root END AS root) FROM res WHERE batch % 5 <> 0),
+      said AS (
+        SELECT DISTINCT root, address || ' ' || text AS message, rule, CASE WHEN rule = 'plain-http-listener' THEN 'warn' ELSE 'deny' END AS level
+        FROM renamed JOIN rules ON renamed.t = rules.t AND renamed.s = rules.s
+        UNION ALL SELECT DISTINCT CASE r WHEN 0 THEN 'hub' WHEN 2 THEN 'aws' WHEN 3 THEN 'azure' ELSE CASE WHEN batch % 3 = 1 THEN 'stray' ELSE 'gcp' END END,
+          'cut', 'plan-unreadable', 'deny' FROM b WHERE batch % 5 = 0
+      ),
+      r(root) AS (SELECT root FROM (VALUES ('hub'), ('gcp'), ('aws'), ('azure'), ('empty')) v(root) UNION SELECT root FROM said),
+      c AS (SELECT r.root, count(*) FILTER (level = 'deny') AS failures, count(*) FILTER (level = 'warn') AS warnings, count(DISTINCT rule) AS fired,
+              coalesce(bool_or(rule = 'plan-unreadable'), FALSE) AS unread FROM r LEFT JOIN said ON r.root = said.root GROUP BY 1)
+      SELECT root, failures, warnings, CAST(CASE WHEN unread THEN 0 ELSE 20 - fired END AS BIGINT) AS rules_passed,
+        CASE WHEN failures > 0 THEN 'fail' WHEN warnings > 0 THEN 'warn' ELSE 'pass' END AS verdict FROM c""",
+    "state_drift_nested": """WITH o AS (
+        SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'hub' WHEN 1 THEN 'gcp' WHEN 2 THEN 'aws' ELSE 'azure' END AS root, o_orderkey % 3 = 1 AS google,
+          CASE o_orderkey % 3 WHEN 0 THEN 'aws_thing' WHEN 1 THEN 'google_thing' ELSE 'azurerm_thing' END || '.n' || o_orderkey AS address FROM orders)
+      SELECT root, address, 'labels.hand' AS attr, CAST(NULL AS VARCHAR) AS declared, '"x"' AS observed, 'added' AS change FROM o WHERE k % 40 = 0 AND NOT google
+      UNION ALL SELECT root, address, 'empty.in[0]', NULL, '1', 'added' FROM o WHERE k % 100 = 0 AND NOT google
+      UNION ALL SELECT root, address, 'tags.by', NULL, '"console"', 'added' FROM o WHERE k % 70 = 0 AND NOT google
+      UNION ALL SELECT root, address, 'template[0].containers[0].image', '"v1"', '"v2"', 'changed' FROM o WHERE k % 60 = 0 AND NOT (k % 120 = 0 OR root = 'gcp')
+      UNION ALL SELECT root, address, 'template[0].containers[0].cpu', '1', '2', 'changed' FROM o WHERE k % 110 = 0""",
+    "drift_broken_state": f"""WITH {_DRIFT},
+      s AS (SELECT root, FALSE AS unread FROM diff WHERE k % 130 <> 0 UNION ALL SELECT root, TRUE FROM o WHERE k % 130 = 0),
+      r(root) AS (SELECT root FROM (VALUES ('hub'), ('aws'), ('azure'), ('empty')) v(root) UNION SELECT root FROM s)
+      SELECT r.root, count(s.root) AS changes, CASE WHEN bool_or(unread) THEN 'unreadable' WHEN count(s.root) > 0 THEN 'drift' ELSE 'clean' END AS status
+      FROM r LEFT JOIN s ON r.root = s.root GROUP BY 1""",
     "state_drift": f"WITH {_DRIFT} SELECT root, address, attr, declared, observed, change FROM diff",
     "state_drift_owned": f"WITH {_DRIFT} SELECT root, address, attr, declared, observed, change FROM owned",
     "drift_status": f"""WITH {_DRIFT}, r(root) AS (VALUES ('hub'), ('gcp'), ('aws'), ('azure'), ('empty'))
       SELECT r.root, count(owned.k) AS changes, CASE WHEN count(owned.k) > 0 THEN 'drift' ELSE 'clean' END AS status
       FROM r LEFT JOIN owned ON r.root = owned.root GROUP BY 1""",
     "digest_agreement": """SELECT CAST(p_partkey AS VARCHAR) AS tag, CAST(CASE WHEN p_partkey % 150 = 0 THEN 2 ELSE 3 END AS BIGINT) AS registries,
-      CASE WHEN p_partkey % 150 = 0 THEN 'missing' WHEN p_partkey % 100 = 0 THEN 'differ' ELSE 'same' END AS status FROM part""",
+      CAST(CASE WHEN p_partkey % 150 = 0 THEN 1 ELSE 0 END AS BIGINT) AS missing,
+      CASE WHEN p_partkey % 100 = 0 THEN 'differ' WHEN p_partkey % 150 = 0 THEN 'missing' ELSE 'same' END AS status FROM part""",
 }

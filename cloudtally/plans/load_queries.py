@@ -41,7 +41,7 @@ def run_success(spark: S, sf: str) -> DataFrame:
 
 def schedule_coverage(spark: S, sf: str) -> DataFrame:
     """Counting only runs that reached every request; days without any are kept."""
-    good = d.load_runs(spark, sf).filter((F.col("ok") == F.col("sent")) & (F.col("cloud") == "aws"))
+    good = d.load_runs(spark, sf).filter(F.col("ok") == F.col("sent"))
     return lr.schedule_coverage(good, date(2023, 12, 30), date(2024, 1, 31))
 
 
@@ -151,7 +151,7 @@ ORACLE = {
         CAST(sum(sent) AS BIGINT) AS sent, CAST(sum(ok) AS BIGINT) AS ok FROM runs GROUP BY 1""",
     "schedule_coverage": f"""WITH {RUNS},
       days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day),
-      g AS (SELECT CAST(run_at AS DATE) AS day, count(DISTINCT run_id) AS runs FROM runs WHERE ok = sent AND cloud = 'aws' GROUP BY 1)
+      g AS (SELECT CAST(run_at AS DATE) AS day, count(DISTINCT run_id) AS runs FROM runs WHERE ok = sent GROUP BY 1)
       SELECT days.day, coalesce(runs, 0) AS runs, round(coalesce(runs, 0) / 24.0::DOUBLE, 6) AS coverage
       FROM days LEFT JOIN g ON days.day = g.day""",
     "latency_by_run": _latency("run_id, cloud", "run_id, cloud"),
@@ -160,7 +160,7 @@ ORACLE = {
       p AS (SELECT cloud, CASE WHEN event_id % 101 <> 0 THEN severity END AS severity,
               CASE WHEN event_id % 101 <> 0 THEN 'app' END AS logger, CASE WHEN event_id % 101 <> 0 THEN ts END AS ts FROM logs)
       SELECT cloud, severity, logger, count(*) AS records, CAST(date_trunc('second', max(ts)) AS TIMESTAMP) AS newest FROM p GROUP BY 1, 2, 3""",
-    "errors_by_cloud": f"""WITH {_LOGS} SELECT cloud, day, CASE severity WHEN 'ERROR' THEN CAST(4 AS INTEGER) ELSE CAST(3 AS INTEGER) END AS rank,
+    "errors_by_cloud": f"""WITH {_LOGS} SELECT cloud, day, CASE severity WHEN 'ERROR' THEN CAST(6 AS INTEGER) ELSE CAST(5 AS INTEGER) END AS rank,
         count(*) AS records FROM logs WHERE event_id % 101 <> 0 AND severity IN ('ERROR', 'WARNING') GROUP BY 1, 2, 3""",
     "latest_errors": f"""WITH {_LOGS} SELECT cloud, severity, message, 'app' AS logger, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts
         FROM logs WHERE event_id % 101 <> 0 AND severity = 'ERROR' AND date_trunc('second', ts) > TIMESTAMP '2024-01-19 12:00:00'
@@ -172,8 +172,8 @@ ORACLE = {
     "request_count_check": f"""WITH {RUNS},
       sent AS (SELECT CAST(run_at AS DATE) AS day, cloud, CAST(sum(ok) AS DOUBLE) AS a FROM runs GROUP BY 1, 2),
       scr AS (SELECT *, CAST(time_bucket(INTERVAL '10 minutes', ts) + INTERVAL '10 minutes' AS TIMESTAMP) AS scrape_ts FROM req),
-      stored AS (SELECT CAST(scrape_ts AS DATE) AS day, cloud, CAST(count(*) AS DOUBLE) AS b FROM scr
-        WHERE route <> 'unmatched' AND scrape_ts < TIMESTAMP '2024-01-30' AND (cloud <> 'azure' OR day >= DATE '2024-01-08') GROUP BY 1, 2)
+      stored AS (SELECT CAST(scrape_ts - INTERVAL 1 MICROSECOND AS DATE) AS day, cloud, CAST(count(*) AS DOUBLE) AS b FROM scr
+        WHERE route <> 'unmatched' AND scrape_ts <= TIMESTAMP '2024-01-30' AND (cloud <> 'azure' OR day >= DATE '2024-01-08') GROUP BY 1, 2)
       SELECT coalesce(sent.day, stored.day) AS day, coalesce(sent.cloud, stored.cloud) AS cloud, a AS load_requests, b AS telemetry_requests,
         b - a AS difference, CASE WHEN a IS NULL THEN 'telemetry only' WHEN b IS NULL THEN 'load only'
           WHEN a = b THEN 'same' WHEN b < a THEN 'short' ELSE 'over' END AS status

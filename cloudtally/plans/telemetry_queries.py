@@ -112,6 +112,30 @@ def increase_uneven_step(spark: S, sf: str) -> DataFrame:
     return ntz(m.increase(deltas(spark, sf), ["cloud"], 3 * 3600, 2 * 3600))
 
 
+def increase_sparse_step(spark: S, sf: str) -> DataFrame:
+    """A step longer than the range: most scrapes fall in no range."""
+    return ntz(m.increase(deltas(spark, sf), ["cloud"], 1800, 2 * 3600))
+
+
+def daily_at_midnight(spark: S, sf: str) -> DataFrame:
+    """Requests per day when scrapes are an hour apart, so that one falls on each midnight."""
+    hourly = sr.scrape_counters(d.requests(spark, sf), "1 hour")
+    return m.daily_requests_report(m.daily_requests(sr.counter_deltas(hourly), d.START, d.AS_OF))
+
+
+def series_without_labels(spark: S, sf: str) -> DataFrame:
+    """Counters some of whose series have no route: none of their samples is lost."""
+    bare = d.requests(spark, sf).withColumn("route", F.when(F.col("route") != "unmatched", F.col("route")))
+    counted = sr.cumulative_counter(bare)
+    made = sr.counter_deltas(sr.scrape_counters(bare, d.SCRAPE))
+    app, stored = m.total_increase(made, sr.SERIES), counted.groupBy(*sr.SERIES).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    hours = m.increase(made, ["cloud", "route"], 3600)
+    both = m.vector_and(hours, hours, ["cloud", "route"]).groupBy("cloud", "route").agg(F.count(F.lit(1)).alias("hours"))
+    return m.undercount(app, stored, sr.SERIES).drop("method").join(
+        both.withColumnsRenamed({"cloud": "_c", "route": "_r"}), F.col("cloud").eqNullSafe(F.col("_c")) & F.col("route").eqNullSafe(F.col("_r"))
+    ).drop("_c", "_r")
+
+
 def rate_summed(spark: S, sf: str) -> DataFrame:
     """Rates per series first, summed over routes after."""
     per_series = m.rate(deltas(spark, sf), ["cloud", "route", "status"], d.RANGE_S, d.STEP_S)
@@ -184,22 +208,22 @@ QUERIES = {
     for f in (
         cumulative_counter, route_templates, measured_requests, latency_histogram, zero_filled_series,
         collection_labels, exposition_totals, counter_deltas, unstamped_undercount, label_matchers,
-        increase_by_route, increase_uneven_step, rate_summed, latency_p95, error_ratio, error_ratio_or_zero,
+        increase_by_route, increase_uneven_step, increase_sparse_step, series_without_labels, rate_summed, latency_p95, error_ratio, error_ratio_or_zero,
         busy_and_failing, errors_or_zero, request_rate, request_rate_one_cloud, requests_per_hour,
-        daily_requests, instant_value, instant_values, max_over_time, max_over_time_sliding,
+        daily_requests, daily_at_midnight, instant_value, instant_values, max_over_time, max_over_time_sliding,
     )
 }
 
 # Requests once for every evaluation whose range holds their scrape.
 SPREAD = SCRAPED + """,
 spread AS (
-  SELECT scraped.*, CAST(date_trunc('hour', scrape_ts) + INTERVAL 1 HOUR * k AS TIMESTAMP) AS eval_ts
+  SELECT scraped.*, CAST(date_trunc('hour', scrape_ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR * k AS TIMESTAMP) AS eval_ts
   FROM scraped, (SELECT unnest(range(1, 7)) AS k)
 )"""
 
 HOURLY = SCRAPED + """,
 hourly AS (
-  SELECT *, CAST(date_trunc('hour', scrape_ts) + INTERVAL 1 HOUR AS TIMESTAMP) AS eval_ts FROM scraped
+  SELECT *, CAST(date_trunc('hour', scrape_ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR AS TIMESTAMP) AS eval_ts FROM scraped
 )"""
 
 SAMPLES = SCRAPED + """,
@@ -261,8 +285,19 @@ ORACLE = {
     "increase_uneven_step": f"""WITH {SCRAPED},
       g AS (SELECT unnest(generate_series(TIMESTAMP '2023-12-31 00:00:00', TIMESTAMP '2024-02-01 00:00:00', INTERVAL 1 HOUR)) AS eval_ts)
       SELECT cloud, CAST(eval_ts AS TIMESTAMP) AS eval_ts, CAST(count(*) AS DOUBLE) AS value FROM scraped
-      JOIN g ON scrape_ts >= eval_ts - INTERVAL 3 HOUR AND scrape_ts < eval_ts
-      WHERE (epoch(eval_ts)::BIGINT // 3600 - 3) % 2 = 0 GROUP BY 1, 2""",
+      JOIN g ON scrape_ts > eval_ts - INTERVAL 3 HOUR AND scrape_ts <= eval_ts
+      WHERE epoch(eval_ts)::BIGINT // 3600 % 2 = 0 GROUP BY 1, 2""",
+    "increase_sparse_step": f"""WITH {SCRAPED},
+      g AS (SELECT unnest(generate_series(TIMESTAMP '2023-12-31 00:00:00', TIMESTAMP '2024-02-01 00:00:00', INTERVAL 2 HOUR)) AS eval_ts)
+      SELECT cloud, CAST(eval_ts AS TIMESTAMP) AS eval_ts, CAST(count(*) AS DOUBLE) AS value FROM scraped
+      JOIN g ON scrape_ts > eval_ts - INTERVAL 30 MINUTE AND scrape_ts <= eval_ts GROUP BY 1, 2""",
+    "daily_at_midnight": f"""WITH {REQ} SELECT day, cloud, count(*)::DOUBLE AS requests FROM req
+        WHERE route <> 'unmatched' AND day >= DATE '2024-01-01' AND day < DATE '2024-01-30' GROUP BY 1, 2""",
+    "series_without_labels": f"""WITH {SCRAPED}, x AS (SELECT cloud, nullif(route, 'unmatched') AS route, status,
+          date_trunc('hour', scrape_ts - INTERVAL 1 MICROSECOND) AS h FROM scraped),
+        n AS (SELECT cloud, route, count(DISTINCT h) AS hours FROM x GROUP BY 1, 2)
+        SELECT x.cloud, x.route, status, count(*)::DOUBLE AS app_value, count(*)::DOUBLE AS stored_value, 0::DOUBLE AS missing, any_value(hours) AS hours
+        FROM x JOIN n ON x.cloud = n.cloud AND x.route IS NOT DISTINCT FROM n.route GROUP BY 1, 2, 3""",
     "rate_summed": f"WITH {SPREAD} SELECT cloud, eval_ts, round(count(*) / 21600.0::DOUBLE, 9) AS value FROM spread GROUP BY 1, 2",
     "latency_p95": f"WITH {P95} SELECT cloud, eval_ts, round(value, 9) AS value FROM p95",
     "error_ratio": f"""WITH {HOURLY}, x AS ({_RATIO_ALL.format(rows='hourly')})
@@ -278,16 +313,16 @@ ORACLE = {
     "request_rate_one_cloud": f"""WITH {SPREAD} SELECT cloud, eval_ts, count(*)::DOUBLE / 21600.0::DOUBLE AS value FROM spread
         WHERE route <> 'unmatched' AND cloud = 'azure' GROUP BY 1, 2""",
     "requests_per_hour": f"""WITH {HOURLY} SELECT cloud, route, status, eval_ts, count(*)::DOUBLE AS value FROM hourly GROUP BY 1, 2, 3, 4""",
-    "daily_requests": f"""WITH {SCRAPED} SELECT CAST(scrape_ts AS DATE) AS day, cloud, count(*)::DOUBLE AS requests FROM scraped
-        WHERE route <> 'unmatched' AND scrape_ts >= TIMESTAMP '2024-01-01' AND scrape_ts < TIMESTAMP '2024-01-30' GROUP BY 1, 2""",
+    "daily_requests": f"""WITH {SCRAPED} SELECT CAST(scrape_ts - INTERVAL 1 MICROSECOND AS DATE) AS day, cloud, count(*)::DOUBLE AS requests FROM scraped
+        WHERE route <> 'unmatched' AND scrape_ts > TIMESTAMP '2024-01-01' AND scrape_ts <= TIMESTAMP '2024-01-30' GROUP BY 1, 2""",
     "instant_value": f"""WITH {SAMPLES} SELECT cloud, route, status, arg_max(value, ts) AS value, max(ts) AS ts FROM samples
         WHERE ts > TIMESTAMP '2024-01-15 06:00:00' AND ts <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1, 2, 3""",
     "instant_values": f"""WITH {SAMPLES},
       g AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01', INTERVAL 1 HOUR)) AS TIMESTAMP) AS eval_ts)
       SELECT cloud, route, status, eval_ts, arg_max(value, ts) AS value FROM samples
       JOIN g ON ts <= eval_ts AND ts > eval_ts - INTERVAL 30 MINUTE GROUP BY 1, 2, 3, 4""",
-    "max_over_time_sliding": f"""WITH {SAMPLES} SELECT cloud, status, CAST(date_trunc('hour', ts) + INTERVAL 1 HOUR * k AS TIMESTAMP) AS eval_ts,
+    "max_over_time_sliding": f"""WITH {SAMPLES} SELECT cloud, status, CAST(date_trunc('hour', ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR * k AS TIMESTAMP) AS eval_ts,
         max(value) AS value FROM samples, (SELECT unnest(range(1, 7)) AS k) GROUP BY 1, 2, 3""",
     "max_over_time": f"""WITH {SAMPLES} SELECT cloud, route, status,
-        CAST(time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS TIMESTAMP) AS eval_ts, max(value) AS value FROM samples GROUP BY 1, 2, 3, 4""",
+        CAST(time_bucket(INTERVAL 6 HOUR, ts - INTERVAL 1 MICROSECOND, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS TIMESTAMP) AS eval_ts, max(value) AS value FROM samples GROUP BY 1, 2, 3, 4""",
 }

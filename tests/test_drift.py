@@ -42,7 +42,7 @@ def test_three_changes(spark):
     assert got == {
         "hub": ("age", "30", "7"),
         "aws": ("retention", "1", "3"),
-        "azure": ("tags", '{"env":"dev"}', '{"added":"console","env":"dev"}'),
+        "azure": ("tags.added", None, '"console"'),
     }
     status = {r["root"]: r["status"] for r in drift.drift_status(diff, ROOTS).collect()}
     assert status == {"hub": "drift", "aws": "drift", "azure": "drift", "gcp": "clean"}
@@ -51,7 +51,7 @@ def test_three_changes(spark):
 def test_nothing_is_hidden_unless_asked(spark):
     declared, observed = sides(spark)
     diff = drift.snapshot_diff(declared, observed)
-    assert {(r["root"], r["attr"]) for r in diff.collect()} >= {("aws", "image"), ("gcp", "labels")}
+    assert {(r["root"], r["attr"]) for r in diff.collect()} >= {("aws", "image"), ("gcp", "labels.by")}
 
 
 def test_null_type_and_missing_differ(spark):
@@ -63,10 +63,10 @@ def test_null_type_and_missing_differ(spark):
 
 def test_digests(spark):
     rows = [("t1", r, "d") for r in ("gcp", "aws", "azure")] * 3
-    rows += [("t2", "gcp", "d"), ("t2", "aws", "e"), ("t2", "azure", "d"), ("t3", "gcp", "d"), ("t3", "other", "d")]
+    rows += [("t2", "gcp", "d"), ("t2", "aws", "e"), ("t2", "azure", "d"), ("t3", "gcp", "d"), ("t3", "other", "d"), ("t4", "gcp", "d"), ("t4", "aws", "e")]
     images = spark.createDataFrame(rows, "tag string, registry string, digest string")
-    got = {r["tag"]: r["status"] for r in drift.digest_agreement(images, ["gcp", "aws", "azure"]).collect()}
-    assert got == {"t1": "same", "t2": "differ", "t3": "missing"}
+    got = {r["tag"]: (r["status"], r["missing"]) for r in drift.digest_agreement(images, ["gcp", "aws", "azure"]).collect()}
+    assert got == {"t1": ("same", 0), "t2": ("differ", 0), "t3": ("missing", 2), "t4": ("differ", 1)}
 
 
 def test_spelling_is_not_drift(spark):
@@ -79,3 +79,45 @@ def test_a_resource_on_one_side_only(spark):
     none = both.filter("false")
     assert {(r["attr"], r["change"]) for r in drift.snapshot_diff(both, none).collect()} == {("x", "removed"), ("y", "removed")}
     assert {(r["attr"], r["change"]) for r in drift.snapshot_diff(none, both).collect()} == {("x", "added"), ("y", "added")}
+
+
+def changes(diff):
+    return {(r["attr"], r["declared"], r["observed"], r["change"]) for r in diff.collect()}
+
+
+def test_a_hand_added_label_on_a_provider_that_leaves_it_alone(spark):
+    for before in ({"a": "1"}, {}):
+        declared = state(spark, ("gcp", RUN, {"labels": before}))
+        observed = state(spark, ("gcp", RUN, {"labels": {**before, "hand": "x"}}))
+        assert drift.snapshot_diff(declared, observed, declared_only=["google_"]).count() == 0
+        assert changes(drift.snapshot_diff(declared, observed)) == {("labels.hand", None, '"x"', "added")}
+
+
+def test_paths_at_every_level(spark):
+    declared = state(spark, ("r", "a", {"t": [{"c": [{"image": "1"}]}, 5], "gone": {"x": [], "y": {"z": 1}}, "odd key.": 1, "kind": {"k": 1}}))
+    observed = state(spark, ("r", "a", {"t": [{"c": [{"image": "2"}, {"n": None}]}], "odd key.": 2, "kind": 3}))
+    assert changes(drift.snapshot_diff(declared, observed)) == {
+        ("t[0].c[0].image", '"1"', '"2"', "changed"), ("t[0].c[1].n", None, "null", "added"), ("t[1]", "5", None, "removed"),
+        ("gone.x", "[]", None, "removed"), ("gone.y.z", "1", None, "removed"), ("['odd key.']", "1", "2", "changed"),
+        ("kind", "{}", "3", "changed"), ("kind.k", "1", None, "removed"),
+    }
+    shallow = changes(drift.snapshot_diff(declared, observed, depth=1))
+    assert ("t", '[{"c":[{"image":"1"}]},5]', '[{"c":[{"image":"2"},{"n":null}]}]', "changed") in shallow
+
+
+def test_what_another_process_owns_is_owned_below_too_and_in_its_root(spark):
+    rows = [(root, "a", {"t": {"image": 1, "images": 1}}) for root in ("hub", "gcp")]
+    declared, observed = state(spark, *rows), state(spark, *[(r, a, {"t": {"image": {"v": 2}, "images": 2}}) for r, a, _ in rows])
+    owned = spark.createDataFrame([("hub", "a", "t.image")], "root string, address string, attr string")
+    got = {(r["root"], r["attr"]) for r in drift.snapshot_diff(declared, observed, ignore=owned).collect()}
+    assert got == {("hub", "t.images"), ("gcp", "t.images"), ("gcp", "t.image"), ("gcp", "t.image.v")}
+
+
+def test_documents_that_cannot_be_read_are_not_clean(spark):
+    rows = lambda *texts: drift.state_documents(
+        spark.createDataFrame([(f"r{i}", "a", t) for i, t in enumerate(texts)], "root string, address string, state string")
+    )
+    diff = drift.snapshot_diff(rows('{"a": 1', '{"a": 1', None, "{}"), rows('{"b', '{"a": 1}', "{}", "{}"))
+    assert {(r["root"], r["change"]) for r in diff.collect()} == {("r0", "unreadable"), ("r1", "unreadable"), ("r2", "unreadable")}
+    status = {r["root"]: r["status"] for r in drift.drift_status(diff, ["r1", "r3"]).collect()}
+    assert status == {"r0": "unreadable", "r1": "unreadable", "r2": "unreadable", "r3": "clean"}
