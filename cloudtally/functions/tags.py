@@ -32,11 +32,12 @@ def pairs_from_text(text: Column, lenient: bool = False) -> Column:
 
     By default only text values written with no space around the colon count,
     which is how the export writes them. ``lenient`` reads it as JSON instead.
-    NULL text gives an empty array.
+    NULL text, and text that is neither, gives an empty array.
     """
     if lenient:
         as_map = F.from_json(F.coalesce(text, F.lit("{}")), "map<string,string>")
-        return F.transform(F.map_entries(as_map), lambda e: _pair(e["key"], e["value"]))
+        pairs = F.transform(F.map_entries(as_map), lambda e: _pair(e["key"], e["value"]))
+        return F.coalesce(pairs, F.array().cast(TAG_ARRAY))
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit('"[^"]+":"[^"]*"'), F.lit(0))
     # A match is "key":"value" and neither side can hold a quote.
     return F.transform(

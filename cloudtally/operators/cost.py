@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,15 +124,20 @@ def denominators(load_runs: DataFrame) -> DataFrame:
     )
 
 
-def unit_cost(focus: DataFrame, load_runs: DataFrame, start: date, platform: Platform) -> DataFrame:
+def unit_cost(
+    focus: DataFrame, load_runs: DataFrame, start: date, platform: Platform, places: int | None = 4
+) -> DataFrame:
     """Cost per estate and day, and per thousand requests.
 
-    Cost drives the join: requests never create a row. Only the final figures
-    are rounded, and the ratio is taken from the unrounded cost.
+    Cost drives the join: requests never create a row, and none before
+    ``start`` are read. Only the final figures are rounded, to ``places`` (not at
+    all without), and the ratio is taken from the unrounded cost.
     """
     cost = daily_cost(attribute(charges_since(focus, start), platform))
-    both = cost.join(denominators(load_runs), ["day", "estate"], "left")
-    money = [F.round(c, 4).alias(c) for c in ("cost", "tagged_cost", "inferred_cost", "project_cost")]
+    runs = load_runs.filter(F.col("run_at") >= F.lit(start).cast("timestamp"))
+    both = cost.join(denominators(runs), ["day", "estate"], "left")
+    figures = ("cost", "tagged_cost", "inferred_cost", "project_cost")
+    money = [F.col(c) if places is None else F.round(c, places).alias(c) for c in figures]
     return both.select(
         "day",
         "estate",
@@ -153,7 +158,14 @@ def outside_charges(focus: DataFrame, start: date, platform: Platform) -> DataFr
     )
 
 
+def report_start(as_of: date, days: int = 7, start: date | None = None) -> date:
+    """The first day a report over the last days needs: bills and requests are read from it on."""
+    since = as_of - timedelta(days=days)
+    return since if start is None else max(since, start)
+
+
 def recent_unit_cost(unit: DataFrame, as_of: date, days: int = 7) -> DataFrame:
+    """The last days of a unit cost that was made from ``report_start`` on."""
     return unit.filter(F.col("day") >= F.date_sub(F.lit(as_of), days)).orderBy("day", "estate")
 
 
@@ -199,8 +211,12 @@ def tag_coverage(daily: DataFrame) -> DataFrame:
 
 
 def full_day_summary(unit: DataFrame, first: date, last: date) -> DataFrame:
-    """Over complete days: mean daily cost, range of unit cost, a 30-day projection."""
-    mean = F.try_divide(F.sum("cost"), F.count("cost"))
+    """Over complete days: mean daily cost, range of unit cost, a 30-day projection.
+
+    The mean is over calendar days: a day without a charge costs nothing.
+    ``days`` counts the days that had one.
+    """
+    mean = F.sum("cost") / F.lit((last - first).days + 1)
     unit_price = F.col("cost_per_1000_requests")
     return (
         unit.filter(F.col("day").between(F.lit(first), F.lit(last)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cloudtally.functions.dates import month_of, pacific_midnight, us_date
 from cloudtally.functions.money import to_money
 from cloudtally.functions.tags import drop_key_prefix, own_then_inherited, pairs_from_text
-from cloudtally.schemas import FOCUS, MONEY, require_shape
+from cloudtally.schemas import FOCUS, MONEY, ShapeError, require_shape
 
 # Provider names in the shared schema.
 AWS = "AWS"
@@ -20,14 +20,15 @@ MICROSOFT = "Microsoft"
 
 
 def _shared(df: DataFrame, what: str, **computed: Column) -> DataFrame:
-    """The shared columns in order: computed where given, passed through otherwise."""
+    """The shared columns in order: computed where given, passed through otherwise.
+
+    A raw table must have every column that is passed through.
+    """
     have = set(df.columns)  # asked once: each look at a plan's columns is a call to the driver's JVM
-    columns = [
-        computed[f.name].alias(f.name)
-        if f.name in computed
-        else F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
-        for f in FOCUS.fields
-    ]
+    missing = [f.name for f in FOCUS.fields if f.name not in computed and f.name not in have]
+    if missing:
+        raise ShapeError(f"{what}: the raw table has no " + ", ".join(missing))
+    columns = [computed[f.name].alias(f.name) if f.name in computed else F.col(f.name) for f in FOCUS.fields]
     return require_shape(df.select(*columns), FOCUS, what)
 
 
@@ -103,23 +104,44 @@ def focus_all(*bills: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, checked)
 
 
-def months_from(raw: DataFrame, start: date, widen: int = 0, month_column: str = "billing_month") -> DataFrame:
+def months_from(
+    raw: DataFrame, start: date, widen: int = 0, month_column: str = "billing_month", partitioned: bool = True
+) -> DataFrame:
     """Keep raw partitions that can hold charges from ``start`` on.
 
     A charge date computed from text cannot reach the file scan, but the load's
     own month partition can. ``widen`` keeps earlier months too, for an export
-    whose billing month does not line up with the charge date.
+    whose billing month does not line up with the charge date. A table without
+    the month column is an error, unless it is said not to be ``partitioned``:
+    then it is read whole.
     """
-    if month_column not in raw.columns:
+    if not partitioned:
         return raw
+    if month_column not in raw.columns:
+        raise ShapeError(f"a table partitioned by {month_column} has no such column")
     first = F.add_months(F.trunc(F.lit(start), "MM"), -widen)
     return raw.filter(F.col(month_column) >= first)
 
 
 def focus_since(aws: DataFrame, azure: DataFrame, gcp: DataFrame, start: date) -> DataFrame:
-    """The stacked bill with every raw table pruned to the months that matter."""
+    """The stacked bill from the month of ``start`` on, pruned to the months that matter.
+
+    The loaded tables are partitioned by month. The third one is another
+    system's table, read in place; its charge dates reach the scan by themselves.
+    """
     return focus_all(
         focus_aws(months_from(aws, start, widen=1)),
-        focus_gcp(months_from(gcp, start, widen=1)),
+        focus_gcp(gcp),
         focus_azure(months_from(azure, start)),
     )
+
+
+def billed_in(aws: DataFrame, azure: DataFrame, gcp: DataFrame, month: date, month_column: str = "billing_month") -> DataFrame:
+    """The stacked bill of one billing month; of the loaded tables only its partition is read."""
+    first = F.trunc(F.lit(month), "MM")
+    rows = focus_all(
+        focus_aws(months_from(aws, month, month_column=month_column).filter(F.col(month_column) == first)),
+        focus_gcp(gcp),
+        focus_azure(months_from(azure, month, month_column=month_column).filter(F.col(month_column) == first)),
+    )
+    return rows.filter(F.col("BillingPeriodStart") == first.cast("timestamp"))

@@ -35,8 +35,12 @@ def attributed(spark: S, sf: str) -> DataFrame:
     return cost.attribute(cost.charges_since(pruned(spark, sf), d.START), d.PLATFORM)
 
 
-def unit(spark: S, sf: str) -> DataFrame:
-    return cost.unit_cost(pruned(spark, sf), d.load_runs(spark, sf), d.START, d.PLATFORM)
+def unit(spark: S, sf: str, places: int | None = 4) -> DataFrame:
+    return cost.unit_cost(pruned(spark, sf), d.load_runs(spark, sf), d.START, d.PLATFORM, places)
+
+
+def bills(spark: S, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return d.aws_bill(spark, sf), d.azure_bill(spark, sf), d.gcp_bill(spark, sf)
 
 
 def _flat_bill(bill: DataFrame) -> DataFrame:
@@ -150,7 +154,9 @@ def unit_cost(spark: S, sf: str) -> DataFrame:
 
 
 def recent_unit_cost(spark: S, sf: str) -> DataFrame:
-    return _unit_out(cost.recent_unit_cost(unit(spark, sf), d.AS_OF))
+    since = cost.report_start(d.AS_OF, start=d.START)
+    made = cost.unit_cost(focus.focus_since(*bills(spark, sf), since), d.load_runs(spark, sf), since, d.PLATFORM)
+    return _unit_out(cost.recent_unit_cost(made, d.AS_OF))
 
 
 def outside_charges(spark: S, sf: str) -> DataFrame:
@@ -175,11 +181,12 @@ def cost_conservation(spark: S, sf: str) -> DataFrame:
 
 
 def recent_spend(spark: S, sf: str) -> DataFrame:
-    return cost.recent_spend(stacked(spark, sf), d.AS_OF, above=1000.0).withColumn("cost", flat_money("cost", 4))
+    recent = focus.focus_since(*bills(spark, sf), cost.report_start(d.AS_OF))
+    return cost.recent_spend(recent, d.AS_OF, above=1000.0).withColumn("cost", flat_money("cost", 4))
 
 
 def spend_to_date(spark: S, sf: str) -> DataFrame:
-    return cost.spend_to_date(stacked(spark, sf), d.START).withColumn("billed", flat_money("billed", 4))
+    return cost.spend_to_date(focus.billed_in(*bills(spark, sf), d.START), d.START).withColumn("billed", flat_money("billed", 4))
 
 
 def tag_coverage(spark: S, sf: str) -> DataFrame:
@@ -189,7 +196,7 @@ def tag_coverage(spark: S, sf: str) -> DataFrame:
 
 
 def full_day_summary(spark: S, sf: str) -> DataFrame:
-    summary = cost.full_day_summary(unit(spark, sf), date(2024, 1, 2), date(2024, 1, 28))
+    summary = cost.full_day_summary(unit(spark, sf, places=None), date(2024, 1, 2), date(2024, 1, 28))
     return summary.select(
         "estate", "days", *[flat_money(c, 4) for c in ("lowest_unit_cost", "highest_unit_cost")],
         F.round(F.col("cost_per_day").cast("double"), 2).alias("cost_per_day"),
@@ -300,9 +307,9 @@ ORACLE = {
         round(CAST(sum(tagged_cost) AS DOUBLE) / nullif(CAST(sum(cost) AS DOUBLE), 0), 4) AS coverage FROM spent GROUP BY 1""",
     "full_day_summary": f"""WITH {UNIT} SELECT estate, count(*) AS days,
         min(cost_per_1000_requests) AS lowest_unit_cost, max(cost_per_1000_requests) AS highest_unit_cost,
-        round(CAST(sum(cost) AS DOUBLE) / count(*), 2) AS cost_per_day,
-        round(CAST(sum(cost) AS DOUBLE) / count(*) * 30, 0) AS thirty_days
-        FROM unit WHERE day BETWEEN DATE '2024-01-02' AND DATE '2024-01-28' GROUP BY 1""",
+        round(CAST(sum(s.cost) AS DOUBLE) / 27, 2) AS cost_per_day,
+        round(CAST(sum(s.cost) AS DOUBLE) / 27 * 30, 0) AS thirty_days
+        FROM unit JOIN spent s USING (day, estate) WHERE day BETWEEN DATE '2024-01-02' AND DATE '2024-01-28' GROUP BY 1""",
     "provider_totals": f"""WITH {BILL} SELECT provider AS "ProviderName", {dbl('sum(billed)', 'billed')} FROM charge GROUP BY 1
         UNION ALL SELECT 'all', {dbl('sum(billed)', 'billed')} FROM charge""",
     "estate_makeup": f"""WITH {ASSIGNED},

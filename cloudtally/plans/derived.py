@@ -127,6 +127,7 @@ def azure_bill(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/subscriptions/s/resourceGroups/rg/"), tail).alias("ResourceId"),
         tags.alias("tags"),
         F.lit("unused").alias("meterId"),
+        F.trunc("day", "MM").alias("billing_month"),
     )
 
 

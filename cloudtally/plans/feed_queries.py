@@ -5,17 +5,22 @@ What they write goes to the shared scratch folder; each run takes a new one.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudtally.functions.tags import tags_as_text
-from cloudtally.operators import focus
+from cloudtally.operators import cost, focus, metrics, policy
+from cloudtally.operators.series import counter_deltas
 from cloudtally.plans import cost_queries as cq
 from cloudtally.plans import derived as d
 from cloudtally.plans.load_queries import _LOGS
 from cloudtally.plans.oracle_parts import ASSIGNED, BILL, RUNS, UNIT, dbl
+from cloudtally.plans import check_queries as ck
+from cloudtally.plans.load_queries import SCRAPED
 from cloudtally.plans.telemetry_queries import SAMPLES, ntz
-from cloudtally.schemas import LOAD_RUNS
+from cloudtally.schemas import LOAD_RUNS, REQUESTS_DAILY
 from cloudtally.session import scratch_dir
 from cloudtally.sources import files, months, views
 from cloudtally.streaming import alerts, increments, sinks, sources
@@ -36,20 +41,69 @@ def monthly_load(spark: S, sf: str) -> DataFrame:
 
 
 def pruned_unit_cost(spark: S, sf: str) -> DataFrame:
-    """Cost per estate over a loaded table: only the months that matter are read."""
-    root = scratch_dir(spark, "aws-pruned")
-    d.aws_bill(spark, sf).write.partitionBy("billing_month").parquet(f"{root}/raw")
-    raw = files.read_export(spark, f"{root}/raw")
-    recent = focus.focus_aws(focus.months_from(raw, d.START))
-    return recent.groupBy(F.to_date("ChargePeriodStart").alias("day")).agg(
-        F.sum("BilledCost").alias("billed"), F.count(F.lit(1)).alias("charges")
+    """Recent unit cost over loaded tables: only the months that matter are read."""
+    root = scratch_dir(spark, "pruned")
+    d.aws_bill(spark, sf).write.partitionBy("billing_month").parquet(f"{root}/aws")
+    d.azure_bill(spark, sf).write.partitionBy("billing_month").parquet(f"{root}/azure")
+    raw = [files.read_export(spark, f"{root}/{name}") for name in ("aws", "azure")]
+    since = cost.report_start(d.AS_OF, start=d.START)
+    bills = focus.focus_since(*raw, d.gcp_bill(spark, sf), since)
+    return cq._unit_out(cost.recent_unit_cost(cost.unit_cost(bills, d.load_runs(spark, sf), since, d.PLATFORM), d.AS_OF))
+
+
+def azure_monthly_load(spark: S, sf: str) -> DataFrame:
+    """The text bill's two months loaded from CSV, older copies of each month lying beside the newest."""
+    root = scratch_dir(spark, "azure-load")
+    bill = d.azure_bill(spark, sf).withColumn("subscriptionName", F.lit("lab, main"))
+    for period, last in (("202312", "20231231"), ("202401", "20240131")):
+        month = bill.filter(F.date_format("billing_month", "yyyyMM") == period).drop("billing_month")
+        # An older copy holds part of the month; what is written last is the newest.
+        for copy, rows in enumerate((month.filter(F.col("meterCategory") != "Storage"), month)):
+            folder = f"{root}/export/{period}01-{last}/run-{9 - copy}"
+            rows.coalesce(1).write.option("escape", '"').csv(folder, header=True)
+    for _ in range(2):
+        audit = months.load_azure(spark, f"{root}/export", f"{root}/raw", d.AS_OF, line_breaks=False)
+    return audit.withColumn("billed_cost", F.col("billed_cost").cast("double"))
+
+
+def emptied_month(spark: S, sf: str) -> DataFrame:
+    """A month rewritten with no rows, and another with a new column: what the table then holds."""
+    root = scratch_dir(spark, "emptied")
+    bill = d.aws_bill(spark, sf)
+    parts = {p: bill.filter(F.date_format("billing_month", "yyyy-MM") == p).select("ProviderName", "BilledCost") for p in ("2023-12", "2024-01")}
+    for period, rows in parts.items():
+        months.replace_month(rows, f"{root}/raw", period)
+    months.replace_month(parts["2023-12"].limit(0), f"{root}/raw", "2023-12")
+    months.replace_month(parts["2024-01"].withColumn("x_Added", F.lit("new")), f"{root}/raw", "2024-01")
+    held = files.read_export(spark, f"{root}/raw")
+    return held.groupBy(F.col("billing_month").cast("date").alias("billing_month"), "x_Added").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum(F.col("BilledCost").cast("decimal(38,9)")).alias("billed")
     ).withColumn("billed", cq.flat_money("billed"))
 
 
+def requests_daily_table(spark: S, sf: str) -> DataFrame:
+    """Daily request counts kept as a table that every run replaces."""
+    root = scratch_dir(spark, "requests-daily")
+    deltas = counter_deltas(d.counter_samples(spark, sf))
+    for as_of in (date(2024, 1, 20), d.AS_OF):
+        daily = metrics.daily_requests(deltas, d.START, as_of).select(*REQUESTS_DAILY.names)
+        files.replace_table(daily, f"{root}/table")
+    return spark.read.schema(REQUESTS_DAILY).parquet(f"{root}/table")
+
+
+def plan_files_verdicts(spark: S, sf: str) -> DataFrame:
+    """Plans kept as files, one document each and named by its root, read whole and judged."""
+    root = scratch_dir(spark, "plan-files")
+    documents = d.plan_documents(spark, sf, keep_batch=True)
+    documents.select("plan", "root", "batch").write.partitionBy("root", "batch").text(f"{root}/plans")
+    read = files.read_documents(spark, f"{root}/plans", named_by="root")
+    return policy.verdicts(policy.plan_findings(read), (*d.ROOTS, "empty"))
+
+
 def text_csv_bill(spark: S, sf: str) -> DataFrame:
     """The text bill written as CSV, with quotes and line breaks in values, and read back."""
     root = scratch_dir(spark, "azure-csv")
-    d.azure_bill(spark, sf).write.option("escape", '"').csv(f"{root}/csv", header=True)
+    d.azure_bill(spark, sf).drop("billing_month").write.option("escape", '"').csv(f"{root}/csv", header=True)
     bill = focus.focus_azure(files.read_text_csv(spark, f"{root}/csv"))
     return (
         bill.groupBy("SubAccountName", "ChargeCategory", "ServiceName", tags_as_text(F.col("Tags")).alias("tags"))
@@ -80,7 +134,7 @@ def _views(spark: S, sf: str) -> None:
 
 def view_recent_unit_cost(spark: S, sf: str) -> DataFrame:
     _views(spark, sf)
-    return cq._unit_out(views.recent_unit_cost(spark, d.AS_OF))
+    return cq._unit_out(views.recent_unit_cost(spark, d.AS_OF, d.START, d.PLATFORM))
 
 
 def view_recent_spend(spark: S, sf: str) -> DataFrame:
@@ -139,7 +193,7 @@ def stream_incidents(spark: S, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        monthly_load, pruned_unit_cost, text_csv_bill, json_table_load, view_recent_unit_cost, view_recent_spend,
+        monthly_load, azure_monthly_load, emptied_month, pruned_unit_cost, requests_daily_table, plan_files_verdicts, text_csv_bill, json_table_load, view_recent_unit_cost, view_recent_spend,
         log_stream, scrape_stream, stream_increments, stream_incidents,
     )
 }
@@ -172,8 +226,14 @@ incidents AS (SELECT cloud, incident, min(eval_ts) AS opened_at, max(eval_ts) AS
 ORACLE = {
     "monthly_load": f"""WITH {BILL} SELECT strftime(month, '%Y-%m') AS period, count(*) AS row_count, {dbl('sum(gross)', 'billed_cost', 4)}
         FROM charge WHERE provider = 'AWS' GROUP BY 1""",
-    "pruned_unit_cost": f"""WITH {BILL} SELECT day, {dbl('sum(gross)', 'billed')}, count(*) AS charges FROM charge
-        WHERE provider = 'AWS' AND day >= DATE '2024-01-01' GROUP BY 1""",
+    "azure_monthly_load": f"""WITH {BILL} SELECT strftime(month, '%Y-%m') AS period, count(*) AS row_count, {dbl('sum(gross)', 'billed_cost', 4)}
+        FROM charge WHERE provider = 'Microsoft' GROUP BY 1""",
+    "emptied_month": f"""WITH {BILL} SELECT DATE '2024-01-01' AS billing_month, 'new' AS "x_Added", count(*) AS row_count, {dbl('sum(gross)', 'billed')}
+        FROM charge WHERE provider = 'AWS' AND month = DATE '2024-01-01'""",
+    "pruned_unit_cost": f"WITH {UNIT} {cq._UNIT_SELECT} WHERE day >= DATE '2024-01-23'",
+    "requests_daily_table": f"""WITH {SCRAPED} SELECT CAST(scrape_ts - INTERVAL 1 MICROSECOND AS DATE) AS day, cloud, count(*)::DOUBLE AS requests
+        FROM scraped WHERE route <> 'unmatched' AND scrape_ts > TIMESTAMP '2024-01-01' AND scrape_ts <= TIMESTAMP '2024-01-30' GROUP BY 1, 2""",
+    "plan_files_verdicts": ck.ORACLE["policy_verdicts"],
     "text_csv_bill": f"""WITH {BILL}, f AS ({cq._AZURE_FLAT}) SELECT "SubAccountName", "ChargeCategory", "ServiceName", "Tags" AS tags,
         count(*) AS charges, CAST(sum(CAST("BilledCost" AS DECIMAL(38,6))) AS DOUBLE) AS billed FROM f GROUP BY 1, 2, 3, 4""",
     "json_table_load": f"WITH {RUNS} SELECT run_id, cloud, sent, ok, run_at FROM runs",

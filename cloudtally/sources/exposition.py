@@ -17,8 +17,16 @@ def _unescaped(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("\\")), F.replace(opened, F.lit("\u0000"), F.lit("\\"))).otherwise(text)
 
 
+def rejected_lines(lines: DataFrame, text: str = "value") -> DataFrame:
+    """Sample lines whose value cannot be read: what ``parse_exposition`` leaves out, as it came."""
+    kept = lines.columns
+    return _samples(lines.withColumn("_line", F.col(text)), text).filter(F.col("value").isNull()).select(
+        *[F.col("_line").alias(c) if c == text else c for c in kept]
+    )
+
+
 def parse_exposition(lines: DataFrame, text: str = "value") -> DataFrame:
-    """``metric``, ``labels`` (a map) and ``value`` for every sample line.
+    """``metric``, ``labels`` (a map) and ``value`` for every sample line with a value.
 
     Other columns, such as the target and the scrape time, are kept. Comments
     and blank lines are dropped. Works the same on a stream of text.
@@ -27,22 +35,37 @@ def parse_exposition(lines: DataFrame, text: str = "value") -> DataFrame:
     a value nor a time holds one; only the labels need a pattern.
     """
     kept = [c for c in lines.columns if c != text]
-    line = F.trim(F.translate(F.col(text), "\t", " "))
+    names = F.regexp_extract_all("_labels", F.lit(LABEL), F.lit(1))
+    values = F.transform(F.regexp_extract_all("_labels", F.lit(LABEL), F.lit(2)), _unescaped)
+    return _samples(lines, text).filter(F.col("value").isNotNull()).select(
+        *kept, "metric", F.map_from_arrays(names, values).alias("labels"), "value"
+    )
+
+
+def _samples(lines: DataFrame, text: str) -> DataFrame:
+    """Sample lines as metric, text of the labels, and value, NULL if it is no number."""
+    kept = [c for c in lines.columns if c != text]
+    # Tabs separate like spaces, but not inside the braces, where they belong to a value.
+    open_at, close = F.instr(F.col(text), "{"), F.substring_index(F.col(text), "}", -1)
+    spaced = F.when(
+        open_at > 0,
+        F.concat(
+            F.translate(F.substr(F.col(text), F.lit(1), open_at), "\t", " "),
+            F.substr(F.col(text), open_at + 1, F.length(text) - F.length(close) - open_at),
+            F.translate(close, "\t", " "),
+        ),
+    ).otherwise(F.translate(F.col(text), "\t", " "))
+    line = F.trim(spaced)
     braced = F.contains(line, F.lit("{"))
     name = F.trim(F.when(braced, F.substring_index(line, "{", 1)).otherwise(F.substring_index(line, " ", 1)))
     after = F.when(braced, F.substring_index(line, "}", -1)).otherwise(F.substr(line, F.length(name) + F.lit(1)))
     inside = F.when(braced, F.substr(line, F.instr(line, "{")))
-    names = F.regexp_extract_all("_labels", F.lit(LABEL), F.lit(1))
-    values = F.transform(F.regexp_extract_all("_labels", F.lit(LABEL), F.lit(2)), _unescaped)
-    samples = lines.filter(F.col(text).rlike(SAMPLE)).select(
+    return lines.filter(F.col(text).rlike(SAMPLE)).select(
         *kept,
         name.alias("metric"),
         F.coalesce(inside, F.lit("")).alias("_labels"),
         F.substring_index(F.ltrim(after), " ", 1).try_cast("double").alias("value"),
     )
-    return samples.filter(F.col("value").isNotNull()).select(
-        *kept, "metric", F.map_from_arrays(names, values).alias("labels"), "value"
-    )
 
 
 def label_columns(samples: DataFrame, *names: str) -> DataFrame:

@@ -27,15 +27,21 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def read_documents(spark: SparkSession, path: str, name: str = "plan") -> DataFrame:
-    """Whole JSON documents, a row per file, with the file's base name as ``root``."""
+def read_documents(spark: SparkSession, path: str, name: str = "plan", named_by: str | None = None) -> DataFrame:
+    """Whole JSON documents, a row per file, with the file's base name as ``root``, or a folder's ``named_by=`` part."""
+    if named_by:
+        read = spark.read.option("basePath", path).text(path, wholetext=True)
+        return read.select(F.col(named_by).cast("string").alias("root"), F.col("value").alias(name))
     base = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
     return spark.read.text(path, wholetext=True).select(base.alias("root"), F.col("value").alias(name))
 
 
 def read_export(spark: SparkSession, where: str) -> DataFrame:
-    """An export another system keeps, read in place by path or by table name."""
-    return spark.read.parquet(where) if "/" in where else spark.table(where)
+    """An export another system keeps, read in place by path or by table name.
+
+    A column that first appears in a later file is there too, NULL before.
+    """
+    return spark.read.option("mergeSchema", "true").parquet(where) if "/" in where else spark.table(where)
 
 
 def replace_table(df: DataFrame, path: str) -> None:

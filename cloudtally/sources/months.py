@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date, timedelta
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudtally.functions.money import to_money
-from cloudtally.sources.files import read_text_csv
+from cloudtally.sources.files import read_export, read_text_csv
 
 MONTH = "billing_month"
 
@@ -64,26 +65,24 @@ def newest_export(spark: SparkSession, root: str, period: str) -> str | None:
     return files.agg(F.max(F.struct("modificationTime", "path"))["path"].alias("path")).first()["path"]
 
 
-def read_azure_month(spark: SparkSession, root: str, period: str) -> DataFrame | None:
+def read_azure_month(spark: SparkSession, root: str, period: str, line_breaks: bool = True) -> DataFrame | None:
     path = newest_export(spark, root, period)
-    return None if path is None else read_text_csv(spark, path)
+    return None if path is None else read_text_csv(spark, path, line_breaks)
 
 
 def replace_month(df: DataFrame, table_path: str, period: str) -> None:
-    """Put ``df`` in place of one month's partition; other months stay as they are."""
-    (
-        df.withColumn(MONTH, F.lit(month_start(period)))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(MONTH)
-        .parquet(table_path)
-    )
+    """Put ``df`` in place of one month's partition; other months stay as they are.
+
+    The month's own folder is overwritten, so a month rewritten without rows
+    loses the ones it had.
+    """
+    df.drop(MONTH).write.mode("overwrite").parquet(f"{table_path}/{MONTH}={month_start(period)}")
 
 
 def load_audit(spark: SparkSession, table_path: str, period: str, cost: str) -> DataFrame:
     """Rows and billed total of a loaded month; only its partition is read."""
     return (
-        spark.read.parquet(table_path)
+        read_export(spark, table_path)
         .filter(F.col(MONTH) == F.lit(month_start(period)))
         .agg(F.count(F.lit(1)).alias("row_count"), F.round(F.sum(to_money(F.col(cost))), 4).alias("billed_cost"))
         .select(F.lit(period).alias("period"), "row_count", "billed_cost")
@@ -107,6 +106,11 @@ def load_aws(spark: SparkSession, root: str, table_path: str, as_of: date) -> Da
     return _load(spark, read_parquet_month, root, table_path, billing_periods(as_of), "BilledCost")
 
 
-def load_azure(spark: SparkSession, root: str, table_path: str, as_of: date) -> DataFrame | None:
-    """Load the newest CSV of the rolling two months; returns the audit."""
-    return _load(spark, read_azure_month, root, table_path, billing_periods(as_of), "costInBillingCurrency")
+def load_azure(spark: SparkSession, root: str, table_path: str, as_of: date, line_breaks: bool = True) -> DataFrame | None:
+    """Load the newest CSV of the rolling two months; returns the audit.
+
+    An export whose values hold no line breaks is read by many tasks if
+    ``line_breaks`` is false; else a month's file goes through one.
+    """
+    read = partial(read_azure_month, line_breaks=line_breaks)
+    return _load(spark, read, root, table_path, billing_periods(as_of), "costInBillingCurrency")

@@ -52,26 +52,14 @@ def create_views(spark: SparkSession, start: date, platform: Platform) -> None:
         view.createOrReplaceTempView(name)
 
 
-def recent_unit_cost(spark: SparkSession, as_of: date, days: int = 7) -> DataFrame:
-    """The runbook's first query, in SQL over the view, with named parameters."""
-    return spark.sql(
-        "SELECT * FROM unit_cost WHERE day >= date_sub(:as_of, :days) ORDER BY day, estate",
-        args={"as_of": as_of, "days": days},
-    )
+def recent_unit_cost(spark: SparkSession, as_of: date, start: date, platform: Platform, days: int = 7) -> DataFrame:
+    """The runbook's first query. Only the months and requests of its days are read."""
+    since = cost.report_start(as_of, days, start)
+    bills = focus.focus_since(*[spark.table(t) for t in ("aws_focus", "azure_actual", "gcp_focus")], since)
+    return cost.recent_unit_cost(cost.unit_cost(bills, spark.table("load_runs"), since, platform), as_of, days)
 
 
 def recent_spend(spark: SparkSession, as_of: date, days: int = 7, above: float = 0.01) -> DataFrame:
     """The runbook's second query: the same days by provider, service and project tag."""
-    return spark.sql(
-        """
-        SELECT to_date(ChargePeriodStart) AS day, ProviderName, ServiceName,
-               get(filter(Tags, t -> t.key = 'project'), 0).value AS project,
-               round(sum(BilledCost), 4) AS cost
-        FROM focus_all
-        WHERE ChargePeriodStart >= CAST(date_sub(:as_of, :days) AS TIMESTAMP)
-        GROUP BY ALL
-        HAVING cost > CAST(:above AS DECIMAL(38,9))
-        ORDER BY day, cost DESC
-        """,
-        args={"as_of": as_of, "days": days, "above": above},
-    )
+    bills = focus.focus_since(*[spark.table(t) for t in ("aws_focus", "azure_actual", "gcp_focus")], cost.report_start(as_of, days))
+    return cost.recent_spend(bills, as_of, days, above)

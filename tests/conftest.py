@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
         "tests",
         "local[8]",
         **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false",
-           "spark.checkpoint.dir": tmp_path_factory.mktemp("scratch").as_uri()},
+           "spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch"))},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -248,3 +248,52 @@ def test_charge_window_reaches_the_scan(spark, folder):
 
 def test_focus_contract_has_eighteen_columns():
     assert len(FOCUS.fields) == 18 and isinstance(FOCUS["BilledCost"].dataType, T.DecimalType)
+
+
+def test_a_raw_table_must_have_what_it_passes_on(spark):
+    whole = bill(spark, charge("AWS", TENTH, 1)).withColumn("Tags", F.struct(F.col("Tags").alias("key_value")))
+    assert focus.focus_aws(whole).count() == 1
+    for name in ("ProviderName", "ServiceName", "ListCost"):
+        with pytest.raises(Exception, match=name):
+            focus.focus_aws(whole.drop(name))
+
+
+def test_months_need_their_column_unless_told(spark):
+    raw = spark.range(3).withColumnRenamed("id", "x")
+    with pytest.raises(ShapeError, match="billing_month"):
+        focus.months_from(raw, TENTH)
+    assert focus.months_from(raw, TENTH, partitioned=False).count() == 3
+
+
+def test_a_summary_is_over_calendar_days(spark):
+    rows = [(date(2026, 10, 1), "aws", D("4.00004"), D("1")), (date(2026, 10, 3), "aws", D("4.00004"), D("3"))]
+    unit = spark.createDataFrame(rows, "day date, estate string, cost decimal(38,9), cost_per_1000_requests decimal(38,9)")
+    got = cost.full_day_summary(unit, date(2026, 10, 1), date(2026, 10, 4)).first()
+    assert (got["days"], float(got["cost_per_day"]), float(got["thirty_days"])) == (2, 2.0, 60.0)
+
+
+def test_reports_read_their_own_months(spark, folder):
+    def loaded(name, rows, *drop):
+        rows.withColumn("billing_month", F.trunc("ChargePeriodStart", "MM")).drop(*drop).write.partitionBy("billing_month").parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    days = [date(2026, m, 2) for m in (7, 8, 9, 10)]
+    aws = loaded("aws", bill(spark, *[charge("AWS", t, 1) for t in days]).withColumn("Tags", F.struct(F.col("Tags").alias("key_value"))))
+    names = "billingAccountId SubscriptionId subscriptionName chargeType billingCurrency costInBillingCurrency paygCostInBillingCurrency meterCategory resourceLocation ResourceId tags"
+    text = spark.createDataFrame([(t, t.strftime("%m/%d/%Y")) for t in days], "ChargePeriodStart date, date string")
+    azure = loaded("azure", text.withColumns({n: F.lit("1") for n in names.split()}), "ChargePeriodStart")
+    gcp = bill(spark, charge("Google Cloud", days[3], 1)).drop("Tags", "ServiceCategory")
+    labels = F.array().cast("array<struct<Key:string,Value:string>>")
+    gcp = gcp.withColumns({"x_Labels": labels, "x_ProjectLabels": labels})
+    as_of = date(2026, 10, 5)
+    runs = spark.createDataFrame([(1, "aws", 1, 1, datetime(2026, 10, 2))], "run_id long, cloud string, sent long, ok long, run_at timestamp")
+    since = cost.report_start(as_of, start=date(2026, 1, 1))
+    platform = cost.Platform(host_project="h", project_tag="p")
+    reports = (
+        cost.recent_spend(focus.focus_since(aws, azure, gcp, since), as_of),
+        cost.recent_unit_cost(cost.unit_cost(focus.focus_since(aws, azure, gcp, since), runs, since, platform), as_of),
+        cost.spend_to_date(focus.billed_in(aws, azure, gcp, as_of), as_of),
+    )
+    for report in reports:
+        plan = report._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("PartitionFilters: [isnotnull(billing_month") == 2, plan

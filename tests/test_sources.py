@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cloudtally.schemas import LOAD_RUNS
 from cloudtally.session import scratch_dir
 from cloudtally.sources import files, months, views
-from cloudtally.sources.exposition import label_columns, parse_exposition
+from cloudtally.sources.exposition import label_columns, parse_exposition, rejected_lines
 
 
 def write(path, text, when=None):
@@ -134,3 +134,36 @@ def test_session_is_utc(spark):
     assert spark.range(1).select(F.lit("2026-10-05T18:04:00Z").cast("timestamp").cast("timestamp_ntz")).first()[0] == datetime(
         2026, 10, 5, 18, 4
     )
+
+
+def test_an_emptied_month_is_empty_and_a_new_column_is_read(spark, folder):
+    months.replace_month(costs(spark, 1, 2), folder, "2026-09")
+    months.replace_month(costs(spark, 4), folder, "2026-10")
+    months.replace_month(costs(spark, 1).limit(0), folder, "2026-10")
+    assert months.load_audit(spark, folder, "2026-10", "BilledCost").first()["row_count"] == 0
+    assert months.load_audit(spark, folder, "2026-09", "BilledCost").first()["row_count"] == 2
+    months.replace_month(costs(spark, 8).withColumn("x_New", F.lit("n")), folder, "2026-10")
+    assert {(r["BilledCost"], r["x_New"]) for r in files.read_export(spark, folder).collect()} == {(1.0, None), (2.0, None), (8.0, "n")}
+
+
+def test_tabs_and_values_that_are_no_numbers(spark):
+    lines = spark.createDataFrame([('m\t{a="x\ty"}\t3',), ("n\t4",), ('m{a="x"} abc',), ("# TYPE m counter",), ("k nope 5",)], "value string")
+    got = {(r["metric"], r["labels"].get("a"), r["value"]) for r in parse_exposition(lines).collect()}
+    assert got == {("m", "x\ty", 3.0), ("n", None, 4.0)}
+    assert {r["value"] for r in rejected_lines(lines).collect()} == {'m{a="x"} abc', "k nope 5"}
+
+
+def test_documents_in_folders_of_their_root(spark, folder):
+    write(f"{folder}/root=hub/a.json", '{"a": 1}')
+    write(f"{folder}/root=hub/b.json", '{"b":\n')
+    assert {(r["root"], r["plan"]) for r in files.read_documents(spark, folder, named_by="root").collect()} == {("hub", '{"a": 1}'), ("hub", '{"b":\n')}
+
+
+def test_an_export_without_line_breaks_is_split(spark, folder):
+    write(f"{folder}/bill.csv", "id,cost\n" + "x" * 50 + ",1\n" * 200_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        assert files.read_text_csv(spark, f"{folder}/bill.csv").rdd.getNumPartitions() == 1
+        assert files.read_text_csv(spark, f"{folder}/bill.csv", line_breaks=False).rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
