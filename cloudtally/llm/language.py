@@ -19,7 +19,7 @@ UNKNOWN = "und"
 FEATURES = 1 << 17
 ORDERS = (1, 2, 3)
 #: Code points looked at together; a longer text goes through in several pieces.
-PIECE = 1 << 20
+PIECE = 1 << 19
 _BLANK = 32
 # Multiplicative hashing: an odd 64-bit constant per n-gram length.
 _MIX = {1: 0x9E3779B97F4A7C15, 2: 0xC2B2AE3D27D4EB4F, 3: 0xD6E8FEB86659FD93}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from cloudtally.session import scratch_dir
 
 #: Text bytes a Python worker looks at together; bounds its memory, changes no result.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +31,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, in a session that hands Python a few megabytes at a time, however long a row's text is."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * CHUNK_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * CHUNK_BYTES))
     return df
 
 
@@ -54,6 +56,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CH
             stop = max(first + 1, int(np.searchsorted(ends, base + size, side="right")))
             yield batch.slice(first, stop - first)
             first = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on from task to task, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc keeps it, and only glibc has this
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def lower_ascii(texts: pa.Array) -> pa.Array:

@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cloudtally.llm.idcoder import decode, encode
-from cloudtally.llm.shared import chunks, small_batches
+from cloudtally.llm.shared import chunks, give_back, small_batches
 
 #: Ids of a shard: one row of the table, one container of blocks. A document is not split, so a shard may be longer.
-SHARD_IDS = 4 << 20
+SHARD_IDS = 2 << 20
 #: Text bytes a partition of the output is meant to hold.
 PARTITION_BYTES = 48 << 20
 #: Pieces of words whose ids a Python worker remembers; only saves time.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 
 
 # Kept by the process: tokenizers by file, and the ids of the words met.
@@ -140,6 +140,7 @@ def _write(path: str, end: int, vocabulary: int):
                 first = stop
         if held[0]:
             yield row()
+        give_back()
 
     return run
 
@@ -202,6 +203,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
                         ],
                         names=["partition", "shard", "doc_id", "inside", "n_tokens", "ids_crc32", "ids"],
                     )
+        give_back()
 
     read = shards.mapInArrow(
         run, "partition int, shard int, doc_id long, inside long, n_tokens long, ids_crc32 long, ids array<long>"
