@@ -77,13 +77,16 @@ def vector_or(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame
     return left.unionByName(join_same(right, left.select(*on, "eval_ts"), [*on, "eval_ts"], "left_anti"))
 
 
-def histogram_quantile(q: float, buckets: DataFrame, by: Sequence[str], summed: bool = False) -> DataFrame:
+def histogram_quantile(
+    q: float, buckets: DataFrame, by: Sequence[str], summed: bool = False, total: str | None = None
+) -> DataFrame:
     """Quantile from cumulative bucket counts, interpolated inside the bucket.
 
     The first bucket starts at zero. A quantile that falls beyond the last
     finite bound is reported as that bound. No observations give NULL. The
     array holds one entry per bound of a group; ``summed`` says the input has
-    one row per group and bound already.
+    one row per group and bound already. ``total`` names a column for the
+    number of observations.
     """
     rows = buckets.select(*by, F.col("le").cast("double").alias("le"), "value")
     if not summed:
@@ -91,7 +94,12 @@ def histogram_quantile(q: float, buckets: DataFrame, by: Sequence[str], summed:
     grouped = rows.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct("le", F.col("value").alias("n")))).alias("_b")
     )
-    total = F.get("_b", F.size("_b") - 1)["n"]
+    return with_quantile(q, grouped, by, total)
+
+
+def with_quantile(q: float, grouped: DataFrame, by: Sequence[str], total: str | None = None) -> DataFrame:
+    """The quantile of each row's buckets, an array ``_b`` of bound and cumulative count in order."""
+    count = F.get("_b", F.size("_b") - 1)["n"]
     rank = F.lit(float(q)) * F.col("_total")
     # Place of the first bucket that reaches the rank.
     place = F.size(F.filter("_b", lambda b: b["n"] < F.col("_rank")))
@@ -106,10 +114,10 @@ def histogram_quantile(q: float, buckets: DataFrame, by: Sequence[str], summed:
         ),
     )
     return (
-        grouped.withColumn("_total", total)
+        grouped.withColumn("_total", count)
         .withColumn("_rank", rank)
         .withColumn("_i", place)
-        .select(*by, value.alias("value"))
+        .select(*by, value.alias("value"), *([F.col("_total").alias(total)] if total else []))
     )
 
 
@@ -157,10 +165,11 @@ def latency_quantile(
     range_s: int = 300,
     step_s: int | None = None,
     cloud: str | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     # Increases serve as well as rates: a quantile does not depend on the scale.
     per_bound = increase(served(bucket_deltas, cloud), ["cloud", "le"], range_s, step_s)
-    return histogram_quantile(q, per_bound, ["cloud", "eval_ts"], summed=True)
+    return histogram_quantile(q, per_bound, ["cloud", "eval_ts"], summed=True, total=total)
 
 
 def requests_per_hour(deltas: DataFrame, cloud: str | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ def error_breaches(spark: S, sf: str) -> DataFrame:
 
 
 def latency_breaches(spark: S, sf: str) -> DataFrame:
-    found = incidents.latency_breaches(tq.bucket_deltas(spark, sf), tq.deltas(spark, sf), d.alert_rules())
+    found = incidents.latency_breaches(tq.bucket_deltas(spark, sf), d.alert_rules())
     return ntz(found).withColumn("value", F.round("value", 9))
 
 
@@ -36,9 +36,8 @@ def held_evaluations(spark: S, sf: str) -> DataFrame:
 def alert_incidents(spark: S, sf: str) -> DataFrame:
     """Both policies replayed together."""
     rules = d.alert_rules()
-    counted = tq.deltas(spark, sf)
-    breaches = incidents.error_breaches(counted, rules).unionByName(
-        incidents.latency_breaches(tq.bucket_deltas(spark, sf), counted, rules)
+    breaches = incidents.error_breaches(tq.deltas(spark, sf), rules).unionByName(
+        incidents.latency_breaches(tq.bucket_deltas(spark, sf), rules)
     )
     found = incidents.incidents(breaches, rules, as_of=datetime(2024, 1, 25))
     return ntz(found, "opened_at", "last_firing", "closed_at").withColumn("peak", F.round("peak", 9))

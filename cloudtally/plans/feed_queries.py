@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from cloudtally.functions.tags import tags_as_text
 from cloudtally.operators import cost, focus, metrics, policy
-from cloudtally.operators.series import counter_deltas
+from cloudtally.operators.series import HISTOGRAM_SERIES, SERIES, counter_deltas
 from cloudtally.plans import cost_queries as cq
 from cloudtally.plans import derived as d
 from cloudtally.plans.load_queries import _LOGS
 from cloudtally.plans.oracle_parts import ASSIGNED, BILL, RUNS, UNIT, dbl
 from cloudtally.plans import check_queries as ck
 from cloudtally.plans.load_queries import SCRAPED
-from cloudtally.plans.telemetry_queries import SAMPLES, ntz
+from cloudtally.plans.telemetry_queries import BOUNDS, SAMPLES, ntz
 from cloudtally.schemas import LOAD_RUNS, REQUESTS_DAILY
 from cloudtally.session import scratch_dir
 from cloudtally.sources import files, months, views
@@ -28,6 +28,8 @@ from cloudtally.streaming import alerts, increments, sinks, sources
 S = SparkSession
 DELAY = "10 minutes"
 STATE_PARTITIONS = 8
+# Files a trigger takes: what bounds a batch when a stream catches up.
+FILES = 64
 
 
 def monthly_load(spark: S, sf: str) -> DataFrame:
@@ -163,57 +165,62 @@ def scrape_stream(spark: S, sf: str) -> DataFrame:
     )
 
 
-def _increments(spark: S, sf: str, root: str) -> str:
-    d.counter_samples(spark, sf).write.parquet(f"{root}/samples")
+def _increments(spark: S, root: str, samples: DataFrame, series: tuple[str, ...] = SERIES) -> str:
+    samples.write.parquet(f"{root}/samples")
     schema = spark.read.parquet(f"{root}/samples").schema
     stream = increments.step_increments(
-        sources.stream_files(spark, f"{root}/samples", schema), f"{d.STEP_S} seconds", DELAY
+        sources.stream_files(spark, f"{root}/samples", schema, files_per_trigger=FILES), f"{d.STEP_S} seconds", DELAY, series
     )
     sinks.write_stream(stream, f"{root}/increments", f"{root}/ck1", None, STATE_PARTITIONS).awaitTermination()
     return f"{root}/increments"
 
 
+def _incident_events(spark: S, root: str, path: str, breaches) -> DataFrame:
+    # Increments leave the first stream once and in time order, a batch's files together.
+    rows = sources.stream_files(spark, path, spark.read.parquet(path).schema, files_per_trigger=FILES)
+    rules = d.alert_rules()
+    events = alerts.stream_incidents(breaches(rows, rules, DELAY), rules)
+    sinks.write_stream(events, f"{root}/events", f"{root}/ck2", None, STATE_PARTITIONS).awaitTermination()
+    return ntz(spark.read.parquet(f"{root}/events"), "opened_at", "last_firing").withColumn("peak", F.round("peak", 9))
+
+
 def stream_increments(spark: S, sf: str) -> DataFrame:
     """Increments per step off a stream of samples, for the steps the watermark closed."""
-    made = spark.read.parquet(_increments(spark, sf, scratch_dir(spark, "increments")))
+    made = spark.read.parquet(_increments(spark, scratch_dir(spark, "increments"), d.counter_samples(spark, sf)))
     return ntz(made.select("cloud", "route", "status", "ts", "delta"), "ts")
 
 
 def stream_incidents(spark: S, sf: str) -> DataFrame:
     """Samples to increments to breaches to incident events, all streamed."""
     root = scratch_dir(spark, "incidents")
-    path = _increments(spark, sf, root)
-    rows = sources.stream_files(spark, path, spark.read.parquet(path).schema)
-    rules = d.alert_rules()
-    events = alerts.stream_incidents(alerts.stream_error_breaches(rows, rules, DELAY), rules)
-    sinks.write_stream(events, f"{root}/events", f"{root}/ck2", None, STATE_PARTITIONS).awaitTermination()
-    return ntz(spark.read.parquet(f"{root}/events"), "opened_at", "last_firing")
+    return _incident_events(spark, root, _increments(spark, root, d.counter_samples(spark, sf)), alerts.stream_error_breaches)
+
+
+def stream_latency_incidents(spark: S, sf: str) -> DataFrame:
+    """The same for the 95th percentile, from histogram buckets."""
+    root = scratch_dir(spark, "latency-incidents")
+    path = _increments(spark, root, d.bucket_samples(spark, sf), (*HISTOGRAM_SERIES, "le"))
+    return _incident_events(spark, root, path, alerts.stream_latency_breaches)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         monthly_load, azure_monthly_load, emptied_month, pruned_unit_cost, requests_daily_table, plan_files_verdicts, text_csv_bill, json_table_load, view_recent_unit_cost, view_recent_spend,
-        log_stream, scrape_stream, stream_increments, stream_incidents,
+        log_stream, scrape_stream, stream_increments, stream_incidents, stream_latency_incidents,
     )
 }
 
 # Steps the watermark has closed: it trails the newest sample by ten minutes.
 CLOSED = SAMPLES + """,
 steps AS (
-  SELECT cloud, route, status, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, CAST(sum(n) AS DOUBLE) AS delta
-  FROM samples GROUP BY cloud, route, status, date_trunc('hour', ts)
+  SELECT cloud, route, status, CAST(date_trunc('hour', ts - INTERVAL 1 MICROSECOND) AS TIMESTAMP) AS ts, CAST(sum(n) AS DOUBLE) AS delta
+  FROM samples GROUP BY cloud, route, status, date_trunc('hour', ts - INTERVAL 1 MICROSECOND)
 ),
-closed AS (SELECT * FROM steps WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM samples) - INTERVAL 10 MINUTE)"""
+closed AS (SELECT * FROM steps WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM samples) - INTERVAL '600000001 microseconds')"""
 
-EVENTS = CLOSED + """,
-good AS (SELECT * FROM closed WHERE route <> 'unmatched'),
-mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM good),
-evals AS (
-  SELECT cloud, CAST(ts + INTERVAL 1 HOUR * k AS TIMESTAMP) AS eval_ts, sum(CASE WHEN status = '500' THEN delta END) AS errors, sum(delta) AS total
-  FROM good, (SELECT unnest(range(1, 7)) AS k) GROUP BY 1, 2
-),
-bad AS (SELECT cloud, eval_ts, errors / total AS value FROM evals, mark WHERE eval_ts <= wm AND total > 15 AND errors / total > 0.3),
+# From breaches (bad: cloud, eval_ts, value) on to incidents.
+SPELLS = """,
 islands AS (SELECT *, epoch(eval_ts)::BIGINT // 3600 - row_number() OVER (PARTITION BY cloud ORDER BY eval_ts) AS island FROM bad),
 held AS (SELECT *, min(eval_ts) OVER (PARTITION BY cloud, island) AS since FROM islands),
 firing AS (SELECT * FROM held WHERE eval_ts > since),
@@ -223,6 +230,37 @@ numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY cloud ORDER BY eval_ts) AS
 incidents AS (SELECT cloud, incident, min(eval_ts) AS opened_at, max(eval_ts) AS last_firing, count(*) AS evaluations,
   max(value) AS peak, arg_min(value, eval_ts) AS first_value, max(incident) OVER (PARTITION BY cloud) AS newest FROM numbered GROUP BY 1, 2)"""
 
+EVENTS = CLOSED + """,
+good AS (SELECT * FROM closed WHERE route <> 'unmatched'),
+mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM good),
+evals AS (
+  SELECT cloud, CAST(ts + INTERVAL 1 HOUR * k AS TIMESTAMP) AS eval_ts, sum(CASE WHEN status = '500' THEN delta END) AS errors, sum(delta) AS total
+  FROM good, (SELECT unnest(range(1, 7)) AS k) GROUP BY 1, 2
+),
+bad AS (SELECT cloud, eval_ts, errors / total AS value FROM evals, mark WHERE eval_ts <= wm AND total > 15 AND errors / total > 0.3)""" + SPELLS
+
+LATENCY_EVENTS = SCRAPED + f""",
+stepped AS (SELECT *, CAST(date_trunc('hour', scrape_ts - INTERVAL 1 MICROSECOND) AS TIMESTAMP) AS step FROM scraped WHERE route <> 'unmatched'),
+good AS (SELECT * FROM stepped WHERE step + INTERVAL 1 HOUR <= (SELECT max(scrape_ts) FROM scraped) - INTERVAL '600000001 microseconds'),
+mark AS (SELECT max(step) - INTERVAL 10 MINUTE AS wm FROM good),
+bk AS (SELECT cloud, CAST(step + INTERVAL 1 HOUR * k AS TIMESTAMP) AS eval_ts, le, count(*) FILTER (seconds <= le) AS n
+  FROM good, (SELECT unnest(range(1, 7)) AS k), {BOUNDS} GROUP BY 1, 2, 3),
+edges AS (SELECT *, lag(le, 1, 0.0) OVER w AS lo, lag(n, 1, 0) OVER w AS below, max(n) OVER (PARTITION BY cloud, eval_ts) AS total
+  FROM bk WINDOW w AS (PARTITION BY cloud, eval_ts ORDER BY le)),
+p95 AS (SELECT cloud, eval_ts, total, CASE WHEN isinf(le) THEN lo ELSE lo + (le - lo) * ((0.95::DOUBLE * total - below) / (n - below)) END AS value
+  FROM edges WHERE n >= 0.95::DOUBLE * total AND below < 0.95::DOUBLE * total),
+bad AS (SELECT cloud, eval_ts, value FROM p95, mark WHERE eval_ts <= wm AND total > 15 AND value > 0.15)""" + SPELLS
+
+
+def _events_sql(policy: str, events: str) -> str:
+    return f"""WITH {events}
+        SELECT '{policy}' AS policy, cloud, 'opened' AS event, opened_at, opened_at AS last_firing, CAST(1 AS BIGINT) AS evaluations,
+          round(first_value, 9) AS peak FROM incidents
+        UNION ALL
+        SELECT '{policy}', cloud, 'closed', opened_at, last_firing, evaluations, round(peak, 9) FROM incidents, mark
+        WHERE incident < newest OR last_firing + INTERVAL 4 HOUR <= wm"""
+
+
 ORACLE = {
     "monthly_load": f"""WITH {BILL} SELECT strftime(month, '%Y-%m') AS period, count(*) AS row_count, {dbl('sum(gross)', 'billed_cost', 4)}
         FROM charge WHERE provider = 'AWS' GROUP BY 1""",
@@ -244,10 +282,6 @@ ORACLE = {
     "log_stream": f"""WITH {_LOGS} SELECT cloud, severity, count(*) AS records FROM logs WHERE event_id % 101 <> 0 GROUP BY 1, 2""",
     "scrape_stream": f"""WITH {SAMPLES} SELECT cloud, route, status, count(*) AS samples, max(value) AS highest FROM samples GROUP BY 1, 2, 3""",
     "stream_increments": f"WITH {CLOSED} SELECT cloud, route, status, ts, delta FROM closed",
-    "stream_incidents": f"""WITH {EVENTS}
-        SELECT 'error ratio' AS policy, cloud, 'opened' AS event, opened_at, opened_at AS last_firing, CAST(1 AS BIGINT) AS evaluations,
-          first_value AS peak FROM incidents
-        UNION ALL
-        SELECT 'error ratio', cloud, 'closed', opened_at, last_firing, evaluations, peak FROM incidents, mark
-        WHERE incident < newest OR last_firing + INTERVAL 4 HOUR <= wm""",
+    "stream_incidents": _events_sql("error ratio", EVENTS),
+    "stream_latency_incidents": _events_sql("p95 latency", LATENCY_EVENTS),
 }

@@ -236,10 +236,10 @@ samples AS (
 _PATHS = "p AS (SELECT regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path FROM pages)"
 _ROUTE = """CASE WHEN path = '/health' THEN '/health' WHEN regexp_matches(path, '^/en/[^/]+$') THEN '/en/{page}'
   WHEN regexp_matches(path, '^/de/[^/]+$') THEN '/de/{page}' WHEN regexp_matches(path, '^/fr/[^/]+$') THEN '/fr/{page}' ELSE 'unmatched' END"""
-_BOUNDS = "(VALUES (0.005::DOUBLE), (0.01), (0.025), (0.05), (0.1), (0.25), (0.5), (1.0), (2.5), ('Infinity'::DOUBLE)) b(le)"
+BOUNDS = "(VALUES (0.005::DOUBLE), (0.01), (0.025), (0.05), (0.1), (0.25), (0.5), (1.0), (2.5), ('Infinity'::DOUBLE)) b(le)"
 
 P95 = SPREAD + f""",
-bk AS (SELECT cloud, eval_ts, le, count(*) FILTER (seconds <= le) AS n FROM spread, {_BOUNDS}
+bk AS (SELECT cloud, eval_ts, le, count(*) FILTER (seconds <= le) AS n FROM spread, {BOUNDS}
        WHERE route <> 'unmatched' GROUP BY 1, 2, 3),
 steps AS (SELECT *, lag(le, 1, 0.0) OVER w AS lo, lag(n, 1, 0) OVER w AS below,
             max(n) OVER (PARTITION BY cloud, eval_ts) AS total FROM bk WINDOW w AS (PARTITION BY cloud, eval_ts ORDER BY le)),
@@ -258,7 +258,7 @@ ORACLE = {
     "measured_requests": f"""WITH {_PATHS}, r AS (SELECT {_ROUTE} AS route FROM p)
         SELECT route, count(*) AS requests FROM r WHERE route NOT IN ('/health', '/fr/{{page}}') GROUP BY 1""",
     "latency_histogram": f"""WITH {REQ} SELECT cloud, route, CASE WHEN isinf(le) THEN '+Inf' ELSE CAST(le AS VARCHAR) END AS le,
-        count(*) FILTER (seconds <= le) AS count FROM req, {_BOUNDS} GROUP BY 1, 2, 3""",
+        count(*) FILTER (seconds <= le) AS count FROM req, {BOUNDS} GROUP BY 1, 2, 3""",
     "zero_filled_series": f"""WITH {SAMPLES},
       p AS (SELECT DISTINCT cloud, day FROM req),
       z AS (SELECT cloud, route, status, 0 AS n FROM p, (VALUES ('/'), ('/flaky')) r(route), (VALUES ('200'), ('500')) s(status)),

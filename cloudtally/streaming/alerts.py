@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from cloudtally.functions.labels import matches
 from cloudtally.operators.incidents import AlertRules
-from cloudtally.operators.metrics import SERVER_ERROR, served
+from cloudtally.operators.metrics import SERVER_ERROR, served, with_quantile
+from cloudtally.operators.series import INFINITY, LATENCY_BOUNDS, bound_label
 
 # State processors travel with the query, so workers need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -43,6 +44,27 @@ def stream_error_breaches(
     )
 
 
+def stream_latency_breaches(
+    increments: DataFrame, rules: AlertRules = AlertRules(), delay: str = "2 minutes", bounds: Sequence[float] = LATENCY_BOUNDS
+) -> DataFrame:
+    """Evaluations whose 95th percentile is over its threshold, from increments of histogram buckets.
+
+    Each bound is a sum of its own, so one aggregation holds a range's whole
+    histogram. Buckets of a bound that is not listed are left out.
+    """
+    rows = served(increments).withWatermark("ts", delay)
+    grid = F.window("ts", f"{rules.range_s} seconds", f"{rules.every_s} seconds")
+    labels = [*[(b, bound_label(b)) for b in bounds], (float("inf"), INFINITY)]
+    counts = [F.sum(F.when(F.col("le") == label, F.col("delta")).otherwise(0.0)) for _, label in labels]
+    buckets = F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"_n{i}").alias("n")) for i, (b, _) in enumerate(labels)])
+    sums = rows.groupBy("cloud", grid).agg(*[c.alias(f"_n{i}") for i, c in enumerate(counts)])
+    slow = with_quantile(0.95, sums.withColumn("_b", buckets), ["cloud", "window"], total="total")
+    busy = F.col("total") / F.lit(float(rules.range_s)) > F.lit(rules.floor_rate)
+    return slow.filter(busy & (F.col("value") > F.lit(float(rules.latency_s)))).select(
+        F.lit("p95 latency").alias("policy"), "cloud", F.col("window.end").alias("eval_ts"), "value", "window"
+    )
+
+
 class _Incidents(StatefulProcessor):
     """Holds a breach, opens an incident, closes it on an event-time timer.
 

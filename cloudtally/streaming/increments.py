@@ -65,13 +65,17 @@ def step_increments(
 ) -> DataFrame:
     """``series, ts, delta`` per step, ``ts`` being the step's start.
 
+    A sample taken at a step's end belongs to it, as evaluations count it: it
+    is windowed a microsecond earlier.
+
     A step is emitted once, when the watermark has passed its end; samples
     later than ``delay`` are dropped and counted in the query's progress. The
     closed-day recompute over the stored samples stays a batch job.
     """
     keys = list(series)
     tops = (
-        samples.withWatermark("ts", delay)
+        samples.withColumn("ts", F.col("ts") - F.expr("INTERVAL 1 MICROSECOND"))
+        .withWatermark("ts", delay)
         .groupBy(*keys, "start_ts", F.window("ts", step))
         .agg(F.max("value").alias("top"))
         .select(

@@ -42,7 +42,7 @@ def test_stream_agrees_with_batch_over_batches_and_restarts(spark, folder):
     feed(spark, flaky_run(spark, seconds=1, clouds=("aws",), first=2000), folder, [2000, 2100])  # moves the watermark
     run(step_stream(spark, folder), folder, "steps")
 
-    step = F.window("ts", "60 seconds")["start"]
+    step = F.window(F.col("ts") - F.expr("INTERVAL 1 MICROSECOND"), "60 seconds")["start"]
     batch = sr.counter_deltas(everything).groupBy("cloud", "status", step.alias("ts")).agg(F.sum("delta").alias("delta"))
     got = spark.read.parquet(f"{folder}/steps")
     assert by_step(got.collect()) == by_step(batch.collect())
@@ -101,3 +101,17 @@ def test_files_per_trigger_limits_a_batch(spark, folder):
     assert len(commits) == 3
 
 
+
+
+def test_a_stream_on_an_interval_picks_up_new_files(spark, folder):
+    rows = flaky_run(spark, seconds=20, clouds=("aws",))
+    feed(spark, rows, folder, [0, 12])
+    query = sinks.write_stream(sources.stream_files(spark, f"{folder}/in", rows.schema), f"{folder}/out", f"{folder}/ck", every="1 second")
+    try:
+        query.processAllAvailable()
+        early = spark.read.parquet(f"{folder}/out").count()
+        feed(spark, rows, folder, [12, 60])
+        query.processAllAvailable()
+        assert query.isActive and 0 < early < spark.read.parquet(f"{folder}/out").count() == rows.count()
+    finally:
+        query.stop()
