@@ -86,24 +86,6 @@ def cumulative_counter(
     )
 
 
-def scrape_counters(
-    requests: DataFrame,
-    every: str = "30 seconds",
-    series: Sequence[str] = SERIES,
-    ts: str = "ts",
-    start: str = "start_ts",
-) -> DataFrame:
-    """Counter samples as scrapes would see them: requests counted per interval,
-    then summed up over the intervals since the process started."""
-    keys = [*series, start]
-    upto = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        requests.groupBy(*keys, F.window(ts, every)["end"].alias("ts"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "ts", F.sum("_n").over(upto).cast("double").alias("value"))
-    )
-
-
 def bound_label(bound: float) -> str:
     return repr(float(bound))
 
@@ -116,10 +98,10 @@ def latency_histogram(
         *[F.count_if(F.col(seconds) <= b).alias(f"_b{i}") for i, b in enumerate(bounds)],
         F.count(seconds).alias("_all"),
     )
-    return _long_buckets(wide, list(by), bounds)
+    return long_buckets(wide, list(by), bounds)
 
 
-def _long_buckets(wide: DataFrame, by: list[str], bounds: Sequence[float], count: str = "count") -> DataFrame:
+def long_buckets(wide: DataFrame, by: list[str], bounds: Sequence[float], count: str = "count") -> DataFrame:
     buckets = F.array(
         *[F.struct(F.lit(bound_label(b)).alias("le"), F.col(f"_b{i}").alias("n")) for i, b in enumerate(bounds)],
         F.struct(F.lit(INFINITY).alias("le"), F.col("_all").alias("n")),
@@ -127,31 +109,6 @@ def _long_buckets(wide: DataFrame, by: list[str], bounds: Sequence[float], count
     return wide.select(*by, F.explode(buckets).alias("_x")).select(*by, "_x.le", F.col("_x.n").alias(count))
 
 
-def scrape_histograms(
-    requests: DataFrame,
-    every: str = "30 seconds",
-    series: Sequence[str] = HISTOGRAM_SERIES,
-    ts: str = "ts",
-    start: str = "start_ts",
-    seconds: str = "seconds",
-    bounds: Sequence[float] = LATENCY_BOUNDS,
-) -> DataFrame:
-    """Histogram bucket samples as scrapes would see them, one row per bound.
-
-    Bounds stay columns until after the running sums, so the window handles one
-    row per series and interval instead of one per bound.
-    """
-    keys = [*series, start]
-    counts = requests.groupBy(*keys, F.window(ts, every)["end"].alias("ts")).agg(
-        *[F.count_if(F.col(seconds) <= b).alias(f"_b{i}") for i, b in enumerate(bounds)],
-        F.count(seconds).alias("_all"),
-    )
-    upto = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    columns = [f"_b{i}" for i in range(len(bounds))] + ["_all"]
-    running = counts.select(*keys, "ts", *[F.sum(c).over(upto).cast("double").alias(c) for c in columns])
-    return _long_buckets(running, [*keys, "ts"], bounds, "value")
-
-
 def zero_series(
     processes: DataFrame,
     routes: Sequence[str] = KNOWN_ROUTES,
@@ -224,12 +181,12 @@ def counter_deltas(
     scrapes is 2880 rows; for samples taken per request use narrow slices.
     """
     keys = list(series)
-    rows = samples.withColumn("_slice", _slice(ts, slice_width))
+    # Dealt out once, by series and slice: both passes below start from there.
+    rows = samples.withColumn("_slice", _slice(ts, slice_width)).repartition(*keys, "_slice")
     # At one moment a process that ended comes before the one that replaced it.
     inside = Window.partitionBy(*keys, "_slice").orderBy(ts, "start_ts", "value")
-    # Last sample of each process in a slice: plain columns, so this aggregates
-    # by hash before it is shuffled. The first process of a slice then finds the
-    # last one of an earlier slice right before it.
+    # Last sample of each process in a slice, found where its rows already are. The
+    # first process of a slice then finds the last one of an earlier slice right before it.
     ends = rows.groupBy(*keys, "_slice", "start_ts").agg(F.max(ts).alias("_t"), F.max_by("value", ts).alias("_v"))
     before = F.lag(F.struct("_slice", F.col("_v").alias("v"), F.col("start_ts").alias("s")))
     edges = (

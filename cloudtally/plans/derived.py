@@ -6,12 +6,14 @@ query grows with its table. ``oracle_parts`` holds the same arithmetic as SQL.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloudtally.operators.cost import ESTATE_SERVICES, Platform
+from cloudtally.operators.series import HISTOGRAM_SERIES, LATENCY_BOUNDS, SERIES, long_buckets
 from cloudtally.schemas import MONEY, TAG_ARRAY
 
 PLATFORM = Platform(host_project="host-project", project_tag="platform-one")
@@ -262,15 +264,54 @@ RANGE_S, STEP_S = 6 * 3600, 3600
 FLOOR_RATE = 15 / RANGE_S
 
 
-def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cloudtally.operators.series import scrape_counters
+def scrape_counters(
+    requests: DataFrame,
+    every: str = "30 seconds",
+    series: Sequence[str] = SERIES,
+    ts: str = "ts",
+    start: str = "start_ts",
+) -> DataFrame:
+    """Counter samples as scrapes would see them: requests counted per interval,
+    then summed up over the intervals since the process started."""
+    keys = [*series, start]
+    upto = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        requests.groupBy(*keys, F.window(ts, every)["end"].alias("ts"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(*keys, "ts", F.sum("_n").over(upto).cast("double").alias("value"))
+    )
 
+
+def scrape_histograms(
+    requests: DataFrame,
+    every: str = "30 seconds",
+    series: Sequence[str] = HISTOGRAM_SERIES,
+    ts: str = "ts",
+    start: str = "start_ts",
+    seconds: str = "seconds",
+    bounds: Sequence[float] = LATENCY_BOUNDS,
+) -> DataFrame:
+    """Histogram bucket samples as scrapes would see them, one row per bound.
+
+    Bounds stay columns until after the running sums, so the window handles one
+    row per series and interval instead of one per bound.
+    """
+    keys = [*series, start]
+    counts = requests.groupBy(*keys, F.window(ts, every)["end"].alias("ts")).agg(
+        *[F.count_if(F.col(seconds) <= b).alias(f"_b{i}") for i, b in enumerate(bounds)],
+        F.count(seconds).alias("_all"),
+    )
+    upto = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    columns = [f"_b{i}" for i in range(len(bounds))] + ["_all"]
+    running = counts.select(*keys, "ts", *[F.sum(c).over(upto).cast("double").alias(c) for c in columns])
+    return long_buckets(running, [*keys, "ts"], bounds, "value")
+
+
+def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scrape_counters(requests(spark, sf_dir), SCRAPE)
 
 
 def bucket_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cloudtally.operators.series import scrape_histograms
-
     return scrape_histograms(requests(spark, sf_dir), SCRAPE)
 
 

@@ -119,7 +119,7 @@ def increase_sparse_step(spark: S, sf: str) -> DataFrame:
 
 def daily_at_midnight(spark: S, sf: str) -> DataFrame:
     """Requests per day when scrapes are an hour apart, so that one falls on each midnight."""
-    hourly = sr.scrape_counters(d.requests(spark, sf), "1 hour")
+    hourly = d.scrape_counters(d.requests(spark, sf), "1 hour")
     return m.daily_requests_report(m.daily_requests(sr.counter_deltas(hourly), d.START, d.AS_OF))
 
 
@@ -127,7 +127,7 @@ def series_without_labels(spark: S, sf: str) -> DataFrame:
     """Counters some of whose series have no route: none of their samples is lost."""
     bare = d.requests(spark, sf).withColumn("route", F.when(F.col("route") != "unmatched", F.col("route")))
     counted = sr.cumulative_counter(bare)
-    made = sr.counter_deltas(sr.scrape_counters(bare, d.SCRAPE))
+    made = sr.counter_deltas(d.scrape_counters(bare, d.SCRAPE))
     app, stored = m.total_increase(made, sr.SERIES), counted.groupBy(*sr.SERIES).agg(F.count(F.lit(1)).cast("double").alias("value"))
     hours = m.increase(made, ["cloud", "route"], 3600)
     both = m.vector_and(hours, hours, ["cloud", "route"]).groupBy("cloud", "route").agg(F.count(F.lit(1)).alias("hours"))

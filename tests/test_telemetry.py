@@ -11,6 +11,7 @@ from cloudtally.operators import incidents as inc
 from cloudtally.operators import load_runs as lr
 from cloudtally.operators import metrics as m
 from cloudtally.operators import series as sr
+from cloudtally.plans import derived as d
 
 T0 = datetime(2026, 10, 10, 12)
 SAMPLE = "cloud string, route string, method string, status string, ts timestamp, start_ts timestamp, value double"
@@ -298,6 +299,20 @@ def test_slow_cloud_fires(spark):
         [("aws", "/", "GET", "200", at(s), at(-1), 2.0) for s in range(180)],
         "cloud string, route string, method string, status string, ts timestamp, start_ts timestamp, seconds double",
     )
-    slow = sr.counter_deltas(sr.scrape_histograms(requests), [*sr.HISTOGRAM_SERIES, "le"])
+    slow = sr.counter_deltas(d.scrape_histograms(requests), [*sr.HISTOGRAM_SERIES, "le"])
     got = inc.incidents(inc.latency_breaches(slow)).collect()
     assert [r["policy"] for r in got] == ["p95 latency"]
+
+
+def test_stored_samples_and_scrapes_are_read_once(spark, folder):
+    rows = samples(spark, *[(s, s // 30 + 1, -1) for s in range(0, 600, 30)])
+    rows.write.parquet(f"{folder}/samples")
+    made = sr.counter_deltas(spark.read.parquet(f"{folder}/samples"))
+    assert made.agg(F.sum("delta")).first()[0] == 20.0
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet") - plan.count("ReusedExchange") <= 1, plan
+    text = spark.createDataFrame([("t", at(0), "process_start_time_seconds", 5.0), ("t", at(0), "m", 1.0)], "target string, ts timestamp, metric string, value double")
+    text.write.parquet(f"{folder}/text")
+    stamped = sr.stamp_start_time(spark.read.parquet(f"{folder}/text"))
+    assert stamped._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
