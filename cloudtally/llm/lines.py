@@ -125,7 +125,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     docs = docs.drop("n_lines", "n_dropped")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).cast("string").alias("all"))
-    lines = rows.select("id", "hash", F.posexplode(F.split("all", "\n")).alias("nr", "text")).filter(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    lines = rows.select("id", "hash", F.posexplode(F.split("all", "\n")).alias("nr", "text")).filter(F.col("text").rlike(r"\S"))
     occurrences = lines.select(
         F.struct(F.col("id").isNull().alias("no_id"), "id", F.col("hash").alias("text"), "nr").alias("at"),
         F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")).alias("line"),

@@ -294,14 +294,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     best = rows.groupBy("root").agg(F.min("first").alias("best"))
     # What goes is listed, not what stays: it is the smaller part, and its rows alone are joined.
     gone = rows.join(best, "root").filter("first <> best").select("first.doc_id", "first.text_hash").distinct()
-    left = docs.join(
+    # Rows travel as one value, so that no column of theirs can be taken for one of these.
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
+    left = whole.join(
         gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")),
-        F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_col) == F.col("gone_hash")),
+        F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")),
         "left_anti",
     )
     repeated = rows.join(best, "root").filter("first = best").groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if repeated.isEmpty():
-        return left
-    names = docs.columns
-    keyed = left.withColumns({"repeat_id": F.col(id_col).cast("long"), "repeat_hash": F.xxhash64(text_col)})
-    return keyed.dropDuplicates(["repeat_id", "repeat_hash"]).select(*names)
+    return (left if repeated.isEmpty() else left.dropDuplicates(["id", "hash"])).select("row.*")

@@ -75,3 +75,23 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_run(spark):
     assert pipeline.run(spark, SF).count() > 0
+
+
+def test_columns_of_the_same_names_pass_through(spark):
+    names = ["Score", "lang_pred", "row", "id", "hash", "gone_id", "mix_slot", "size", "text_hash", "file"]
+    rows = [(i, f"the cat number {i} sat on mat {i * i}", "en", "a", *["mine"] * len(names)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    for stage in (pipeline.known_language, pipeline.one_of_each_group, pipeline.without_benchmark, pipeline.mixed):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        assert {r[n] for r in got.collect() for n in names} == {"mine"}
+
+
+def test_empty_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for stage in (pipeline.known_language, pipeline.one_of_each_group, pipeline.without_benchmark, pipeline.mixed):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and got.collect() == []
+    path = scratch_dir(spark, "empty")
+    docs.write.parquet(path)
+    assert pipeline.token_files(spark, spark.read.parquet(path), SF).collect() == []
