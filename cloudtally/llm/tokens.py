@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from cloudtally.llm.idcoder import decode, encode
 from cloudtally.llm.shared import chunks, give_back, small_batches
 
 #: Ids of a shard: one row of the table, one container of blocks. A document is not split, so a shard may be longer.
-SHARD_IDS = 2 << 20
+SHARD_IDS = 1 << 20
 #: Text bytes a partition of the output is meant to hold.
 PARTITION_BYTES = 48 << 20
 #: Pieces of words whose ids a Python worker remembers; only saves time.
@@ -27,7 +27,7 @@ REMEMBERED = 1 << 18
 
 # Kept by the process: tokenizers by file, and the ids of the words met.
 _TOKENIZERS: dict = {}
-_KNOWN: dict[str, dict[str, np.ndarray]] = {}
+_KNOWN: dict[str, dict[str, bytes]] = {}
 
 
 def _tokenizer(path: str):
@@ -51,8 +51,8 @@ _TAIL = r"(\pL)([.,;:!?]+)(\s|$)"
 _LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
-def _learn(words: list[str], path: str) -> dict[str, list[int]]:
-    """Ids of each word, from the tokenizer or from memory.
+def _learn(words: list[str], path: str) -> dict[str, bytes]:
+    """Ids of each word as 32-bit numbers, from the tokenizer or from memory.
 
     A word here is a run between ASCII white space, which this vocabulary
     drops: a text's ids are those of its words, one after another. A word of
@@ -67,15 +67,15 @@ def _learn(words: list[str], path: str) -> dict[str, list[int]]:
     for word in words:
         if word not in known:
             if word.isascii() and word.isalpha() and word.islower():
-                known[word] = [t.id for t in merge(word)]
+                known[word] = array("I", [t.id for t in merge(word)]).tobytes()
             elif _LATIN.fullmatch(word):
-                known[word] = [t.id for t in merge("".join([_SPELLED[b] for b in word.encode()]))]
+                known[word] = array("I", [t.id for t in merge("".join([_SPELLED[b] for b in word.encode()]))]).tobytes()
             else:
                 others.append(word)
     for first in range(0, len(others), 4096):
         some = others[first : first + 4096]
         for word, coded in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-            known[word] = coded.ids
+            known[word] = array("I", coded.ids).tobytes()
     return known
 
 
@@ -91,9 +91,9 @@ def tokenize(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarr
     words = coded.dictionary.to_pylist()
     known = _learn(words, path)
     ids = [known[w] for w in words]
-    ids.append([end])  # the end is one more word behind each text
-    sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-    pool = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+    ids.append(array("I", [end]).tobytes())  # the end is one more word behind each text
+    sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+    pool = np.frombuffer(b"".join(ids), np.uint32)
     starts = np.cumsum(sizes, dtype=np.int32) - sizes
     places = np.insert(coded.indices.to_numpy(), np.cumsum(per_text), len(words))
     each = sizes.take(places)
