@@ -122,7 +122,7 @@ def scan_licenses(
     are compared as words, lower case. Templates have at least five words.
 
     Texts are cut into windows as long as the templates' own, one starting
-    every quarter. A window shares a band with a template's window with at least
+    every quarter and one at the end. A window shares a band with a template's window with at least
     ``probability`` at the least similarity that the containment allows; a
     window without half of the template's length in template shingles cannot
     get there and gives no signature. Every retrieved place is verified on
@@ -161,13 +161,22 @@ def scan_licenses(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), shingle_hashes(F.col(text_col).cast("string")).alias("h"))
     # Most texts hold no template shingle at all, and end here.
     rows = rows.withColumn("common", F.array_intersect("h", _longs(every))).filter(F.size("common") > 0)
-    marked = rows.withColumn("hit", F.transform("h", lambda x: F.array_contains("common", x).cast("int")))
-    stride = lambda n: max(1, int(n * share))
+    place = F.transform("h", lambda x, i: F.when(F.array_contains("common", x), i))
+    marked = rows.withColumn("hits", F.filter(place, lambda i: i.isNotNull()))
 
     def windows(n: int) -> Column:
-        starts = _windows(F.col("h"), F.lit(n), F.lit(stride(n)))
+        """Windows of n shingles with enough template shingles in them; only those around one are looked at."""
+        stride, last = max(1, int(n * share)), F.greatest(F.size("h") - n, F.lit(0))
         half = max(1, math.ceil(n * (containment - share / 2) * 0.74))
-        some = F.filter(starts, lambda s: F.aggregate(F.slice("hit", s + 1, F.lit(n)), F.lit(0), lambda a, x: a + x) >= half)
+
+        def around(i: Column) -> Column:
+            first = F.greatest(F.ceil((i - n + 1) / stride).cast("int") * stride, F.lit(0))
+            return F.concat(F.sequence(first, F.floor(i / stride).cast("int") * stride, F.lit(stride)), F.array(last))
+
+        starts = F.array_distinct(F.flatten(F.transform("hits", around)))
+        some = F.filter(
+            starts, lambda s: (s <= last) & (F.size(F.filter("hits", lambda i: (i >= s) & (i < s + n))) >= half)
+        )
         return F.transform(
             some,
             lambda s: F.struct(
