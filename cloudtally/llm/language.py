@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -160,13 +161,17 @@ def fit_ftrl(
 
 
 def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature at which the held-back examples are most likely, by golden-section search on its logarithm."""
+    """The temperature at which the held-back examples are most likely, by golden-section search on its logarithm.
+
+    The logarithm has a standard normal prior: a few examples that are all
+    told right would else drive the temperature to the end of the search.
+    """
     if not len(labels):
         return 1.0
 
     def loss(log_t: float) -> float:
         p = _softmax(logits / np.exp(log_t))[np.arange(len(labels)), labels]
-        return float(-np.log(np.maximum(p, 1e-300)).mean())
+        return float(-np.log(np.maximum(p, 1e-300)).sum() + log_t**2 / 2)
 
     low, high, golden = np.log(0.05), np.log(20.0), (5**0.5 - 1) / 2
     a, b = high - golden * (high - low), low + golden * (high - low)
@@ -178,7 +183,12 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def _train(fit_rows: int):
+def calibrating(rows: int, fit_rows: int, calibrate_rows: int) -> int:
+    """How many of a language's sampled rows calibrate: the same share at every size, and one at least where there are two."""
+    return max(round(rows * calibrate_rows / (fit_rows + calibrate_rows)), int(rows > 1 and calibrate_rows > 0))
+
+
+def _train(fit_rows: int, calibrate_rows: int):
     """All sampled examples in, non-zero weights out; the last feature is the bias, and -1 the temperature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +201,10 @@ def _train(fit_rows: int):
         examples = [
             (np.frombuffer(r["feature"], np.int32), np.frombuffer(r["value"], np.float32).astype(np.float64), names.index(r["lang"])) for r in rows
         ]
-        first = [e for e, r in zip(examples, rows) if r["rank"] <= fit_rows]
-        rest = [e for e, r in zip(examples, rows) if r["rank"] > fit_rows]
+        sampled = Counter(r["lang"] for r in rows)
+        fitting = {name: n - calibrating(n, fit_rows, calibrate_rows) for name, n in sampled.items()}
+        first = [e for e, r in zip(examples, rows) if r["rank"] <= fitting[r["lang"]]]
+        rest = [e for e, r in zip(examples, rows) if r["rank"] > fitting[r["lang"]]]
         w, bias = fit_ftrl(first, len(names))
         logits = np.array([v @ w[f] + bias for f, v, _ in rest]).reshape(len(rest), len(names))
         temperature = fit_temperature(logits, np.array([y for *_, y in rest], np.int64))
@@ -216,9 +228,10 @@ def train(
     """A model from the labelled rows of ``docs``.
 
     Document frequencies count every row given. The regression learns from a
-    bounded sample: of each language the ``fit_rows`` rows whose ids hash
-    lowest, and its temperature from the next ``calibrate_rows``; whole texts
-    in both. Rows without id, text or language are left out, an id that repeats
+    bounded sample, of each language the ``fit_rows + calibrate_rows`` rows
+    whose ids hash lowest, and its temperature from the last of them: from
+    ``calibrate_rows`` of a whole sample and the same share of a smaller one,
+    at least one row where there are two. Whole texts in both. Rows without id, text or language are left out, an id that repeats
     counts once. Without any labelled row the model knows no language.
     """
     rows = docs.select(
@@ -240,7 +253,7 @@ def train(
     # At most fit_rows + calibrate_rows ids per language.
     sample = rows.join(F.broadcast(saved(chosen, "language-sample")), ["id", "lang"]).dropDuplicates(["id", "lang"])
     vectors = sample.select("lang", "rank", "text").mapInArrow(_vectors(idf), "lang string, rank int, feature binary, value binary")
-    fitted = vectors.repartition(1).mapInArrow(_train(fit_rows), "feature long, weights array<double>, languages array<string>").collect()
+    fitted = vectors.repartition(1).mapInArrow(_train(fit_rows, calibrate_rows), "feature long, weights array<double>, languages array<string>").collect()
     by_feature = {r["feature"]: r for r in fitted}
     end = by_feature.pop(-1)
     bias = np.array(by_feature.pop(FEATURES)["weights"])

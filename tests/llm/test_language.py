@@ -1,6 +1,7 @@
 """Language identification: held-out accuracy, and the parts it is made of."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cloudtally.llm import language, queries
@@ -46,6 +47,25 @@ def test_temperature_calibrates():
     assert language.fit_temperature(np.zeros((0, 3)), np.zeros(0, int)) == 1.0
 
 
+def test_few_right_examples_do_not_make_scores_certain():
+    assert 0.5 < language.fit_temperature(np.eye(3)[[0, 1, 2] * 3] * 12, np.array([0, 1, 2] * 3)) < 1.0
+
+
+def test_every_language_calibrates_at_every_size(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(language, "fit_temperature", lambda logits, labels: held.append(np.bincount(labels, minlength=4).tolist()) or 2.0)
+    for sizes, want in (((40, 14, 2, 1), [6, 2, 1, 0]), ((3500, 300, 7, 2), [500, 43, 1, 1])):
+        rows = [
+            {"lang": lang, "rank": k + 1, "feature": np.array([i], np.int32).tobytes(), "value": np.ones(1, np.float32).tobytes()}
+            for i, (lang, n) in enumerate(zip(("de", "en", "es", "fr"), sizes)) for k in range(n)
+        ]
+        end = [b for b in language._train(3000, 500)(iter([pa.RecordBatch.from_pylist(rows)]))][0].to_pylist()[-1]
+        assert held.pop() == want and end["weights"] == [2.0] and end["languages"] == ["de", "en", "es", "fr"]
+    monkeypatch.undo()
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    assert language.train(rows).temperature != 1.0
+
+
 def test_odd_rows(spark):
     en, de = "the cat and the dog with their thing ", "der Hund und die Katze über das Ding "
     rows = [(i, en if i % 2 else de, "en" if i % 2 else "de", 1) for i in range(40)]
