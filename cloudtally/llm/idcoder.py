@@ -1,5 +1,10 @@
 """Token ids in blocks: order-0 to order-2 predictions, mixed by adaptive counts, drive a range coder.
 
+Order 0 gives each id the share of its count in the block, orders 1 and 2 the
+id that followed their context last. An id's probability is the sum of what
+all three give it, weighted by counts of how often each was right in the same
+state, and of an even share of the vocabulary if it is new to the block.
+
 Blocks are reset and checked on their own. Many are coded side by side, one
 id of each per step, so that a step is a handful of array operations. All
 arithmetic is on whole numbers, so a reader on another machine agrees.
@@ -14,11 +19,13 @@ import numpy as np
 
 BLOCK = 1024
 MAGIC = b"CTID"
-VERSION = 1
+VERSION = 2
 _HEADER = "<4sHIQI"  # magic, version, ids per block, ids, blocks
 
-# Events: the order-2 prediction is right, the order-1 one is, an id seen before in the block, a new id.
+# Events: the order-2 prediction is right, the order-1 one is, another id seen before in the block, a new id.
 _STEP = 24
+# Counts of the ids of a block are summed up in groups of so many, and the groups in turn.
+_GROUP = 32
 _U = np.uint64
 _MASK16, _MASK32, _TOP, _BOTTOM = _U(0xFFFF), _U(0xFFFFFFFF), _U(1 << 48), _U(1 << 32)
 # An event and what it tells are coded in one go if so much of the range is left between the two.
@@ -55,6 +62,51 @@ class _Model:
         self.seen, self.n_seen, self.seen0 = np.zeros(lanes * block, np.uint32), np.zeros(lanes, np.int64), lane * block
         self.last, self.before = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64)
         self.counts = np.tile(_first_counts(), lanes)
+        # Sums of the counts before each id of a group, and before each group; ids go by their place among the block's different ones.
+        self.groups = -(-block // _GROUP)
+        self.group0, self.lane, self.block = lane * self.groups, lane, block
+        self.inside = np.zeros((lanes * self.groups, _GROUP + 1), np.uint16)
+        self.across = np.zeros((lanes, self.groups + 1), np.uint16)
+        self.after_inside = (np.arange(_GROUP + 1) > np.arange(_GROUP)[:, None]).astype(np.uint16)
+        self.after_across = (np.arange(self.groups + 1) > np.arange(self.groups)[:, None]).astype(np.uint16)
+        self.n = 0
+
+    def count_of(self, place: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+        """How often the id at a place came."""
+        at = (self.group0.take(lanes) + place // _GROUP) * (_GROUP + 1) + place % _GROUP
+        return (self.inside.take(at + 1) - self.inside.take(at)).astype(np.uint64)
+
+    def before_place(self, place: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+        """How often the ids at lower places came."""
+        group = place // _GROUP
+        inside = self.inside.take((self.group0.take(lanes) + group) * (_GROUP + 1) + place % _GROUP)
+        return inside.astype(np.uint64) + self.across.take(lanes * (self.groups + 1) + group)
+
+    def others(self, lanes: np.ndarray) -> np.ndarray:
+        """How often ids came that neither order 1 nor order 2 predicts."""
+        return _U(self.n) - self.held1.take(lanes) - self.held2.take(lanes)
+
+    def before_other(self, place: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+        """How often ids at lower places came that neither order 1 nor order 2 predicts."""
+        out = self.before_place(place, lanes)
+        for guess, held in ((self.guess1, self.held1), (self.guess2, self.held2)):
+            out -= np.where(guess.take(lanes) <= place, held.take(lanes), _U(0))
+        return out
+
+    def other_at(self, value: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+        """The place at which ``before_other`` passes a value."""
+        value = value.copy()
+        place1, place2 = (np.maximum(g.take(lanes).astype(np.int64) - 1, 0) for g in (self.guess1, self.guess2))
+        held1, held2 = self.held1.take(lanes), self.held2.take(lanes)
+        swap = place1 > place2
+        for place, held in ((np.where(swap, place2, place1), np.where(swap, held2, held1)), (np.where(swap, place1, place2), np.where(swap, held1, held2))):
+            value += np.where(value >= self.before_place(place, lanes), held, _U(0))
+        value = np.minimum(value, _U(max(self.n - 1, 0))).astype(np.uint16)
+        # The sums begin with 0, so the first one beyond a value stands behind its group, or its id.
+        group = np.maximum((self.across.take(lanes, axis=0) > value[:, None]).argmax(axis=1) - 1, 0)
+        value -= self.across.take(lanes * (self.groups + 1) + group)
+        inside = np.maximum((self.inside.take(self.group0.take(lanes) + group, axis=0) > value[:, None]).argmax(axis=1) - 1, 0)
+        return np.minimum(group * _GROUP + inside, self.block - 1)
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Where the intervals of the four events end."""
@@ -62,21 +114,32 @@ class _Model:
         h2 = (h1 ^ (self.before + _U(1))) * _U(0xC2B2AE3D27D4EB4F)
         self.at1 = (h1 >> self.shift).astype(np.int64) + self.slot0
         self.at2 = (h2 >> self.shift).astype(np.int64) + self.slot0
-        # An entry is (id + 1) * 4 + trust; zero where nothing was seen.
+        # An entry is (place + 1) * 4 + trust; zero where nothing was seen.
         self.entry1, self.entry2 = self.order1.take(self.at1), self.order2.take(self.at2)
         self.trust1, self.trust2 = self.entry1 & 3, self.entry2 & 3
         self.guess1, self.guess2 = self.entry1 >> 2, self.entry2 >> 2
         agree = (self.guess1 == self.guess2) & (self.trust1 > 0)
         self.state = self.state0 + (agree * np.uint32(16) + self.trust2 * np.uint32(4) + self.trust1)
         self.count = count = self.counts.take(self.state)
-        end1 = count & _MASK16
-        end2 = end1 + (count >> _U(16) & _MASK16)
-        end3 = end2 + (count >> _U(32) & _MASK16)
+        self.held1, self.held2 = (
+            np.where(told, self.count_of(np.maximum(guess.astype(np.int64) - 1, 0), self.lane), _U(0))
+            for guess, told in ((self.guess1, (self.guess1 > 0) & ~agree), (self.guess2, self.guess2 > 0))
+        )
+        # What order 0 gives the predicted ids goes to their own intervals.
+        seen, n = count >> _U(32) & _MASK16, _U(max(self.n, 1))
+        first, second = (count & _MASK16), (count >> _U(16) & _MASK16)
+        end1 = first + seen * self.held2 // n
+        end2 = end1 + second + seen * self.held1 // n
+        end3 = first + second + seen
         return end1, end2, end3, end3 + (count >> _U(48))
 
-    def update(self, ids: np.ndarray, event: np.ndarray, new: np.ndarray) -> None:
+    def update(self, ids: np.ndarray, place: np.ndarray, event: np.ndarray, new: np.ndarray) -> None:
         self.counts[self.state] = self.count + (_U(_STEP) << (event.astype(np.uint64) << _U(4)))
-        spelled = ids + np.uint32(1)
+        group = place // _GROUP
+        self.inside[self.group0 + group] += self.after_inside.take(place % _GROUP, axis=0)
+        self.across += self.after_across.take(group, axis=0)
+        self.n += 1
+        spelled = place.astype(np.uint32) + np.uint32(1)
         fresh = spelled << np.uint32(2) | np.uint32(1)
         for table, at, entry, guess, trust in (
             (self.order2, self.at2, self.entry2, self.guess2, self.trust2),
@@ -162,10 +225,10 @@ def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
             used[at] = place + 1
 
     for t in range(steps):
-        x, fresh = columns[t], new[t]
+        x, fresh, at_place = columns[t], new[t], place[t]
         end1, end2, end3, total = model.predict()
         unit = (size >> _U(32)) * _INVERSE.take(total.view(np.int64))
-        spelled = x + np.uint32(1)
+        spelled = at_place.astype(np.uint32) + np.uint32(1)
         miss2 = model.guess2 != spelled
         miss1 = miss2 & (model.guess1 != spelled)
         begin = unit * np.where(miss1, np.where(fresh, end3, end2), np.where(miss2, end1, _U(0)))
@@ -174,11 +237,12 @@ def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
         put(np.flatnonzero(size < _ROOM))
         told = np.flatnonzero(miss1)
         told_new = fresh.take(told)
-        unit = (size.take(told) >> _U(32)) * np.where(told_new, by_id, _INVERSE.take(model.n_seen.take(told)))
-        low[told] += unit * np.where(told_new, x.take(told), place[t].take(told)).astype(np.uint64)
-        size[told] = unit
+        told_place = at_place.take(told)
+        unit = (size.take(told) >> _U(32)) * np.where(told_new, by_id, _INVERSE.take(model.others(told).view(np.int64)))
+        low[told] += unit * np.where(told_new, x.take(told).astype(np.uint64), model.before_other(told_place, told))
+        size[told] = unit * np.where(told_new, _U(1), model.count_of(told_place, told))
         put()
-        model.update(x, miss2.astype(np.uint8) + miss1 + (miss1 & fresh), told[told_new])
+        model.update(x, at_place, miss2.astype(np.uint8) + miss1 + (miss1 & fresh), told[told_new])
     for k in range(4):
         out[np.arange(lanes), used] = (low >> _U(48 - 16 * k)).astype(np.uint16)
         used += 1
@@ -232,20 +296,22 @@ def decode(data: bytes) -> np.ndarray:
         low += begin
         size = np.where(past2, np.where(past3, unit * total, edge3), np.where(past1, edge2, edge1)) - begin
         take(np.flatnonzero(size < _ROOM))
-        x = np.where(past1, model.guess1, model.guess2) - np.uint32(1)
+        # Where neither is right, what stands here is replaced below.
+        place = np.maximum(np.where(past1, model.guess1, model.guess2).astype(np.int64) - 1, 0)
         told = np.flatnonzero(past2)
         told_new = past3.take(told)
-        n_seen = model.n_seen.take(told)
-        unit = (size.take(told) >> _U(32)) * np.where(told_new, by_id, _INVERSE.take(n_seen))
+        others = model.others(told)
+        unit = (size.take(told) >> _U(32)) * np.where(told_new, by_id, _INVERSE.take(others.view(np.int64)))
         # A damaged block may lead anywhere; it stays inside its tables and fails its check.
-        which = np.minimum((code.take(told) - low.take(told)) // np.maximum(unit, _U(1)), np.where(told_new, vocabulary, np.maximum(n_seen, 1)).astype(np.uint64) - _U(1))
-        low[told] += unit * which
-        size[told] = unit
+        which = np.minimum((code.take(told) - low.take(told)) // np.maximum(unit, _U(1)), np.where(told_new, _U(vocabulary), np.maximum(others, _U(1))) - _U(1))
+        place[told] = told_place = np.where(told_new, model.n_seen.take(told), model.other_at(which, told))
+        low[told] += unit * np.where(told_new, which, model.before_other(told_place, told))
+        size[told] = unit * np.where(told_new, _U(1), np.maximum(model.count_of(told_place, told), _U(1)))
         take()
-        which = which.astype(np.int64)
-        x[told] = np.where(told_new, which, model.seen.take(model.seen0[told] + np.minimum(which, block - 1)))
+        x = model.seen.take(model.seen0 + place)
+        x[told[told_new]] = which[told_new]
         columns[t] = x
-        model.update(x, past1.astype(np.uint8) + past2 + past3, told[told_new])
+        model.update(x, place, past1.astype(np.uint8) + past2 + past3, told[told_new])
     ids = np.ascontiguousarray(columns.T).reshape(-1)[:n]
     for i, check in enumerate(index[:, 1].tolist()):
         if zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) != check:

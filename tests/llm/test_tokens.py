@@ -34,6 +34,18 @@ def test_predictable_ids_are_short():
     assert len(idcoder.encode(text, 49_408)) < 2 * len(text) / 8
 
 
+def test_order_0_goes_by_counts():
+    """Ids without any order cost hardly more than under adaptive counts of each block alone."""
+    ids = np.minimum(np.random.default_rng(0).zipf(1.5, 20 * idcoder.BLOCK), 400).astype(np.uint32)
+    alone = 0.0
+    for block in ids.reshape(-1, idcoder.BLOCK).tolist():
+        came = {}
+        for n, x in enumerate(block):
+            alone -= np.log2(came[x] / (n + 1) if x in came else 1 / (n + 1) / 49_408)
+            came[x] = came.get(x, 0) + 1
+    assert len(idcoder.encode(ids, 49_408)) * 8 < 1.05 * alone
+
+
 def test_damage_is_found():
     data = bytearray(idcoder.encode(np.arange(5000, dtype=np.uint32) % 700, 49_408))
     for at in (0, 30, 60, len(data) // 2):
