@@ -38,6 +38,18 @@ def test_language_keeps_clean_documents(steps):
     assert all(not any(c.isalpha() for c in r["text"] or "") for r in gone)
 
 
+@pytest.mark.parametrize("learned", [("en", "fr"), ("de", "en", "es"), ("de", "en", "es", "fr")])
+def test_languages_not_learned_are_rejected(spark, learned):
+    from pyspark.sql import functions as F
+
+    known = spark.read.parquet(f"{SF}/documents.parquet").filter(F.col("lang").isin(*learned))
+    foreign = ["Привет мир, это текст на другом языке и ничего больше", "これは日本語の文章です。それだけです。", "Αυτό είναι ένα κείμενο σε άλλη γλώσσα", "이것은 다른 언어로 된 글입니다"]
+    odd = spark.createDataFrame([(-1 - i, t, None, "a", len(t)) for i, t in enumerate(foreign)], known.schema)
+    kept = {r["doc_id"] for r in pipeline.known_language(spark, known.unionByName(odd), SF).collect()}
+    assert min(kept) >= 0
+    assert all(r["doc_id"] in kept for r in known.collect() if any(c.isalpha() for c in r["text"] or ""))
+
+
 def test_one_of_each_group(steps):
     rows = [(r["doc_id"], r["text"]) for r in steps[1][0].collect()]
     groups = slow_groups([(d, slow_fingerprint(t)) for d, t in rows], 4)
