@@ -62,7 +62,7 @@ def azure_monthly_load(spark: S, sf: str) -> DataFrame:
         # An older copy holds part of the month; what is written last is the newest.
         for copy, rows in enumerate((month.filter(F.col("meterCategory") != "Storage"), month)):
             folder = f"{root}/export/{period}01-{last}/run-{9 - copy}"
-            rows.coalesce(1).write.option("escape", '"').csv(folder, header=True)
+            rows.write.option("escape", '"').csv(folder, header=True)
     for _ in range(2):
         audit = months.load_azure(spark, f"{root}/export", f"{root}/raw", d.AS_OF, line_breaks=False)
     return audit.withColumn("billed_cost", F.col("billed_cost").cast("double"))

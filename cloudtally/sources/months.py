@@ -54,7 +54,7 @@ def read_parquet_month(spark: SparkSession, root: str, period: str) -> DataFrame
 def newest_export(spark: SparkSession, root: str, period: str) -> str | None:
     """Path of the latest file in a month's folder, named like ``20240101-20240131``.
 
-    Every file holds the month so far, so the others are older copies. Files
+    Every run holds the month so far, so the others are older copies. Files
     are listed with their times and not opened; one path comes back.
     """
     folder = f"{root}/{period.replace('-', '')}01-*"
@@ -66,8 +66,17 @@ def newest_export(spark: SparkSession, root: str, period: str) -> str | None:
 
 
 def read_azure_month(spark: SparkSession, root: str, period: str, line_breaks: bool = True) -> DataFrame | None:
+    """The newest export of a month, ``None`` if there is none.
+
+    A folder below the month's is that of one run, whose files are parts of
+    one export. Files in the month's own folder are each a whole one.
+    """
     path = newest_export(spark, root, period)
-    return None if path is None else read_text_csv(spark, path, line_breaks)
+    if path is None:
+        return None
+    folder = path.rsplit("/", 1)[0]
+    alone = folder.rsplit("/", 1)[-1].startswith(f"{period.replace('-', '')}01-")
+    return read_text_csv(spark, path if alone else f"{folder}/*.csv", line_breaks)
 
 
 def replace_month(df: DataFrame, table_path: str, period: str) -> None:
@@ -107,7 +116,7 @@ def load_aws(spark: SparkSession, root: str, table_path: str, as_of: date) -> Da
 
 
 def load_azure(spark: SparkSession, root: str, table_path: str, as_of: date, line_breaks: bool = True) -> DataFrame | None:
-    """Load the newest CSV of the rolling two months; returns the audit.
+    """Load the newest CSV export of the rolling two months; returns the audit.
 
     An export whose values hold no line breaks is read by many tasks if
     ``line_breaks`` is false; else a month's file goes through one.

@@ -67,6 +67,19 @@ def test_only_the_newest_file_of_a_month_counts(spark, folder):
     assert [(r["row_count"], float(r["billed_cost"])) for r in audit] == [(2, 3.0)]
 
 
+def test_all_parts_of_the_newest_run_count(spark, folder):
+    now, header = time.time(), "SubscriptionId,costInBillingCurrency\n"
+    runs = f"{folder}/export/20261001-20261031"
+    write(f"{runs}/run-b/part_0.csv", header + "a,1\n", now - 300)
+    write(f"{runs}/run-a/part_0.csv", header + "a,1\nb,2\n", now - 200)
+    write(f"{runs}/run-a/part_1.csv", header + "c,4\n", now - 100)
+    flat = f"{folder}/export/20260901-20260930"
+    write(f"{flat}/old.csv", header + "a,1\n", now - 200)
+    write(f"{flat}/new.csv", header + "a,1\nb,2\n", now - 100)
+    audit = months.load_azure(spark, f"{folder}/export", f"{folder}/raw", date(2026, 10, 11)).collect()
+    assert sorted((r["period"], r["row_count"], float(r["billed_cost"])) for r in audit) == [("2026-09", 2, 3.0), ("2026-10", 3, 7.0)]
+
+
 def test_text_csv(spark, folder):
     path = f"{folder}/bill.csv"
     write(path, '﻿id,note,"a,b"\r\n1,"two\nlines, ""quoted""",007\r\n2,,x\r\n')
