@@ -114,7 +114,7 @@ def scan_licenses(
     docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = 0.8, probability: float = 0.999,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, license, template, first_word, matched, shingles, containment): templates that a text contains.
+    """(doc_id, license, template, first_word, matched, shingles, containment): templates that a text contains in one piece.
 
     One row per document row and template whose 5-word shingles are contained
     to at least ``containment``, with the best place: the first word of the
@@ -125,8 +125,11 @@ def scan_licenses(
     every quarter and one at the end. A window shares a band with a template's window with at least
     ``probability`` at the least similarity that the containment allows; a
     window without half of the template's length in template shingles cannot
-    get there and gives no signature. Every retrieved place is verified on
+    get there by such a region and gives no signature. Every retrieved place is verified on
     exact shingles, over a region as long as the template to either side.
+    All this holds for a template in one contiguous region of the text, words
+    changed: one whose parts a long insertion holds apart may be missed, though
+    the text has its shingles.
 
     Null, empty and short texts contain nothing; repeated rows give repeated
     rows; null ids are kept. No templates, or an empty table, give no rows.
