@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudtally.llm import chat, decontam, language, licenses, lines, mixing, scoring, simhash, tokens, topk
+from cloudtally.llm import chat, decontam, jaccard, language, lexical, licenses, lines, mixing, repair, scoring, simhash, tokens, topk
 from cloudtally.llm.shared import crc32_bucket, table
 from cloudtally.session import scratch_dir
 
@@ -99,9 +99,26 @@ def op10_simhash(spark: S, sf: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf, "documents"), shingle=4, radius=4)
 
 
+def op11_jaccard(spark: S, sf: str) -> DataFrame:
+    """Shingle set, group and number of links of every document, at a similarity of 0.8."""
+    return jaccard.jaccard_groups(table(spark, sf, "documents"), shingle=5, percent=80)
+
+
+def op12_repair(spark: S, sf: str) -> DataFrame:
+    """What is wrong with every damaged conversation, and its cheapest repair."""
+    said = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repaired_or_empty(said, repair.repair_conversations(repair.damage(said)))
+
+
+def op13_lexical(spark: S, sf: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10)
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_lines, op2_mixing, op3_topk, op4_chat, op5_decontamination, op6_scoring, op7_language, op8_licenses, op9_tokens, op10_simhash,
+        op11_jaccard, op12_repair, op13_lexical,
     )
 }
 
@@ -136,4 +153,47 @@ ORACLE: dict[str, str] = {
           CAST(3 + sum(6 + {_escaped_length('role')} + 7 + {_escaped_length('text')} + 4) AS BIGINT) AS formatted_chars,
           CAST(0 AS BIGINT) AS attachment_tokens
         FROM m GROUP BY conv_id""",
+    "op11_jaccard": """
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ),
+        s AS (
+          SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        links AS (
+          SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+          JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+        ),
+        reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+        gone AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a),
+        sets AS (SELECT doc_id, hash(list(g ORDER BY g)) AS same FROM s GROUP BY doc_id),
+        other AS (
+          SELECT l.a AS doc_id, count(DISTINCT y.same) AS n_links FROM links l JOIN sets x ON x.doc_id = l.a JOIN sets y ON y.doc_id = l.b
+          WHERE x.same <> y.same GROUP BY l.a
+        )
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, g.component_id, CAST(coalesce(o.n_links, 0) AS BIGINT) AS n_links
+        FROM documents d JOIN gone g ON g.a = d.doc_id LEFT JOIN n USING (doc_id) LEFT JOIN other o USING (doc_id)""",
+    "op13_lexical": r"""
+        WITH t AS (
+          SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM documents
+        ),
+        q AS (
+          SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+        c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+        f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY term, docs),
+        s AS (
+          SELECT q.item_id, f.doc_id, CAST(sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (100 - 90 + (90 * n.n * c.docs) // c.words)))) AS BIGINT) AS score
+          FROM q JOIN f USING (term) JOIN w USING (term) JOIN n ON n.doc_id = f.doc_id, c GROUP BY q.item_id, f.doc_id
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 10""",
 }
