@@ -5,9 +5,9 @@ The work goes through five tables, none of which holds a pair of documents:
 1. every document's shingle set, as a hash of the set and its size;
 2. for every set the shingles that some other set has too, rarest first; a set
    that cannot have enough of them is done;
-3. classes: sets that are close to a leader, kept as their differences from it;
-4. pairs of classes that may hold a link, from prefix lists of the leaders;
-5. links and groups, each member's overlaps derived from its leader's.
+3. classes: sets that are close to a centre, kept as their differences from it;
+4. pairs of classes that may hold a link, from prefix lists of the centres;
+5. links and groups, each member's overlaps derived from its centre's.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from cloudtally.llm.shared import chunks, components, give_back, lower_ascii, pa
 SORT_ROWS = 4_000_000
 #: Sets, and shingles of sets, out of which classes are made together.
 CLASS_SETS, CLASS_TOKENS = 2048, 2_000_000
-#: A set joins a leader at this similarity in percent, and is compared with this many of them.
-CLOSE, LEADERS = 87, 16
+#: A set joins a centre at this similarity in percent; so many centres are tried on the sets that are made classes of together.
+CLOSE, CENTRES = 85, 64
 #: Entries of a list that are skipped or looked at together, and the longest piece of a list.
 SKIP, LIST_PIECE = 64, 4096
 #: A shingle is frequent where it is in this many of the sets of a megabyte of text, one in so many of them at least,
@@ -211,7 +211,7 @@ def shared_tokens(docs: DataFrame, known: DataFrame, text_col: str, size: int, p
                 mine = mine[np.lexsort((mine["token"], mine["df"]))]
                 usual = mine["token"][mine["df"] < LAST]
                 key = mixed((usual if len(usual) else mine["token"]) ^ _M1).min().view(np.int64)
-                rows.append((int(sets["sid"][own[0]]), n, mine["token"].tobytes(), int(key)))
+                rows.append((int(sets["sid"][own[0]]), n, mine.tobytes(), int(key)))
             if len(rows) == 1000 or (b == len(sets) and rows):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["sid", "n", "tokens", "key"]
@@ -225,8 +225,9 @@ def shared_tokens(docs: DataFrame, known: DataFrame, text_col: str, size: int, p
 
 
 class Class(NamedTuple):
-    """A leader's shingles by value, its members' sizes (the leader first), and what each lacks and has besides, by shingle."""
+    """A centre's size and shingles by value, its members' sizes, and what each lacks and has besides, by shingle."""
 
+    n: int
     tokens: np.ndarray
     ns: np.ndarray
     gone: np.ndarray
@@ -244,46 +245,75 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def make_classes(sets: list[tuple[int, int, np.ndarray]]) -> list[dict]:
-    """Classes of (sid, n, tokens rarest first): each set goes to the first leader that is close, or else becomes one."""
-    leaders: list[dict] = []
-    for sid, n, tokens in sorted(sets, key=lambda s: s[0]):
-        own = np.sort(tokens)
-        for lead in leaders[-LEADERS:]:
-            both = overlap(own, lead["sorted"])
-            union = n + lead["n"] - both
-            if 100 * both >= CLOSE * union:
-                member = len(lead["sids"])
-                for name, x, y in (("gone", lead["sorted"], own), ("come", own, lead["sorted"])):
-                    delta = np.empty(len(d := np.setdiff1d(x, y, assume_unique=True)), DELTA)
-                    delta["member"], delta["token"] = member, d
-                    lead[name].append(delta)
-                lead["sids"].append(sid)
-                lead["ns"].append(n)
-                lead["radius"] = max(lead["radius"], 1 - both / union)
-                break
-        else:
-            leaders.append({"sid": sid, "n": n, "radius": 0.0, "tokens": tokens, "sorted": own, "sids": [sid], "ns": [n], "gone": [], "come": []})
-    return leaders
+def closeness(percent: int) -> int:
+    """Similarity to its centre that a member needs: so near that centres of linked members share something."""
+    return max(CLOSE, 101 - percent // 2)
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """The shingles that more than half of the sets have, by value."""
+    token, first, count = np.unique(np.concatenate([s["token"] for s in sets]), return_index=True, return_counts=True)
+    return np.concatenate(sets)[first[2 * count > len(sets)]]
+
+
+def make_classes(sets: list[tuple[int, int, np.ndarray]], close: int = CLOSE) -> list[dict]:
+    """Classes of (sid, n, shared shingles): each set goes to a centre that is close, or else is one of its own.
+
+    A centre is what most of the sets left have in common, which in a group of
+    near copies is the text they come from, or else what others have of the
+    first one of them.
+    """
+    classes: list[dict] = []
+    rest = [(sid, n, np.sort(shared, order="token")) for sid, n, shared in sorted(sets, key=lambda s: s[0])]
+    tried = 0
+    while rest:
+        members: list[int] = []
+        if len(rest) > 1 and tried < CENTRES:
+            tried += 1
+            for centre in (_common([s for *_, s in rest]), rest[0][2]):
+                size = len(centre)
+                both = [overlap(centre["token"], s["token"]) for *_, s in rest]
+                near = [b > 0 and 100 * b >= close * (n + size - b) for b, (_, n, _) in zip(both, rest)]
+                members = [i for i, x in enumerate(near) if x]
+                if len(members) > 1:
+                    left = [i for i, x in enumerate(near) if not x]
+                    break
+        if len(members) < 2:  # a set alone is its own centre, with all its shingles
+            members, left, centre, size = [0], range(1, len(rest)), rest[0][2], rest[0][1]
+        made = {"n": size, "shared": centre, "radius": 0.0, "sids": [], "ns": [], "gone": [], "come": []}
+        for place, i in enumerate(members):
+            sid, n, own = rest[i]
+            for name, x, y in (("gone", centre, own), ("come", own, centre)):
+                delta = np.empty(len(d := np.setdiff1d(x["token"], y["token"], assume_unique=True)), DELTA)
+                delta["member"], delta["token"] = place, d
+                made[name].append(delta)
+            both = len(own) - len(made["come"][-1])
+            made["sids"].append(sid)
+            made["ns"].append(n)
+            made["radius"] = max(made["radius"], 1 - both / (n + size - both)) if len(members) > 1 else 0.0
+        classes.append(made)
+        rest = [rest[i] for i in left]
+    return classes
 
 
 _CLASSES = "class long, n long, radius double, tokens binary, sids array<long>, ns array<long>, gone binary, come binary"
 
 
-def classes_of(live: DataFrame) -> DataFrame:
-    """Sets with the same smallest mixed shingle, in pieces of bounded size, as leaders and differences from them."""
+def classes_of(live: DataFrame, percent: int) -> DataFrame:
+    """Sets with the same smallest mixed shingle, in pieces of bounded size, as centres and differences from them."""
+    near = closeness(percent)
     large = live.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > CLASS_SETS)
     slices = F.coalesce(F.ceil(F.col("size") / CLASS_SETS), F.lit(1))
     cut = live.join(large, "key", "left").withColumn("slice", F.pmod(F.xxhash64("sid"), slices))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(held: list) -> pa.RecordBatch:
-            made = make_classes(held)
+            made = make_classes(held, near)
             delta = lambda parts: np.sort(np.concatenate([np.zeros(0, DELTA), *parts]), order=("token", "member")).tobytes()
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([c["sid"] for c in made]), pa.array([c["n"] for c in made]), pa.array([c["radius"] for c in made]),
-                    pa.array([c["tokens"].tobytes() for c in made], pa.binary()),
+                    pa.array([c["sids"][0] for c in made]), pa.array([c["n"] for c in made]), pa.array([c["radius"] for c in made]),
+                    pa.array([c["shared"][np.lexsort((c["shared"]["token"], c["shared"]["df"]))]["token"].tobytes() for c in made], pa.binary()),
                     pa.array([c["sids"] for c in made]), pa.array([c["ns"] for c in made]),
                     pa.array([delta(c["gone"]) for c in made], pa.binary()), pa.array([delta(c["come"]) for c in made], pa.binary()),
                 ],
@@ -297,7 +327,7 @@ def classes_of(live: DataFrame) -> DataFrame:
                     yield close(held)
                     held, size = [], 0
                 group = (r["key"], r["slice"])
-                held.append((r["sid"], r["n"], np.frombuffer(r["tokens"], "<u8")))
+                held.append((r["sid"], r["n"], np.frombuffer(r["tokens"], SHARED)))
                 size += len(held[-1][2])
         if held:
             yield close(held)
@@ -307,7 +337,7 @@ def classes_of(live: DataFrame) -> DataFrame:
 
 
 def _may_link(n1, rest1, r1, n2, rest2, r2, percent: int):
-    """Whether two leaders, of whose common shingles the first is found with so many left, may lead a link between their classes."""
+    """Whether two centres, of whose common shingles the first is found with so many left, may have a link between their classes."""
     least = np.maximum(percent / 100 - r1 - r2 - 1e-9, 0.01)
     return (np.minimum(n1, n2) >= least * np.maximum(n1, n2)) & (np.minimum(rest1, rest2) * (1 + least) >= least * (n1 + n2) - 1e-6)
 
@@ -333,7 +363,7 @@ def list_pairs(n: np.ndarray, rest: np.ndarray, radius: np.ndarray, left: np.nda
 def class_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """(a, b) of classes that may hold a link between them, each pair once, a < b.
 
-    Two leaders whose members link are no further apart than a link and both
+    Two centres whose members link are no further apart than a link and both
     radii, so they share one of the first shingles that this leaves to each.
     Long lists are cut into pieces of which every two meet.
     """
@@ -413,18 +443,24 @@ def class_pairs(classes: DataFrame, percent: int) -> DataFrame:
     return pieces.mapInArrow(run, "a long, b long").distinct()
 
 
-def derived_links(x: Class, z: Class, percent: int, itself: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each member of ``x`` into ``z``, and the other way; ``itself`` if both are one class.
+def derived_links(x: Class, z: Class, percent: int, itself: bool = False) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Links of each member of ``x`` into ``z``, and the other way, and pairs that tie together what links tie together;
+    ``itself`` if both are one class. In the pairs, members of ``z`` are numbered behind those of ``x``.
 
-    The leader's overlaps with all of ``z`` come from its overlap with the
-    other leader and the differences; every further member's come from the
-    leader's, changed by the few shingles in which it differs.
+    The centre's overlaps with all of ``z`` come from its overlap with the
+    other centre and the differences; every member's come from the centre's,
+    changed by the few shingles in which it differs.
     """
-    inside = lambda tokens, of: of[np.minimum(np.searchsorted(of, tokens), len(of) - 1)] == tokens
-    size = len(z.ns)
-    hits = lambda delta: np.bincount(delta["member"][inside(delta["token"], x.tokens)], minlength=size)
+    size, nx = len(z.ns), len(x.ns)
+
+    def inside(tokens: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return of[np.minimum(np.searchsorted(of, tokens), len(of) - 1)] == tokens if len(of) else np.zeros(len(tokens), bool)
+
+    def hits(delta: np.ndarray) -> np.ndarray:
+        return np.bincount(delta["member"][inside(delta["token"], x.tokens)], minlength=size)
+
     base = overlap(x.tokens, z.tokens) - hits(z.gone) + hits(z.come)
-    into, back = np.zeros(len(x.ns), np.int64), np.zeros(size, np.int64)
+    into, back = np.zeros(nx, np.int64), np.zeros(size, np.int64)
 
     def holders(tokens: np.ndarray) -> np.ndarray:
         """How many of ``tokens`` each member of ``z`` has."""
@@ -438,23 +474,30 @@ def derived_links(x: Class, z: Class, percent: int, itself: bool = False) -> tup
         return have
 
     own = [np.sort(d, order=("member", "token")) for d in (x.gone, x.come)]
-    ends = [np.searchsorted(d["member"], np.arange(len(x.ns) + 1)) for d in own]
-    for y in range(len(x.ns)):
+    ends = [np.searchsorted(d["member"], np.arange(nx + 1)) for d in own]
+    group, ties = np.arange(nx if itself else nx + size), []
+    for y in range(nx):
         both = base
         for d, end, sign in zip(own, ends, (-1, 1)):
             if end[y + 1] > end[y]:
                 both = both + sign * holders(d["token"][end[y] : end[y + 1]])
-        linked = 100 * both >= percent * (x.ns[y] + z.ns - both)
+        linked = (100 * both >= percent * (x.ns[y] + z.ns - both)) & (both > 0)
         if itself:
             linked[y] = False
         into[y] = linked.sum()
         back += linked
-    return into, back
+        if into[y]:
+            there = group[(0 if itself else nx) + np.flatnonzero(linked)]
+            other = np.unique(there[there != group[y]])
+            if len(other):
+                ties += [(int(group[y]), int(o)) for o in other]
+                group[np.isin(group, other)] = group[y]
+    return into, back, ties
 
 
 def _class(row: dict, suffix: str = "") -> Class:
     return Class(
-        np.sort(np.frombuffer(row["tokens" + suffix], "<u8")), np.array(row["ns" + suffix], np.int64),
+        row["n" + suffix], np.sort(np.frombuffer(row["tokens" + suffix], "<u8")), np.array(row["ns" + suffix], np.int64),
         np.frombuffer(row["gone" + suffix], DELTA), np.frombuffer(row["come" + suffix], DELTA),
     )
 
@@ -467,15 +510,18 @@ def _link_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def links_of(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(sid, links, null, null) for parts of a set's number of links, and (null, null, a, b) for classes with a link between them."""
+    """(sid, links, null, null) for parts of a set's number of links, and (null, null, a, b) for sets that links tie together."""
+
+    def told(sids: list[int], counts: np.ndarray, ties: list[tuple[int, int]]) -> list[tuple]:
+        return [(s, n, None, None) for s, n in zip(sids, counts.tolist()) if n] + [(None, None, sids[i], sids[j]) for i, j in ties]
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 own = _class(r)
-                into, _ = derived_links(own, own, percent, itself=True)
-                rows += [(s, n, None, None) for s, n in zip(r["sids"], into.tolist()) if n]
+                into, _, ties = derived_links(own, own, percent, itself=True)
+                rows += told(r["sids"], into, ties)
             yield _link_rows(rows)
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -484,15 +530,12 @@ def links_of(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             for r in batch.to_pylist():
                 x, z = _class(r), _class(r, "_b")
                 both = overlap(x.tokens, z.tokens)
-                if both < (percent / 100 - r["radius"] - r["radius_b"] - 1e-9) * (x.ns[0] + z.ns[0] - both):
-                    continue
-                into, back = derived_links(x, z, percent)
-                if into.any():
-                    rows += [(s, n, None, None) for sids, found in ((r["sids"], into), (r["sids_b"], back)) for s, n in zip(sids, found.tolist()) if n]
-                    rows.append((None, None, r["class"], r["class_b"]))
+                if both >= (percent / 100 - r["radius"] - r["radius_b"] - 1e-9) * (x.n + z.n - both):
+                    into, back, ties = derived_links(x, z, percent)
+                    rows += told(r["sids"] + r["sids_b"], np.concatenate([into, back]), ties)
             yield _link_rows(rows)
 
-    columns = ["class", "radius", "tokens", "sids", "ns", "gone", "come"]
+    columns = ["class", "n", "radius", "tokens", "sids", "ns", "gone", "come"]
     left, right = classes.select(columns), classes.select(*[F.col(c).alias(f"{c}_b") for c in columns])
     met = pairs.join(left, F.col("a") == F.col("class")).join(right, F.col("b") == F.col("class_b")).drop("a", "b")
     alone = classes.filter("size(sids) > 1").select(columns)
@@ -518,11 +561,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     known = saved(documents_sets(docs, id_col, text_col, shingle), "shingle-sets")
     live = saved(shared_tokens(docs, known, text_col, shingle, percent), "shared-shingles")
-    classes = saved(classes_of(live), "set-classes")
+    classes = saved(classes_of(live, percent), "set-classes")
     found = saved(links_of(classes, saved(class_pairs(classes, percent), "class-pairs"), percent), "set-links")
-    roots = components(found.filter("a IS NOT NULL").select("a", "b"), "class-groups")
-    members = classes.select("class", F.explode("sids").alias("sid")).join(roots.withColumnRenamed("node", "class"), "class", "left")
-    rooted = members.select("sid", F.coalesce("root", "class").alias("root"))
+    rooted = components(found.filter("a IS NOT NULL").select("a", "b"), "set-groups").withColumnRenamed("node", "sid")
     links = found.filter("sid IS NOT NULL").groupBy("sid").agg(F.sum("links").alias("n_links"))
     sets = known.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first"))
     placed = sets.join(rooted, "sid", "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))

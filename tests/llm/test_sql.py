@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def test_all_are_registered():
     names = set(entry.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLE))
