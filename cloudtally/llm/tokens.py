@@ -46,8 +46,12 @@ def _byte_letters() -> list[str]:
 
 
 _SPELLED = _byte_letters()
-# Simple punctuation between a letter and white space; a boundary for the vocabulary, so it can stand alone.
-_TAIL = r"(\pL)([.,;:!?]+)(\s|$)"
+# Simple punctuation between a small letter and white space; a boundary for the vocabulary, so it can stand alone. Not so
+# behind letters whose normal form ends in a mark, so only letters that are their own normal form are listed.
+_TAIL = r"([a-z\x{DF}-\x{F6}\x{F8}-\x{FF}])([.,;:!?]+)(\s|$)"
+# Texts that are taken as they are: with what may be a special token, or with a character from the first combining mark
+# on, since a letter and its marks may become one character in one case only.
+_AS_IT_IS = r"<\||[^\x00-\x{2FF}]"
 _LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
@@ -82,10 +86,10 @@ def _learn(words: list[str], path: str) -> dict[str, bytes]:
 def tokenize(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, each followed by ``end``; ids of each text)."""
     texts = pc.fill_null(texts, "")
-    low = pc.ascii_lower(texts)
-    # The vocabulary lowers case itself; doing it first leaves fewer words, but must not make up a special token.
-    low = texts if pc.any(pc.match_substring(low, "<|")).as_py() else pc.replace_substring_regex(low, _TAIL, r"\1 \2\3")
-    lists = pc.ascii_split_whitespace(low)
+    # The vocabulary lowers case itself and knows the boundary; doing both first leaves fewer words. Each text is
+    # decided on alone, so its ids are the same in any company.
+    fewer = pc.replace_substring_regex(pc.ascii_lower(texts), _TAIL, r"\1 \2\3")
+    lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(texts, _AS_IT_IS), texts, fewer))
     per_text = np.diff(lists.offsets.to_numpy())
     coded = lists.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()

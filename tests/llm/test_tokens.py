@@ -81,6 +81,40 @@ def test_tokens_by_words():
     assert [(len(g), zlib.crc32(g.astype("<u4").tobytes())) for g in got] == [r[2:] for r in slow(enumerate(texts))]
 
 
+#: Letters that change with their case, marks or neighbours, and what may stand beside them.
+_PARTS = [
+    "BELEDİYESİ", "İ", "ı", "J\u030c", "j\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "क़", "שׁ", "Σ", "ΟΔΟΣ", "ß", "ẞ", "É", "E\u0301", "é", "ŉ", "ǰ", "Å", "Å",
+    "가", "가", "ﬁ", "Ⅳ", "²", "ª", "日本", "\u0301", "\u0307", "\u200d", "\ufeff", "\x85", "\xa0", "\u3000", "\x1c", "\x0b", "𝔘", "😀", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>",
+    "a", "B", "word", "Don't", "we'LL", "'S", "'", ".", ",", "!?", "...", ";", " ", "  ", "\n", "\t", "7", "12", "-", "_", "\"",
+]
+
+
+def one_by_one(texts):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.TOKENIZER)
+    return [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
+def in_company(texts):
+    ids, lengths = tokens.tokenize(pa.array(texts, pa.string()), queries.TOKENIZER, 1)
+    return [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+
+
+@given(st.lists(st.lists(st.one_of(st.sampled_from(_PARTS), st.text(max_size=3)), max_size=12).map("".join), min_size=1, max_size=6))
+@settings(max_examples=400, deadline=None)
+def test_any_text_alone_and_in_company(texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    want = one_by_one(texts)
+    assert in_company(texts) == want
+    assert [in_company([t])[0] for t in texts] == want
+
+
+@pytest.mark.parametrize("text", ["BELEDİYESİ. x", "क़, a", "שׁ. b", "J\u030c. Z", "é. É, ß!", "x. <|endoftext|> Y."])
+def test_letters_before_closing_punctuation(text):
+    assert in_company([text, "plain, text. Here", text]) == one_by_one([text, "plain, text. Here", text])
+
+
 def test_query(spark):
     rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     got = queries.op9_tokens(spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
