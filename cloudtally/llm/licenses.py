@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,9 @@ SHINGLE = 5
 #: Shingles of a template's window; a longer template has several, each half over the one before.
 WINDOW = 64
 ROWS_PER_BAND = 2
-#: Templates are a parameter and go to every task; their shingles are at most so many.
+#: Templates are a parameter; those of about so many shingles go to every task together.
 MAX_SHINGLES = 200_000
+RESULT = "doc_id long, license string, template int, first_word int, matched int, shingles int, containment double"
 
 # Notices and terms by SPDX identifier, as their publishers word them.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -91,11 +93,16 @@ def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
     return F.flatten(F.transform(F.array(F.coalesce(words, F.array().cast("array<string>"))), shingles))
 
 
-def _band_keys(hashes: Column, length: Column, bands: int, rows: int) -> Column:
-    """One hash per band of a window: of its length, the band, and the least of ``rows`` hash functions each."""
-    least = lambda band, r: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, band * rows + r)))
+def _tables(hashes: Column, functions: int) -> Column:
+    """What each of so many hash functions makes of every shingle: made once, however many windows look at it."""
+    return F.transform(F.sequence(F.lit(0), F.lit(functions - 1)), lambda k: F.transform(hashes, lambda h: F.xxhash64(h, k)))
+
+
+def _band_keys(tables: Column, start: Column, length: Column, bands: int, rows: int) -> Column:
+    """One hash per band of a window: of its length, the band, and the least value of ``rows`` hash functions each."""
+    least = lambda k: F.array_min(F.slice(F.get(tables, k), start + 1, length))
     return F.transform(
-        F.sequence(F.lit(0), F.lit(bands - 1)), lambda band: F.xxhash64(length, band, *[least(band, F.lit(r)) for r in range(rows)])
+        F.sequence(F.lit(0), F.lit(bands - 1)), lambda band: F.xxhash64(length, band, *[least(band * rows + r) for r in range(rows)])
     )
 
 
@@ -134,18 +141,39 @@ def scan_licenses(
     Null, empty and short texts contain nothing; repeated rows give repeated
     rows; null ids are kept. No templates, or an empty table, give no rows.
     Further columns are ignored. Nothing is shuffled but the results: the
-    templates' shingles and bands go to every task, and are bounded.
+    templates' shingles and bands go to every task, and are bounded, since many
+    templates are scanned in blocks.
     """
     spark = docs.sparkSession
-    named = [(i, name, text) for i, (name, text) in enumerate(templates) if len(re.findall(r"[^\W_]+", text)) >= SHINGLE]
-    result = "doc_id long, license string, template int, first_word int, matched int, shingles int, containment double"
-    if not named:
-        return spark.createDataFrame([], result)
+    found = [_scan(docs, block, containment, probability, id_col, text_col) for block in _blocks(templates)]
+    if not found:
+        return spark.createDataFrame([], RESULT)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _blocks(templates: Sequence[tuple[str, str]]) -> list[list[tuple[int, str, str]]]:
+    """Templates with their numbers, in blocks of about ``MAX_SHINGLES`` shingles; those too short to have one are left out."""
+    blocks, size = [], 0
+    for i, (name, text) in enumerate(templates):
+        words = len(re.findall(r"[^\W_]+", text))
+        if words < SHINGLE:
+            continue
+        if not blocks or size + words > MAX_SHINGLES:
+            blocks.append([])
+            size = 0
+        blocks[-1].append((i, name, text))
+        size += words
+    return blocks
+
+
+def _scan(
+    docs: DataFrame, named: list[tuple[int, str, str]], containment: float, probability: float, id_col: str, text_col: str
+) -> DataFrame:
+    """One block of templates, which every task gets."""
+    spark = docs.sparkSession
     base = spark.createDataFrame(named, "template int, license string, template_text string").withColumn("own", shingle_hashes(F.col("template_text")))
     known = base.select("template", "license", F.array_distinct("own").alias("own_set"), F.size("own").alias("own_size"), "own").collect()
     every = sorted({h for r in known for h in r["own_set"]})
-    if len(every) > MAX_SHINGLES:
-        raise ValueError("too many template shingles to send to every task; scan with fewer templates at a time")
     longest = max(r["own_size"] for r in known)
     lengths = sorted({min(r["own_size"], WINDOW) for r in known})
     share = 0.25
@@ -156,7 +184,9 @@ def scan_licenses(
     template_bands = F.broadcast(
         signed.select(
             "template", "license", F.array_distinct("own").alias("own_set"), F.size("own").alias("own_size"),
-            F.explode(_band_keys(F.slice("own", F.col("start") + 1, F.col("length")), F.col("length"), bands, ROWS_PER_BAND)).alias("band"),
+            F.explode(
+                _band_keys(_tables(F.slice("own", F.col("start") + 1, F.col("length")), bands * ROWS_PER_BAND), F.lit(0), F.col("length"), bands, ROWS_PER_BAND)
+            ).alias("band"),
         )
     )
 
@@ -165,7 +195,11 @@ def scan_licenses(
     # Most texts hold no template shingle at all, and end here.
     rows = rows.withColumn("common", F.array_intersect("h", _longs(every))).filter(F.size("common") > 0)
     place = F.transform("h", lambda x, i: F.when(F.array_contains("common", x), i))
-    marked = rows.withColumn("hits", F.filter(place, lambda i: i.isNotNull()))
+    hits = rows.withColumn("hits", F.filter(place, lambda i: i.isNotNull()))
+    # All windows that can count lie in the part of a text around its first to last template shingle.
+    first = F.greatest(F.array_min("hits") - longest, F.lit(0))
+    near = hits.withColumn("first", first).withColumn("part", F.slice("h", F.col("first") + 1, F.array_max("hits") - F.col("first") + longest + 1))
+    marked = near.withColumn("marks", F.transform("part", lambda x: F.array_contains("common", x)))
 
     def windows(n: int) -> Column:
         """Windows of n shingles with enough template shingles in them; only those around one are looked at."""
@@ -173,26 +207,32 @@ def scan_licenses(
         half = max(1, math.ceil(n * (containment - share / 2) * 0.74))
 
         def around(i: Column) -> Column:
-            first = F.greatest(F.ceil((i - n + 1) / stride).cast("int") * stride, F.lit(0))
-            return F.concat(F.sequence(first, F.floor(i / stride).cast("int") * stride, F.lit(stride)), F.array(last))
+            lowest = F.greatest(F.ceil((i - n + 1) / stride).cast("int") * stride, F.lit(0))
+            return F.concat(F.sequence(lowest, F.floor(i / stride).cast("int") * stride, F.lit(stride)), F.array(last))
+
+        def hit_count(s: Column) -> Column:
+            return F.size(F.array_remove(F.slice("marks", F.greatest(s - F.col("first"), F.lit(0)) + 1, F.lit(n)), False))
 
         starts = F.array_distinct(F.flatten(F.transform("hits", around)))
-        some = F.filter(
-            starts, lambda s: (s <= last) & (F.size(F.filter("hits", lambda i: (i >= s) & (i < s + n))) >= half)
-        )
+        some = F.filter(starts, lambda s: (s <= last) & (s >= F.col("first")) & (hit_count(s) >= half))
+        return F.transform(some, lambda s: F.struct(F.lit(n).alias("length"), s.alias("start")))
+
+    def signed_windows(tables: Column, found: Column) -> Column:
+        """Each window with where its region begins, the region, and its bands."""
+        begin = lambda w: F.greatest(w["start"] - longest, F.lit(0))
         return F.transform(
-            some,
-            lambda s: F.struct(
-                F.lit(n).alias("length"), F.greatest(s - longest, F.lit(0)).alias("from"),
-                F.slice("h", s + 1, F.lit(n)).alias("window"),
-                F.slice("h", F.greatest(s - longest, F.lit(0)) + 1, F.lit(n + 2 * longest)).alias("region"),
+            found,
+            lambda w: F.struct(
+                begin(w).alias("from"), F.slice("h", begin(w) + 1, w["length"] + 2 * longest).alias("region"),
+                F.array_distinct(_band_keys(tables, w["start"] - F.col("first"), w["length"], bands, ROWS_PER_BAND)).alias("bands"),
             ),
         )
 
-    placed = marked.select("doc_id", "row", F.explode(F.concat(*[windows(n) for n in lengths])).alias("w"))
-    keyed = placed.select(
-        "doc_id", "row", "w.from", "w.region", F.explode(F.array_distinct(_band_keys(F.col("w.window"), F.col("w.length"), bands, ROWS_PER_BAND))).alias("band")
-    )
+    some = marked.withColumn("windows", F.concat(*[windows(n) for n in lengths])).filter(F.size("windows") > 0)
+    # The tables are made once for all windows, passed on as the only element of an array.
+    signed_rows = F.flatten(F.transform(F.array(_tables(F.col("part"), bands * ROWS_PER_BAND)), lambda t: signed_windows(t, F.col("windows"))))
+    placed = some.select("doc_id", "row", F.explode(signed_rows).alias("w"))
+    keyed = placed.select("doc_id", "row", "w.from", "w.region", F.explode("w.bands").alias("band"))
     met = keyed.join(template_bands, "band")
     matched = F.size(F.array_intersect("region", "own_set"))
     where = F.array_min(F.filter(F.transform("own_set", lambda h: F.array_position("region", h)), lambda p: p > 0))

@@ -56,10 +56,20 @@ def test_odd_rows(spark):
     assert found(spark, []) == [] and found(spark, rows, templates=[]) == [] and found(spark, rows, templates=[("x", "too short")]) == []
 
 
-def test_too_many_templates_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(licenses, "MAX_SHINGLES", 3)
-    with pytest.raises(ValueError):
-        found(spark, [(1, "x")])
+@pytest.mark.parametrize("most", [3, 60])
+def test_many_templates_are_scanned_in_blocks(spark, monkeypatch, most):
+    monkeypatch.setattr(licenses, "MAX_SHINGLES", most)
+    rows = [(i, f"before {i} " + text + " after") for i, (_, text) in enumerate(licenses.TEMPLATES)] + [(99, "nothing at all in here")]
+    assert set(found(spark, rows)) == slow(rows)
+
+
+def test_windows_at_the_ends_and_far_apart(spark):
+    """Notices at the first and the last word of long texts, several in one, and two of a kind."""
+    filler = " ".join(f"w{i}" for i in range(3_000))
+    texts = [t for _, t in licenses.TEMPLATES]
+    rows = [(i, f"{t} {filler}") for i, t in enumerate(texts)] + [(100 + i, f"{filler} {t}") for i, t in enumerate(texts)]
+    rows += [(200, f" {filler} ".join(texts)), (201, " ".join([texts[4]] * 3)), (202, f"{texts[0]} {filler} {texts[0]}")]
+    assert set(found(spark, rows)) == slow(rows)
 
 
 def test_query(spark):
