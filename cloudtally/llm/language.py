@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from cloudtally.llm.shared import chunks, crc32_bucket, saved, small_batches
@@ -222,7 +221,7 @@ def _train(fit_rows: int, calibrate_rows: int):
 
 
 def train(
-    docs: DataFrame, fit_rows: int = 3000, calibrate_rows: int = 500,
+    docs: DataFrame, fit_rows: int = 3000, calibrate_rows: int = 500, sample_rows: int = 70_000,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> Model:
     """A model from the labelled rows of ``docs``.
@@ -231,7 +230,9 @@ def train(
     bounded sample, of each language the ``fit_rows + calibrate_rows`` rows
     whose ids hash lowest, and its temperature from the last of them: from
     ``calibrate_rows`` of a whole sample and the same share of a smaller one,
-    at least one row where there are two. Whole texts in both. Rows without id, text or language are left out, an id that repeats
+    at least one row where there are two. Whole texts in both. All languages
+    together have about ``sample_rows`` rows, as one task holds their vectors:
+    with more than twenty languages each has fewer, in the same shares. Rows without id, text or language are left out, an id that repeats
     counts once. Without any labelled row the model knows no language.
     """
     rows = docs.select(
@@ -245,6 +246,10 @@ def train(
         return Model((), np.zeros((FEATURES, 0), np.float32), np.zeros(0), 1.0)
     idf[list(found)] = [np.log((1 + n) / (1 + d)) + 1 for d in found.values()]
 
+    # Twenty languages have room for whole samples.
+    languages = rows.select("lang").distinct().count()
+    room = min(1.0, sample_rows / (languages * (fit_rows + calibrate_rows)))
+    fit_rows, calibrate_rows = max(1, int(fit_rows * room)), int(calibrate_rows * room)
     chosen = (
         rows.select("id", "lang").distinct()
         .withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
@@ -292,17 +297,26 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     the calibrated probability. Every row stays, repeats included; columns of
     the two names are replaced.
     """
-    docs = docs.drop("lang_pred", "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text_col):
-            langs, scores = predict(batch.column(text_col).to_pylist(), model)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"]
-            )
-
-    return small_batches(docs).mapInArrow(run, schema)
+    # Only texts go to Python and only verdicts come back, so the other columns stay where they are.
+    @F.arrow_udf("lang_pred string, score double")
+    def told(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            parts = []
+            for piece in chunks(iter([pa.RecordBatch.from_arrays([column], names=["text"])])):
+                langs, scores = predict(piece.column("text").to_pylist(), model)
+                parts.append(pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"]))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
+
+    rows = small_batches(docs.drop("lang_pred", "score"))
+    verdict = told(rows[_quoted(text_col)].cast("string"))
+    kept = [rows[_quoted(c)] for c in rows.columns]
+    both = rows.select(F.struct(*kept).alias("row"), verdict.alias("told"))
+    return both.select("row.*", "told.lang_pred", "told.score")
+
+
+def _quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
 
 
 def held_out(id_col: str = "doc_id", modulus: int = 4, value: int = 2):
