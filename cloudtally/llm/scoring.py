@@ -15,8 +15,8 @@ from cloudtally.llm.shared import chunks, lower_ascii, partitions_for, saved, sm
 
 #: Bytes of context. A context and the byte after it are packed into one long.
 DEPTH = 5
-#: Text bytes of a batch: batches share one look-up of every different context and word they hold.
-BATCH_BYTES = 64 << 20
+#: Text bytes of a batch: its texts share one look-up of every different context and word they hold. It is one task's share.
+BATCH_BYTES = 48 << 20
 #: Stands for the end of a text, and fills the context before its start; it does not occur in UTF-8.
 EDGE = 0xFF
 _LOG_HALF = np.log(0.5)
@@ -300,10 +300,10 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.col("learn").cast("long")).alias("learned")).first()
     n_batches, learned = max(1, -(-(size["bytes"] or 0) // BATCH_BYTES)), size["learned"] or 0
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int"))
-    tasks = partitions_for(rows, n_batches, 1)
 
+    # A batch is a partition, by its number, so no task has two of them.
     counted = (
-        rows.select("batch", "text", "learn").repartition(tasks, "batch").sortWithinPartitions("batch")
+        rows.select("batch", "text", "learn").repartitionById(n_batches, "batch").sortWithinPartitions("batch")
         .mapInArrow(_count, "batch int, kind int, key long, n long")
     )
     keyed = saved(
@@ -334,7 +334,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     )
     beside = value_row(gram_values, _GRAM).unionByName(value_row(word_values, _WORD)).unionByName(text_rows)
     scored = (
-        beside.repartition(tasks, "batch").sortWithinPartitions("batch", "part")
+        beside.repartitionById(n_batches, "batch").sortWithinPartitions("batch", "part")
         .mapInArrow(_score(float(np.log10((learned + 1) / room)), learned > 0), SCORED)
     )
     return scored.select(
