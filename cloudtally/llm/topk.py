@@ -15,8 +15,8 @@ from cloudtally.llm.shared import saved
 #: Different vectors per data block and per query block: what one task holds at a time.
 DATA_BLOCK = 8192
 QUERY_BLOCK = 1024
-#: Above this, products are summed as whole numbers; below, doubles hold them exactly and are faster.
-_EXACT_IN_DOUBLE = 1 << 20
+#: Doubles hold whole numbers below this exactly, and are faster.
+_EXACT_IN_DOUBLE = 1 << 53
 
 
 def scaled(vector: Column, scale: int) -> Column:
@@ -27,7 +27,9 @@ def scaled(vector: Column, scale: int) -> Column:
 
 
 def _products(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
-    if max(np.abs(queries).max(initial=0), np.abs(data).max(initial=0)) < _EXACT_IN_DOUBLE:
+    # No partial sum is larger than this, whatever the signs and the order.
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * queries.shape[1]
+    if most < _EXACT_IN_DOUBLE:
         return (queries.astype(np.float64) @ data.T.astype(np.float64)).astype(np.int64)
     return queries @ data.T
 
@@ -90,8 +92,8 @@ def top_k(
     Vectors that are null, or hold a null or non-finite component, take no part
     (nor do rows without an id), and only vectors of equal length are compared.
     A row whose vector repeats under the same id counts once. An empty table,
-    or a query without another row, gives no rows. Further columns are
-    ignored. Queries and data meet block by block; neither is broadcast.
+    or a query without another row, gives no rows. Components so large that a
+    score could leave 64 bits raise an error. Further columns are ignored. Queries and data meet block by block; neither is broadcast.
     """
     spark = vectors.sparkSession
     rows = vectors.select(
@@ -107,7 +109,11 @@ def top_k(
         asked.join(entries.select("vid", "v"), "v").select(F.col("id").alias("query_id"), F.col("vid").alias("qid")), "topk-queries"
     )
     asks = asked.select("qid").distinct()
-    n_data, n_asks = entries.count(), asks.count()
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    n_data, most, width = entries.agg(F.count(F.lit(1)), F.max(largest), F.max("width")).first()
+    if (most or 0.0) ** 2 * (width or 0) >= 2.0**63:
+        raise ValueError("components are too large for scores of 64 bits; use a smaller scale")
+    n_asks = asks.count()
     data_blocks, query_blocks = max(1, -(-n_data // DATA_BLOCK)), max(1, -(-n_asks // QUERY_BLOCK))
 
     def part(i: int) -> Column:

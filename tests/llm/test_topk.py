@@ -48,3 +48,22 @@ def test_odd_rows(spark):
 def test_large_components_stay_whole(spark):
     rows = [(i, [float(2**20 + i), -float(i)], "") for i in range(20)]
     assert set(got(spark, rows, 4)) == slow([r[:2] for r in rows], lambda q: q % 7 == 0, 4)
+
+
+def test_components_beyond_exact_doubles(spark):
+    rng = np.random.default_rng(6)
+    for width, most in ((4, 2**29), (20_000, 2**21)):
+        vectors = [rng.integers(-most, most, width).tolist() for _ in range(12)]
+        rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        got = topk.top_k(rows, F.col("vec_id") % 4 == 0, k=3, scale=1).collect()
+        want = []
+        for q in (0, 4, 8):
+            scores = sorted((-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in enumerate(vectors) if i != q)
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:3])]
+        assert sorted(map(tuple, got)) == want
+
+
+def test_components_too_large_for_a_score_are_an_error(spark):
+    rows = spark.createDataFrame([(0, [1e16, 1.0]), (1, [1e16, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="too large"):
+        topk.top_k(rows, F.lit(True), k=1, scale=1024)
