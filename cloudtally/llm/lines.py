@@ -66,18 +66,23 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size < ROWS and i + 1 < len(lines):
                 continue
             counts = np.array([len(h) for h in hashes])
-            place = np.concatenate([np.arange(n) for n in counts]) + WHOLE
-            row = pa.array(np.repeat(np.arange(first, i + 1), counts))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(hashes)),
-                    pa.array((np.repeat(counts, counts) - 1 - (place > WHOLE)).astype(np.int32)),
-                    pa.array(place.astype(np.int32)),
-                    batch.column("line").take(row),
-                    batch.column("first").take(row),
-                ],
-                names=["variant", "length", "place", "line", "first"],
-            )
+            every, ends = np.concatenate(hashes), np.cumsum(counts)
+            # A single line may have any number of variants, so they are given out in slices.
+            for at in range(0, size, ROWS):
+                nth = np.arange(at, min(at + ROWS, size))
+                own = np.searchsorted(ends, nth, side="right")
+                place = nth - (ends - counts)[own] + WHOLE
+                row = pa.array(first + own)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(every[at : at + ROWS]),
+                        pa.array((counts[own] - 1 - (place > WHOLE)).astype(np.int32)),
+                        pa.array(place.astype(np.int32)),
+                        batch.column("line").take(row),
+                        batch.column("first").take(row),
+                    ],
+                    names=["variant", "length", "place", "line", "first"],
+                )
             hashes, first, size = [], i + 1, 0
 
 
