@@ -54,8 +54,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in the order in which the documents stand in their files, written in coded blocks and read back."""
     path = scratch_dir(spark, "pipeline-ids")
-    placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    tokens.write_ids(placed, path, queries.TOKENIZER, queries.VOCABULARY, queries.END, order=[F.col("file"), F.col("row")])
+    # By number: names of files have five digits, and there may be more files.
+    number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    placed = docs.select("doc_id", "text", number.alias("number"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    tokens.write_ids(placed, path, queries.TOKENIZER, queries.VOCABULARY, queries.END, order=[F.col("number"), F.col("file"), F.col("row")])
     return tokens.read_ids(spark, path, with_ids=False).drop("ids")
 
 
