@@ -24,52 +24,99 @@ def state_documents(states: DataFrame, document: str = "state") -> DataFrame:
     return states.select(*_RESOURCE, spelled.alias("state"), spelled.isNull().alias("unreadable"))
 
 
-def _children(node: Column) -> Column:
-    """A value with its fields or elements behind it, one step down; a plain value alone.
+_NODE = "array<struct<path:string,code:variant,seen:variant,declared:string,observed:string,done:boolean>>"
 
-    An object or array stands for itself as ``{}`` or ``[]``, so that a change
-    inside it is not one of it.
+
+def _levels(document: Column) -> Column:
+    """How deep the objects and arrays of a JSON text lie in each other."""
+    brackets = F.regexp_replace(document, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\[\]{}"]++', "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(at: Column, mark: Column) -> Column:
+        now = at["now"] + F.when(mark.isin("{", "["), 1).when(mark == "", 0).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    return F.coalesce(F.aggregate(F.split(brackets, ""), start, step, lambda at: at["most"]), F.lit(0))
+
+
+def _opened(node: Column) -> Column:
+    """A pair of values as what differs at its own path, and the pairs of fields and elements one step down.
+
+    Where both sides say the same nothing is left, so only what differs is
+    taken further apart. An object or array stands for itself as ``{}`` or
+    ``[]``, so that a change inside it is not one of it; one that came or went
+    is not listed, as what is inside it is, unless it is empty.
     """
-    path, value = node["path"], node["value"]
-    members, elements = j.fields(value, "$"), F.try_variant_get(value, "$", "array<variant>")
+    path, code, seen = node["path"], node["code"], node["seen"]
     plain = r"^[A-Za-z_][A-Za-z0-9_-]*$"
 
+    def parts(value: Column) -> tuple[Column, Column]:
+        return j.fields(value, "$"), F.try_variant_get(value, "$", "array<variant>")
+
+    def own(value: Column, members: Column, elements: Column) -> Column:
+        # The document itself is no attribute, unless it is a plain value.
+        container = F.when(members.isNotNull(), "{}").when(elements.isNotNull(), "[]")
+        return F.when(container.isNull(), F.to_json(value)).when(path != "", container)
+
+    def empty(members: Column, elements: Column) -> Column:
+        return F.coalesce(F.size(members), F.size(elements), F.lit(0)) <= 0
+
     def below(key: Column) -> Column:
         step = F.when(key.rlike(plain), F.concat(F.lit("."), key)).otherwise(F.concat(F.lit("['"), key, F.lit("']")))
         return F.when((path == "") & key.rlike(plain), key).otherwise(F.concat(path, step))
 
-    def row(path: Column, value: Column, json: Column, empty: Column) -> Column:
-        return F.struct(path.alias("path"), value.alias("value"), json.alias("json"), empty.alias("empty"))
+    def row(path: Column, code: Column, seen: Column, declared: Column, observed: Column, done: bool) -> Column:
+        return F.struct(
+            path.alias("path"), code.alias("code"), seen.alias("seen"),
+            declared.alias("declared"), observed.alias("observed"), F.lit(done).alias("done"),
+        )
 
-    none, done = F.lit(None).cast("variant"), F.lit(None).cast("string")
-    own = lambda mark, size: F.array(row(path, none, F.lit(mark), size == 0))
+    nothing, text = F.lit(None).cast("variant"), F.lit(None).cast("string")
+    (fields, elements), (fields_seen, elements_seen) = parts(code), parts(seen)
+    mark, mark_seen = own(code, fields, elements), own(seen, fields_seen, elements_seen)
+    both = code.isNotNull() & seen.isNotNull()
+    listed = F.when(both, ~mark.eqNullSafe(mark_seen)).otherwise(
+        (mark.isNotNull() | mark_seen.isNotNull()) & F.when(code.isNull(), empty(fields_seen, elements_seen)).otherwise(empty(fields, elements))
+    )
+    none = F.array().cast(_NODE)
+    itself = F.when(listed, F.array(row(path, nothing, nothing, mark, mark_seen, True)).cast(_NODE)).otherwise(none)
+    no_keys = F.array().cast("array<string>")
+    keys = F.array_union(F.coalesce(F.map_keys(fields), no_keys), F.coalesce(F.map_keys(fields_seen), no_keys))
+    members = F.transform(keys, lambda k: row(below(k), F.try_element_at(fields, k), F.try_element_at(fields_seen, k), text, text, False))
+    length = F.greatest(F.coalesce(F.size(elements), F.lit(0)), F.coalesce(F.size(elements_seen), F.lit(0)))
+    places = F.when(length > 0, F.sequence(F.lit(0), length - 1)).otherwise(F.array().cast("array<int>"))
+    inside = F.transform(
+        places, lambda i: row(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), F.get(elements, i), F.get(elements_seen, i), text, text, False)
+    )
     return (
-        F.when(node["json"].isNotNull(), F.array(node))
-        .when(
-            members.isNotNull(),
-            F.concat(own("{}", F.size(members)), F.transform(F.map_entries(members), lambda e: row(below(e["key"]), e["value"], done, F.lit(True)))),
-        )
-        .when(
-            elements.isNotNull(),
-            F.concat(
-                own("[]", F.size(elements)),
-                F.transform(elements, lambda v, i: row(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), v, done, F.lit(True))),
-            ),
-        )
-        .otherwise(F.array(row(path, none, F.to_json(value), F.lit(True))))
+        F.when(node["done"], F.array(node).cast(_NODE))
+        .when(F.to_json(code).eqNullSafe(F.to_json(seen)), none)
+        .otherwise(F.concat(itself, members.cast(_NODE), inside.cast(_NODE)))
     )
 
 
-def _paths(documents: DataFrame, depth: int) -> DataFrame:
-    """(root, address, attr, json, empty) for every path of a document; below ``depth`` a value stays whole."""
+def _differences(code: Column, seen: Column, depth: int | None) -> Column:
+    """Paths at which two JSON texts differ, as nodes: both are opened together, level by level, until nothing is left to open."""
+    levels = F.greatest(_levels(code), _levels(seen)) + 1
     root = F.struct(
-        F.lit("").alias("path"), j.parse(F.col("state")).alias("value"), F.lit(None).cast("string").alias("json"), F.lit(True).alias("empty")
+        F.lit("").alias("path"), j.parse(code).alias("code"), j.parse(seen).alias("seen"),
+        F.lit(None).cast("string").alias("declared"), F.lit(None).cast("string").alias("observed"), F.lit(False).alias("done"),
+    )
+    if depth is not None:
+        levels = F.least(levels, F.lit(depth))
+    nodes = F.aggregate(
+        F.sequence(F.lit(1), levels), F.array(root).cast(_NODE), lambda nodes, _: F.flatten(F.transform(nodes, _opened)).cast(_NODE)
+    )
+    # What is not opened, as it lies below the depth asked for, is compared whole.
+    whole = F.filter(nodes, lambda n: n["done"] | ~F.to_json(n["code"]).eqNullSafe(F.to_json(n["seen"])))
+    return F.transform(
+        whole,
+        lambda n: F.struct(
+            n["path"].alias("attr"),
+            F.coalesce(n["declared"], F.to_json(n["code"])).alias("declared"),
+            F.coalesce(n["observed"], F.to_json(n["seen"])).alias("observed"),
+        ),
     )
-    nodes = documents.select(*_RESOURCE, root.alias("node"))
-    for _ in range(depth):
-        nodes = nodes.select(*_RESOURCE, F.explode(_children(F.col("node"))).alias("node"))
-    whole = F.coalesce(F.col("node.json"), F.to_json(F.col("node.value")))
-    return nodes.select(*_RESOURCE, F.col("node.path").alias("attr"), whole.alias("json"), F.col("node.empty").alias("empty"))
 
 
 def snapshot_diff(
@@ -77,14 +124,15 @@ def snapshot_diff(
     observed: DataFrame,
     ignore: DataFrame | None = None,
     declared_only: Sequence[str] = (),
-    depth: int = 8,
+    depth: int | None = None,
 ) -> DataFrame:
     """Attributes, at any level, whose observed value is not the declared one.
 
-    Both sides come from ``state_documents``. Only documents that differ are
-    taken apart, into paths such as ``template[0].image``; below ``depth`` levels
-    a value is compared whole. Values keep their JSON text, so 1 and "1"
-    differ, and so do null and missing. A document that cannot be read is a
+    Both sides come from ``state_documents`` and are joined once. Documents
+    that differ are opened together, row by row, into paths such as
+    ``template[0].image``, as deep as they go; with a ``depth``, a value below
+    that many levels is compared whole. Values keep their JSON text, so 1 and
+    "1" differ, and so do null and missing. A document that cannot be read is a
     row of its own, with change ``unreadable`` and no attribute, whatever the
     other side says.
 
@@ -95,34 +143,17 @@ def snapshot_diff(
     """
     left = declared.select(*_RESOURCE, F.col("state").alias("_code"), F.col("unreadable").alias("_bad"))
     right = observed.select(*_RESOURCE, F.col("state").alias("_seen"), F.col("unreadable").alias("_bad_seen"))
-    both = left.join(right, _RESOURCE, "full")
     unread = F.coalesce("_bad", F.lit(False)) | F.coalesce("_bad_seen", F.lit(False))
-    nothing = F.lit(None).cast("string")
-    broken = both.filter(unread).select(
-        *_RESOURCE, nothing.alias("attr"), F.col("_code").alias("declared"), F.col("_seen").alias("observed"), F.lit("unreadable").alias("change")
-    )
-    differing = both.filter(~unread & ~F.col("_code").eqNullSafe(F.col("_seen")))
-
-    def side(column: str, name: str) -> DataFrame:
-        taken = _paths(differing.filter(F.col(column).isNotNull()).select(*_RESOURCE, F.col(column).alias("state")), depth)
-        # The document itself is no attribute, unless it is a plain value.
-        taken = taken.filter((F.col("attr") != "") | ~F.col("json").isin("{}", "[]"))
-        return taken.select(*_RESOURCE, "attr", F.col("json").alias(name), F.col("empty").alias(f"_empty_{name}"))
-
-    each = side("_code", "declared").join(side("_seen", "observed"), [*_RESOURCE, "attr"], "full")
+    both = left.join(right, _RESOURCE, "full").filter(unread | ~F.col("_code").eqNullSafe(F.col("_seen")))
+    broken = F.array(F.struct(F.lit(None).cast("string").alias("attr"), F.col("_code").alias("declared"), F.col("_seen").alias("observed")))
+    rows = both.select(
+        *_RESOURCE, unread.alias("_unread"), F.explode(F.when(unread, broken).otherwise(_differences(F.col("_code"), F.col("_seen"), depth))).alias("_d")
+    ).select(*_RESOURCE, "_d.attr", "_d.declared", "_d.observed", "_unread")
     in_code, found = F.col("declared").isNotNull(), F.col("observed").isNotNull()
-    changed = ~F.col("declared").eqNullSafe(F.col("observed"))
-    # What is inside an object that came or went is listed, so the object is not, unless it is empty.
-    listed = (in_code & found) | F.coalesce("_empty_declared", "_empty_observed")
     for prefix in declared_only:
-        changed = changed & (in_code | ~F.col("address").startswith(prefix))
-    diff = each.filter(changed & listed).select(
-        *_RESOURCE,
-        "attr",
-        "declared",
-        "observed",
-        F.when(~in_code, "added").when(~found, "removed").otherwise("changed").alias("change"),
-    )
+        rows = rows.filter(F.col("_unread") | in_code | ~F.col("address").startswith(prefix))
+    change = F.when(F.col("_unread"), "unreadable").when(~in_code, "added").when(~found, "removed").otherwise("changed")
+    diff = rows.select(*_RESOURCE, "attr", "declared", "observed", change.alias("change"))
     if ignore is not None:
         keys = [c for c in _RESOURCE if c in ignore.columns]
         owned = ignore.select(*[F.col(c).alias(f"_o_{c}") for c in (*keys, "attr")]).distinct()
@@ -131,7 +162,7 @@ def snapshot_diff(
             under = under | F.startswith(F.col("attr"), F.concat("_o_attr", F.lit(mark)))
         same = [F.col(c) == F.col(f"_o_{c}") for c in keys]
         diff = diff.join(owned, reduce(Column.__and__, [*same, under]), "left_anti")
-    return diff.unionByName(broken)
+    return diff
 
 
 def drift_status(diff: DataFrame, roots: Sequence[str]) -> DataFrame:

@@ -143,14 +143,65 @@ def percentiles(
     )
 
 
+#: One part in so many of a group's rows is what a sketched rank may be off by.
+SKETCH = 1000
+
+
+def sketched_percentiles(rows: DataFrame, by: Sequence[str], value: str, points: dict[str, float], *also: Column) -> DataFrame:
+    """Exact percentiles with linear interpolation, and any other aggregates, in two reads whatever the scale of the values.
+
+    The first read makes a quantile sketch of each group, which partial sketches
+    merge into. It gives two values that a wanted rank lies between for
+    certain, as its error is bounded; a group too small for that is ranked
+    whole. The second read counts what is below them and ranks what is between,
+    after equal values have been merged: a few in a thousand of a group's rows
+    for each point.
+    """
+    by = list(by)
+    names = list(points)
+    # Twice the bound to each side, so that the ranks beside a wanted one are inside too.
+    slack = 2.0 / SKETCH
+    probes = [min(max(q + s, 0.0), 1.0) for q in points.values() for s in (-slack, slack)]
+    sketch = F.percentile_approx(F.when(~F.isnan(value), F.col(value).cast("double")), F.array(*[F.lit(p) for p in probes]), F.lit(SKETCH))
+    known = F.count_if(F.col(value).isNotNull() & ~F.isnan(value))
+    groups = rows.groupBy(*by).agg(sketch.alias("_probes"), known.alias("_all"), F.min(value).alias("_least"), F.max(value).alias("_most"), *also)
+
+    # Always true; as it names every column, both uses below are of one and the same aggregate, which is then made once.
+    groups = groups.filter(F.xxhash64(*[c for c in groups.columns if c not in by]) % 1 == 0)
+    few = F.col("_all") < 4 / slack
+
+    def bracket(i: int, q: float) -> Column:
+        low = F.when(F.lit(q <= slack) | few, F.col("_least")).otherwise(F.col("_probes")[2 * i])
+        high = F.when(F.lit(q >= 1 - slack) | few, F.col("_most")).otherwise(F.col("_probes")[2 * i + 1])
+        at = F.lit(q) * (F.col("_all") - 1)
+        return F.struct(F.lit(i).alias("point"), low.alias("low"), high.alias("high"), at.alias("at"))
+
+    wanted = groups.filter("_all > 0").select(*by, F.array(*[bracket(i, q) for i, q in enumerate(points.values())]).alias("_brackets"))
+    mine = join_same(rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")), wanted, by)
+    # What is below a bracket is one row of a group and point, under no value.
+    told = mine.select(*by, "_v", F.explode("_brackets").alias("_b")).filter(F.col("_v") <= F.col("_b.high"))
+    inside = F.when(F.col("_v") >= F.col("_b.low"), F.col("_v"))
+    merged = told.groupBy(*by, "_b.point", "_b.at", inside.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*by, "point").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = merged.withColumn("_to", F.sum("_n").over(upto)).withColumn("_from", F.col("_to") - F.col("_n"))
+
+    def at_rank(rank: Column) -> Column:
+        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")) & F.col("_v").isNotNull(), F.col("_v")))
+
+    at = F.col("at")
+    low, high = at_rank(F.floor(at)), at_rank(F.ceil(at))
+    per_point = ranked.groupBy(*by, "point", "at").agg(low.alias("_low"), high.alias("_high"))
+    # The sketch's bound makes this impossible; a wrong figure would be worse than none.
+    held = F.when(F.col("_low").isNull() | F.col("_high").isNull(), F.raise_error(F.lit("a rank is outside its bracket")).cast("double"))
+    found = per_point.withColumn("_value", held.otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * (at - F.floor(at))))
+    values = found.groupBy(*by).agg(*[F.max(F.when(F.col("point") == i, F.col("_value"))).alias(n) for i, n in enumerate(names)])
+    return join_same(groups.drop("_probes", "_all", "_least", "_most"), values, by, "left")
+
+
 def latency_summary(timings: DataFrame, by: Sequence[str], ts: str = "ts", seconds: str = "seconds") -> DataFrame:
     """First, median, 95th percentile and slowest request of each run and cloud."""
-    edges = timings.groupBy(*by).agg(
-        F.min_by(seconds, ts).alias("first_s"),
-        F.max(seconds).alias("max_s"),
-        F.count(seconds).alias("timed"),
-    )
-    return join_same(edges, percentiles(timings, by, seconds, {"p50_s": 0.5, "p95_s": 0.95}), list(by), "left")
+    edges = (F.min_by(seconds, ts).alias("first_s"), F.max(seconds).alias("max_s"), F.count(seconds).alias("timed"))
+    return sketched_percentiles(timings, by, seconds, {"p50_s": 0.5, "p95_s": 0.95}, *edges)
 
 
 def parse_logs(lines: DataFrame, text: str = "value") -> DataFrame:

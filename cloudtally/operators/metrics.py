@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from datetime import date, datetime
 from math import gcd
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudtally.functions.labels import join_same, matches, only_cloud, select_series
@@ -225,6 +225,51 @@ def instant_values(samples: DataFrame, series: Sequence[str], step_s: int, lookb
     )
 
 
+def value_at(
+    instants: DataFrame, samples: DataFrame, series: Sequence[str], at: str = "at", lookback_s: int = 300, slices: int = 16
+) -> DataFrame:
+    """Every row of ``instants`` with the last ``value`` of its series at that moment, its ``ts``, and a ``state``.
+
+    A sample counts for the whole look-back after it, the moment itself
+    included and the far end not. ``state`` is ``fresh`` with such a sample,
+    ``stale`` where the series had one before that, and ``missing`` where it
+    had none yet. Equal times go by the higher value. A missing label equals a
+    missing one; an instant without a time is ``missing``.
+
+    Instants and samples are put in one order and the last sample is carried
+    to the instants behind it. As none is carried further than the look-back,
+    the order is cut into slices of ``slices`` look-backs: a sample near the end
+    of one goes into the next as well, so a busy series is spread over tasks
+    and nothing else has to pass between them.
+    """
+    keys = list(series)
+    reach = lookback_s * 1_000_000
+    width = F.lit(reach * slices)
+    own = [c for c in instants.columns if c not in keys]
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    sample = F.struct(F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
+    asked = instants.select(
+        *keys, micros.alias("_t"), F.lit(1).alias("_kind"), F.floor(micros / width).alias("_slice"),
+        F.struct(*own).alias("_row"), F.lit(None).cast("struct<ts:timestamp,value:double>").alias("_sample"),
+    )
+    taken = F.unix_micros(F.col("ts").cast("timestamp"))
+    reached = F.array_distinct(F.array(F.floor(taken / width), F.floor((taken + reach - 1) / width)))
+    seen = samples.filter("ts IS NOT NULL AND value IS NOT NULL").select(
+        *keys, taken.alias("_t"), F.lit(0).alias("_kind"), F.explode(reached).alias("_slice"),
+        F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), sample.alias("_sample"),
+    )
+    order = Window.partitionBy(*keys, "_slice").orderBy("_t", "_kind", "_sample").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = asked.unionByName(seen).withColumn("_last", F.last("_sample", ignorenulls=True).over(order)).filter("_kind = 1")
+    near = F.col("_t") - F.unix_micros("_last.ts") < F.lit(reach)
+    first = samples.filter("ts IS NOT NULL AND value IS NOT NULL").groupBy(*keys).agg(F.min(taken).alias("_first"))
+    placed = join_same(carried, first, keys, "left")
+    state = F.when(near, "fresh").when(F.col("_first") <= F.col("_t"), "stale").otherwise("missing")
+    return placed.select(
+        *keys, *[F.col("_row")[c].alias(c) for c in own],
+        F.when(near, F.col("_last.value")).alias("value"), F.when(near, F.col("_last.ts")).alias("ts"), state.alias("state"),
+    )
+
+
 def max_over_time(samples: DataFrame, by: Sequence[str], range_s: int, step_s: int | None = None) -> DataFrame:
     """Highest raw value per label set over a range."""
     return _over_range(samples, by, "value", F.max, range_s, step_s)

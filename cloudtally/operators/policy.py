@@ -80,7 +80,9 @@ def planned_resources(plans: DataFrame, include_replacements: bool = False) -> D
 
     A change that deletes is dropped, and so is one with nothing after it. A
     replacement lists both delete and create and is dropped as well, unless
-    ``include_replacements``.
+    ``include_replacements``. Other values among the actions, null too, do not
+    matter. A plan without a list of changes plans nothing, so it has no row
+    here and no finding.
     """
     changes = plans.select("root", F.explode(j.items(j.parse(F.col("plan")), "$.resource_changes")).alias("rc"))
     rc = F.col("rc")
@@ -91,9 +93,14 @@ def planned_resources(plans: DataFrame, include_replacements: bool = False) -> D
         j.one_or_many(rc, "$.change.actions").alias("actions"),
         F.try_variant_get(rc, "$.change.after", "variant").alias("after"),
     )
-    going = F.array_contains("actions", "delete")
+
+    def acts(what: str) -> Column:
+        # An array with a NULL in it gives NULL where it does not hold the value.
+        return F.coalesce(F.array_contains("actions", what), F.lit(False))
+
+    going = acts("delete")
     if include_replacements:
-        going = going & ~F.array_contains("actions", "create")
+        going = going & ~acts("create")
     # A JSON null is a value, not a SQL NULL, so both are tested.
     exists = F.col("after").isNotNull() & ~F.is_variant_null("after")
     return rows.filter(exists & ~going).drop("actions")

@@ -56,6 +56,13 @@ def planned_with_replacements(spark: S, sf: str) -> DataFrame:
     return rows.groupBy("root", "type").agg(F.count(F.lit(1)).alias("resources"))
 
 
+def planned_null_actions(spark: S, sf: str) -> DataFrame:
+    """Resources and findings of plans with a null among the actions."""
+    rows = policy.planned_resources(d.null_action_plans(spark, sf))
+    found = policy.findings(rows).groupBy("root").agg(F.count(F.lit(1)).alias("findings"))
+    return rows.groupBy("root").agg(F.count(F.lit(1)).alias("resources")).join(found, "root", "left")
+
+
 def effective_tags(spark: S, sf: str) -> DataFrame:
     tags = policy.effective_tags(F.col("type"), F.col("after"))
     rows = _resources(spark, sf).select("type", F.explode(tags).alias("key", "_v"))
@@ -139,7 +146,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         error_breaches, latency_breaches, busy_evaluations, held_evaluations, alert_incidents,
-        planned_resources, planned_with_replacements, effective_tags, policy_statements, policy_findings,
+        planned_resources, planned_with_replacements, planned_null_actions, effective_tags, policy_statements, policy_findings,
         policy_findings_strict, policy_verdicts, policy_broken_plans, state_drift, state_drift_owned, state_drift_nested,
         drift_status, drift_broken_state, digest_agreement,
     )
@@ -245,6 +252,9 @@ ORACLE = {
       FROM n GROUP BY 1, 2, 3""",
     "planned_resources": f"WITH {_resources_sql(_KEPT)} SELECT root, type, count(*) AS resources FROM res GROUP BY 1, 2",
     "planned_with_replacements": f"WITH {_resources_sql(_KEPT_ALL)} SELECT root, type, count(*) AS resources FROM res GROUP BY 1, 2",
+    "planned_null_actions": f"""WITH {_resources_sql(_KEPT)}, {_RULE_TABLE}, {_FOUND},
+      f AS (SELECT root, count(*) AS findings FROM found GROUP BY root)
+      SELECT root, count(*) AS resources, any_value(findings) AS findings FROM res LEFT JOIN f USING (root) GROUP BY root""",
     "effective_tags": f"""WITH {_resources_sql(_KEPT)},
       g(key, value) AS (VALUES ('project', '"platform-one"'), ('env', '"dev"'), ('owner', '"ops"'), ('estate', '"aws"'), ('managed-by', '"terraform"')),
       w(key, value) AS (VALUES ('project', '""'), ('env', '"dev"'), ('owner', '"ops"'), ('estate', '"prod"'), ('managed-by', '"terraform"')),

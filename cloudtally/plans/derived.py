@@ -334,6 +334,25 @@ def exposition_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scrapes.select("target", "cloud", "ts", F.explode("lines").alias("value"))
 
 
+def broken_exposition_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same text with lines that break the rules in some scrapes: a label twice, an open quote, a bad escape, no number."""
+    value, nth = F.col("value"), F.floor(F.unix_seconds("ts") / 600) % 11
+    broken = (
+        F.when(nth == 1, F.replace(value, F.lit('",method='), F.lit('",route="again",method=')))
+        .when(nth == 2, F.replace(value, F.lit('",method='), F.lit(",method=")))
+        .when(nth == 3, F.replace(value, F.lit('say \\"'), F.lit('say \\q')))
+        .when(nth == 4, F.concat(F.substring_index(value, "} ", 1), F.lit("} many")))
+        .otherwise(value)
+    )
+    is_sample = F.startswith(value, F.lit("app_requests_total"))
+    return exposition_lines(spark, sf_dir).withColumn("value", F.when(is_sample, broken).otherwise(value))
+
+
+def null_action_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same plans, a null among the actions of every change that updates."""
+    return plan_documents(spark, sf_dir).withColumn("plan", F.replace("plan", F.lit('["update"]'), F.lit('["update",null]')))
+
+
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request paths: the path part of every page address."""
     return table(spark, sf_dir, "pages").select(

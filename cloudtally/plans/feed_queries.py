@@ -5,8 +5,11 @@ What they write goes to the shared scratch folder; each run takes a new one.
 
 from __future__ import annotations
 
+import contextlib
 from datetime import date
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +26,10 @@ from cloudtally.plans.telemetry_queries import BOUNDS, SAMPLES, ntz
 from cloudtally.schemas import LOAD_RUNS, REQUESTS_DAILY
 from cloudtally.session import scratch_dir
 from cloudtally.sources import files, months, views
-from cloudtally.streaming import alerts, increments, sinks, sources
+from cloudtally.streaming import alerts, corrections, increments, sinks, sources
 
 S = SparkSession
-DELAY = "10 minutes"
+DELAY, DELAY_S = "10 minutes", 600
 STATE_PARTITIONS = 8
 # Files a trigger takes: what bounds a batch when a stream catches up.
 FILES = 64
@@ -83,6 +86,23 @@ def emptied_month(spark: S, sf: str) -> DataFrame:
     ).withColumn("billed", cq.flat_money("billed"))
 
 
+def failed_rewrite(spark: S, sf: str) -> DataFrame:
+    """Two months loaded, then both rewritten by writes that break on some row: what the table then holds."""
+    root = scratch_dir(spark, "failed-rewrite")
+    bill = d.aws_bill(spark, sf).select("ResourceId", "BilledCost", F.date_format("billing_month", "yyyy-MM").alias("_period"))
+    broken = F.when(F.col("ResourceId").endswith("3"), F.raise_error(F.lit("a row that cannot be written")).cast("double"))
+    for period in ("2023-12", "2024-01"):
+        month = bill.filter(F.col("_period") == period)
+        months.replace_month(month.select("ResourceId", "BilledCost"), f"{root}/raw", period)
+        twice = month.select("ResourceId", broken.otherwise(F.col("BilledCost") * 2).alias("BilledCost"))
+        with contextlib.suppress(PySparkException, Py4JJavaError):
+            months.replace_month(twice, f"{root}/raw", period)
+    held = files.read_export(spark, f"{root}/raw")
+    return held.groupBy(F.col("billing_month").cast("date").alias("billing_month")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum(F.col("BilledCost").cast("decimal(38,9)")).alias("billed")
+    ).withColumn("billed", cq.flat_money("billed"))
+
+
 def requests_daily_table(spark: S, sf: str) -> DataFrame:
     """Daily request counts kept as a table that every run replaces."""
     root = scratch_dir(spark, "requests-daily")
@@ -90,7 +110,7 @@ def requests_daily_table(spark: S, sf: str) -> DataFrame:
     for as_of in (date(2024, 1, 20), d.AS_OF):
         daily = metrics.daily_requests(deltas, d.START, as_of).select(*REQUESTS_DAILY.names)
         files.replace_table(daily, f"{root}/table")
-    return spark.read.schema(REQUESTS_DAILY).parquet(f"{root}/table")
+    return files.read_export(spark, f"{root}/table").select(*REQUESTS_DAILY.names)
 
 
 def plan_files_verdicts(spark: S, sf: str) -> DataFrame:
@@ -114,6 +134,18 @@ def text_csv_bill(spark: S, sf: str) -> DataFrame:
     )
 
 
+def split_csv_bill(spark: S, sf: str) -> DataFrame:
+    """The same bill read by many tasks: values with quotes and line breaks, the files cut anywhere."""
+    root = scratch_dir(spark, "split-csv")
+    d.azure_bill(spark, sf).drop("billing_month").write.option("escape", '"').csv(f"{root}/csv", header=True)
+    bill = focus.focus_azure(files.read_split_csv(spark, f"{root}/csv"))
+    return (
+        bill.groupBy("SubAccountName", "ChargeCategory", "ServiceName", tags_as_text(F.col("Tags")).alias("tags"))
+        .agg(F.count(F.lit(1)).alias("charges"), F.sum("BilledCost").alias("billed"))
+        .withColumn("billed", cq.flat_money("billed"))
+    )
+
+
 def json_table_load(spark: S, sf: str) -> DataFrame:
     """Load runs as JSON lines, read with their schema, the table replaced twice."""
     root = scratch_dir(spark, "load-runs")
@@ -121,7 +153,7 @@ def json_table_load(spark: S, sf: str) -> DataFrame:
     runs.write.json(f"{root}/lines")
     for _ in range(2):
         files.replace_table(files.read_json_lines(spark, f"{root}/lines", LOAD_RUNS), f"{root}/table")
-    return ntz(spark.read.parquet(f"{root}/table"), "run_at")
+    return ntz(files.read_export(spark, f"{root}/table"), "run_at")
 
 
 def _views(spark: S, sf: str) -> None:
@@ -165,6 +197,62 @@ def scrape_stream(spark: S, sf: str) -> DataFrame:
     )
 
 
+def _collected(spark: S, sf: str, scrapes: DataFrame, root: str) -> DataFrame:
+    """Scrapes and logs in one folder of JSON lines, as a stream."""
+    lines = scrapes.select(F.lit(sources.SCRAPE).alias("kind"), "target", "cloud", "ts", "value")
+    logs = d.app_logs(spark, sf).select(
+        F.lit(sources.LOG).alias("kind"), F.lit(None).cast("string").alias("target"), "cloud", F.lit(None).cast("timestamp").alias("ts"), "value"
+    )
+    lines.unionByName(logs).write.json(f"{root}/in")
+    return sources.stream_collected(spark, f"{root}/in", files_per_trigger=FILES)
+
+
+def two_sink_export(spark: S, sf: str) -> DataFrame:
+    """What a collector takes in, sent to a metric table and a log table on an interval, the stream stopped and started again."""
+    root = scratch_dir(spark, "export")
+    stream = _collected(spark, sf, d.exposition_lines(spark, sf), root)
+    targets = {f"{root}/samples": sources.collected_samples, f"{root}/logs": sources.collected_logs}
+    for _ in range(2):
+        query = sinks.export_batches(stream, targets, f"{root}/ck", every="1 second")
+        query.processAllAvailable()
+        query.stop()
+    samples, logs = (spark.read.parquet(path) for path in targets)
+    counted = [
+        rows.groupBy("cloud", name.alias("name")).agg(F.count(F.lit(1)).alias("rows")).withColumn("sink", F.lit(sink))
+        for sink, rows, name in (("metrics", samples, F.col("metric")), ("logs", logs, F.col("severity")))
+    ]
+    return counted[0].unionByName(counted[1])
+
+
+def scrape_quarantine(spark: S, sf: str) -> DataFrame:
+    """Scrapes with lines that break the rules: samples go to one table, those lines to another, and the stream goes on."""
+    root = scratch_dir(spark, "quarantine")
+    stream = _collected(spark, sf, d.broken_exposition_lines(spark, sf), root)
+    targets = {f"{root}/samples": sources.collected_samples, f"{root}/rejects": sources.collected_rejects}
+    sinks.export_batches(stream, targets, f"{root}/ck", every=None).awaitTermination()
+    samples = spark.read.parquet(f"{root}/samples").filter(F.col("metric") == "app_requests_total").withColumn("reason", F.lit("none"))
+    rejects = spark.read.parquet(f"{root}/rejects")
+    rows = samples.select("target", "ts", "reason").unionByName(rejects.select("target", "ts", "reason"))
+    return rows.groupBy(F.substring_index("target", "/", 1).alias("cloud"), "reason").agg(
+        F.count(F.lit(1)).alias("lines"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    ).transform(lambda df: ntz(df, "first_ts", "last_ts"))
+
+
+def stream_corrected(spark: S, sf: str) -> DataFrame:
+    """Increments off a stream whose samples come in no order, most of them late, with the corrections added."""
+    root = scratch_dir(spark, "corrected")
+    # Every file holds some samples of all times, so after the first files most steps are closed.
+    d.counter_samples(spark, sf).repartition(12, F.xxhash64("cloud", "route", "status", "ts")).write.parquet(f"{root}/samples")
+    schema = spark.read.parquet(f"{root}/samples").schema
+    source = lambda: sources.stream_files(spark, f"{root}/samples", schema, files_per_trigger=3)
+    made = increments.step_increments(source(), f"{d.STEP_S} seconds", DELAY)
+    sinks.write_stream(made, f"{root}/increments", f"{root}/ck1", None, STATE_PARTITIONS).awaitTermination()
+    sinks.export_batches(source(), {f"{root}/kept": lambda batch: batch}, f"{root}/ck2", every=None).awaitTermination()
+    emitted, kept = spark.read.parquet(f"{root}/increments"), spark.read.parquet(f"{root}/kept")
+    found = corrections.corrections(kept, emitted, d.STEP_S, DELAY_S)
+    return ntz(corrections.corrected(emitted, found).select("cloud", "route", "status", "ts", "delta"), "ts")
+
+
 def _increments(spark: S, root: str, samples: DataFrame, series: tuple[str, ...] = SERIES) -> str:
     samples.write.parquet(f"{root}/samples")
     schema = spark.read.parquet(f"{root}/samples").schema
@@ -206,8 +294,9 @@ def stream_latency_incidents(spark: S, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        monthly_load, azure_monthly_load, emptied_month, pruned_unit_cost, requests_daily_table, plan_files_verdicts, text_csv_bill, json_table_load, view_recent_unit_cost, view_recent_spend,
-        log_stream, scrape_stream, stream_increments, stream_incidents, stream_latency_incidents,
+        monthly_load, azure_monthly_load, emptied_month, failed_rewrite, pruned_unit_cost, requests_daily_table, plan_files_verdicts, text_csv_bill, split_csv_bill,
+        json_table_load, view_recent_unit_cost, view_recent_spend, log_stream, scrape_stream, two_sink_export, scrape_quarantine,
+        stream_increments, stream_corrected, stream_incidents, stream_latency_incidents,
     )
 }
 
@@ -268,12 +357,16 @@ ORACLE = {
         FROM charge WHERE provider = 'Microsoft' GROUP BY 1""",
     "emptied_month": f"""WITH {BILL} SELECT DATE '2024-01-01' AS billing_month, 'new' AS "x_Added", count(*) AS row_count, {dbl('sum(gross)', 'billed')}
         FROM charge WHERE provider = 'AWS' AND month = DATE '2024-01-01'""",
+    "failed_rewrite": f"""WITH {BILL} SELECT month AS billing_month, count(*) AS row_count, {dbl('sum(gross)', 'billed')}
+        FROM charge WHERE provider = 'AWS' GROUP BY 1""",
     "pruned_unit_cost": f"WITH {UNIT} {cq._UNIT_SELECT} WHERE day >= DATE '2024-01-23'",
     "requests_daily_table": f"""WITH {SCRAPED} SELECT CAST(scrape_ts - INTERVAL 1 MICROSECOND AS DATE) AS day, cloud, count(*)::DOUBLE AS requests
         FROM scraped WHERE route <> 'unmatched' AND scrape_ts > TIMESTAMP '2024-01-01' AND scrape_ts <= TIMESTAMP '2024-01-30' GROUP BY 1, 2""",
     "plan_files_verdicts": ck.ORACLE["policy_verdicts"],
     "text_csv_bill": f"""WITH {BILL}, f AS ({cq._AZURE_FLAT}) SELECT "SubAccountName", "ChargeCategory", "ServiceName", "Tags" AS tags,
         count(*) AS charges, CAST(sum(CAST("BilledCost" AS DECIMAL(38,6))) AS DOUBLE) AS billed FROM f GROUP BY 1, 2, 3, 4""",
+    "split_csv_bill": f"""WITH {BILL}, f AS ({cq._AZURE_FLAT}) SELECT "SubAccountName", "ChargeCategory", "ServiceName", "Tags" AS tags,
+        count(*) AS charges, CAST(sum(CAST("BilledCost" AS DECIMAL(38,6))) AS DOUBLE) AS billed FROM f GROUP BY 1, 2, 3, 4""",
     "json_table_load": f"WITH {RUNS} SELECT run_id, cloud, sent, ok, run_at FROM runs",
     "view_recent_unit_cost": f"WITH {UNIT} {cq._UNIT_SELECT} WHERE day >= DATE '2024-01-23'",
     "view_recent_spend": f"""WITH {ASSIGNED} SELECT day, provider AS "ProviderName", service AS "ServiceName", project,
@@ -281,6 +374,14 @@ ORACLE = {
         HAVING round(sum(billed), 4) > 1000""",
     "log_stream": f"""WITH {_LOGS} SELECT cloud, severity, count(*) AS records FROM logs WHERE event_id % 101 <> 0 GROUP BY 1, 2""",
     "scrape_stream": f"""WITH {SAMPLES} SELECT cloud, route, status, count(*) AS samples, max(value) AS highest FROM samples GROUP BY 1, 2, 3""",
+    "two_sink_export": f"""WITH {SAMPLES}, logs AS (SELECT cloud, CASE WHEN event_type = 'error' THEN 'ERROR' WHEN event_type = 'view' THEN 'WARNING' ELSE 'INFO' END AS severity
+          FROM req WHERE event_id % 101 <> 0)
+        SELECT 'metrics' AS sink, cloud, name, count(*) AS rows FROM samples, (VALUES ('app_requests_total'), ('process_start_time_seconds')) n(name) GROUP BY 2, 3
+        UNION ALL SELECT 'logs', cloud, severity, count(*) FROM logs GROUP BY 2, 3""",
+    "scrape_quarantine": f"""WITH {SAMPLES} SELECT cloud,
+          CASE CAST(epoch(ts) AS BIGINT) // 600 % 11 WHEN 1 THEN 'repeated label' WHEN 2 THEN 'grammar' WHEN 3 THEN 'grammar' WHEN 4 THEN 'no number' ELSE 'none' END AS reason,
+          count(*) AS lines, CAST(min(ts) AS TIMESTAMP) AS first_ts, CAST(max(ts) AS TIMESTAMP) AS last_ts FROM samples GROUP BY 1, 2""",
+    "stream_corrected": f"WITH {CLOSED} SELECT cloud, route, status, ts, delta FROM closed",
     "stream_increments": f"WITH {CLOSED} SELECT cloud, route, status, ts, delta FROM closed",
     "stream_incidents": _events_sql("error ratio", EVENTS),
     "stream_latency_incidents": _events_sql("p95 latency", LATENCY_EVENTS),

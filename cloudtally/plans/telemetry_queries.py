@@ -13,7 +13,7 @@ from cloudtally.operators import metrics as m
 from cloudtally.operators import series as sr
 from cloudtally.plans import derived as d
 from cloudtally.plans.load_queries import SCRAPED
-from cloudtally.plans.oracle_parts import REQ
+from cloudtally.plans.oracle_parts import REQ, RUNS
 from cloudtally.sources.exposition import label_columns, parse_exposition
 
 S = SparkSession
@@ -203,6 +203,15 @@ def max_over_time(spark: S, sf: str) -> DataFrame:
     return ntz(m.max_over_time(d.counter_samples(spark, sf), ["cloud", "route", "status"], d.RANGE_S))
 
 
+def value_at_run(spark: S, sf: str) -> DataFrame:
+    """What the counters of each cloud said when a load run began: fresh, stale and missing series, and the fresh ones' sum."""
+    samples = d.counter_samples(spark, sf)
+    known = samples.groupBy(*sr.SERIES).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    asked = d.load_runs(spark, sf).select("run_id", "cloud", "run_at").join(known, "cloud")
+    told = m.value_at(asked, samples, sr.SERIES, "run_at", lookback_s=2 * 3600)
+    return told.groupBy("run_id", "cloud", "state").agg(F.count(F.lit(1)).alias("series"), F.sum("value").alias("value"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -210,7 +219,7 @@ QUERIES = {
         collection_labels, exposition_totals, counter_deltas, unstamped_undercount, label_matchers,
         increase_by_route, increase_uneven_step, increase_sparse_step, series_without_labels, rate_summed, latency_p95, error_ratio, error_ratio_or_zero,
         busy_and_failing, errors_or_zero, request_rate, request_rate_one_cloud, requests_per_hour,
-        daily_requests, daily_at_midnight, instant_value, instant_values, max_over_time, max_over_time_sliding,
+        daily_requests, daily_at_midnight, instant_value, instant_values, value_at_run, max_over_time, max_over_time_sliding,
     )
 }
 
@@ -268,6 +277,12 @@ ORACLE = {
         'app' AS service, cloud, count(*) AS samples FROM samples GROUP BY cloud""",
     "exposition_totals": f"""WITH {SAMPLES} SELECT cloud, 'app_requests_total' AS metric, route, status, 'say "hi", ok' AS note,
         CAST(sum(n) AS DOUBLE) AS requests, count(*) AS stamped FROM samples GROUP BY cloud, route, status""",
+    "value_at_run": f"""WITH {SAMPLES}{RUNS.removeprefix(REQ)},
+      k AS (SELECT cloud, route, status, min(ts) AS first_ts FROM samples GROUP BY 1, 2, 3),
+      p AS (SELECT run_id, runs.cloud, run_at, route, status, first_ts FROM runs JOIN k ON k.cloud = runs.cloud),
+      a AS (SELECT p.*, s.value, s.ts FROM p ASOF LEFT JOIN samples s ON p.cloud = s.cloud AND p.route = s.route AND p.status = s.status AND p.run_at >= s.ts),
+      b AS (SELECT *, CASE WHEN run_at - ts < INTERVAL 2 HOUR THEN 'fresh' WHEN first_ts <= run_at THEN 'stale' ELSE 'missing' END AS state FROM a)
+      SELECT run_id, cloud, state, count(*) AS series, sum(CASE WHEN state = 'fresh' THEN value END) AS value FROM b GROUP BY 1, 2, 3""",
     "counter_deltas": f"WITH {SAMPLES} SELECT cloud, route, status, ts, value, CAST(n AS DOUBLE) AS delta FROM samples",
     "unstamped_undercount": f"""WITH {SAMPLES},
       l AS (SELECT *, lag(value) OVER (PARTITION BY cloud, route, status ORDER BY ts, value) AS prev FROM samples),

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudtally.functions.money import to_money
-from cloudtally.sources.files import read_export, read_text_csv
+from cloudtally.sources import versions
+from cloudtally.sources.files import read_split_csv, read_text_csv
 
 MONTH = "billing_month"
 
@@ -32,6 +33,10 @@ def month_start(period: str) -> date:
     return date.fromisoformat(f"{period}-01")
 
 
+def _part(period: str) -> str:
+    return f"{MONTH}={month_start(period)}"
+
+
 def _or_none(read) -> DataFrame | None:
     """A folder that is not there means the month has no export yet."""
     try:
@@ -76,23 +81,24 @@ def read_azure_month(spark: SparkSession, root: str, period: str, line_breaks: b
         return None
     folder = path.rsplit("/", 1)[0]
     alone = folder.rsplit("/", 1)[-1].startswith(f"{period.replace('-', '')}01-")
-    return read_text_csv(spark, path if alone else f"{folder}/*.csv", line_breaks)
+    where = path if alone else f"{folder}/*.csv"
+    return read_split_csv(spark, where) if line_breaks else read_text_csv(spark, where, line_breaks=False)
 
 
 def replace_month(df: DataFrame, table_path: str, period: str) -> None:
     """Put ``df`` in place of one month's partition; other months stay as they are.
 
-    The month's own folder is overwritten, so a month rewritten without rows
-    loses the ones it had.
+    The new version is published when all of it is written, so a write that
+    fails leaves the month as it was, and a month rewritten without rows loses
+    the ones it had.
     """
-    df.drop(MONTH).write.mode("overwrite").parquet(f"{table_path}/{MONTH}={month_start(period)}")
+    versions.write_part(df.drop(MONTH), table_path, _part(period))
 
 
 def load_audit(spark: SparkSession, table_path: str, period: str, cost: str) -> DataFrame:
-    """Rows and billed total of a loaded month; only its partition is read."""
+    """Rows and billed total of a loaded month; only its files are listed and opened."""
     return (
-        read_export(spark, table_path)
-        .filter(F.col(MONTH) == F.lit(month_start(period)))
+        versions.read_table(spark, table_path, [_part(period)])
         .agg(F.count(F.lit(1)).alias("row_count"), F.round(F.sum(to_money(F.col(cost))), 4).alias("billed_cost"))
         .select(F.lit(period).alias("period"), "row_count", "billed_cost")
     )
@@ -118,8 +124,8 @@ def load_aws(spark: SparkSession, root: str, table_path: str, as_of: date) -> Da
 def load_azure(spark: SparkSession, root: str, table_path: str, as_of: date, line_breaks: bool = True) -> DataFrame | None:
     """Load the newest CSV export of the rolling two months; returns the audit.
 
-    An export whose values hold no line breaks is read by many tasks if
-    ``line_breaks`` is false; else a month's file goes through one.
+    Large files are read by many tasks. Where their values hold no line breaks,
+    ``line_breaks=False`` saves the look for them.
     """
     read = partial(read_azure_month, line_breaks=line_breaks)
     return _load(spark, read, root, table_path, billing_periods(as_of), "costInBillingCurrency")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,3 +56,35 @@ def write_stream(
     writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
     with stream_settings(df.sparkSession, state_partitions):
         return writer.start()
+
+
+def export_batches(
+    df: DataFrame,
+    sinks: Mapping[str, Callable[[DataFrame], DataFrame]],
+    checkpoint: str,
+    every: str | None = "10 seconds",
+    state_partitions: int | None = None,
+) -> StreamingQuery:
+    """Send every batch of a stream to several tables, each taking its own part of it.
+
+    ``sinks`` gives each table's path what it takes of a batch. A batch is read
+    once for all of them and goes to a ``batch=<number>`` folder of each table,
+    which it overwrites. A batch that is repeated, because the stream stopped
+    after some tables had it, therefore adds nothing twice. How much a batch
+    holds is the source's limit, so memory stays bounded however much waits.
+
+    ``every=None`` takes what is there and stops.
+    """
+
+    def export(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for path, take in sinks.items():
+                take(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    writer = df.writeStream.foreachBatch(export).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
+    with stream_settings(df.sparkSession, state_partitions):
+        return writer.start()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloudtally.operators.load_runs import parse_logs
-from cloudtally.sources.exposition import parse_exposition
+from cloudtally.sources.exposition import parse_exposition, rejected_lines
 
 SCRAPE_FILE = T.StructType(
     [
@@ -19,6 +19,11 @@ SCRAPE_FILE = T.StructType(
 )
 
 
+# What a collector takes in, before it is told apart: lines of scrapes and of logs.
+COLLECTED = T.StructType([T.StructField("kind", T.StringType()), *SCRAPE_FILE])
+SCRAPE, LOG = "scrape", "log"
+
+
 def stream_files(
     spark: SparkSession,
     path: str,
@@ -41,6 +46,24 @@ def stream_scrapes(spark: SparkSession, path: str, files_per_trigger: int | None
     return parse_exposition(stream_files(spark, path, SCRAPE_FILE, "json", files_per_trigger))
 
 
+def stream_collected(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Lines of scrapes and of logs, by their ``kind``, kept as JSON lines."""
+    return stream_files(spark, path, COLLECTED, "json", files_per_trigger)
+
+
+def collected_samples(lines: DataFrame) -> DataFrame:
+    return parse_exposition(lines.filter(F.col("kind") == SCRAPE).drop("kind"))
+
+
+def collected_rejects(lines: DataFrame) -> DataFrame:
+    """Scraped lines that are no samples, with their target, time and reason."""
+    return rejected_lines(lines.filter(F.col("kind") == SCRAPE).drop("kind"))
+
+
+def collected_logs(lines: DataFrame) -> DataFrame:
+    return parse_logs(lines.filter(F.col("kind") == LOG).select("cloud", "value")).filter(F.col("severity").isNotNull())
+
+
 def stream_logs(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Application logs, kept as ``cloud`` and the JSON line, to log records."""
     lines = T.StructType([T.StructField("cloud", T.StringType()), T.StructField("value", T.StringType())])

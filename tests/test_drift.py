@@ -1,6 +1,9 @@
 """Three changes made by hand, one per cloud, and what must not show as drift."""
 
 import json
+import random
+
+import pytest
 
 from cloudtally.operators import drift
 
@@ -121,3 +124,78 @@ def test_documents_that_cannot_be_read_are_not_clean(spark):
     assert {(r["root"], r["change"]) for r in diff.collect()} == {("r0", "unreadable"), ("r1", "unreadable"), ("r2", "unreadable")}
     status = {r["root"]: r["status"] for r in drift.drift_status(diff, ["r1", "r3"]).collect()}
     assert status == {"r0": "unreadable", "r1": "unreadable", "r2": "unreadable", "r3": "clean"}
+
+
+def slow_paths(value, path=""):
+    """(path, what stands there, whether there is nothing inside) for a value and all below it."""
+    if isinstance(value, dict):
+        yield path, "{}", not value
+        for k, v in value.items():
+            plain = k.replace("-", "_").isidentifier() and k.isascii() and not k.startswith("-")
+            step = (f".{k}" if path else k) if plain else f"['{k}']"
+            yield from slow_paths(v, path + step)
+    elif isinstance(value, list):
+        yield path, "[]", not value
+        for i, v in enumerate(value):
+            yield from slow_paths(v, f"{path}[{i}]")
+    else:
+        yield path, json.dumps(value, separators=(",", ":")), True
+
+
+def slow_diff(code, seen):
+    sides = [{p: (j, e) for p, j, e in slow_paths(v) if p or j not in ("{}", "[]")} if v is not None else {} for v in (code, seen)]
+    out = set()
+    for path in {*sides[0], *sides[1]}:
+        (a, empty_a), (b, empty_b) = (s.get(path, (None, False)) for s in sides)
+        if a != b and (a is not None and b is not None or empty_a or empty_b):
+            out.add((path, a, b, "added" if a is None else "removed" if b is None else "changed"))
+    return out
+
+
+def random_value(rng, depth):
+    if depth == 0 or rng.random() < 0.3:
+        return rng.choice([1, "1", None, True, "x{y}", "q\"]", {}, []])
+    if rng.random() < 0.5:
+        return [random_value(rng, depth - 1) for _ in range(rng.randrange(4))]
+    return {k: random_value(rng, depth - 1) for k in rng.sample(["a", "b", "c-d", "e f", "1"], rng.randrange(4))}
+
+
+def changed_value(rng, value):
+    if rng.random() < 0.15:
+        return random_value(rng, 2)
+    if isinstance(value, dict):
+        return {k: changed_value(rng, v) for k, v in value.items() if rng.random() < 0.9}
+    return [changed_value(rng, v) for v in value] if isinstance(value, list) else value
+
+
+def test_any_documents_as_opened_by_hand(spark):
+    rng = random.Random(4)
+    pairs = []
+    for _ in range(150):
+        code = {"top": random_value(rng, 6)}
+        pairs.append((code, changed_value(rng, code) if rng.random() < 0.9 else None))
+    declared = state(spark, *[("r", f"a{i}", c) for i, (c, _) in enumerate(pairs)])
+    observed = state(spark, *[("r", f"a{i}", o) for i, (_, o) in enumerate(pairs) if o is not None])
+    got = {(r["address"], r["attr"], r["declared"], r["observed"], r["change"]) for r in drift.snapshot_diff(declared, observed).collect()}
+    assert got == {(f"a{i}", *d) for i, pair in enumerate(pairs) for d in slow_diff(*pair)}
+    assert len(got) > 200
+
+
+@pytest.mark.parametrize("levels", [3, 12, 40])
+def test_documents_are_opened_as_deep_as_they_go(spark, levels):
+    def nested(leaf):
+        value = leaf
+        for i in range(levels):
+            value = {"k": value} if i % 2 else [value]
+        return {"top": value, "text": '{"[' * 9}
+
+    (row,) = drift.snapshot_diff(state(spark, ("r", "a", nested(1))), state(spark, ("r", "a", nested(2)))).collect()
+    assert (row["declared"], row["observed"]) == ("1", "2") and row["attr"].count("k") + row["attr"].count("[") == levels
+
+
+def test_each_state_is_read_once(spark, folder):
+    both = state(spark, ("r", "a", {"x": 1}))
+    for side in ("code", "seen"):
+        both.write.parquet(f"{folder}/{side}")
+    plan = drift.snapshot_diff(spark.read.parquet(f"{folder}/code"), spark.read.parquet(f"{folder}/seen"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and plan.count("Join") == 1

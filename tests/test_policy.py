@@ -185,3 +185,23 @@ def test_rules_run_in_one_scan_and_shuffle_findings_only(spark):
     found = policy.findings(policy.planned_resources(planned(spark, r=[resource("google_storage_bucket", {})])))
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert found.filter(F.col("level") == "deny").count() == 2
+
+
+@pytest.mark.parametrize(
+    ("actions", "plain", "with_replacements"),
+    [
+        (["create", None], 1, 1), ([None], 1, 1), (None, 1, 1), (["delete", None], 0, 0), (["delete", "create"], 0, 1),
+        ([None, "delete", "create"], 0, 1), ("delete", 0, 0), ("create", 1, 1), ([], 1, 1), ([1, "update"], 1, 1),
+    ],
+)
+def test_what_is_among_the_actions(spark, actions, plain, with_replacements):
+    change = {"address": "a.b", "type": "aws_sqs_queue", "change": {"actions": actions, "after": {"tags_all": {}}}}
+    plans = spark.createDataFrame([("hub", json.dumps({"resource_changes": [change]}))], "root string, plan string")
+    assert policy.planned_resources(plans).count() == plain
+    assert policy.planned_resources(plans, include_replacements=True).count() == with_replacements
+
+
+def test_a_plan_without_a_list_of_changes_plans_nothing(spark):
+    plans = spark.createDataFrame([("hub", t) for t in ("{}", '{"resource_changes": {}}')], "root string, plan string")
+    assert policy.planned_resources(plans).count() == 0
+    assert policy.plan_findings(plans).count() == 0

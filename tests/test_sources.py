@@ -1,7 +1,10 @@
 """Loads that can be repeated, files of every kind, and views."""
 
+import csv
+import glob
 import json
 import os
+import random
 import time
 from datetime import date, datetime
 
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cloudtally.schemas import LOAD_RUNS
 from cloudtally.session import scratch_dir
-from cloudtally.sources import files, months, views
+from cloudtally.sources import csv_lines, files, months, versions, views
 from cloudtally.sources.exposition import label_columns, parse_exposition, rejected_lines
 
 
@@ -180,3 +183,173 @@ def test_an_export_without_line_breaks_is_split(spark, folder):
         assert files.read_text_csv(spark, f"{folder}/bill.csv", line_breaks=False).rdd.getNumPartitions() > 1
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def broken_costs(spark, n=100):
+    """A month of which the last row cannot be written."""
+    cost = F.when(F.col("id") == n - 1, F.raise_error(F.lit("no such row")).cast("double")).otherwise(F.lit(1.0))
+    return spark.range(n).repartition(4).select(cost.alias("BilledCost"))
+
+
+def test_a_rewrite_that_fails_leaves_the_old_month(spark, folder):
+    months.replace_month(costs(spark, 1, 2), folder, "2026-10")
+    with pytest.raises(Exception, match="no such row"):
+        months.replace_month(broken_costs(spark), folder, "2026-10")
+    assert tuple(total(spark, folder)) == (3.0, 2)
+    assert months.load_audit(spark, folder, "2026-10", "BilledCost").first()["row_count"] == 2
+    months.replace_month(costs(spark, 5), folder, "2026-10")
+    assert tuple(total(spark, folder)) == (5.0, 1)
+
+
+def test_a_whole_table_is_replaced_or_stays(spark, folder):
+    files.replace_table(costs(spark, 1, 2), folder)
+    with pytest.raises(Exception, match="no such row"):
+        files.replace_table(broken_costs(spark), folder)
+    assert sorted(r["BilledCost"] for r in files.read_export(spark, folder).collect()) == [1.0, 2.0]
+    files.replace_table(costs(spark, 7), folder)
+    assert [r["BilledCost"] for r in files.read_export(spark, folder).collect()] == [7.0]
+
+
+def test_a_write_is_not_seen_before_it_is_published(spark, folder, monkeypatch):
+    months.replace_month(costs(spark, 1), folder, "2026-10")
+    seen = []
+    publish = versions._publish
+
+    def late(*args):
+        seen.append(files.read_export(spark, folder).count())
+        return publish(*args)
+
+    monkeypatch.setattr(versions, "_publish", late)
+    months.replace_month(costs(spark, 1, 2, 3), folder, "2026-10")
+    assert seen == [1] and files.read_export(spark, folder).count() == 3
+
+
+def test_two_writers_keep_each_others_months(spark, folder, monkeypatch):
+    months.replace_month(costs(spark, 1), folder, "2026-08")
+    create, other = versions._create, []
+
+    def raced(spark_, path, text):
+        if not other:
+            other.append(True)
+            months.replace_month(costs(spark, 2), folder, "2026-09")  # takes the number first
+        return create(spark_, path, text)
+
+    monkeypatch.setattr(versions, "_create", raced)
+    months.replace_month(costs(spark, 4), folder, "2026-10")
+    assert files.read_export(spark, folder).agg(F.sum("BilledCost")).first()[0] == 7.0
+    assert versions.published(spark, folder).number == 3
+
+
+def test_a_publication_that_was_cut_off_does_not_count(spark, folder, monkeypatch):
+    monkeypatch.setattr(versions, "PATIENCE_S", 1)
+    months.replace_month(costs(spark, 1), folder, "2026-10")
+    versions._create(spark, versions._file(folder, 2), '{"schema": {"ty')
+    assert files.read_export(spark, folder).count() == 1
+    months.replace_month(costs(spark, 1, 2), folder, "2026-10")
+    assert files.read_export(spark, folder).count() == 2 and versions.published(spark, folder).number == 3
+
+
+def test_an_old_version_stays_for_its_readers_if_asked(spark, folder):
+    versions.write_part(costs(spark, 1), folder, "p=1")
+    before = versions.read_table(spark, folder)
+    versions.write_part(costs(spark, 2, 3), folder, "p=1", keep=True)
+    assert before.count() == 1 and versions.read_table(spark, folder).count() == 2
+    assert len(versions.remove_unpublished(spark, folder)) == 1
+    assert versions.read_table(spark, folder).count() == 2 and versions.remove_unpublished(spark, folder) == []
+
+
+def test_columns_grow_with_the_loads_and_never_change_their_kind(spark, folder):
+    versions.write_part(spark.createDataFrame([(1, "a")], "n int, old string"), folder, "p=1")
+    versions.write_part(spark.createDataFrame([(2**40, [1])], "n long, new array<int>"), folder, "p=2")
+    rows = {r["n"]: (r["old"], r["new"], r["p"]) for r in versions.read_table(spark, folder).collect()}
+    assert rows == {1: ("a", None, 1), 2**40: (None, [1], 2)}
+    with pytest.raises(ValueError, match="column n was bigint and is now string"):
+        versions.write_part(spark.createDataFrame([("x",)], "n string"), folder, "p=3")
+    assert versions.read_table(spark, folder, ["p=9"]).count() == 0
+
+
+def test_an_audit_and_a_report_open_only_the_files_of_their_months(spark, folder):
+    for period in ("2026-08", "2026-09", "2026-10"):
+        months.replace_month(costs(spark, 1, 2), folder, period)
+    for spoilt in glob.glob(f"{folder}/billing_month=2026-08-01/v-*/*.parquet"):
+        with open(spoilt, "wb") as f:
+            f.write(b"no parquet")  # whoever opens it fails
+    assert months.load_audit(spark, folder, "2026-10", "BilledCost").first()["row_count"] == 2
+    recent = files.read_export(spark, folder).filter(F.col("billing_month") >= F.lit(date(2026, 9, 1)))
+    assert recent.agg(F.sum("BilledCost")).first()[0] == 6.0
+    with pytest.raises(Exception):
+        files.read_export(spark, folder).agg(F.sum("BilledCost")).first()
+
+
+REJECTED = {
+    'm{a="x",b="y",a="z"} 3': "repeated label",
+    'm{a="x,b="y"} 3': "grammar",
+    'm{a="x} 3': "grammar",
+    r'm{a="x\q"} 3': "grammar",
+    'm{a="x" b="y"} 3': "grammar",
+    'm{a="x"} 3 4 5': "grammar",
+    "9m 3": "grammar",
+    "m": "grammar",
+    "m three": "no number",
+    'm{a="x"} 3x 17': "no number",
+}
+
+
+def test_lines_that_break_the_rules_are_rejects_and_the_others_are_read(spark):
+    good = ['m{a="x",} 3', "m { a = \"x\" , b=\"\" } 3 -17", "m 1\r", 'm{} 2', r'm{a="\\\"\n"} NaN', "m 4"]
+    silent = ["", "   ", "# any thing", "  # TYPE m counter"]
+    lines = spark.createDataFrame([("t", x) for x in [*good, *silent, *REJECTED]], "target string, value string")
+    assert parse_exposition(lines).count() == len(good)
+    assert {r["value"]: r["reason"] for r in rejected_lines(lines).filter("target = 't'").collect()} == REJECTED
+
+
+def test_a_long_label_is_read(spark):
+    text = "x" * 200_000 + r"\"" * 2_000
+    row = parse_exposition(spark.createDataFrame([('m{a="' + text + '"} 1',)], "value string")).first()
+    assert len(row["labels"]["a"]) == 202_000
+
+
+def random_csv(rng, rows):
+    """Records with quotes, commas and line breaks in their values; a quote in a plain value too."""
+    marks = ["", "a", "b c", '"', '""', ",", "\n", "\r\n", "\n\n", 'x"y', "é", '","', '"\n', "1"]
+    return [["".join(rng.choice(marks) for _ in range(rng.randrange(4))) for _ in range(3)] for _ in range(rows)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_csv_cut_anywhere_reads_as_in_one_piece(spark, folder, seed):
+    rng = random.Random(seed)
+    os.makedirs(folder)
+    for k in range(3):
+        with open(f"{folder}/{k}.csv", "w", encoding="utf-8", newline="") as f:
+            f.write("\ufeff" if k == 1 else "")
+            made = csv.writer(f, lineterminator="\r\n" if k == 2 else "\n")
+            made.writerow(["id", "te xt", 'odd "`name'])
+            made.writerows(random_csv(rng, 120))
+            if k == 0:
+                f.write("plain \"quote,two\" more,three\n")
+    # The other reader leaves carriage returns inside values if lines end without them.
+    plain = lambda v: None if v is None else v.replace("\r\n", "\n")
+    whole = [tuple(map(plain, r)) for r in files.read_text_csv(spark, f"{folder}/*.csv").collect()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        split = files.read_split_csv(spark, f"{folder}/*.csv")
+        rows = [tuple(r) for r in split.collect()]
+        tasks = spark.read.text(f"{folder}/*.csv").rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert tasks > 20 and len(whole) > 300
+    key = lambda r: tuple("" if v is None else "v" + v for v in r)
+    assert sorted(rows, key=key) == sorted(whole, key=key)
+
+
+@pytest.mark.parametrize(
+    ("line", "outside", "inside"),
+    [
+        ("a,b", False, True), ('"a', True, False), ('"a"', False, False), ('a","b', True, True), ('"a""', True, False), ('"a"""', False, False),
+        ('x"y', False, False), ("", False, True), ('"', True, False), ('"",""', False, True), (',"', True, False), ('a"b,"c', True, True),
+    ],
+)
+def test_where_quotes_are_open(line, outside, inside):
+    assert (csv_lines.is_open(line, False), csv_lines.is_open(line, True)) == (outside, inside)

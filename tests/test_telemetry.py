@@ -309,3 +309,81 @@ def test_stored_scrapes_are_read_once(spark, folder):
     spark.createDataFrame(rows, "target string, ts timestamp, metric string, value double").write.parquet(folder)
     stamped = sr.stamp_start_time(spark.read.parquet(folder))
     assert stamped._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+
+
+@pytest.mark.parametrize("scale", [1e-9, 1.0, 1e12])
+def test_sketched_percentiles_are_exact_on_any_scale(spark, scale):
+    rng = random.Random(9)
+    rows = [("a", rng.lognormvariate(0, 3) * scale) for _ in range(20_000)] + [("b", 0.25)] * 50 + [("b", 0.5)] * 3
+    rows += [("c", 1.5), ("d", 1.0), ("d", 2.0), ("e", None), (None, 3.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    points = {"low": 0.0, "mid": 0.5, "p95": 0.95, "near": 0.9999, "top": 1.0}
+    got = {r["g"]: r for r in lr.sketched_percentiles(df, ["g"], "v", points, F.count("v").alias("n")).collect()}
+    for g in ("a", "b", "c", "d", None):
+        values = [v for k, v in rows if k == g]
+        for name, q in points.items():
+            assert got[g][name] == pytest.approx(np.quantile(values, q), rel=1e-12), (g, name)
+    assert (got["e"]["mid"], got["e"]["n"], got["a"]["n"]) == (None, 0, 20_000)
+
+
+def test_latencies_are_read_twice_and_no_more(spark, folder):
+    spark.createDataFrame([("r", at(i), float(i)) for i in range(30)], "run string, ts timestamp, seconds double").write.parquet(folder)
+    made = lr.latency_summary(spark.read.parquet(folder), ["run"])
+    row = made.first()
+    assert (row["first_s"], row["p50_s"], row["max_s"], row["timed"]) == (0.0, 14.5, 29.0, 30)
+    made.collect()
+    final = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 2 and "ReusedExchange" in final
+
+
+def slow_value_at(asked, rows, lookback):
+    out = []
+    for cloud, t in asked:
+        before = [(s, v) for c, s, v in rows if c == cloud and t is not None and s <= t]
+        last = max(before, default=None)
+        near = last is not None and t - last[0] < lookback
+        out.append((cloud, t, last[1] if near else None, "fresh" if near else "stale" if before else "missing"))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("slices", [1, 3, 100])
+def test_value_at_any_instant(spark, slices):
+    rng = random.Random(slices)
+    rows = [(rng.choice(["aws", "gcp", None]), rng.randrange(-20_000, 20_000), float(rng.randrange(9))) for _ in range(300)]
+    asked = [(rng.choice(["aws", "gcp", "none", None]), rng.randrange(-25_000, 25_000)) for _ in range(300)] + [("aws", None), ("aws", 7), ("aws", 7)]
+    asked += [(c, s + d) for c, s, _ in rows[:40] for d in (0, 299, 300)]
+    samples_ = spark.createDataFrame([(c, at(s), v) for c, s, v in rows] + [("aws", None, 1.0), ("aws", at(0), None)], "cloud string, ts timestamp, value double")
+    probes = spark.createDataFrame([(c, None if s is None else at(s), s) for c, s in asked], "cloud string, at timestamp, s long")
+    got = m.value_at(probes, samples_, ["cloud"], lookback_s=300, slices=slices).collect()
+    assert sorted([(r["cloud"], r["s"], r["value"], r["state"]) for r in got], key=str) == slow_value_at(asked, rows, 300)
+
+
+def test_instants_of_a_busy_series_are_spread_over_tasks(spark):
+    rows = spark.range(20000).select(
+        F.lit("aws").alias("cloud"), F.timestamp_seconds(F.col("id") * 30 + 1791000000).alias("ts"), F.col("id").cast("double").alias("value")
+    )
+    asked = rows.select("cloud", F.col("ts").alias("at"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        told = m.value_at(asked, rows, ["cloud"])
+        sizes = [r["count"] for r in told.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 20000 and max(sizes) < 20000 / 3
+    assert told.filter("state = 'fresh'").agg(F.sum("value")).first()[0] == sum(range(20000))
+
+
+def test_stored_samples_are_read_once_for_their_increments(spark, folder):
+    rows = spark.range(3000).select(
+        F.lit("aws").alias("cloud"), F.timestamp_seconds(F.col("id") * 300 + 1791000000).alias("ts"), F.timestamp_seconds(F.lit(1791000000)).alias("start_ts"),
+        F.col("id").cast("double").alias("value"), F.lit("kept").alias("note"),
+    )
+    rows.write.parquet(folder)
+    made = sr.counter_deltas(spark.read.parquet(folder), ["cloud"])
+    assert sum(r["delta"] for r in made.collect()) == 2999.0
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
