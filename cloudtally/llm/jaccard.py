@@ -12,11 +12,12 @@ The work goes through five tables, none of which holds a pair of documents:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,9 @@ SORT_ROWS = 4_000_000
 #: Sets, and shingles of sets, out of which classes are made together.
 CLASS_SETS, CLASS_TOKENS = 2048, 2_000_000
 #: A set joins a centre at this similarity in percent; so many centres are tried on the sets that are made classes of together.
-CLOSE, CENTRES = 85, 64
+CLOSE, CENTRES = 80, 64
+#: Sets are dealt by so many different smallest shingles, one after the other, those that are not in a class of ``FIRM`` sets each time.
+ROUNDS, FIRM = 3, 8
 #: Entries of a list that are skipped or looked at together, and the longest piece of a list.
 SKIP, LIST_PIECE = 64, 4096
 #: A shingle is frequent where it is in this many of the sets of a megabyte of text, one in so many of them at least,
@@ -134,8 +137,30 @@ def _rows(packed: list[tuple[int, bytes, bytes]], frequent: bool) -> pa.RecordBa
     )
 
 
+_SALTS = [mixed(np.arange(1, 2, dtype=np.uint64) * _STEP * np.uint64(r + 1))[0] for r in range(ROUNDS)]
+
+
+def keys_of(shared: np.ndarray) -> list[int]:
+    """For each round the least of the set's shingles, mixed anew."""
+    return [int(mixed(shared["token"] ^ salt).min().view(np.int64)) for salt in _SALTS]
+
+
+#: Bytes of a shingle's hash that travel; with the number of the part they are counted in they make a hash again.
+SENT = 6
+
+
+def _thin(tokens: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT])
+
+
+def _whole(thin: np.ndarray, part: int) -> np.ndarray:
+    out = np.zeros((len(thin), 8), np.uint8)
+    out[:, :SENT] = thin
+    return out.reshape(-1).view("<u8") | np.uint64(part) << np.uint64(8 * SENT)
+
+
 def shared_tokens(docs: DataFrame, known: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
-    """(sid, n, tokens, key): sets with enough shingles that are in other sets too, those shingles rarest first.
+    """(sid, n, tokens, keys): sets with enough shingles that are in other sets too, those shingles rarest first.
 
     Shingles travel packed, by their hash, to where they are counted, and those
     with a count over one back, by their set. Frequent ones, which no task
@@ -165,7 +190,8 @@ def shared_tokens(docs: DataFrame, known: DataFrame, text_col: str, size: int, p
             sids, ns = np.array(list(own), np.int64), np.array([len(t) for t in own.values()])
             owner, tokens = np.repeat(np.arange(len(ns)), ns), np.concatenate(list(own.values()))
             rare = ~np.isin(tokens, frequent.value)
-            yield _rows(list(_packed((tokens[rare] >> np.uint64(33)).astype(np.int64) % parts, owner[rare], tokens[rare], sids, ns)), False)
+            part = (tokens[rare] >> np.uint64(33)).astype(np.int64) % parts
+            yield _rows(list(_packed(part, owner[rare], _thin(tokens[rare]), sids, ns)), False)
             common = np.empty(int((~rare).sum()), SHARED)
             common["token"], common["df"] = tokens[~rare], LAST
             yield _rows(list(_packed(sids[owner[~rare]] % parts, owner[~rare], common, sids, ns)), True)
@@ -176,9 +202,12 @@ def shared_tokens(docs: DataFrame, known: DataFrame, text_col: str, size: int, p
             passed = batch.filter(batch.column("frequent"))
             if passed.num_rows:
                 yield passed
-            held.append(batch.filter(pa.compute.invert(batch.column("frequent"))))
-        sets, tokens = _unpacked(iter(held), np.dtype("<u8"))
-        del held
+            if batch.num_rows > passed.num_rows:
+                held.append(batch.filter(pc.invert(batch.column("frequent"))))
+        part = held[0].column("part")[0].as_py() if held else 0  # a partition is one part
+        sets, thin = _unpacked(iter(held), np.dtype(("u1", SENT)))
+        tokens = _whole(thin.reshape(-1, SENT), part)
+        del held, thin
         first = np.zeros(len(sets), bool)
         first[np.unique(sets["sid"], return_index=True)[1]] = True
         keep = np.repeat(first, sets["count"])
@@ -209,19 +238,17 @@ def shared_tokens(docs: DataFrame, known: DataFrame, text_col: str, size: int, p
             mine = np.unique(np.concatenate([tokens[runs[i] : runs[i] + sets["count"][i]] for i in own]))
             if 100 * len(mine) >= percent * n:
                 mine = mine[np.lexsort((mine["token"], mine["df"]))]
-                usual = mine["token"][mine["df"] < LAST]
-                key = mixed((usual if len(usual) else mine["token"]) ^ _M1).min().view(np.int64)
-                rows.append((int(sets["sid"][own[0]]), n, mine.tobytes(), int(key)))
+                rows.append((int(sets["sid"][own[0]]), n, mine.tobytes(), keys_of(mine)))
             if len(rows) == 1000 or (b == len(sets) and rows):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["sid", "n", "tokens", "key"]
+                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))], names=["sid", "n", "tokens", "keys"]
                 )
                 rows = []
         give_back()
 
     texts = small_batches(docs.select(F.col(text_col).cast("string").alias("text")))
     counted = texts.mapInArrow(send, _PACKED).repartitionById(parts, "part").mapInArrow(count, _PACKED)
-    return counted.repartitionById(parts, "part").mapInArrow(order, "sid long, n long, tokens binary, key long")
+    return counted.repartitionById(parts, "part").mapInArrow(order, "sid long, n long, tokens binary, keys array<long>")
 
 
 class Class(NamedTuple):
@@ -256,86 +283,159 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(sets)[first[2 * count > len(sets)]]
 
 
-def make_classes(sets: list[tuple[int, int, np.ndarray]], close: int = CLOSE) -> list[dict]:
+def _near(rest: list[tuple[int, int, np.ndarray]], centre: np.ndarray, close: int) -> list[bool]:
+    both = [overlap(centre["token"], s["token"]) for *_, s in rest]
+    return [b > 0 and 100 * b >= close * (n + len(centre) - b) for b, (_, n, _) in zip(both, rest)]
+
+
+def _made(sets: list[tuple[int, int, np.ndarray]], centre: np.ndarray, of: int | None) -> dict:
+    made = {"of": of, "n": len(centre), "shared": centre, "radius": 0.0, "sids": [], "ns": [], "gone": [], "come": []}
+    for place, (sid, n, own) in enumerate(sets):
+        for name, x, y in (("gone", centre, own), ("come", own, centre)):
+            delta = np.empty(len(d := np.setdiff1d(x["token"], y["token"], assume_unique=True)), DELTA)
+            delta["member"], delta["token"] = place, d
+            made[name].append(delta)
+        both = len(own) - len(made["come"][-1])
+        made["sids"].append(sid)
+        made["ns"].append(n)
+        made["radius"] = max(made["radius"], 1 - both / (n + len(centre) - both))
+    return made
+
+
+def make_classes(
+    sets: list[tuple[int, int, np.ndarray]], close: int = CLOSE, centres: Sequence[tuple[int, np.ndarray]] = ()
+) -> list[dict]:
     """Classes of (sid, n, shared shingles): each set goes to a centre that is close, or else is one of its own.
 
-    A centre is what most of the sets left have in common, which in a group of
-    near copies is the text they come from, or else what others have of the
-    first one of them.
+    ``centres`` (class, shingles) are tried first, and what goes to one says so
+    in ``of``. A new centre is what most of the sets left have in common,
+    which in a group of near copies is the text they come from, or else what
+    others have of the first one of them.
     """
     classes: list[dict] = []
     rest = [(sid, n, np.sort(shared, order="token")) for sid, n, shared in sorted(sets, key=lambda s: s[0])]
+
+    def take(near: list[bool], centre: np.ndarray, of: int | None) -> list[tuple[int, int, np.ndarray]]:
+        classes.append(_made([s for s, x in zip(rest, near) if x], centre, of))
+        return [s for s, x in zip(rest, near) if not x]
+
+    for of, centre in centres:
+        centre = np.sort(centre, order="token")
+        if any(near := _near(rest, centre, close)):
+            rest = take(near, centre, of)
     tried = 0
     while rest:
-        members: list[int] = []
         if len(rest) > 1 and tried < CENTRES:
             tried += 1
             for centre in (_common([s for *_, s in rest]), rest[0][2]):
-                size = len(centre)
-                both = [overlap(centre["token"], s["token"]) for *_, s in rest]
-                near = [b > 0 and 100 * b >= close * (n + size - b) for b, (_, n, _) in zip(both, rest)]
-                members = [i for i, x in enumerate(near) if x]
-                if len(members) > 1:
-                    left = [i for i, x in enumerate(near) if not x]
+                if sum(near := _near(rest, centre, close)) > 1:
                     break
-        if len(members) < 2:  # a set alone is its own centre, with all its shingles
-            members, left, centre, size = [0], range(1, len(rest)), rest[0][2], rest[0][1]
-        made = {"n": size, "shared": centre, "radius": 0.0, "sids": [], "ns": [], "gone": [], "come": []}
-        for place, i in enumerate(members):
-            sid, n, own = rest[i]
-            for name, x, y in (("gone", centre, own), ("come", own, centre)):
-                delta = np.empty(len(d := np.setdiff1d(x["token"], y["token"], assume_unique=True)), DELTA)
-                delta["member"], delta["token"] = place, d
-                made[name].append(delta)
-            both = len(own) - len(made["come"][-1])
-            made["sids"].append(sid)
-            made["ns"].append(n)
-            made["radius"] = max(made["radius"], 1 - both / (n + size - both)) if len(members) > 1 else 0.0
-        classes.append(made)
-        rest = [rest[i] for i in left]
+            if sum(near) > 1:
+                rest = take(near, centre, None)
+                continue
+        # A set alone is its own centre, with all its shingles.
+        classes.append(_made(rest[:1], rest[0][2], None) | {"n": rest[0][1], "radius": 0.0})
+        rest = rest[1:]
     return classes
 
 
-_CLASSES = "class long, n long, radius double, tokens binary, sids array<long>, ns array<long>, gone binary, come binary"
+_CLASSES = "class long, of long, n long, radius double, tokens binary, dfs binary, keys array<long>, sids array<long>, ns array<long>, gone binary, come binary"
 
 
-def classes_of(live: DataFrame, percent: int) -> DataFrame:
-    """Sets with the same smallest mixed shingle, in pieces of bounded size, as centres and differences from them."""
-    near = closeness(percent)
-    large = live.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > CLASS_SETS)
+def _class_rows(made: list[dict]) -> pa.RecordBatch:
+    delta = lambda parts: np.sort(np.concatenate([np.zeros(0, DELTA), *parts]), order=("token", "member")).tobytes()
+    shared = [c["shared"][np.lexsort((c["shared"]["token"], c["shared"]["df"]))] for c in made]
+    columns = {
+        "class": pa.array([c["sids"][0] for c in made], pa.int64()), "of": pa.array([c["of"] for c in made], pa.int64()), "n": pa.array([c["n"] for c in made], pa.int64()),
+        "radius": pa.array([c["radius"] for c in made], pa.float64()),
+        "tokens": pa.array([x["token"].tobytes() for x in shared], pa.binary()), "dfs": pa.array([x["df"].tobytes() for x in shared], pa.binary()),
+        "keys": pa.array([keys_of(x) for x in shared], pa.list_(pa.int64())),
+        "sids": pa.array([c["sids"] for c in made], pa.list_(pa.int64())), "ns": pa.array([c["ns"] for c in made], pa.list_(pa.int64())),
+        "gone": pa.array([delta(c["gone"]) for c in made], pa.binary()), "come": pa.array([delta(c["come"]) for c in made], pa.binary()),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _one_round(loose: DataFrame, centres: DataFrame | None, nth: int, close: int) -> DataFrame:
+    """Classes of the sets with the same key of this round, in pieces of bounded size, each of which gets the centres of that key."""
+    own = loose.select(F.col("keys")[nth].alias("key"), "sid", "n", "tokens", F.lit(None).cast("binary").alias("dfs"))
+    large = own.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > CLASS_SETS)
     slices = F.coalesce(F.ceil(F.col("size") / CLASS_SETS), F.lit(1))
-    cut = live.join(large, "key", "left").withColumn("slice", F.pmod(F.xxhash64("sid"), slices))
+    cut = own.join(large, "key", "left").withColumn("slice", F.pmod(F.xxhash64("sid"), slices)).drop("size")
+    if centres is not None:
+        known = centres.select(F.col("keys")[nth].alias("key"), F.col("class").alias("sid"), F.lit(None).cast("long").alias("n"), "tokens", "dfs")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))
+        cut = cut.unionByName(known.join(large, "key", "left").withColumn("slice", every).drop("size"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(held: list) -> pa.RecordBatch:
-            made = make_classes(held, near)
-            delta = lambda parts: np.sort(np.concatenate([np.zeros(0, DELTA), *parts]), order=("token", "member")).tobytes()
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([c["sids"][0] for c in made]), pa.array([c["n"] for c in made]), pa.array([c["radius"] for c in made]),
-                    pa.array([c["shared"][np.lexsort((c["shared"]["token"], c["shared"]["df"]))]["token"].tobytes() for c in made], pa.binary()),
-                    pa.array([c["sids"] for c in made]), pa.array([c["ns"] for c in made]),
-                    pa.array([delta(c["gone"]) for c in made], pa.binary()), pa.array([delta(c["come"]) for c in made], pa.binary()),
-                ],
-                names=["class", "n", "radius", "tokens", "sids", "ns", "gone", "come"],
-            )
-
-        held, size, group = [], 0, None
+        held, known, size, group = [], [], 0, None
         for batch in batches:
             for r in batch.to_pylist():
-                if held and (group != (r["key"], r["slice"]) or size > CLASS_TOKENS):
-                    yield close(held)
+                new = group != (r["key"], r["slice"])
+                if held and (new or size > CLASS_TOKENS):
+                    yield _class_rows(make_classes(held, close, known))
                     held, size = [], 0
-                group = (r["key"], r["slice"])
-                held.append((r["sid"], r["n"], np.frombuffer(r["tokens"], SHARED)))
-                size += len(held[-1][2])
+                if new:
+                    group, known = (r["key"], r["slice"]), []
+                if r["n"] is None:
+                    centre = np.empty(len(r["dfs"]) // 4, SHARED)
+                    centre["token"], centre["df"] = np.frombuffer(r["tokens"], "<u8"), np.frombuffer(r["dfs"], "<i4")
+                    if len(known) < CENTRES:
+                        known.append((r["sid"], centre))
+                else:
+                    held.append((r["sid"], r["n"], np.frombuffer(r["tokens"], SHARED)))
+                    size += len(held[-1][2])
         if held:
-            yield close(held)
+            yield _class_rows(make_classes(held, close, known))
 
-    dealt = cut.select("key", "slice", "sid", "n", "tokens").repartition("key", "slice").sortWithinPartitions("key", "slice", "sid")
+    # Centres, which have no size here, come before the sets of their piece.
+    dealt = cut.repartition("key", "slice").sortWithinPartitions("key", "slice", F.asc_nulls_first("n"), "sid")
     return small_batches(dealt).mapInArrow(run, _CLASSES)
 
 
+def _merged(classes: DataFrame) -> DataFrame:
+    """Classes with the same centre ``of`` another as few as there is room for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict | None = None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and (held["of"] != r["of"] or len(held["sids"]) >= CLASS_SETS):
+                    yield _class_rows([held])
+                    held = None
+                if not held:
+                    shared = np.empty(len(r["dfs"]) // 4, SHARED)
+                    shared["token"], shared["df"] = np.frombuffer(r["tokens"], "<u8"), np.frombuffer(r["dfs"], "<i4")
+                    held = {"of": r["of"], "n": r["n"], "radius": 0.0, "shared": shared, "sids": [], "ns": [], "gone": [], "come": []}
+                for name in ("gone", "come"):
+                    delta = np.frombuffer(r[name], DELTA).copy()
+                    delta["member"] += len(held["sids"])
+                    held[name].append(delta)
+                held["sids"] += r["sids"]
+                held["ns"] += r["ns"]
+                held["radius"] = max(held["radius"], r["radius"])
+        if held:
+            yield _class_rows([held])
+
+    return small_batches(classes.repartition("of").sortWithinPartitions("of", "class")).mapInArrow(run, _CLASSES)
+
+
+def classes_of(live: DataFrame, percent: int) -> DataFrame:
+    """All sets as classes. Those in small ones under one key are dealt again by the next, with the centres of large ones."""
+    close, loose, made, joined = closeness(percent), live, None, None
+    for nth in range(ROUNDS):
+        found = saved(_one_round(loose, made, nth, close), "set-classes")
+        last = nth == ROUNDS - 1
+        done = found.filter("of IS NULL") if last else found.filter((F.size("sids") >= FIRM) & F.col("of").isNull())
+        made = done if made is None else made.unionByName(done)
+        more = found.filter("of IS NOT NULL")
+        joined = more if joined is None else joined.unionByName(more)
+        if not last:
+            again = found.filter((F.size("sids") < FIRM) & F.col("of").isNull()).select(F.explode("sids").alias("sid"))
+            loose = loose.join(again, "sid", "left_semi")
+    return made.unionByName(saved(_merged(joined), "joined-classes"))
+
+
 def _may_link(n1, rest1, r1, n2, rest2, r2, percent: int):
     """Whether two centres, of whose common shingles the first is found with so many left, may have a link between their classes."""
     least = np.maximum(percent / 100 - r1 - r2 - 1e-9, 0.01)
@@ -561,7 +661,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     known = saved(documents_sets(docs, id_col, text_col, shingle), "shingle-sets")
     live = saved(shared_tokens(docs, known, text_col, shingle, percent), "shared-shingles")
-    classes = saved(classes_of(live, percent), "set-classes")
+    classes = classes_of(live, percent)
     found = saved(links_of(classes, saved(class_pairs(classes, percent), "class-pairs"), percent), "set-links")
     rooted = components(found.filter("a IS NOT NULL").select("a", "b"), "set-groups").withColumnRenamed("node", "sid")
     links = found.filter("sid IS NOT NULL").groupBy("sid").agg(F.sum("links").alias("n_links"))

@@ -85,7 +85,7 @@ def test_other_bounds(spark, percent):
 
 
 def test_small_pieces_change_nothing(spark, monkeypatch):
-    for name, value in (("CLASS_SETS", 4), ("CLASS_TOKENS", 900), ("CENTRES", 2), ("SKIP", 3), ("LIST_PIECE", 7), ("SORT_ROWS", 500)):
+    for name, value in (("CLASS_SETS", 4), ("CLASS_TOKENS", 900), ("CENTRES", 2), ("FIRM", 2), ("SKIP", 3), ("LIST_PIECE", 7), ("SORT_ROWS", 500)):
         monkeypatch.setattr(jaccard, name, value)
     docs = near_copies(21)
     assert rows_of(groups(spark, docs)) == slow_groups(docs)
