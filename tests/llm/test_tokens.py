@@ -1,5 +1,6 @@
 """Token output: the coder's exact round trip, and files against the tokenizer itself."""
 
+import functools
 import zlib
 
 import numpy as np
@@ -89,10 +90,15 @@ _PARTS = [
 ]
 
 
-def one_by_one(texts):
+@functools.cache
+def whole_texts():
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(queries.TOKENIZER)
+    return Tokenizer.from_file(queries.TOKENIZER)
+
+
+def one_by_one(texts):
+    tokenizer = whole_texts()
     return [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
 
 
