@@ -72,6 +72,17 @@ def read_documents(spark: SparkSession, path: str, name: str = "plan", named_by:
     return spark.read.text(path, wholetext=True).select(base.alias("root"), F.col("value").alias(name))
 
 
+def write_documents(docs: DataFrame, path: str, *key: str, name: str = "plan", named_by: str = "root") -> None:
+    """The column ``name`` as text, a file per row, in a folder for each value of ``named_by``, as :func:`read_documents` finds them.
+
+    Opening a file takes longer than filling it, so rows are dealt by ``key``
+    to all tasks of a shuffle, however little text there is. No row has a
+    folder of its own: those would be made, listed and published one by one.
+    """
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs.repartition(tasks, *key).select(name, named_by).write.option("maxRecordsPerFile", 1).partitionBy(named_by).text(path)
+
+
 def read_export(spark: SparkSession, where: str) -> DataFrame:
     """An export read in place by path or by table name.
 

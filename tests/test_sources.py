@@ -4,8 +4,10 @@ import csv
 import glob
 import json
 import os
+import pathlib
 import random
 import time
+from collections import Counter
 from datetime import date, datetime
 
 import pytest
@@ -175,6 +177,17 @@ def test_documents_in_folders_of_their_root(spark, folder):
     assert {(r["root"], r["plan"]) for r in files.read_documents(spark, folder, named_by="root").collect()} == {("hub", '{"a": 1}'), ("hub", '{"b":\n')}
 
 
+def test_documents_are_written_one_to_a_file_by_many_tasks(spark, folder):
+    rows = [(root, n, f'{{"n":{n}}}') for n in range(40) for root in ("hub", "aws", None)]
+    docs = spark.createDataFrame(rows, "root string, batch int, plan string").coalesce(1)
+    files.write_documents(docs.unionByName(docs), folder, "root", "batch")
+    names = [f.relative_to(folder) for f in pathlib.Path(folder).rglob("*.txt")]
+    assert len(names) == 240 and {len(n.parts) for n in names} == {2}  # a folder per root, none per document
+    assert len({n.name.split("-")[1] for n in names}) > 1
+    read = [(r["root"], r["plan"].strip()) for r in files.read_documents(spark, folder, named_by="root").collect()]
+    assert Counter(read) == Counter(2 * [(root, plan) for root, _, plan in rows])
+
+
 def test_an_export_without_line_breaks_is_split(spark, folder):
     write(f"{folder}/bill.csv", "id,cost\n" + "x" * 50 + ",1\n" * 200_000)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
