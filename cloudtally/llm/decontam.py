@@ -11,15 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudtally.llm.shared import chunks, give_back, saved, small_batches
+from cloudtally.llm.shared import chunks, give_back, partitions_for, saved, small_batches
 
 #: Words per segment; a passage is PASSAGE segments, and one starts at every segment.
 SEGMENT = 16
 PASSAGE = 2
 #: Benchmark items, and words of them, handled together: their vocabulary, no larger than that, and its vectors are what every task holds.
 ITEM_BLOCK, WORD_BLOCK = 20_000, 100_000
-#: Numbers in a dense piece of TF-IDF rows; the larger the vocabulary, the fewer rows a piece has.
-DENSE = 1 << 21
+#: Numbers gathered together when sparse TF-IDF rows are multiplied, so that they stay in a processor's cache; one row at least.
+GATHERED = 1 << 19
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.?!\n]+")
 
@@ -30,8 +30,8 @@ class Settings:
     rank: int = 128
     spare: int = 8
     oversample: int = 16
-    #: Passages the latent space is fitted on, about; every passage is then projected and searched.
-    fit_passages: int = 100_000
+    #: The latent space is fitted on all passages; a caller who sets this has it fitted on about so many, chosen by hash.
+    fit_passages: int | None = None
     min_cosine: float = 0.5
     #: An item is found if so much of it is a common subsequence with the text around the passage ...
     min_common: float = 0.6
@@ -143,66 +143,78 @@ def _frequency(size: int):
     return run
 
 
-def _rows_of(codes: np.ndarray, own: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Dense unit rows of TF-IDF weights; ``own`` numbers the rows from 0."""
-    n = int(own.max()) + 1 if len(own) else 0
-    rows = np.bincount(own * len(idf) + codes, minlength=n * len(idf)).reshape(n, len(idf)) * idf
-    norm = np.linalg.norm(rows, axis=1, keepdims=True)
-    return (rows / np.where(norm > 0, norm, 1)).astype(np.float32)
+def _passages(batch: pa.RecordBatch, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Known codes and the passages they are in, in order: all passages that do not overlap, or below a rate of 1 a share of them, by text and place."""
+    codes, segment, _, first, counts = _segments(batch)
+    place = np.arange(int(counts.sum())) - np.repeat(first, counts)
+    lead = np.arange(len(place)) - place % PASSAGE  # a passage is named by its first segment
+    keep = codes >= 0
+    if rate < 1:
+        hashes = batch.column("text_hash").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        mixed = (np.repeat(hashes, counts) ^ place.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        chosen = (mixed >> np.uint64(11)).astype(np.float64) / 2.0**53 < rate
+        keep &= chosen[lead[segment]]
+    return codes[keep], lead[segment[keep]]
 
 
-def _sample(rate: float):
-    """A share of the passages, chosen by document and place; as codes, passages that do not overlap."""
+def _add_products(total: np.ndarray, codes: np.ndarray, own: np.ndarray, idf: np.ndarray, thin: np.ndarray, entries: int = 1 << 17) -> None:
+    """Adds A'A times ``thin`` to ``total``; A has a unit row of TF-IDF weights for each run of ``own``, which ascends.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
-            codes, segment, _, first, counts = _segments(batch)
-            hashes = batch.column("text_hash").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            place = np.arange(int(counts.sum())) - np.repeat(first, counts)
-            mixed = (np.repeat(hashes, counts) ^ place.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            chosen = (mixed >> np.uint64(11)).astype(np.float64) / 2.0**53 < rate
-            lead = np.arange(len(place)) - place % PASSAGE  # a passage is named by its first segment
-            keep = (codes >= 0) & chosen[lead[segment]]
-            starts = np.flatnonzero(np.diff(lead[segment[keep]], prepend=-1))
-            offsets = np.append(starts, keep.sum()).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes[keep]))], names=["codes"])
-
-    return run
-
-
-def _products(codes: np.ndarray, bounds: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'A times ``basis``, A being the unit rows of the lists of codes between ``bounds``; a bounded piece of A at a time."""
-    total = np.zeros((len(idf), basis.shape[1]))
-    thin, step = basis.astype(np.float32), max(1, min(512, DENSE // len(idf)))
-    for at in range(0, len(bounds) - 1, step):
-        some = bounds[at : at + step + 1]
-        rows = _rows_of(codes[some[0] : some[-1]], np.repeat(np.arange(len(some) - 1), np.diff(some)), idf)
-        total += rows.T @ (rows @ thin)
-    return total
-
-
-def _multiply(idf: np.ndarray, basis: np.ndarray):
-    """A'A times ``basis`` over this task's passages, one row per code."""
+    Only the entries that are not zero are visited, a bounded number at a time.
+    """
+    row = np.cumsum(np.diff(own, prepend=own[:1]) != 0)
+    ends = np.append(np.flatnonzero(np.diff(row)) + 1, len(row)) if len(row) else row
+    some = max(1, GATHERED // thin.shape[1])
+    begin = 0
+    while begin < len(row):
+        stop = int(ends[max(int(np.searchsorted(ends, begin + entries, side="right")) - 1, row[begin])])
+        pairs, times = np.unique((row[begin:stop] - row[begin]) * len(idf) + codes[begin:stop], return_counts=True)
+        begin = stop
+        mine, code = pairs // len(idf), pairs % len(idf)
+        weight = times * idf[code]
+        starts = np.flatnonzero(np.diff(mine, prepend=-1))
+        norm = np.sqrt(np.add.reduceat(weight * weight, starts))
+        weight = (weight / np.where(norm > 0, norm, 1)[mine]).astype(np.float32)
+        # A times thin: entries lie by row. A row that the pieces cut is added up from its parts.
+        rows = np.zeros((len(starts), thin.shape[1]), np.float32)
+        for at in range(0, len(mine), some):
+            part = mine[at : at + some]
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            rows[part[first]] += np.add.reduceat(thin[code[at : at + some]] * weight[at : at + some, None], first, axis=0)
+        # A' times that: entries lie by code.
+        order = np.argsort(code, kind="stable")
+        for at in range(0, len(mine), some):
+            piece = order[at : at + some]
+            part = code[piece]
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            total[part[first]] += np.add.reduceat(rows[mine[piece]] * weight[piece, None], first, axis=0)
+
+
+def _multiply(idf: np.ndarray, basis: np.ndarray, rate: float):
+    """A'A times ``basis`` over this task's passages, one row per code that is in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(idf), basis.shape[1]))
-        for batch in batches:
-            lists = batch.column("codes")
-            total += _products(lists.values.to_numpy(), lists.offsets.to_numpy(), idf, basis)
-        width = basis.shape[1]
-        for at in range(0, len(idf), 4096):
-            some = total[at : at + 4096]
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * width), pa.array(some.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(some))), rows], names=["code", "row"])
+        width, thin = basis.shape[1], basis.astype(np.float32)
+        total = np.zeros((len(idf), width))
+        seen = np.zeros(len(idf), bool)
+        for batch in _pieces(batches):
+            codes, own = _passages(batch, rate)
+            seen[codes] = True
+            _add_products(total, codes, own, idf, thin)
+        held = np.flatnonzero(seen)
+        for at in range(0, len(held), 4096):
+            code = held[at : at + 4096]
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(code) + 1, dtype=np.int32) * width), pa.array(total[code].reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(code), rows], names=["code", "row"])
         give_back()
 
     return run
 
 
-def _gather(sample: DataFrame, run, size: int, width: int) -> np.ndarray:
+def _gather(coded: DataFrame, run, size: int, width: int) -> np.ndarray:
     """Per-task matrices added up by code; the sum has vocabulary x rank numbers, whatever the corpus."""
-    parts = sample.mapInArrow(run, "code long, row array<double>")
+    parts = coded.mapInArrow(run, "code long, row array<double>")
     added = parts.groupBy("code").agg(F.array(*[F.sum(F.element_at("row", j + 1)) for j in range(width)]).alias("row")).toArrow()
     out = np.zeros((size, width))
     out[added["code"].to_numpy()] = added["row"].combine_chunks().flatten().to_numpy().reshape(-1, width)
@@ -212,29 +224,40 @@ def _gather(sample: DataFrame, run, size: int, width: int) -> np.ndarray:
 def latent_space(coded: DataFrame, items: Items, idf: np.ndarray, passages: int, s: Settings) -> np.ndarray:
     """Code vectors (vocabulary x rank), weighted by idf and evened out by the root of the singular values, by randomised SVD of the passages.
 
-    The range of A'A is sampled with a random basis, orthonormalised, and A'A
-    is applied once more for the eigenproblem inside that range. The benchmark's
-    own passages are rows of A as well, so that its terms are spanned.
+    A has a row for every passage of the corpus, those that do not overlap. One
+    read of all of them gives the product of A'A with a random orthonormal basis,
+    and that product both the range and, by Nystrom's formula, the eigenvalues
+    inside it. The benchmark's own passages are rows of A as well, so that its
+    terms are spanned.
     """
     size = len(idf)
     rank = min(s.rank, len(items.ids) + s.spare)
     width = min(size, rank + s.oversample)
-    rate = min(1.0, s.fit_passages / max(1, passages))
-    tasks = max(1, min(passages, s.fit_passages) // 8192)
-    sample = saved(coded.mapInArrow(_sample(rate), "codes array<int>").repartition(tasks), "decontam-passages")
-    own, bounds = np.concatenate(items.codes), np.cumsum([0, *map(len, items.codes)])
-    # As many rows again as were sampled from the corpus, so that neither side decides alone.
-    weight = max(1.0, min(passages, s.fit_passages) / max(1, len(items.codes)))
+    fitted = passages if s.fit_passages is None else min(passages, s.fit_passages)
+    rate = fitted / max(1, passages)
+    # A task gives a row of each code it meets, so it takes passages enough to keep that below its input.
+    few = coded.coalesce(partitions_for(coded, passages, 8 * size))
+    own, codes = np.repeat(np.arange(len(items.codes)), [*map(len, items.codes)]), np.concatenate(items.codes)
+    # As many rows again as were fitted of the corpus, so that neither side decides alone.
+    weight = max(1.0, fitted / max(1, len(items.codes)))
 
     def gram(basis: np.ndarray) -> np.ndarray:
-        return _gather(sample, _multiply(idf, basis), size, basis.shape[1]) + weight * _products(own, bounds, idf, basis)
-
-    basis = np.linalg.qr(gram(np.random.default_rng(7).normal(size=(size, width))))[0]
-    small = basis.T @ gram(basis)
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    keep = np.argsort(values)[::-1][:rank]
-    keep = keep[values[keep] > max(1e-9 * values.max(initial=0), 1e-12)]
-    return (idf[:, None] * (basis @ (vectors[:, keep] / values[keep] ** 0.25))).astype(np.float32)
+        of_items = np.zeros((size, basis.shape[1]))
+        _add_products(of_items, codes, own, idf, basis.astype(np.float32))
+        return _gather(few, _multiply(idf, basis, rate), size, basis.shape[1]) + weight * of_items
+
+    basis = np.linalg.qr(np.random.default_rng(7).normal(size=(size, width)))[0]
+    product = gram(basis)
+    # A small shift, taken off again, keeps the core's least eigenvalues above the products' rounding.
+    shift = np.sqrt(size) * np.finfo(np.float32).eps * np.linalg.norm(product, 2)
+    product += shift * basis
+    core = basis.T @ product
+    inner, turned = np.linalg.eigh((core + core.T) / 2)
+    held = inner > max(1e-9 * inner.max(initial=0), 1e-12)
+    vectors, roots, _ = np.linalg.svd(product @ (turned[:, held] / np.sqrt(inner[held])), full_matrices=False)
+    values = np.maximum(roots**2 - shift, 0)[:rank]
+    keep = np.flatnonzero(values > max(1e-9 * values.max(initial=0), 1e-12))
+    return (idf[:, None] * (vectors[:, keep] / values[keep] ** 0.25)).astype(np.float32)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -332,10 +355,10 @@ def contaminated(
     item and with its answer (its last sentence, where the benchmark has no
     answer column). Words are runs of word characters, lower case.
 
-    Idf counts cover all segments of all documents. The space is fitted on
-    about ``fit_passages`` passages, chosen by hash, and all items. One row per
-    document and item, of the best passage; repeated rows of a document give
-    repeated rows. Null and empty texts contain nothing, items without words
+    Idf counts cover all segments of all documents, and the space is fitted on
+    all passages and all items, unless ``fit_passages`` says on how many. One
+    row per document and item, of the best passage; repeated rows of a document
+    give repeated rows. Null and empty texts contain nothing, items without words
     or id are left out, and an empty table or benchmark gives no rows.
     ``text_hash`` (xxhash64 of the text) tells documents without id apart.
     A benchmark beyond ``ITEM_BLOCK`` items or ``WORD_BLOCK`` words is searched

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cloudtally.llm import decontam
 
@@ -46,6 +47,34 @@ def test_space_is_that_of_a_dense_svd(spark):
     assert np.allclose(space @ space.T, want, rtol=2e-2, atol=2e-3 * np.abs(want).max())
 
 
+def test_every_passage_counts_in_the_space(spark):
+    """Ten words of which each is in one passage only, among 300,000 others: none may be left out."""
+    common = F.transform(F.sequence(F.lit(0), F.lit(31_999)), lambda i: (i % 10).cast("int"))
+    many = spark.range(300).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("text_hash"), common.alias("codes"))
+    rare = spark.range(10).select(
+        (1_000 + F.col("id")).alias("doc_id"), F.xxhash64(F.col("id") + 1_000).alias("text_hash"), F.array_repeat((10 + F.col("id")).cast("int"), 32).alias("codes")
+    )
+    items = decontam.Items([0], [np.arange(5, dtype=np.int32)], [np.arange(2, dtype=np.int32)], {})
+    space = decontam.latent_space(many.unionByName(rare), items, np.ones(20), 300_010, decontam.Settings(spare=40))
+    assert (np.abs(space[10:]).max(axis=1) > 0.5).all()
+
+
+def test_products_are_those_of_dense_rows(monkeypatch):
+    """Long and short rows, cut into pieces of any size."""
+    rng = np.random.default_rng(5)
+    lengths = [1, 700, 3, 3, 40, 2, 900, 1]
+    own, codes = np.repeat(2 * np.arange(len(lengths)), lengths), rng.integers(0, 50, sum(lengths))
+    idf, thin = rng.random(50) + 0.5, rng.normal(size=(50, 6)).astype(np.float32)
+    rows = np.array([np.bincount(codes[own == o], minlength=50) * idf for o in np.unique(own)])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    for gathered, entries in ((1 << 19, 1 << 17), (1, 1), (30, 50), (60, 710)):
+        monkeypatch.setattr(decontam, "GATHERED", gathered)
+        total = np.zeros((50, 6))
+        decontam._add_products(total, codes, own, idf, thin, entries)
+        assert np.allclose(total, rows.T @ (rows @ thin), atol=1e-5)
+    decontam._add_products(total, codes[:0], own[:0], idf, thin)
+
+
 def planted(spark, reword):
     """The test documents, with items put into some of them; {(doc, item)} that must be found."""
     rng = random.Random(3)
