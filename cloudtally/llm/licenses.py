@@ -164,8 +164,10 @@ def scan_licenses(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), shingle_hashes(F.col(text_col).cast("string")).alias("h"))
     # Most texts hold no template shingle at all, and end here.
     rows = rows.withColumn("common", F.array_intersect("h", _longs(every))).filter(F.size("common") > 0)
-    place = F.transform("h", lambda x, i: F.when(F.array_contains("common", x), i))
-    marked = rows.withColumn("hits", F.filter(place, lambda i: i.isNotNull()))
+    # Spark puts the intersection where its column stands, so in a lambda it would be made for each shingle again;
+    # as the only element of an array it is made once for a text.
+    place = lambda common: F.transform("h", lambda x, i: F.when(F.array_contains(common, x), i))
+    marked = rows.withColumn("hits", F.flatten(F.transform(F.array("common"), lambda c: F.filter(place(c), lambda i: i.isNotNull()))))
 
     def windows(n: int) -> Column:
         """Windows of n shingles with enough template shingles in them; only those around one are looked at."""

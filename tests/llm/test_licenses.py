@@ -66,3 +66,9 @@ def test_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {(r["doc_id"], r["template"], r["matched"], r["shingles"]) for r in queries.op8_licenses(spark, SF).collect()}
     assert got == slow(rows)
+
+
+def test_template_shingles_of_a_text_are_sought_once(spark):
+    docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
+    plan = licenses.scan_licenses(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect(h" in plan and "array_contains(array_intersect" not in plan
