@@ -265,6 +265,29 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norm > 0, norm, 1)
 
 
+def _segment_vectors(codes: np.ndarray, segment: np.ndarray, n: int, space: np.ndarray, some: int = 1024) -> np.ndarray:
+    """Sums of the known codes' vectors, per segment; ``segment`` ascends and has at most SEGMENT codes of each.
+
+    Segments go by how many known codes they have, the most first, so that the
+    first codes of all are added in one go, then the second ones of those that
+    have two: whole rows, a bounded number at a time.
+    """
+    known = codes >= 0
+    codes, lengths = codes[known], np.bincount(segment[known], minlength=n)
+    order = np.argsort(-lengths, kind="stable")
+    begins = (np.cumsum(lengths) - lengths)[order]
+    total = np.zeros((n, space.shape[1]), np.float32)
+    for at in range(0, n, some):
+        rows, begin = order[at : at + some], begins[at : at + some]
+        held = lengths[rows]
+        added = np.zeros((len(rows), space.shape[1]), np.float32)
+        for k in range(int(held[0])):
+            more = int(np.searchsorted(-held, -k))
+            added[:more] += space.take(codes[begin[:more] + k], axis=0)
+        total[rows] = added
+    return total
+
+
 def _search(items: Items, space: np.ndarray, s: Settings):
     """Passages near an item in the latent space, checked word by word."""
     # An item of more than two passages is looked for by parts of it.
@@ -285,14 +308,7 @@ def _search(items: Items, space: np.ndarray, s: Settings):
             codes, segment, bounds, first, counts = _segments(batch)
             found: dict[tuple[int, int], tuple[float, int, float]] = {}
             if len(codes):
-                known = codes >= 0
-                total = np.zeros((int(counts.sum()), space.shape[1]), np.float32)
-                for at in range(0, len(codes), 1 << 16):
-                    at_known = known[at : at + (1 << 16)]
-                    seg = segment[at : at + (1 << 16)][at_known]
-                    if len(seg):
-                        starts = np.flatnonzero(np.diff(seg, prepend=-1))
-                        total[seg[starts]] += np.add.reduceat(space[codes[at : at + (1 << 16)][at_known]], starts, axis=0)
+                total = _segment_vectors(codes, segment, int(counts.sum()), space)
                 doc = np.repeat(np.arange(len(counts)), counts)
                 window = total.copy()
                 for k in range(1, PASSAGE):

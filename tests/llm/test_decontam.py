@@ -160,3 +160,15 @@ def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(decontam, "ITEM_BLOCK", 15)
     got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
     assert must <= {(r["doc_id"], r["item_id"]) for r in got}
+
+
+def test_segment_vectors_by_rank():
+    """Sums of whole rows, against one vector after another; unknown words and empty segments among them."""
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 3000):
+        segment = np.repeat(np.arange(n), rng.integers(0, decontam.SEGMENT + 1, n))
+        codes = rng.integers(-1, 50, len(segment)).astype(np.int32)
+        space = rng.normal(size=(50, 12)).astype(np.float32)
+        want = np.zeros((n, 12))
+        np.add.at(want, segment[codes >= 0], space[codes[codes >= 0]].astype(float))
+        assert np.allclose(decontam._segment_vectors(codes, segment, n, space), want, atol=1e-4)
