@@ -311,6 +311,7 @@ def _search(items: Items, space: np.ndarray, s: Settings):
     wanted = [c.tolist() for c in items.codes]
     answers = [a.tolist() for a in items.answers]
     terms = [set(c) | set(a) for c, a in zip(wanted, answers)]
+    space = np.ascontiguousarray(space)  # else each gathering of rows would turn the whole matrix first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +173,24 @@ def test_segment_vectors_by_rank():
         want = np.zeros((n, 12))
         np.add.at(want, segment[codes >= 0], space[codes[codes >= 0]].astype(float))
         assert np.allclose(decontam._segment_vectors(codes, segment, n, space), want, atol=1e-4)
+
+
+def test_search_gathers_rows_of_a_matrix_that_lies_by_row(monkeypatch):
+    """The space comes from its decomposition by column; rows gathered from that would turn the whole matrix each time."""
+    rng = np.random.default_rng(6)
+    space = np.asfortranarray(rng.normal(size=(40, 8)).astype(np.float32))
+    items = decontam.Items([7], [np.arange(20, dtype=np.int32)], [np.arange(15, 20, dtype=np.int32)], {})
+    codes = [[-1] * 20 + list(range(20)) + [-1] * 9, rng.integers(20, 40, 100).tolist()]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1, 2]), pa.array([3, 4]), pa.array(codes, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "codes"]
+    )
+    by_row, sums = [], decontam._segment_vectors
+
+    def watched(codes, segment, n, space):
+        by_row.append(space.flags.c_contiguous)
+        return sums(codes, segment, n, space)
+
+    monkeypatch.setattr(decontam, "_segment_vectors", watched)
+    (got,) = decontam._search(items, space, decontam.Settings())(iter([batch]))
+    assert by_row == [True]
+    assert [(r["doc_id"], r["item_id"], r["common_words"], r["answer_share"]) for r in got.to_pylist()] == [(1, 7, 20, 1.0)]
