@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +94,7 @@ def _encode(vocabulary: dict[str, int]):
             coded, lengths = [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
-                coded += [get(w, -1) for w in words]
+                coded.extend(map(get, words, repeat(-1)))
                 lengths.append(len(words))
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             codes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.array(coded, np.int32)))
@@ -181,14 +182,18 @@ def _add_products(total: np.ndarray, codes: np.ndarray, own: np.ndarray, idf: np
         for at in range(0, len(mine), some):
             part = mine[at : at + some]
             first = np.flatnonzero(np.diff(part, prepend=-1))
-            rows[part[first]] += np.add.reduceat(thin[code[at : at + some]] * weight[at : at + some, None], first, axis=0)
+            products = thin.take(code[at : at + some], axis=0)
+            products *= weight[at : at + some, None]
+            rows[part[first]] += np.add.reduceat(products, first, axis=0)
         # A' times that: entries lie by code.
         order = np.argsort(code, kind="stable")
         for at in range(0, len(mine), some):
             piece = order[at : at + some]
             part = code[piece]
             first = np.flatnonzero(np.diff(part, prepend=-1))
-            total[part[first]] += np.add.reduceat(rows[mine[piece]] * weight[piece, None], first, axis=0)
+            products = rows.take(mine[piece], axis=0)
+            products *= weight[piece, None]
+            total[part[first]] += np.add.reduceat(products, first, axis=0)
 
 
 def _multiply(idf: np.ndarray, basis: np.ndarray, rate: float):
