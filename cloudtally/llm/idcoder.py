@@ -5,9 +5,16 @@ id that followed their context last. An id's probability is the sum of what
 all three give it, weighted by counts of how often each was right in the same
 state, and of an even share of the vocabulary if it is new to the block.
 
+The coder is the range coder of asymmetric numerals (rANS): what an id owns of
+the range need not lie together. So order 0 gives every earlier place of the
+block the same part of the range, an id owns those of its places, and no sums
+of counts are kept. It writes backwards what is read forwards; the encoder
+first goes through the block to learn the predictions.
+
 Blocks are reset and checked on their own. Many are coded side by side, one
 id of each per step, so that a step is a handful of array operations. All
-arithmetic is on whole numbers, so a reader on another machine agrees.
+arithmetic is on whole numbers (quotients by doubles are exact below 2**52),
+so a reader on another machine agrees.
 """
 
 from __future__ import annotations
@@ -19,20 +26,25 @@ import numpy as np
 
 BLOCK = 1024
 MAGIC = b"CTID"
-VERSION = 2
+VERSION = 3
 _HEADER = "<4sHIQI"  # magic, version, ids per block, ids, blocks
 
 # Events: the order-2 prediction is right, the order-1 one is, another id seen before in the block, a new id.
-_STEP = 24
-# Counts of the ids of a block are summed up in groups of so many, and the groups in turn.
-_GROUP = 32
+_STEP = 3
 _U = np.uint64
-_MASK16, _MASK32, _TOP, _BOTTOM = _U(0xFFFF), _U(0xFFFFFFFF), _U(1 << 48), _U(1 << 32)
-# An event and what it tells are coded in one go if so much of the range is left between the two.
-_ROOM = _U(1 << 40)
-_FULL = _U(0xFFFFFFFFFFFFFFFF)
-# floor(2**32 / n): divides a range by a total with one product.
-_INVERSE = np.array([0, *((1 << 32) // n for n in range(1, 1 << 16))], np.uint64)
+_MASK16, _UPPER, _ONCE = _U(0xFFFF), np.uint32(0xFFFF0000), np.uint32(1 << 16)
+# Four 16-bit counts in a word times this: their running sums.
+_SUMS = _U(0x0001_0001_0001_0001)
+# The range is 2**20 parts; states of the coder are below 2**52 and leave or take 32 bits at once.
+_BITS, _WORD = 20, 32
+_RANGE = 1 << _BITS
+_MASK, _MASK32 = _RANGE - 1, (1 << _WORD) - 1
+#: Rows looked at together where steps do not matter; only bounds memory.
+_TOGETHER = 128
+#: Most ids of a block: each keeps a part of the range, and sums of counts 16 bits.
+_LONGEST = 2048
+# Parts of the range for one count, by the sum of counts.
+_UNIT = np.array([0, *((_RANGE - 2 * _LONGEST) // n for n in range(1, _STEP * _LONGEST + 128))], np.int64)
 
 
 def _first_counts() -> np.ndarray:
@@ -45,153 +57,86 @@ def _first_counts() -> np.ndarray:
     counts = np.zeros(32, np.uint64)
     for state in range(32):
         agree, trust2, trust1 = state >> 4, state >> 2 & 3, state & 3
-        first = (0, 24, 100, 240)[trust2] * (1 + agree)
-        second = 0 if agree else (0, 16, 40, 80)[trust1]
-        counts[state] = first | second << 16 | 24 << 32 | 16 << 48
+        first = (0, 3, 12, 30)[trust2] * (1 + agree)
+        second = 0 if agree else (0, 2, 5, 10)[trust1]
+        counts[state] = first | second << 16 | 3 << 32 | 2 << 48
     return counts
 
 
 class _Model:
-    """What both sides know after the ids so far, for ``lanes`` blocks at once."""
+    """What both sides know after the ids so far, for ``lanes`` blocks at once.
+
+    Ids go by the place of their first occurrence in the block. Contexts are
+    such places too. What order 1 predicts is kept by the caller, who has other
+    things to keep by place. Choices between lanes are sums and products, which
+    cost less than branches.
+    """
 
     def __init__(self, lanes: int, block: int) -> None:
         slots = 1 << max(4, (2 * block - 1).bit_length())
         lane = np.arange(lanes, dtype=np.int64)
         self.shift, self.slot0, self.state0 = _U(64 - (slots.bit_length() - 1)), lane * slots, lane * 32
-        self.order2, self.order1 = np.zeros(lanes * slots, np.uint32), np.zeros(lanes * slots, np.uint32)
-        self.seen, self.n_seen, self.seen0 = np.zeros(lanes * block, np.uint32), np.zeros(lanes, np.int64), lane * block
-        self.last, self.before = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64)
-        self.counts = np.tile(_first_counts(), lanes)
-        # Sums of the counts before each id of a group, and before each group; ids go by their place among the block's different ones.
-        self.groups = -(-block // _GROUP)
-        self.group0, self.lane, self.block = lane * self.groups, lane, block
-        self.inside = np.zeros((lanes * self.groups, _GROUP + 1), np.uint16)
-        self.across = np.zeros((lanes, self.groups + 1), np.uint16)
-        self.after_inside = (np.arange(_GROUP + 1) > np.arange(_GROUP)[:, None]).astype(np.uint16)
-        self.after_across = (np.arange(self.groups + 1) > np.arange(self.groups)[:, None]).astype(np.uint16)
-        self.n = 0
-
-    def count_of(self, place: np.ndarray, lanes: np.ndarray) -> np.ndarray:
-        """How often the id at a place came."""
-        at = (self.group0.take(lanes) + place // _GROUP) * (_GROUP + 1) + place % _GROUP
-        return (self.inside.take(at + 1) - self.inside.take(at)).astype(np.uint64)
-
-    def before_place(self, place: np.ndarray, lanes: np.ndarray) -> np.ndarray:
-        """How often the ids at lower places came."""
-        group = place // _GROUP
-        inside = self.inside.take((self.group0.take(lanes) + group) * (_GROUP + 1) + place % _GROUP)
-        return inside.astype(np.uint64) + self.across.take(lanes * (self.groups + 1) + group)
-
-    def others(self, lanes: np.ndarray) -> np.ndarray:
-        """How often ids came that neither order 1 nor order 2 predicts."""
-        return _U(self.n) - self.held1.take(lanes) - self.held2.take(lanes)
-
-    def before_other(self, place: np.ndarray, lanes: np.ndarray) -> np.ndarray:
-        """How often ids at lower places came that neither order 1 nor order 2 predicts."""
-        out = self.before_place(place, lanes)
-        for guess, held in ((self.guess1, self.held1), (self.guess2, self.held2)):
-            out -= np.where(guess.take(lanes) <= place, held.take(lanes), _U(0))
-        return out
-
-    def other_at(self, value: np.ndarray, lanes: np.ndarray) -> np.ndarray:
-        """The place at which ``before_other`` passes a value."""
-        value = value.copy()
-        place1, place2 = (np.maximum(g.take(lanes).astype(np.int64) - 1, 0) for g in (self.guess1, self.guess2))
-        held1, held2 = self.held1.take(lanes), self.held2.take(lanes)
-        swap = place1 > place2
-        for place, held in ((np.where(swap, place2, place1), np.where(swap, held2, held1)), (np.where(swap, place1, place2), np.where(swap, held1, held2))):
-            value += np.where(value >= self.before_place(place, lanes), held, _U(0))
-        value = np.minimum(value, _U(max(self.n - 1, 0))).astype(np.uint16)
-        # The sums begin with 0, so the first one beyond a value stands behind its group, or its id.
-        group = np.maximum((self.across.take(lanes, axis=0) > value[:, None]).argmax(axis=1) - 1, 0)
-        value -= self.across.take(lanes * (self.groups + 1) + group)
-        inside = np.maximum((self.inside.take(self.group0.take(lanes) + group, axis=0) > value[:, None]).argmax(axis=1) - 1, 0)
-        return np.minimum(group * _GROUP + inside, self.block - 1)
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Where the intervals of the four events end."""
-        h1 = (self.last + _U(1)) * _U(0x9E3779B97F4A7C15)
-        h2 = (h1 ^ (self.before + _U(1))) * _U(0xC2B2AE3D27D4EB4F)
-        self.at1 = (h1 >> self.shift).astype(np.int64) + self.slot0
-        self.at2 = (h2 >> self.shift).astype(np.int64) + self.slot0
-        # An entry is (place + 1) * 4 + trust; zero where nothing was seen.
-        self.entry1, self.entry2 = self.order1.take(self.at1), self.order2.take(self.at2)
-        self.trust1, self.trust2 = self.entry1 & 3, self.entry2 & 3
-        self.guess1, self.guess2 = self.entry1 >> 2, self.entry2 >> 2
-        agree = (self.guess1 == self.guess2) & (self.trust1 > 0)
-        self.state = self.state0 + (agree * np.uint32(16) + self.trust2 * np.uint32(4) + self.trust1)
-        self.count = count = self.counts.take(self.state)
-        self.held1, self.held2 = (
-            np.where(told, self.count_of(np.maximum(guess.astype(np.int64) - 1, 0), self.lane), _U(0))
-            for guess, told in ((self.guess1, (self.guess1 > 0) & ~agree), (self.guess2, self.guess2 > 0))
-        )
-        # What order 0 gives the predicted ids goes to their own intervals.
-        seen, n = count >> _U(32) & _MASK16, _U(max(self.n, 1))
-        first, second = (count & _MASK16), (count >> _U(16) & _MASK16)
-        end1 = first + seen * self.held2 // n
-        end2 = end1 + second + seen * self.held1 // n
-        end3 = first + second + seen
-        return end1, end2, end3, end3 + (count >> _U(48))
-
-    def update(self, ids: np.ndarray, place: np.ndarray, event: np.ndarray, new: np.ndarray) -> None:
-        self.counts[self.state] = self.count + (_U(_STEP) << (event.astype(np.uint64) << _U(4)))
-        group = place // _GROUP
-        self.inside[self.group0 + group] += self.after_inside.take(place % _GROUP, axis=0)
-        self.across += self.after_across.take(group, axis=0)
-        self.n += 1
-        spelled = place.astype(np.uint32) + np.uint32(1)
-        fresh = spelled << np.uint32(2) | np.uint32(1)
-        for table, at, entry, guess, trust in (
-            (self.order2, self.at2, self.entry2, self.guess2, self.trust2),
-            (self.order1, self.at1, self.entry1, self.guess1, self.trust1),
-        ):
-            table[at] = np.where(guess == spelled, entry + (trust < 3), np.where(trust > 1, entry - np.uint32(1), fresh))
-        self.seen[self.seen0[new] + self.n_seen[new]] = ids[new]
-        self.n_seen[new] += 1
-        self.before, self.last = self.last, ids.astype(np.uint64)
-
-
-def _settled(low: np.ndarray, size: np.ndarray, at: np.ndarray | None = None):
-    """Lanes whose upper 16 bits are settled, with those bits, which leave; until none is.
-
-    A range that straddles a boundary and has become small is cut at the boundary.
-    """
-    if at is None:
-        at = np.flatnonzero((low ^ (low + size) < _TOP) | (size < _BOTTOM))
-        l, s = low.take(at), size.take(at)
-    else:
-        l, s = low.take(at), size.take(at)
-        more = np.flatnonzero((l ^ (l + s) < _TOP) | (s < _BOTTOM))
-        at, l, s = at.take(more), l.take(more), s.take(more)
-    while len(at):
-        cut = np.flatnonzero(l ^ (l + s) >= _TOP)
-        s[cut] = (_U(0) - l[cut]) & _MASK32
-        yield at, l >> _U(48)
-        l <<= _U(16)
-        s <<= _U(16)
-        low[at], size[at] = l, s
-        more = np.flatnonzero((l ^ (l + s) < _TOP) | (s < _BOTTOM))
-        at, l, s = at.take(more), l.take(more), s.take(more)
-
-
-def _first_places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per row: whether an id is new there, and the number of its first occurrence among the row's different ids."""
-    lanes, steps = ids.shape
-    kind = np.uint16 if ids.max(initial=0) < 1 << 16 else np.uint32
-    order = np.argsort(ids.astype(kind), axis=1, kind="stable").astype(np.int32)
-    order += (np.arange(lanes, dtype=np.int32) * steps)[:, None]
-    flat, order = ids.reshape(-1), order.reshape(-1)
-    ordered = flat.take(order)
-    begins = np.ones(len(flat), bool)
-    begins[1:] = ordered[1:] != ordered[:-1]
-    begins[::steps] = True
-    heads = order[begins]  # places of the first occurrences, id by id
-    first = np.empty(len(flat), np.int32)
-    first[order] = heads.take(np.cumsum(begins, dtype=np.int32) - 1)
-    new = np.zeros(len(flat), bool)
-    new[heads] = True
-    count = np.cumsum(new.reshape(lanes, steps), axis=1, dtype=np.int32) - 1
-    return new.reshape(lanes, steps), count.reshape(-1).take(first).reshape(lanes, steps)
+        self.order2, self.counts = np.zeros(lanes * slots, np.uint16), np.tile(_first_counts(), lanes)
+        self.before = np.zeros(lanes, np.uint64)
+        self.entry = np.zeros((2, lanes), np.uint16)
+
+    def predict(self, last: np.ndarray, entry1: np.ndarray) -> np.ndarray:
+        """Counts of the four events after ids first seen at ``last``, for which order 1 has ``entry1``."""
+        key = last.astype(np.uint64) * _U(0x9E3779B97F4A7C15)
+        self.at2 = ((key + self.before) >> self.shift).view(np.int64) + self.slot0
+        self.before = key * _U(0xC2B2AE3D27D4EB4F)
+        # An entry is (place + 1) * 4 + trust; zero where nothing was seen. Order 2 is above, order 1 below.
+        self.entry[0], self.entry[1] = self.order2.take(self.at2), entry1
+        self.guess, self.trust = self.entry >> 2, self.entry & 3
+        agree = (self.guess[0] == self.guess[1]).astype(np.uint16)
+        self.state = self.state0 + ((agree << 4) + (self.trust[0] << 2) + self.trust[1])
+        self.count = self.counts.take(self.state)
+        return self.count
+
+    def update(self, spelled: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Learns the ids by their places plus 1: (the new order-1 entries, which orders are right, the events)."""
+        right = self.guess == spelled
+        wrong = (~right).view(np.uint8)
+        event = wrong[0] + (wrong[0] & wrong[1]) + new.view(np.uint8)
+        self.counts[self.state] = self.count + (_U(_STEP) << (event << 4).astype(np.uint64))
+        # Right: trust grows to 3. Wrong: trust of 2 or 3 shrinks, else the entry is made anew.
+        one, fresh = right.astype(np.uint16), (spelled << 2) | 1
+        anew = (one | self.trust >> 1) - np.uint16(1)
+        entry = self.entry + one - ((self.trust + 2 - one) >> 2) + (anew & (fresh - self.entry))
+        self.order2[self.at2] = entry[0]
+        return entry[1], right, event
+
+
+def _shares(count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of the range that orders 2 and 1 have, what order 0 gives each of ``n`` places, and where the three end."""
+    unit = _UNIT.take((count * _SUMS >> _U(48)).view(np.int64))
+    share2 = (count & _MASK16).view(np.int64) * unit
+    share1 = (count >> _U(16) & _MASK16).view(np.int64) * unit
+    each = (count >> _U(32) & _MASK16).view(np.int64) * unit // n + 1
+    return share2, share1, each, share2 + share1 + each * n
+
+
+def _occurrences(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per place and row, where its id came first, how often before, and where its places begin in the row's list of them (16 bits each); the lists."""
+    lanes, steps = rows.shape
+    told, lists = np.empty((steps, lanes), np.uint64), np.empty((lanes, steps), np.uint16)
+    for begin in range(0, lanes, _TOGETHER):
+        ids = rows[begin : begin + _TOGETHER]
+        kind = np.uint16 if ids.max(initial=0) < 1 << 16 else np.uint32
+        places = np.argsort(ids.astype(kind), axis=1, kind="stable")
+        lists[begin : begin + _TOGETHER] = places
+        row = np.arange(len(ids))[:, None]
+        ordered = ids.reshape(-1).take(places + row * steps)
+        begins = np.ones(ids.shape, bool)
+        begins[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+        heads = np.flatnonzero(begins)
+        head = np.repeat(heads, np.diff(heads, append=ids.size))
+        words = places.reshape(-1).take(head) | np.arange(ids.size) - head << 16
+        words |= (head.reshape(ids.shape) - row * steps << 32).reshape(-1)
+        some = np.empty((steps, len(ids)), np.int64)
+        some.reshape(-1)[(places * len(ids) + row).reshape(-1)] = words
+        told[:, begin : begin + _TOGETHER] = some
+    return told, lists.reshape(-1)
 
 
 def _steps(n: int, block: int) -> int:
@@ -200,6 +145,8 @@ def _steps(n: int, block: int) -> int:
 
 def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
     """The ids (each below ``vocabulary``) as one container of blocks; no ids give a container of none."""
+    if block > _LONGEST or vocabulary > _RANGE:
+        raise ValueError("blocks or vocabulary too large")
     n = len(ids)
     if not n:
         return struct.pack(_HEADER, MAGIC, VERSION, block, 0, 0) + struct.pack("<I", vocabulary)
@@ -209,46 +156,57 @@ def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
     padded = np.zeros(lanes * steps, np.uint32)
     padded[:n] = ids
     rows = padded.reshape(lanes, steps)
-    new, place = _first_places(rows)
-    columns, new, place = np.ascontiguousarray(rows.T), np.ascontiguousarray(new.T), np.ascontiguousarray(place.T)
-    model = _Model(lanes, block)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
-    width = 3 * block + 8
-    flat, used = np.zeros(lanes * width, np.uint16), np.zeros(lanes, np.int64)
-    out = flat.reshape(lanes, width)
-    by_id = _U((1 << 32) // vocabulary)
-
-    def put(some: np.ndarray | None = None) -> None:
-        for at, word in _settled(low, size, some):
-            place = used.take(at)
-            flat[at * width + place] = word
-            used[at] = place + 1
-
-    for t in range(steps):
-        x, fresh, at_place = columns[t], new[t], place[t]
-        end1, end2, end3, total = model.predict()
-        unit = (size >> _U(32)) * _INVERSE.take(total.view(np.int64))
-        spelled = at_place.astype(np.uint32) + np.uint32(1)
-        miss2 = model.guess2 != spelled
-        miss1 = miss2 & (model.guess1 != spelled)
-        begin = unit * np.where(miss1, np.where(fresh, end3, end2), np.where(miss2, end1, _U(0)))
-        low += begin
-        size = unit * np.where(miss1, np.where(fresh, total, end3), np.where(miss2, end2, end1)) - begin
-        put(np.flatnonzero(size < _ROOM))
-        told = np.flatnonzero(miss1)
-        told_new = fresh.take(told)
-        told_place = at_place.take(told)
-        unit = (size.take(told) >> _U(32)) * np.where(told_new, by_id, _INVERSE.take(model.others(told).view(np.int64)))
-        low[told] += unit * np.where(told_new, x.take(told).astype(np.uint64), model.before_other(told_place, told))
-        size[told] = unit * np.where(told_new, _U(1), model.count_of(told_place, told))
-        put()
-        model.update(x, at_place, miss2.astype(np.uint8) + miss1 + (miss1 & fresh), told[told_new])
-    for k in range(4):
-        out[np.arange(lanes), used] = (low >> _U(48 - 16 * k)).astype(np.uint16)
-        used += 1
+    known, places = _occurrences(rows)
+    model, lane = _Model(lanes, steps), np.arange(lanes)
+    order1 = np.zeros(steps * lanes, np.uint16)
+    counts, events = np.empty((steps, lanes), np.uint64), np.full((steps, lanes), 3, np.uint8)
+    last = np.zeros(lanes, np.uint16)
+    for t in range(1, steps):
+        at = last * np.int64(lanes) + lane
+        counts[t] = model.predict(last, order1.take(at))
+        last = known[t].astype(np.uint16)
+        order1[at], _, events[t] = model.update(last + np.uint16(1), last == t)
+    width = 2 * steps + 2
+    flat, put = np.zeros(lanes * width, np.uint32), np.arange(1, lanes + 1) * width - 1
+    lists, state, even = lane * steps, np.full(lanes, _RANGE), _RANGE // vocabulary
+    for t in range(steps - 1, -1, -1):
+        event = events[t]
+        told = np.flatnonzero(event == 3)
+        if len(told):
+            some = state.take(told)
+            full = np.flatnonzero(some >= even << _WORD)
+            at = told.take(full)
+            over, place = some.take(full), put.take(at)
+            flat[place], put[at], some[full] = over, place - 1, over >> _WORD
+            of = some // even
+            state[told] = (of << _BITS) + padded.take(lists.take(told) + t) * np.int64(even) + (some - of * even)
+        if not t:
+            break
+        share2, share1, each, end = _shares(counts[t], t)
+        came = (known[t] >> _U(16) & _MASK16).view(np.int64)
+        plain, right1 = each * came, event == 1
+        begin, own = right1 * share2, plain + (event == 0) * share2 + right1 * share1
+        begin[told] = end = end.take(told)
+        own[told] = _RANGE - end
+        full = np.flatnonzero(state >= own << _WORD)
+        over, place = state.take(full), put.take(full)
+        flat[place], put[full], state[full] = over, place - 1, over >> _WORD
+        of = (state / own).astype(np.int64)
+        rank = state - of * own
+        # By order 0: which of the id's places, and which part of it.
+        part = (rank / np.maximum(came, 1)).astype(np.int64)
+        which = (known[t] >> _U(32)).view(np.int64) + lists + rank - part * came
+        by_place = share2 + share1 + part * t + places.take(which, mode="clip")
+        begin += rank - plain
+        state = (of << _BITS) + begin + (by_place - begin) * (rank < plain)
+    for half in (state >> _WORD, state & _MASK32):
+        flat[put] = half
+        put -= 1
+    used = np.arange(1, lanes + 1) * width - 1 - put
     checks = [zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) for i in range(lanes)]
     index = np.array([used, checks], np.int64).T.astype("<u4").tobytes()
-    body = b"".join(out[i, : used[i]].astype("<u2").tobytes() for i in range(lanes))
+    out = flat.reshape(lanes, width).astype("<u4", copy=False)
+    body = b"".join(out[i, width - size :].tobytes() for i, size in enumerate(used.tolist()))
     return struct.pack(_HEADER, MAGIC, VERSION, block, n, lanes) + struct.pack("<I", vocabulary) + index + body
 
 
@@ -262,57 +220,80 @@ def decode(data: bytes) -> np.ndarray:
     (vocabulary,) = struct.unpack_from("<I", data, struct.calcsize(_HEADER))
     if not n:
         return np.zeros(0, np.uint32)
+    if not 0 < block <= _LONGEST or not 0 < vocabulary <= _RANGE:
+        raise ValueError("blocks or vocabulary too large")
     at = struct.calcsize(_HEADER) + 4
     if lanes != -(-n // block) or at + 8 * lanes > len(data):
         raise ValueError("the block index is cut off")
     index = np.frombuffer(data, "<u4", 2 * lanes, at).reshape(lanes, 2).astype(np.int64)
-    words = np.frombuffer(data[at + 8 * lanes :], "<u2").astype(np.uint64)
-    if int(index[:, 0].sum()) != len(words):
+    if 4 * int(index[:, 0].sum()) != len(data) - at - 8 * lanes:
         raise ValueError("the blocks are cut off")
+    words = np.append(np.frombuffer(data, "<u4", offset=at + 8 * lanes).astype(np.uint32), np.zeros(2, np.uint32))
     read = np.concatenate([[0], np.cumsum(index[:, 0])])[:-1]
-    words = np.append(words, np.zeros(8, np.uint64))
     steps = _steps(n, block)
-    model = _Model(lanes, block)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
-    code = np.zeros(lanes, np.uint64)
-    by_id = _U((1 << 32) // vocabulary)
+    model, lane = _Model(lanes, steps), np.arange(lanes)
+    # By place: the order-1 entry of the id first seen there, and above 16 bits how often it came.
+    known = np.zeros(steps * lanes, np.uint32)
+    # By place: where its id came first, and above 16 bits how often before.
+    places = np.zeros((steps, lanes), np.uint32)
     columns = np.zeros((steps, lanes), np.uint32)
-    def take(some: np.ndarray | None = None) -> None:
-        for at, _ in _settled(low, size, some):
-            place = read.take(at)
-            code[at] = code.take(at) << _U(16) | words.take(place, mode="clip")
-            read[at] = place + 1
-
-    for _ in range(4):
-        code = code << _U(16) | words.take(read, mode="clip")
-        read += 1
+    all_places = places.reshape(-1)
+    even = _RANGE // vocabulary
+    # A damaged block may lead anywhere; it stays inside its tables and fails its check.
+    state = (words.take(read, mode="clip").astype(np.int64) | words.take(read + 1, mode="clip").astype(np.int64) << _WORD) & ((1 << 52) - 1)
+    read += 2
+    before1 = lane - lanes
+    at = told = lane
+    last, entry1, came = np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint16), np.full(lanes, 1 << 16, np.uint32)
     for t in range(steps):
-        end1, end2, end3, total = model.predict()
-        unit = (size >> _U(32)) * _INVERSE.take(total.view(np.int64))
-        value = code - low
-        edge1, edge2, edge3 = unit * end1, unit * end2, unit * end3
-        past1, past2, past3 = value >= edge1, value >= edge2, value >= edge3
-        begin = np.where(past2, np.where(past3, edge3, edge2), np.where(past1, edge1, _U(0)))
-        low += begin
-        size = np.where(past2, np.where(past3, unit * total, edge3), np.where(past1, edge2, edge1)) - begin
-        take(np.flatnonzero(size < _ROOM))
-        # Where neither is right, what stands here is replaced below.
-        place = np.maximum(np.where(past1, model.guess1, model.guess2).astype(np.int64) - 1, 0)
-        told = np.flatnonzero(past2)
-        told_new = past3.take(told)
-        others = model.others(told)
-        unit = (size.take(told) >> _U(32)) * np.where(told_new, by_id, _INVERSE.take(others.view(np.int64)))
-        # A damaged block may lead anywhere; it stays inside its tables and fails its check.
-        which = np.minimum((code.take(told) - low.take(told)) // np.maximum(unit, _U(1)), np.where(told_new, _U(vocabulary), np.maximum(others, _U(1))) - _U(1))
-        place[told] = told_place = np.where(told_new, model.n_seen.take(told), model.other_at(which, told))
-        low[told] += unit * np.where(told_new, which, model.before_other(told_place, told))
-        size[told] = unit * np.where(told_new, _U(1), np.maximum(model.count_of(told_place, told), _U(1)))
-        take()
-        x = model.seen.take(model.seen0 + place)
-        x[told[told_new]] = which[told_new]
-        columns[t] = x
-        model.update(x, place, past1.astype(np.uint8) + past2 + past3, told[told_new])
-    ids = np.ascontiguousarray(columns.T).reshape(-1)[:n]
+        if t:
+            share2, share1, each, end = _shares(model.predict(last, entry1), t)
+            value, ends = state & _MASK, share2 + share1
+            past, new = value - ends, value >= end
+            part = past // t
+            some = all_places.take((past - part * t) * lanes + lane)
+            by2, by1 = value < share2, past < 0
+            spelled = some.astype(np.uint16) + np.uint16(1)
+            spelled += (model.guess[1] - spelled) * by1 + (model.guess[0] - model.guess[1]) * by2
+            told = np.flatnonzero(new)
+            spelled[told] = t + 1
+            entry1, right, _ = model.update(spelled, new)
+            known[at] = entry1 | came
+            at = spelled * np.int64(lanes) + before1
+            both = known.take(at)
+            entry1, last, came = both.astype(np.uint16), spelled - np.uint16(1), both & _UPPER
+            places[t] = came | last
+            often = (both >> 16).astype(np.int64)
+            came += _ONCE
+            plain = each * often
+            own = plain + right[0] * share2 + right[1] * share1
+            rank = part * often + (some >> 16)
+            rank += (plain + value - share2 - rank) * by1 + by2 * share2
+            end = end.take(told)
+            own[told], rank[told] = _RANGE - end, value.take(told) - end
+            state = (state >> _BITS) * own + rank
+            low = np.flatnonzero(state < _RANGE)
+            place = read.take(low)
+            state[low] = state.take(low) << _WORD | words.take(place, mode="clip")
+            read[low] = place + 1
+        if len(told):
+            some = state.take(told)
+            value = some & _MASK
+            x = np.minimum(value // even, vocabulary - 1)
+            columns[t, told] = x
+            some = (some >> _BITS) * even + (value - x * even)
+            low = np.flatnonzero(some < _RANGE)
+            lower = told.take(low)
+            place = read.take(lower)
+            some[low] = some.take(low) << _WORD | words.take(place, mode="clip")
+            read[lower] = place + 1
+            state[told] = some
+    ids = np.empty((lanes, steps), np.uint32)
+    for begin in range(0, lanes, _TOGETHER):
+        first = places[:, begin : begin + _TOGETHER].T & np.uint32(0xFFFF)
+        some = np.ascontiguousarray(columns[:, begin : begin + _TOGETHER].T)
+        ids[begin : begin + _TOGETHER] = np.take_along_axis(some, first.astype(np.int64), axis=1)
+    ids = ids.reshape(-1)[:n]
     for i, check in enumerate(index[:, 1].tolist()):
         if zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) != check:
             raise ValueError(f"block {i} fails its check")
