@@ -13,8 +13,8 @@ first goes through the block to learn the predictions.
 
 Blocks are reset and checked on their own. Many are coded side by side, one
 id of each per step, so that a step is a handful of array operations. All
-arithmetic is on whole numbers (quotients by doubles are exact below 2**52),
-so a reader on another machine agrees.
+arithmetic is on whole numbers (quotients by doubles are exact below 2**52,
+those by floats below 2**20), so a reader on another machine agrees.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ _TOGETHER = 128
 #: Most ids of a block: each keeps a part of the range, and sums of counts 16 bits.
 _LONGEST = 2048
 # Parts of the range for one count, by the sum of counts.
-_UNIT = np.array([0, *((_RANGE - 2 * _LONGEST) // n for n in range(1, _STEP * _LONGEST + 128))], np.int64)
+_UNIT = np.array([0, *((_RANGE - 2 * _LONGEST) // n for n in range(1, _STEP * _LONGEST + 128))], np.int32)
 
 
 def _first_counts() -> np.ndarray:
@@ -73,7 +73,7 @@ class _Model:
     """
 
     def __init__(self, lanes: int, block: int) -> None:
-        slots = 1 << max(4, (2 * block - 1).bit_length())
+        slots = 1 << max(4, (block - 1).bit_length())
         lane = np.arange(lanes, dtype=np.int64)
         self.shift, self.slot0, self.state0 = _U(64 - (slots.bit_length() - 1)), lane * slots, lane * 32
         self.order2, self.counts = np.zeros(lanes * slots, np.uint16), np.tile(_first_counts(), lanes)
@@ -110,9 +110,9 @@ class _Model:
 def _shares(count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The parts of the range that orders 2 and 1 have, what order 0 gives each of ``n`` places, and where the three end."""
     unit = _UNIT.take((count * _SUMS >> _U(48)).view(np.int64))
-    share2 = (count & _MASK16).view(np.int64) * unit
-    share1 = (count >> _U(16) & _MASK16).view(np.int64) * unit
-    each = (count >> _U(32) & _MASK16).view(np.int64) * unit // n + 1
+    share2 = (count & _MASK16).astype(np.int32) * unit
+    share1 = (count >> _U(16) & _MASK16).astype(np.int32) * unit
+    each = (count >> _U(32) & _MASK16).astype(np.int32) * unit // n + 1
     return share2, share1, each, share2 + share1 + each * n
 
 
@@ -183,22 +183,22 @@ def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
         if not t:
             break
         share2, share1, each, end = _shares(counts[t], t)
-        came = (known[t] >> _U(16) & _MASK16).view(np.int64)
+        came = (known[t] >> _U(16) & _MASK16).astype(np.int32)
         plain, right1 = each * came, event == 1
         begin, own = right1 * share2, plain + (event == 0) * share2 + right1 * share1
         begin[told] = end = end.take(told)
         own[told] = _RANGE - end
-        full = np.flatnonzero(state >= own << _WORD)
+        full = np.flatnonzero((state >> _WORD).astype(np.int32) >= own)
         over, place = state.take(full), put.take(full)
         flat[place], put[full], state[full] = over, place - 1, over >> _WORD
         of = (state / own).astype(np.int64)
-        rank = state - of * own
+        rank = (state - of * own).astype(np.int32)
         # By order 0: which of the id's places, and which part of it.
-        part = (rank / np.maximum(came, 1)).astype(np.int64)
-        which = (known[t] >> _U(32)).view(np.int64) + lists + rank - part * came
+        part = (rank.astype(np.float32) / np.maximum(came, 1).astype(np.float32)).astype(np.int32)
+        which = (known[t] >> _U(32)).view(np.int64) + lists + (rank - part * came)
         by_place = share2 + share1 + part * t + places.take(which, mode="clip")
         begin += rank - plain
-        state = (of << _BITS) + begin + (by_place - begin) * (rank < plain)
+        state = (of << _BITS) + (begin + (by_place - begin) * (rank < plain))
     for half in (state >> _WORD, state & _MASK32):
         flat[put] = half
         put -= 1
@@ -248,10 +248,10 @@ def decode(data: bytes) -> np.ndarray:
     for t in range(steps):
         if t:
             share2, share1, each, end = _shares(model.predict(last, entry1), t)
-            value, ends = state & _MASK, share2 + share1
+            value, ends = (state & _MASK).astype(np.int32), share2 + share1
             past, new = value - ends, value >= end
             part = past // t
-            some = all_places.take((past - part * t) * lanes + lane)
+            some = all_places.take((past - part * t) * np.int64(lanes) + lane)
             by2, by1 = value < share2, past < 0
             spelled = some.astype(np.uint16) + np.uint16(1)
             spelled += (model.guess[1] - spelled) * by1 + (model.guess[0] - model.guess[1]) * by2
@@ -263,11 +263,11 @@ def decode(data: bytes) -> np.ndarray:
             both = known.take(at)
             entry1, last, came = both.astype(np.uint16), spelled - np.uint16(1), both & _UPPER
             places[t] = came | last
-            often = (both >> 16).astype(np.int64)
+            often = (both >> 16).view(np.int32)
             came += _ONCE
             plain = each * often
             own = plain + right[0] * share2 + right[1] * share1
-            rank = part * often + (some >> 16)
+            rank = part * often + (some >> 16).view(np.int32)
             rank += (plain + value - share2 - rank) * by1 + by2 * share2
             end = end.take(told)
             own[told], rank[told] = _RANGE - end, value.take(told) - end

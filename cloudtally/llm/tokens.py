@@ -6,6 +6,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -75,14 +76,14 @@ def _learn(words: np.ndarray, path: str) -> tuple[_Words, np.ndarray]:
     if len(known.numbers) > REMEMBERED:
         known = _KNOWN[path] = _Words()
     numbers, tokenizer = known.numbers, _tokenizer(path)
-    merge, ids, ends, others = tokenizer.model.tokenize, known.ids, known.ends, []
+    merge, number_of, ids, ends, others = tokenizer.model.tokenize, attrgetter("id"), known.ids, known.ends, []
     found = list(map(numbers.get, words))
     for place in [i for i, number in enumerate(found) if number is None]:
         word = words[place]
         if word.isascii() and word.isalpha() and word.islower():
-            ids.extend([t.id for t in merge(word)])
+            ids.extend(map(number_of, merge(word)))
         elif _LATIN.fullmatch(word):
-            ids.extend([t.id for t in merge("".join([_SPELLED[b] for b in word.encode()]))])
+            ids.extend(map(number_of, merge("".join([_SPELLED[b] for b in word.encode()]))))
         else:
             others.append(place)
             continue
@@ -133,7 +134,9 @@ def _write(path: str, end: int, vocabulary: int):
 
         def row() -> pa.RecordBatch:
             docs, lengths, ids = held
-            data = encode(np.concatenate(ids), vocabulary)
+            joined = np.concatenate(ids)
+            ids.clear()
+            data = encode(joined, vocabulary)
             made = {"partition": [partition], "shard": [shard], "doc_ids": [docs], "lengths": [lengths], "data": [data]}
             kinds = {"partition": pa.int32(), "shard": pa.int32(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "data": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in made.items()], names=list(made))
