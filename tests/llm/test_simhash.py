@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -102,3 +103,63 @@ def test_a_large_band_is_cut_and_loses_no_link(spark, monkeypatch):
     roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
     assert len(set(roots.values())) == 1 and len(roots) == len(values)
     assert edges.count() < 300 * 20 * 19
+
+
+def test_a_longer_key_waits_until_bands_are_large():
+    # a sixth piece makes fifteen copies of every fingerprint in place of five
+    assert simhash.band_plan(3_000_000, 4)[0] == 5
+    assert simhash.band_plan(30_000_000, 4)[0] == 6
+
+
+def test_many_small_pieces_are_compared_together(monkeypatch):
+    rng = np.random.default_rng(7)
+    calls = []
+    planes_of = simhash.planes_of
+    monkeypatch.setattr(simhash, "planes_of", lambda values: calls.append(len(values)) or planes_of(values))
+    values = np.repeat(rng.integers(0, 2**64, 5000, dtype=np.uint64), 2)
+    for b in range(4):
+        values[1::2] ^= np.uint64(1) << rng.integers(0, 64, 5000, dtype=np.uint64)
+    values[1::4] = rng.integers(0, 2**64, 2500, dtype=np.uint64)
+    rows = np.zeros((6, 10_000), np.int64)
+    rows[1], rows[5] = np.arange(10_000) // 2, values.view(np.int64)
+    a, b = simhash.link_pieces(rows, 4, range(64))
+    near = np.bitwise_count(values[::2] ^ values[1::2]) <= 4
+    assert dict(zip(a.tolist(), b.tolist())) == dict(zip(rows[5, 1::2][near].tolist(), rows[5, ::2][near].tolist()))
+    assert len(calls) == 1
+
+
+def test_two_slices_meet_across_only():
+    rows = np.zeros((6, 8), np.int64)
+    rows[3, :5] = 1  # a piece of the slices 0 and 1, then one of slice 1 alone
+    rows[2, 5:] = rows[3, 5:] = rows[4, 3:] = 1
+    rows[5] = [0, 1, 1 << 40, 3, 1 << 50, 0, 1, (1 << 20) - 1]
+    a, b = simhash.link_pieces(rows, 2, range(64))
+    assert set(zip(a.tolist(), b.tolist())) == {(1, 0), (1 << 40, 0), (3, 0), (1 << 50, 0)}
+    a, b = simhash.link_pieces(rows[:, 5:], 2, range(64))
+    assert (a.tolist(), b.tolist()) == ([1], [0])
+    apart = np.array([[0] * 3, [0] * 3, [0] * 3, [1] * 3, [0, 0, 1], [0, 1, (1 << 20) - 1]], np.int64)
+    assert simhash.link_pieces(apart, 2, range(64))[0].tolist() == []
+
+
+def test_hashes_of_runs_of_any_length(monkeypatch):
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 256, 6000, dtype=np.uint8)
+    sizes = np.concatenate([np.arange(400), rng.integers(0, 100, 400)])
+    starts = np.sort(rng.integers(0, 5600, 800))
+    want = [xxhash.xxh64_intdigest(data[s : s + n].tobytes(), 42) for s, n in zip(starts.tolist(), sizes.tolist())]
+    for stretch in (1, 300, 1 << 18):
+        monkeypatch.setattr(simhash, "STRETCH", stretch)
+        assert simhash.run_hashes(data, starts, sizes, 42).tolist() == want
+
+
+def test_prints_of_a_batch_take_no_call_for_each_shingle(monkeypatch):
+    def alone(*args):
+        raise AssertionError("a short shingle was hashed alone")
+
+    texts = [None, "", " \t ", "one", "A b", "É a\x0bB\x85c d", "a b c d e f", " x\ny  z w ", "word " * 2000, "\x1c a \x1f b"]
+    want = [slow_fingerprint(t) for t in texts]
+    monkeypatch.setattr(simhash.xxhash, "xxh64_intdigest", alone)
+    assert simhash.text_prints(pa.array([*texts, "x"]).slice(0, len(texts)), 4).tolist() == want
+    monkeypatch.undo()
+    long = ["w" * 300 + " a b c d e", "a b " + "é" * 200 + " c"]
+    assert simhash.text_prints(pa.array(long), 4).tolist() == [slow_fingerprint(t) for t in long]
