@@ -136,6 +136,7 @@ def _write(path: str, end: int, vocabulary: int):
             docs, lengths, ids = held
             joined = np.concatenate(ids)
             ids.clear()
+            give_back()  # what the texts took, before the coder takes as much
             data = encode(joined, vocabulary)
             made = {"partition": [partition], "shard": [shard], "doc_ids": [docs], "lengths": [lengths], "data": [data]}
             kinds = {"partition": pa.int32(), "shard": pa.int32(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "data": pa.binary()}

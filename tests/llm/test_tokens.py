@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyspark
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -170,3 +171,16 @@ def test_closing_punctuation_stands_alone():
     assert in_company([text]) == one_by_one([text])
     known = tokens._KNOWN[queries.TOKENIZER].numbers
     assert {"oddword", "$$$", "***", "&&&,,"} <= set(known) and not any(w.startswith("oddword") and w != "oddword" for w in known)
+
+
+def test_memory_is_given_back_before_a_shard_is_coded(monkeypatch):
+    steps = []
+    monkeypatch.setattr(pyspark, "TaskContext", type("Context", (), {"get": classmethod(lambda cls: cls), "partitionId": staticmethod(lambda: 0)}))
+    monkeypatch.setattr(tokens, "SHARD_IDS", 4)
+    monkeypatch.setattr(tokens, "give_back", lambda: steps.append("given back"))
+    coded = tokens.encode
+    monkeypatch.setattr(tokens, "encode", lambda *args: steps.append("coded") or coded(*args))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["a b c d", "e", "f g h i"])], names=["doc_id", "text"])
+    rows = list(tokens._write(queries.TOKENIZER, queries.END, queries.VOCABULARY)(iter([batch])))
+    assert len(rows) == steps.count("coded") == 3
+    assert all(before == "given back" for before, step in zip(steps, steps[1:]) if step == "coded")
