@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudtally.llm.shared import chunks, components, partitions_for, saved, small_batches
+from cloudtally.llm.shared import chunks, components, give_back, partitions_for, saved, small_batches
 
 BITS = 64
 #: Fingerprints of a band that are compared in one piece; a larger band is cut into several.
@@ -21,7 +21,7 @@ BLOCK = 2048
 #: times the copies of every fingerprint, which cost as much as comparing it with some thousands.
 BAND_ROWS = 4096
 #: Blocks of a fingerprint and 64 others that are compared together; only bounds memory.
-TOGETHER = 1 << 15
+TOGETHER = 1 << 13
 #: Bytes of words in which runs are hashed together, and the longest run for which that pays; the first bounds memory.
 STRETCH, LONG_RUN = 1 << 18, 255
 
@@ -370,6 +370,7 @@ def link_edges(distinct: DataFrame, n: int, radius: int) -> DataFrame:
             held = held[:, whole[-1] if whole else 0 :]
         if held.shape[1]:
             yield links(held)
+        give_back()
 
     at = partitions_for(distinct, n * len(sets), 200_000)
     names = ["band", "key", "lower", "upper"]

@@ -163,3 +163,12 @@ def test_prints_of_a_batch_take_no_call_for_each_shingle(monkeypatch):
     monkeypatch.undo()
     long = ["w" * 300 + " a b c d e", "a b " + "é" * 200 + " c"]
     assert simhash.text_prints(pa.array(long), 4).tolist() == [slow_fingerprint(t) for t in long]
+
+
+def test_close_pairs_of_a_large_group_come_in_small_parts():
+    rng = np.random.default_rng(9)
+    values = np.zeros(2048, np.uint64)
+    for _ in range(2):
+        values ^= np.uint64(1) << rng.integers(0, 64, 2048, dtype=np.uint64)
+    parts = [len(i) for i, _ in simhash.near(values, values, 4, np.zeros(2048, np.int64), np.full(2048, 2048), range(64))]
+    assert sum(parts) == 2048 * 2048 and max(parts) <= 64 * simhash.TOGETHER <= 1 << 19
